@@ -343,7 +343,7 @@ SELECT CAST(floor(median(CASE WHEN feat_proximity_days < 60 THEN feat_proximity_
 def d33(t: Tables):
     real = F.when(F.col("feat_proximity_days") < 60, F.col("feat_proximity_days"))
     counts = t.scores.groupBy(real.alias("d")).agg(F.count("*").alias("n_rows"))
-    return counts.agg(F.floor(F.percentile("d", 0.5, "n_rows")).cast("int").alias("median_days"))
+    return counts.agg(F.floor(F.percentile("d", 0.5, F.col("n_rows"))).cast("int").alias("median_days"))
 
 
 @query("d34_position_sums", """
@@ -400,15 +400,15 @@ def d38(t: Tables):
 
 
 @query("d39_report_problems", """
-, p AS (SELECT trade_id, list_filter([
+, p AS (SELECT trade_id, concat_ws('; ',
   CASE WHEN length(headline) > 120 THEN 'headline too long (' || length(headline) || ' chars)' END, CASE WHEN coalesce(headline, '') = '' THEN 'missing headline' END,
   CASE WHEN coalesce(narrative, '') = '' THEN 'missing narrative' END,
   CASE WHEN coalesce(evidence_json, '{}') = '{}' THEN 'empty evidence_json' WHEN json_extract(evidence_json, '$.key_factors') IS NULL THEN 'no key_factors in evidence'
     WHEN json_extract(evidence_json, '$.score_driver') IS NULL THEN 'no score_driver in evidence' END,
   CASE WHEN coalesce(disclaimer, '') = '' THEN 'missing disclaimer' END,
   CASE WHEN severity_quadrant = 'SEVERE' AND coalesce(video_prompt, '') = '' THEN 'SEVERE but no video_prompt' END,
-  CASE WHEN severity_quadrant = 'SEVERE' AND coalesce(narration_script, '') = '' THEN 'SEVERE but no narration_script' END], x -> x IS NOT NULL) AS problems FROM reports)
-SELECT trade_id, array_to_string(problems, '; ') AS problems FROM p WHERE len(problems) > 0
+  CASE WHEN severity_quadrant = 'SEVERE' AND coalesce(narration_script, '') = '' THEN 'SEVERE but no narration_script' END) AS problems FROM reports)
+SELECT trade_id, problems FROM p WHERE problems <> ''
 """)
 def d39(t: Tables):
     return Q.report_problems(t.reports).where(F.size("problems") > 0).select("trade_id", F.array_join("problems", "; ").alias("problems"))

@@ -52,7 +52,7 @@ def vote_events(votes: DataFrame) -> DataFrame:
 
 def weighted_median(days: DataFrame, column: str, weight: str = "n_rows") -> Column:
     """Exact median as a scalar; days are capped, so there are few distinct values."""
-    return days.agg(F.percentile(column, 0.5, weight)).scalar()
+    return days.agg(F.percentile(column, 0.5, F.col(weight))).scalar()
 
 
 def cohort_features(
@@ -129,7 +129,7 @@ def cohort_features_v1(
     access = access_maps(access_matrix(seats, exact=exact_committees, rank_column=rank_column))
     joined = enrich(near, access, ["politician_id"])
     median = near.groupBy("gap_days").agg(F.count("*").alias("n_rows")).agg(
-        F.percentile("gap_days", 0.5, "n_rows")
+        F.percentile("gap_days", 0.5, F.col("n_rows"))
     ).scalar()
     return joined.select(
         *ID_COLUMNS, "cohort_alpha",
