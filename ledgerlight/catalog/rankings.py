@@ -267,16 +267,16 @@ def g03(t: Tables):
 
 
 def _cusips(t: Tables):
-    return t.lineitem.select(F.concat(F.lit(" CUSIP"), F.lpad(F.col("l_partkey").cast("string"), 6, "0"), F.lit("X ")).alias("cusip"))
+    return t.lineitem.select(F.concat(F.lit(" CU"), F.lpad(F.col("l_partkey").cast("string"), 6, "0"), F.lit("X0 ")).alias("cusip"))
 
 
 def _mapping(t: Tables):
-    return t.part.where("p_size > 20").select(F.left(F.concat(F.lit("CUSIP"), F.lpad(F.col("p_partkey").cast("string"), 6, "0")), F.lit(9)).alias("cusip")).distinct()
+    return t.part.where("p_size > 20").select(F.concat(F.lit("CU"), F.lpad(F.col("p_partkey").cast("string"), 6, "0"), F.lit("X")).alias("cusip")).distinct()
 
 
 CUSIPS = """
-, w AS (SELECT DISTINCT left('CUSIP' || lpad(CAST(l_partkey AS VARCHAR), 6, '0'), 9) AS cusip FROM lineitem),
-k AS (SELECT DISTINCT left('CUSIP' || lpad(CAST(p_partkey AS VARCHAR), 6, '0'), 9) AS cusip FROM part WHERE p_size > 20)
+, w AS (SELECT DISTINCT 'CU' || lpad(CAST(l_partkey AS VARCHAR), 6, '0') || 'X' AS cusip FROM lineitem),
+k AS (SELECT DISTINCT 'CU' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') || 'X' AS cusip FROM part WHERE p_size > 20)
 """
 
 
