@@ -1,0 +1,49 @@
+"""Table layouts as Spark DDL."""
+
+# Raw inputs: every value arrives as text and is cast on reading.
+RAW = {
+    "politicians": "id string, full_name string, party string, chamber string, state string, district string, photo_url string, in_office boolean",
+    "committees": "id string, name string, chamber string, industry_sector string",
+    "committee_memberships": "politician_id string, committee_id string, committee_name string, subcommittee_name string, role string, party string, rank string, chamber string",
+    "votes": "id string, bill_id string, vote_date string, chamber string, vote_question string, description string, related_sector string",
+    "politician_votes": "politician_id string, vote_id string, position string",
+    "bills": "id string, congress int, bill_number string, title string, introduced_date string, policy_area string, related_sector string, latest_action string, latest_action_date date, origin_chamber string, sponsor_bioguide string, url string",
+    "trades": "politician_id string, ticker string, company_name string, trade_type string, trade_date date, disclosure_date date, disclosure_lag_days int, amount_lower long, amount_upper long, amount_midpoint long, asset_type string, industry_sector string, source_url string, chamber string, first_name string, last_name string, source string",
+    "cusip_ticker_map": "cusip string, ticker string, name string, market_sector string, exchange string, figi string",
+    "candidates": "candidate_id string, name string, party string, state string, district string, office string, incumbent_challenge string, election_year int, principal_committee_id string",
+    "candidate_totals": "candidate_id string, name string, party string, total_receipts decimal(15,2), total_disbursements decimal(15,2), cash_on_hand decimal(15,2), total_individual_contributions decimal(15,2), total_pac_contributions decimal(15,2), election_year int",
+    "pac_contributions": "contributor_name string, contributor_type string, contributor_employer string, contributor_occupation string, committee_id string, committee_name string, candidate_id string, amount decimal(15,2), receipt_date date, state string",
+}
+
+# Core tables.
+CORE = {
+    "politicians": "id long, bioguide_id string, first_name string, last_name string, full_name string, party string, state string, district string, chamber string, start_date date, end_date date, url string",
+    "committees": "id long, committee_id string, name string, chamber string, committee_type string, sector_tag string, url string",
+    "committee_memberships": "politician_id long, committee_id long, role string, start_date date, end_date date",
+    "trades": "id long, politician_id long, ticker string, company_name string, trade_type string, trade_date date, disclosure_date date, disclosure_lag_days int, amount_lower long, amount_upper long, amount_midpoint long, asset_type string, industry_sector string, source_url string",
+    "trade_sectors": "trade_id long, sector string",
+    "votes": "id long, roll_call_id string, chamber string, congress int, session int, roll_number int, question string, result string, vote_date date, url string",
+    "politician_votes": "politician_id long, vote_id long, position string",
+    "bills": "id long, bill_id string, congress int, bill_type string, bill_number int, title string, policy_area string, latest_action string, latest_action_date date, origin_chamber string, sponsor_bioguide string, url string",
+    "stock_prices": "ticker string, price_date date, open_price decimal(12,4), high decimal(12,4), low decimal(12,4), close decimal(12,4), volume long",
+    "institutional_holdings": "fund_name string, fund_cik string, cusip string, ticker string, issuer_name string, shares long, value_x1000 long, year int, quarter int",
+    "institutional_trades": "cusip string, ticker string, issuer_name string, shares_prior long, shares_current long, share_change long, trade_direction string, from_period string, to_period string",
+    "fec_candidates": "candidate_id string, name string, party string, state string, district string, office string, incumbent_challenge string, election_year int, principal_committee_id string",
+    "fec_candidate_totals": "candidate_id string, total_receipts decimal(15,2), total_disbursements decimal(15,2), cash_on_hand decimal(15,2), total_individual_contributions decimal(15,2), total_pac_contributions decimal(15,2), election_year int",
+    "cusip_ticker_map": "cusip string, ticker string, name string, market_sector string, exchange string, figi string",
+    "anomaly_scores": "trade_id long, politician_id long, ticker string, trade_date date, cohort_raw_score double, cohort_label int, cohort_index int, baseline_raw_score double, baseline_label int, baseline_index int, severity_quadrant string, audit_triggered boolean, feat_cohort_alpha double, feat_pre_trade_alpha double, feat_proximity_days int, feat_bill_proximity int, feat_has_proximity_data int, feat_committee_relevance double, feat_amount_zscore double, feat_cluster_score int, feat_disclosure_lag double, model_version string, scored_at timestamp_ntz",
+    "pac_contributions": "contributor_name string, contributor_employer string, committee_name string, candidate_id string, amount decimal(15,2), receipt_date date, state string, sector_tag string",
+    "audit_reports": "trade_id long, headline string, risk_level string, severity_quadrant string, narrative string, evidence_json string, bill_excerpt string, disclaimer string, video_prompt string, narration_script string, citation_image_prompts string, model string, prompt_tokens int, output_tokens int",
+    "media_assets": "id long, trade_id long, audit_report_id long, asset_type string, storage_url string, file_size_bytes int, duration_seconds double, generation_status string, generated_at timestamp_ntz",
+    "daily_reports": "report_date date, n_trades long, narration_script string, veo_prompt string, video_url string, audio_url string, generation_status string",
+}
+
+# Allowed values of enumerated columns.
+ENUMS = {
+    ("politicians", "chamber"): ["House", "Senate", "Joint"],
+    ("trades", "trade_type"): ["buy", "sell", "exchange"],
+    ("politician_votes", "position"): ["Yes", "No", "Not Voting", "Present"],
+    ("institutional_trades", "trade_direction"): ["new_position", "exit_position", "increase", "decrease", "unchanged"],
+    ("anomaly_scores", "severity_quadrant"): ["SEVERE", "SYSTEMIC", "OUTLIER", "UNREMARKABLE"],
+    ("audit_reports", "risk_level"): ["low", "medium", "high", "very_high"],
+}
