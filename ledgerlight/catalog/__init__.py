@@ -2,5 +2,5 @@
 
 from ledgerlight.catalog.base import ORACLES, QUERIES  # noqa: F401
 from ledgerlight.catalog import (  # noqa: F401
-    cleaning, io, joins, rankings, reporting, texts,
+    cleaning, evidence, io, joins, models, rankings, reporting, texts,
 )

@@ -25,32 +25,19 @@ def a01(t: Tables):
     return R.read_raw(t.spark, path, schema, {"bill_key": "id"})
 
 
-@query("a02_price_folder", "SELECT 'X' || r_regionkey AS ticker, CAST(o_orderdate AS DATE) AS price_date, CAST(round(o_totalprice, 4) AS DOUBLE) AS close, o_orderkey AS volume FROM orders JOIN region ON o_custkey % 5 = r_regionkey")
+@query("a02_price_folder", "SELECT 'X' || o_custkey % 40 AS ticker, CAST(o_orderdate AS DATE) AS price_date, CAST(round(o_totalprice, 4) AS DOUBLE) AS close, o_orderkey AS volume FROM orders")
 def a02(t: Tables):
     folder = scratch_path(t.spark, "prices")
-    groups = F.col("o_custkey") % 5
-    keep = t.orders.select(groups.alias("g"), F.to_date("o_orderdate").alias("d"), "o_totalprice", "o_orderkey")
-    names = [("Date", "Close", "Volume"), ("date", "close", "volume")]
-    for i in range(5):
-        # One file per ticker, as its name is the ticker; each has its own header spelling and order.
-        date, close, volume = names[i % 2]
-        rows = keep.where(F.col("g") == i).select(
-            F.col("o_orderkey").alias(volume), F.col("d").cast("string").alias(date), F.format_string("%.4f", "o_totalprice").alias(close))
-        rows.coalesce(1).write.option("header", True).csv(f"{folder}/raw{i}")
-        _rename_part(t, f"{folder}/raw{i}", f"{folder}/all/x{i}.csv")
-    prices = R.read_prices(t.spark, f"{folder}/all")
+    group = F.col("o_custkey") % 40
+    for odd, (date, close, volume) in enumerate([("Date", "Close", "Volume"), ("date", "CLOSE", "volume")]):
+        # Two spellings and orders of the header in one folder.
+        columns = [F.col("o_orderkey").alias(volume), F.to_date("o_orderdate").cast("string").alias(date), F.format_string("%.4f", "o_totalprice").alias(close)]
+        rows = t.orders.where(group % 2 == odd).select(*(columns if odd else columns[::-1]), F.concat(F.lit("x"), group).alias("ticker"))
+        rows.write.mode("append").partitionBy("ticker").option("header", True).csv(folder)
+    prices = R.read_prices(t.spark, f"{folder}/*")
     return prices.select("ticker", "price_date", F.col("close").cast("double").alias("close"), "volume")
 
 
-def _rename_part(t: Tables, folder: str, target: str) -> None:
-    jvm = t.spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(t.spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(path(target).getParent())
-    part = [s.getPath() for s in fs.listStatus(path(folder)) if s.getPath().getName().startswith("part-")][0]
-    fs.rename(part, path(target))
-
-
 @query("a03_header_normalisation", "SELECT o_orderkey::VARCHAR AS cusip, o_orderstatus AS issuer_name, o_custkey AS shares FROM orders")
 def a03(t: Tables):
     odd = t.orders.select(F.col("o_orderkey").cast("string").alias("CUSIP"), F.col("o_orderstatus").alias("NameOfIssuer"), F.col("o_custkey").alias(" SSHPRNAMT "))
@@ -75,16 +62,9 @@ def a05(t: Tables):
     rows = t.lineitem.select(
         F.concat(F.lpad(F.col("l_suppkey").cast("string"), 10, "0"), F.lit("-23-0001")).alias("ACCESSION_NUMBER"),
         F.concat(F.lit("C"), F.col("l_partkey")).alias("cusip"), F.lit("Issuer, Inc").alias("issuer_name"), F.lit("SH").alias("share_type"),
-        F.col("l_quantity").alias("shares"), F.concat(F.year(day), F.lit("q"), F.quarter(day)).alias("q"))
-    rows.repartition("q").write.partitionBy("q").option("header", True).csv(f"{folder}/raw")
-    jvm = t.spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(t.spark.sparkContext._jsc.hadoopConfiguration())
-    for status in fs.listStatus(path(f"{folder}/raw")):
-        name = status.getPath().getName()
-        if name.startswith("q="):
-            _rename_part(t, f"{folder}/raw/{name}", f"{folder}/all/{name[2:]}_holdings.csv")
-    return R.read_holdings(t.spark, f"{folder}/all").select(
+        F.col("l_quantity").alias("shares"), F.concat(F.year(day), F.lit("q"), F.quarter(day), F.lit("_holdings")).alias("q"))
+    rows.write.partitionBy("q").option("header", True).csv(folder)
+    return R.read_holdings(t.spark, f"{folder}/*").select(
         F.when(F.col("cik") == "", "0").otherwise(F.col("cik")).alias("cik"), "cusip", F.col("shares").cast("double").alias("shares"), "year", "quarter", "period")
 
 
@@ -101,31 +81,29 @@ SELECT translate(CAST(p_partkey AS VARCHAR), '0123456789', 'ABCDEFGHIJ') AS tick
 def a07(t: Tables):
     path = scratch_path(t.spark, "sector_map")
     value = F.when(F.col("p_size") > 25, F.to_json(F.array("p_type", "p_brand"))).otherwise(F.concat(F.lit('"'), F.col("p_type"), F.lit('"')))
-    entry = F.concat(F.lit('"'), letters(F.col("p_partkey")), F.lit('": '), value)
-    # The dictionary is split by brand into several files; each is one JSON object.
-    t.part.groupBy("p_brand").agg(F.concat(F.lit("{"), F.array_join(F.collect_list(entry), ", "), F.lit("}")).alias("value")).select("value").repartition(4, "value").write.option("lineSep", "\n").json(f"{path}_j")
-    lines = t.spark.read.schema("value string").json(f"{path}_j").select("value")
-    parsed = lines.select(F.explode(F.from_json("value", "map<string,string>")).alias("ticker", "sector"))
-    from ledgerlight.functions.sectors import parse_sector
-
-    return parsed.select("ticker", F.array_join(parse_sector("sector"), "|").alias("sectors"))
+    entry = F.concat(F.lit('{"'), letters(F.col("p_partkey")), F.lit('": '), value, F.lit("}"))
+    t.part.select(entry.alias("value")).write.text(path)
+    return R.read_sector_map(t.spark, path, one_per_line=True).select("ticker", F.array_join("sectors", "|").alias("sectors"))
 
 
 def _roll_calls(t: Tables) -> str:
     path = scratch_path(t.spark, "roll_calls")
-    member = F.struct(
-        F.concat(F.lit("S"), F.col("l_suppkey")).alias("lis_member_id"), F.lit("Last").alias("last_name"), F.lit("First").alias("first_name"), F.lit("D").alias("party"),
-        F.lit("TX").alias("state"), F.when(F.col("l_linenumber") % 2 == 0, "Yea").when(F.col("l_linenumber") == 3, "Not Voting").otherwise("Nay").alias("vote_cast"))
-    votes = t.lineitem.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(member)).alias("member")).select(
-        F.lit("119").alias("congress"), F.lit("1").alias("session"), F.lpad(F.col("l_orderkey").cast("string"), 9, "0").alias("vote_number"),
+    def member(key):
+        return F.struct(
+            F.concat(F.lit("S"), key).alias("lis_member_id"), F.lit("Last").alias("last_name"), F.lit("First").alias("first_name"), F.lit("D").alias("party"),
+            F.lit("TX").alias("state"), F.when(key % 3 == 0, "Yea").when(key % 3 == 1, "Not Voting").otherwise("Nay").alias("vote_cast"))
+
+    votes = t.orders.select(
+        F.lit("119").alias("congress"), F.lit("1").alias("session"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0").alias("vote_number"),
         F.lit("January 9, 2025,  02:54 PM").alias("vote_date"), F.lit("On Passage").alias("question"), F.lit("Passed").alias("vote_result"),
-        F.when(F.col("l_orderkey") % 2 == 0, F.concat(F.lit("S. "), F.col("l_orderkey"))).alias("vote_title"), F.struct("member").alias("members"))
+        F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("S. "), F.col("o_orderkey"))).alias("vote_title"),
+        F.struct(F.array(member(F.col("o_custkey")), member(F.col("o_custkey") + 1)).alias("member")).alias("members"))
     votes.write.format("xml").option("rowTag", "roll_call_vote").option("rootTag", "votes").save(path)
     return path
 
 
 @query("a08_roll_call_xml", """
-SELECT DISTINCT 'senate-119-1-' || l_orderkey AS id, CASE WHEN l_orderkey % 2 = 0 THEN 'S. ' || l_orderkey ELSE 'Passed' END AS description, count(*) OVER (PARTITION BY l_orderkey) AS members FROM lineitem
+SELECT 'senate-119-1-' || o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'S. ' || o_orderkey ELSE 'Passed' END AS description, CAST(2 AS BIGINT) AS members FROM orders
 """)
 def a08(t: Tables):
     votes = D.read_roll_calls(t.spark, _roll_calls(t))
@@ -133,11 +111,13 @@ def a08(t: Tables):
 
 
 @query("a08_roll_call_positions", """
-SELECT 'senate-119-1-' || l_orderkey AS vote_id, 'S' || l_suppkey AS lis_member_id, CASE WHEN l_suppkey % 2 = 0 THEN 'B' || l_suppkey ELSE '' END AS politician_id,
-  CASE WHEN l_linenumber % 2 = 0 THEN 'yes' WHEN l_linenumber = 3 THEN 'not_voting' ELSE 'no' END AS position FROM lineitem
+, m AS (SELECT o_orderkey, unnest([o_custkey, o_custkey + 1]) AS k FROM orders)
+SELECT 'senate-119-1-' || o_orderkey AS vote_id, 'S' || k AS lis_member_id, CASE WHEN k IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) THEN 'B' || k ELSE '' END AS politician_id,
+  CASE k % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'not_voting' ELSE 'no' END AS position FROM m
 """)
 def a08p(t: Tables):
-    lis = t.supplier.where("s_suppkey % 2 = 0").select(F.concat(F.lit("S"), F.col("s_suppkey")).alias("lis_member_id"), F.concat(F.lit("B"), F.col("s_suppkey")).alias("bioguide_id"))
+    key = F.col("c_custkey")
+    lis = t.customer.where(key % 2 == 0).select(F.concat(F.lit("S"), key).alias("lis_member_id"), F.concat(F.lit("B"), key).alias("bioguide_id"))
     votes = D.read_roll_calls(t.spark, _roll_calls(t))
     return D.roll_call_positions(votes, lis).select("vote_id", "lis_member_id", "politician_id", "position")
 

@@ -16,3 +16,334 @@ def holdings(t: Tables):
         H.period_of(F.year(shipped), F.quarter(shipped)).alias("period"),
         letters(F.col("l_partkey")).alias("issuer_name"),
     )
+
+
+ALPHA_SQL = """
+, k AS (SELECT ticker, trade_date, trade_date + 30 AS ahead, trade_date - 7 AS behind, 'SPY' AS spy FROM (SELECT DISTINCT ticker, trade_date FROM trades)),
+a1 AS (SELECT k.*, p.close AS f0 FROM k ASOF LEFT JOIN prices p ON k.ticker = p.ticker AND k.trade_date <= p.price_date),
+a2 AS (SELECT k.*, p.close AS f1 FROM a1 k ASOF LEFT JOIN prices p ON k.ticker = p.ticker AND k.ahead <= p.price_date),
+a3 AS (SELECT k.*, p.close AS b1 FROM a2 k ASOF LEFT JOIN prices p ON k.ticker = p.ticker AND k.trade_date >= p.price_date),
+a4 AS (SELECT k.*, p.close AS b0 FROM a3 k ASOF LEFT JOIN prices p ON k.ticker = p.ticker AND k.behind >= p.price_date),
+a5 AS (SELECT k.*, p.close AS sf0 FROM a4 k ASOF LEFT JOIN prices p ON k.spy = p.ticker AND k.trade_date <= p.price_date),
+a6 AS (SELECT k.*, p.close AS sf1 FROM a5 k ASOF LEFT JOIN prices p ON k.spy = p.ticker AND k.ahead <= p.price_date),
+a7 AS (SELECT k.*, p.close AS sb1 FROM a6 k ASOF LEFT JOIN prices p ON k.spy = p.ticker AND k.trade_date >= p.price_date),
+a8 AS (SELECT k.*, p.close AS sb0 FROM a7 k ASOF LEFT JOIN prices p ON k.spy = p.ticker AND k.behind >= p.price_date),
+alphas AS (SELECT ticker, trade_date, CASE WHEN f0 <> 0 AND sf0 <> 0 THEN (f1 - f0) / f0 - (sf1 - sf0) / sf0 END AS cohort_alpha,
+  CASE WHEN b0 <> 0 AND sb0 <> 0 THEN (b1 - b0) / b0 - (sb1 - sb0) / sb0 END AS pre_trade_alpha FROM a8)
+"""
+
+GAPS_SQL = """
+, vote_days AS (SELECT DISTINCT o_custkey AS politician_id, CAST(o_orderdate AS DATE) AS d FROM orders),
+pairs AS (SELECT DISTINCT politician_id, trade_date FROM trades),
+vote_gap AS (SELECT p.politician_id, p.trade_date, min(abs(v.d - p.trade_date)) AS gap FROM pairs p JOIN vote_days v ON v.politician_id = p.politician_id AND abs(v.d - p.trade_date) <= 90 GROUP BY 1, 2),
+bill_days AS (SELECT DISTINCT sector, latest_action_date AS d FROM bills WHERE sector IS NOT NULL),
+sector_days AS (SELECT DISTINCT unnest(sectors) AS sector, trade_date FROM trades),
+sector_gap AS (SELECT s.sector, s.trade_date, min(abs(b.d - s.trade_date)) AS gap FROM sector_days s JOIN bill_days b ON b.sector = s.sector AND abs(b.d - s.trade_date) <= 180 GROUP BY 1, 2),
+ex AS (SELECT trade_id, politician_id, trade_date, unnest(sectors) AS sector FROM trades),
+bill_gap AS (SELECT trade_id, min(gap) AS gap FROM ex JOIN sector_gap USING (sector, trade_date) GROUP BY 1),
+rel AS (SELECT trade_id, max(weight) AS w FROM ex JOIN access USING (politician_id, sector) GROUP BY 1),
+stats AS (SELECT politician_id, avg(ln(amount_midpoint + 1)) AS m, stddev_pop(ln(amount_midpoint + 1)) AS sd FROM trades GROUP BY 1 HAVING count(*) >= 5),
+clusters AS (SELECT a.trade_id, count(DISTINCT b.politician_id) AS n FROM trades a JOIN trades b ON a.ticker = b.ticker AND a.politician_id <> b.politician_id AND abs(a.trade_date - b.trade_date) <= 7 GROUP BY 1),
+raw AS (SELECT t.trade_id, t.politician_id, t.ticker, t.trade_date, v.gap AS vote_days, b.gap AS bill_days, round(coalesce(rel.w, 0), 2) AS committee_relevance,
+   CASE WHEN sd > 0 THEN (ln(amount_midpoint + 1) - m) / sd ELSE 0 END AS amount_zscore, CAST(coalesce(c.n, 0) AS INT) AS cluster_score, t.disclosure_lag_days
+  FROM trades t LEFT JOIN vote_gap v USING (politician_id, trade_date) LEFT JOIN bill_gap b USING (trade_id) LEFT JOIN rel USING (trade_id) LEFT JOIN stats USING (politician_id) LEFT JOIN clusters c USING (trade_id)),
+features AS (SELECT *, CAST(coalesce(vote_days, floor((SELECT median(vote_days) FROM raw)), 7) AS INT) AS proximity_days, CASE WHEN vote_days IS NULL THEN 0 ELSE 1 END AS has_proximity_data,
+  CAST(coalesce(bill_days, floor((SELECT median(bill_days) FROM raw)), 90) AS INT) AS bill_proximity, ln(1 + disclosure_lag_days) AS disclosure_lag FROM raw)
+"""
+
+
+def votes(t: Tables):
+    return t.orders.select(F.col("o_custkey").alias("politician_id"), F.to_date("o_orderdate").alias("vote_date"))
+
+
+def seats(t: Tables):
+    from ledgerlight.operators.entity import seats as join_seats
+
+    return join_seats(t.memberships, t.committees)
+
+
+def features(t: Tables):
+    from ledgerlight.plans.features import cohort_features
+
+    return cohort_features(t.trades, t.prices, votes(t), t.bills, seats(t))
+
+
+@query("i01_alphas", ALPHA_SQL + """
+SELECT trade_id, round(cohort_alpha, 9) AS cohort_alpha, round(coalesce(pre_trade_alpha, 0), 9) AS pre_trade_alpha FROM trades JOIN alphas USING (ticker, trade_date)
+""")
+def i01(t: Tables):
+    from ledgerlight.operators.temporal import add_alphas
+
+    out = add_alphas(t.trades.select("trade_id", "ticker", "trade_date"), t.prices)
+    return out.select("trade_id", F.round("cohort_alpha", 9).alias("cohort_alpha"), F.round(F.coalesce("pre_trade_alpha", F.lit(0.0)), 9).alias("pre_trade_alpha"))
+
+
+@query("i01_alpha_calibration", ALPHA_SQL + """
+SELECT CASE WHEN abs(cohort_alpha) < 0.05 THEN '<5%' WHEN abs(cohort_alpha) < 0.10 THEN '5-10%' WHEN abs(cohort_alpha) < 0.20 THEN '10-20%' WHEN abs(cohort_alpha) < 0.50 THEN '20-50%' ELSE '>50%' END AS abs_alpha_bucket,
+  count(*) AS trades, round(avg(cohort_index), 1) AS avg_cohort, round(avg(baseline_index), 1) AS avg_baseline, count(*) FILTER (severity_quadrant IN ('SEVERE', 'SYSTEMIC')) AS flagged
+FROM scored JOIN alphas USING (ticker, trade_date) WHERE cohort_alpha IS NOT NULL GROUP BY 1
+""")
+def i01c(t: Tables):
+    """Flagship: as-of excess returns of every trade, bucketed against the scores."""
+    from ledgerlight.operators.analytics import calibration
+    from ledgerlight.operators.clean import scoreable
+    from ledgerlight.operators.temporal import add_alphas
+
+    rows = t.scored.select("trade_id", "ticker", "trade_date", "cohort_index", "baseline_index", "severity_quadrant")
+    return calibration(scoreable(add_alphas(rows, t.prices)), "cohort_alpha")
+
+
+@query("i02_proximity", GAPS_SQL + "SELECT trade_id, proximity_days, has_proximity_data FROM features")
+def i02(t: Tables):
+    return features(t).select("trade_id", "proximity_days", "has_proximity_data")
+
+
+@query("i03_bill_proximity", GAPS_SQL + "SELECT trade_id, bill_proximity FROM features")
+def i03(t: Tables):
+    return features(t).select("trade_id", "bill_proximity")
+
+
+@query("i04_committee_relevance", GAPS_SQL + "SELECT trade_id, committee_relevance FROM features")
+def i04(t: Tables):
+    from ledgerlight.functions.sectors import parse_sector
+    from ledgerlight.operators.entity import access_matrix, add_relevance
+
+    rows = t.trades.select("trade_id", "politician_id", parse_sector("industry_sector").alias("sectors"))
+    return add_relevance(rows, access_matrix(seats(t))).select("trade_id", "committee_relevance")
+
+
+EXACT_NAMES = {
+    0: ("House Committee on Armed Services", "defense"), 1: ("Senate Committee on Finance", "finance,healthcare"),
+    2: ("House Committee on Natural Resources", "energy,agriculture"), 3: ("Senate Select Committee on Intelligence", "cross:0.5:defense,tech"),
+    4: ("House Committee on Rules", ""),
+}
+
+
+@query("i05_exact_relevance", """
+, ex AS (SELECT trade_id, politician_id % 5 AS g, politician_id % 2 AS lead, unnest(sectors) AS sector FROM trades),
+w(g, sector, base, leader) AS (VALUES (0, 'defense', 0.7, 1.0), (1, 'finance', 0.7, 1.0), (1, 'healthcare', 0.7, 1.0), (2, 'energy', 0.7, 1.0), (2, 'agriculture', 0.7, 1.0), (3, 'defense', 0.5, 0.65), (3, 'tech', 0.5, 0.65)),
+r AS (SELECT trade_id, max(CASE WHEN lead = 1 THEN leader ELSE base END) AS v FROM ex JOIN w USING (g, sector) GROUP BY 1)
+SELECT t.trade_id, CAST(round(coalesce(r.v, 0), 2) AS DOUBLE) AS committee_relevance FROM trades t LEFT JOIN r USING (trade_id)
+""")
+def i05(t: Tables):
+    from ledgerlight.functions.sectors import parse_sector
+    from ledgerlight.operators.entity import access_matrix, add_relevance
+
+    key = F.col("s_suppkey")
+    name = F.element_at(F.array(*[F.lit(n) for n, _ in EXACT_NAMES.values()]), (key % 5 + 1).cast("int"))
+    rows = t.supplier.select(key.alias("politician_id"), name.alias("committee_name"), F.when(key % 2 == 1, "Ranking Member").otherwise("3").alias("rank_in_committee"))
+    trades = t.trades.select("trade_id", "politician_id", parse_sector("industry_sector").alias("sectors"))
+    return add_relevance(trades, access_matrix(rows, exact=True)).select("trade_id", "committee_relevance")
+
+
+@query("i06_zscore_cluster_lag", GAPS_SQL + "SELECT trade_id, round(amount_zscore, 6) AS amount_zscore, cluster_score, round(disclosure_lag, 6) AS disclosure_lag FROM features")
+def i06(t: Tables):
+    return features(t).select("trade_id", F.round("amount_zscore", 6).alias("amount_zscore"), "cluster_score", F.round("disclosure_lag", 6).alias("disclosure_lag"))
+
+
+@query("i07_features_v2", ALPHA_SQL + GAPS_SQL + """
+SELECT trade_id, politician_id, ticker, trade_date, round(cohort_alpha, 9) AS cohort_alpha, round(coalesce(pre_trade_alpha, 0), 9) AS pre_trade_alpha, proximity_days, bill_proximity, has_proximity_data,
+  committee_relevance, round(amount_zscore, 6) AS amount_zscore, cluster_score, round(disclosure_lag, 6) AS disclosure_lag FROM features JOIN alphas USING (ticker, trade_date)
+""")
+def i07(t: Tables):
+    out = features(t)
+    return out.withColumns({c: F.round(c, d) for c, d in (("cohort_alpha", 9), ("pre_trade_alpha", 9), ("amount_zscore", 6), ("disclosure_lag", 6))})
+
+
+@query("i07_features_v1", ALPHA_SQL + """
+, v AS (SELECT DISTINCT o_custkey AS eid, CAST(o_orderdate AS DATE) AS d, CASE o_orderstatus WHEN 'F' THEN 'defense' WHEN 'O' THEN 'finance' ELSE 'tech' END AS sector FROM orders),
+s AS (SELECT t.trade_id, t.politician_id, t.ticker, t.trade_date, t.sectors, t.disclosure_lag_days, a.cohort_alpha FROM trades t JOIN alphas a USING (ticker, trade_date) WHERE a.cohort_alpha IS NOT NULL),
+keys AS (SELECT DISTINCT politician_id, trade_date, sectors FROM s),
+g AS (SELECT k.politician_id, k.trade_date, k.sectors, min(abs(v.d - k.trade_date)) FILTER (list_contains(k.sectors, v.sector)) AS g1, min(abs(v.d - k.trade_date)) AS g2
+  FROM keys k JOIN v ON v.eid = k.politician_id AND abs(v.d - k.trade_date) <= 90 GROUP BY ALL),
+x AS (SELECT s.*, coalesce(g1, g2) AS gap FROM s LEFT JOIN g ON g.politician_id = s.politician_id AND g.trade_date = s.trade_date AND g.sectors = s.sectors)
+SELECT trade_id, politician_id, ticker, trade_date, round(cohort_alpha, 9) AS cohort_alpha, CAST(coalesce(gap, floor((SELECT median(gap) FROM x)), 7) AS INT) AS proximity_days,
+  CASE WHEN gap IS NULL THEN 0 ELSE 1 END AS has_proximity_data, 0.0::DOUBLE AS committee_relevance, disclosure_lag_days AS disclosure_lag FROM x
+""")
+def i07v1(t: Tables):
+    from ledgerlight.plans.features import cohort_features_v1
+
+    sector = F.when(F.col("o_orderstatus") == "F", "defense").when(F.col("o_orderstatus") == "O", "finance").otherwise("tech")
+    tagged = t.orders.select(F.col("o_custkey").alias("politician_id"), F.to_date("o_orderdate").alias("vote_date"), sector.alias("related_sector"))
+    out = cohort_features_v1(t.trades, t.prices, tagged, seats(t))
+    return out.withColumn("cohort_alpha", F.round("cohort_alpha", 9))
+
+
+def cusip_map(t: Tables):
+    return t.part.select(F.concat(F.lit("C"), F.col("p_partkey")).alias("cusip"), letters(F.col("p_partkey")).alias("ticker"))
+
+
+def fund_trades(t: Tables):
+    from ledgerlight.operators.clean import clean_inferred_trades
+
+    funds = {str(i): f"Fund{i}" for i in range(0, 40)}
+    return clean_inferred_trades(H.infer_fund_trades(holdings(t), cusip_map(t), funds))
+
+
+INFER_SQL = """
+, h AS (SELECT CAST(l_suppkey AS VARCHAR) AS cik, l_suppkey, 'C' || l_partkey AS cusip, translate(CAST(l_partkey AS VARCHAR), '0123456789', 'ABCDEFGHIJ') AS ticker,
+   CAST(year(l_shipdate) * 4 + quarter(l_shipdate) AS INT) AS period, l_quantity * 100 AS shares, l_linenumber FROM lineitem),
+q AS (SELECT cik, cusip, ticker, period, sum(shares) AS shares FROM h WHERE l_linenumber <> 7 AND l_suppkey < 40 GROUP BY ALL),
+m AS (SELECT coalesce(a.cik, b.cik) AS cik, coalesce(a.cusip, b.cusip) AS cusip, coalesce(a.ticker, b.ticker) AS ticker, coalesce(a.period, b.period - 1) AS period, coalesce(b.shares, 0) - coalesce(a.shares, 0) AS delta
+  FROM (SELECT * FROM q WHERE period < (SELECT max(period) FROM q)) a FULL JOIN (SELECT * FROM q WHERE period > (SELECT min(period) FROM q)) b ON a.cik = b.cik AND a.cusip = b.cusip AND a.period + 1 = b.period),
+inferred AS (SELECT cik, 'Fund' || cik AS fund_name, cusip, ticker, CASE WHEN delta > 0 THEN 'buy' ELSE 'sell' END AS trade_type, CAST(abs(delta) AS BIGINT) AS shares_delta,
+  CAST(make_date(CAST((period - 1) // 4 AS BIGINT), CAST((period - 1) % 4 * 3 + 1 AS BIGINT), 1) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS inferred_date FROM m WHERE abs(delta) >= 100 AND length(ticker) <= 5)
+"""
+
+
+@query("i08_baseline_features", INFER_SQL + ALPHA_SQL.replace("SELECT DISTINCT ticker, trade_date FROM trades", "SELECT DISTINCT ticker, inferred_date AS trade_date FROM inferred") + """
+SELECT cik, fund_name, ticker, inferred_date, trade_type, round(cohort_alpha, 9) AS cohort_alpha, round(coalesce(pre_trade_alpha, 0), 9) AS pre_trade_alpha, 7 AS proximity_days, 90 AS bill_proximity, 0 AS has_proximity_data,
+  0.0::DOUBLE AS committee_relevance, 0.0::DOUBLE AS amount_zscore, 0 AS cluster_score, 0.0::DOUBLE AS disclosure_lag
+FROM (SELECT DISTINCT cik, fund_name, ticker, inferred_date, trade_type FROM inferred) i JOIN alphas a ON a.ticker = i.ticker AND a.trade_date = i.inferred_date WHERE cohort_alpha IS NOT NULL
+""")
+def i08(t: Tables):
+    from ledgerlight.plans.features import baseline_features
+
+    out = baseline_features(fund_trades(t), t.prices)
+    return out.withColumns({c: F.round(c, 9) for c in ("cohort_alpha", "pre_trade_alpha")})
+
+
+@query("i09_infer_fund_trades", INFER_SQL + "SELECT * FROM inferred")
+def i09(t: Tables):
+    return H.infer_fund_trades(holdings(t), cusip_map(t), {str(i): f"Fund{i}" for i in range(0, 40)})
+
+
+@query("i10_infer_security_trades", """
+, q AS (SELECT 'C' || l_partkey AS cusip, translate(CAST(l_partkey AS VARCHAR), '0123456789', 'ABCDEFGHIJ') AS issuer_name, CAST(year(l_shipdate) * 4 + quarter(l_shipdate) AS INT) AS period, sum(l_quantity * 100) AS shares FROM lineitem GROUP BY ALL),
+m AS (SELECT coalesce(a.cusip, b.cusip) AS cusip, coalesce(b.issuer_name, a.issuer_name) AS issuer_name, coalesce(a.period, b.period - 1) AS period, coalesce(a.shares, 0) AS shares_prior, coalesce(b.shares, 0) AS shares_current
+  FROM (SELECT * FROM q WHERE period < (SELECT max(period) FROM q)) a FULL JOIN (SELECT * FROM q WHERE period > (SELECT min(period) FROM q)) b ON a.cusip = b.cusip AND a.period + 1 = b.period)
+SELECT cusip, issuer_name, shares_prior, shares_current, shares_current - shares_prior AS share_change, CASE WHEN shares_prior = 0 THEN 'new_position' WHEN shares_current = 0 THEN 'exit_position'
+  WHEN shares_current > shares_prior THEN 'increase' ELSE 'decrease' END AS trade_direction, (period - 1) // 4 || 'Q' || ((period - 1) % 4 + 1) AS from_period, period // 4 || 'Q' || (period % 4 + 1) AS to_period
+FROM m WHERE shares_prior <> shares_current
+""")
+def i10(t: Tables):
+    return H.infer_security_trades(holdings(t))
+
+
+@query("i11_scaling", """
+, u AS (SELECT unnest(['price', 'quantity', 'flat']) AS feature, unnest([l_extendedprice, l_quantity, 1.0]) AS x FROM lineitem)
+SELECT feature, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std FROM u GROUP BY 1
+""")
+def i11(t: Tables):
+    from ledgerlight.plans.iforest import scaling
+
+    rows = t.lineitem.select(F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("quantity"), F.lit(1.0).alias("flat"))
+    return scaling(rows, ["price", "quantity", "flat"]).withColumns({c: F.round(c, 6) for c in ("mean", "std")})
+
+
+@query("i11_standardize", """
+, s AS (SELECT avg(l_quantity) AS m, stddev_pop(l_quantity) AS sd FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round((l_quantity - m) / sd, 6) AS quantity FROM lineitem, s
+""")
+def i11s(t: Tables):
+    from ledgerlight.plans.iforest import standardize
+
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").alias("quantity"))
+    return standardize(rows, ["quantity"]).withColumn("quantity", F.round("quantity", 6))
+
+
+PLAIN = ["l_extendedprice", "l_quantity", "l_discount", "l_tax"]
+
+
+def plain_rows(t: Tables):
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return t.lineitem.select(key.alias("trade_id"), *PLAIN)
+
+
+@query("i12_forest_fit")
+def i12(t: Tables):
+    """Node table of a forest over all lineitems (no SQL twin; tested against the published algorithm)."""
+    from ledgerlight.plans.iforest import fit
+
+    return fit(plain_rows(t), PLAIN, "trade_id")
+
+
+@query("i13_forest_score")
+def i13(t: Tables):
+    """Score, raw value and label of every lineitem."""
+    from ledgerlight.plans import iforest as IF
+
+    rows = plain_rows(t)
+    forest = IF.Forest.from_nodes(IF.fit(rows, PLAIN, "trade_id"), PLAIN)
+    raw = IF.raw_from_score(F.col("score"))
+    return rows.withColumn("score", forest.score_column()).select(
+        "trade_id", "score", raw.alias("raw_score"), IF.label_from_raw(raw).alias("label"))
+
+
+def dual_scores(t: Tables):
+    from ledgerlight.functions.vocab import FEATURES_V2
+    from ledgerlight.plans import iforest as IF
+    from ledgerlight.plans.features import baseline_features
+    from ledgerlight.plans.scoring import dual_score, model_version
+    from ledgerlight.session import scratch_path
+    from ledgerlight.sources.sinks import write_matrix
+
+    # Both matrices are written once: training and scoring read them several times.
+    cohort_path, baseline_path = scratch_path(t.spark, "cohort"), scratch_path(t.spark, "baseline")
+    write_matrix(features(t).where("cohort_alpha is not null"), cohort_path)
+    write_matrix(baseline_features(fund_trades(t), t.prices).withColumn(
+        "row_key", F.concat_ws("-", "cik", "ticker", "inferred_date", "trade_type")), baseline_path)
+    cohort, baseline = t.spark.read.parquet(cohort_path), t.spark.read.parquet(baseline_path)
+    forests = [
+        IF.Forest.from_nodes(IF.fit(df, FEATURES_V2, key), FEATURES_V2) for df, key in ((cohort, "trade_id"), (baseline, "row_key"))
+    ]
+    return dual_score(cohort, *forests, model_version("2026-01-01", "2026-01-02"), "2026-01-03 00:00:00")
+
+
+@query("i14_dual_score")
+def i14(t: Tables):
+    """Features, both forests and quadrants end to end."""
+    return dual_scores(t)
+
+
+@query("i15_training_stats", """
+, r AS (SELECT (50 - cohort_index) / 100.0::DOUBLE AS x FROM scored)
+SELECT count(*) AS n_training_samples, round(count(*) FILTER (x < 0) * 100.0::DOUBLE / count(*), 2) AS outlier_pct, round(min(x), 4) AS score_min, round(max(x), 4) AS score_max, round(avg(x), 4) AS score_mean, round(stddev_pop(x), 4) AS score_std FROM r
+""")
+def i15(t: Tables):
+    from ledgerlight.plans.iforest import training_stats
+
+    return training_stats(t.scores.select(((50 - F.col("cohort_index")) / 100.0).alias("raw_score")))
+
+
+@query("i16_model_checks")
+def i16(t: Tables):
+    """Thresholds on the end-to-end scores."""
+    from ledgerlight.plans.scoring import model_checks
+
+    return model_checks(dual_scores(t))
+
+
+@query("i16_seed_stability")
+def i16s(t: Tables):
+    """Label agreement of forests grown from three seeds in one job."""
+    from ledgerlight.plans.iforest import seed_stability
+
+    return seed_stability(plain_rows(t), PLAIN, "trade_id", 3, 50)
+
+
+@query("i17_flagged_by_day", """
+SELECT trade_id, trade_date, greatest(cohort_index, baseline_index) AS max_index, full_name, r.headline, r.narrative FROM flagged f LEFT JOIN reports r USING (trade_id) LEFT JOIN politicians p ON p.id = f.politician_id
+""")
+def i17(t: Tables):
+    from ledgerlight.plans.reports import flagged_by_day
+
+    return flagged_by_day(t.scored, t.politicians, t.reports).select("trade_id", "trade_date", "max_index", "full_name", "headline", "narrative")
+
+
+@query("i18_retrain_days", """
+, d AS (SELECT trade_date, count(*) FILTER (cohort_index >= 60)::DOUBLE / count(*) AS rate FROM scored GROUP BY 1),
+w AS (SELECT trade_date, min(rate) OVER (ORDER BY trade_date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS lowest, count(*) OVER (ORDER BY trade_date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS days FROM d)
+SELECT trade_date, round(lowest, 4) AS lowest_rate FROM w WHERE days = 7 AND lowest > 0.25
+""")
+def i18(t: Tables):
+    from ledgerlight.plans.scoring import retrain_triggers
+
+    return retrain_triggers(t.scores, outlier=F.col("cohort_index") >= 60)
+
+
+@query("i18_correlation_trigger", "SELECT round(corr(cohort_index, baseline_index), 4) AS correlation, corr(cohort_index, baseline_index) < 0 AS retrain FROM scored")
+def i18c(t: Tables):
+    from ledgerlight.plans.scoring import correlation_trigger
+
+    return correlation_trigger(t.scores)

@@ -57,11 +57,11 @@ def read_by_header(
     """CSV files whose headers differ from file to file (order, letter case, spelling), all as text.
 
     The header of each file is the line holding all `header_words`; one row per file is joined back.
-    Columns listed in `contains` match any header cell that contains the spelling. Adds `file_name`.
+    Columns listed in `contains` match any header cell that contains the spelling. Adds `file_path`.
     """
     cells = F.from_csv("value", ", ".join(f"c{i} string" for i in range(width)))
     lines = spark.read.text(path).select(
-        F.col("value"), F.col("_metadata.file_name").alias("file_name"), cells.alias("c")
+        F.col("value"), F.col("_metadata.file_path").alias("file_path"), cells.alias("c")
     ).withColumn("cells", F.array(*[F.col(f"c.c{i}") for i in range(width)]))
     low = F.lower("value")
     is_header = F.lit(True)
@@ -78,21 +78,26 @@ def read_by_header(
 
         return F.array_position(F.transform("cells", fits), F.lit(True)).cast("int").alias(f"at_{name}")
 
-    headers = lines.where(is_header).groupBy("file_name").agg(F.first("cells").alias("cells")).select(
-        "file_name", *[place(n, s) for n, s in columns.items()]
+    headers = lines.where(is_header).groupBy("file_path").agg(F.first("cells").alias("cells")).select(
+        "file_path", *[place(n, s) for n, s in columns.items()]
     )
-    body = lines.where(~is_header & (F.trim("value") != "")).select("file_name", "cells").join(headers, "file_name")
+    body = lines.where(~is_header & (F.trim("value") != "")).select("file_path", "cells").join(headers, "file_path")
     return body.select(
-        *[F.when(F.col(f"at_{n}") > 0, F.try_element_at("cells", f"at_{n}")).alias(n) for n in columns], "file_name"
+        *[F.when(F.col(f"at_{n}") > 0, F.try_element_at("cells", f"at_{n}")).alias(n) for n in columns], "file_path"
     )
 
 
 def read_prices(spark: SparkSession, folder: str) -> DataFrame:
-    """One CSV per ticker (file name = ticker, `_*` files skipped) -> stock_prices layout."""
+    """Price CSVs per ticker (`_*` files skipped) -> stock_prices layout.
+
+    The ticker is the file name, or the folder name `ticker=...` where Spark wrote several files.
+    """
     raw = read_by_header(spark, folder, PRICE_COLUMNS, ["date", "close"], 12, contains=["price_date"])
     money = {c: F.col(c).try_cast("decimal(12,4)") for c in ("open_price", "high", "low", "close")}
+    folder_name = X.blank_to_null(F.regexp_extract("file_path", r"ticker=([^/]+)/[^/]*$", 1))
+    file_name = F.regexp_extract("file_path", r"([^/]+)\.csv$", 1)
     return raw.select(
-        F.upper(F.regexp_extract("file_name", r"^(.*)\.csv$", 1)).alias("ticker"),
+        F.upper(F.url_decode(F.coalesce(folder_name, file_name))).alias("ticker"),
         X.parse_date("price_date").alias("price_date"), *[c.alias(n) for n, c in money.items()],
         F.col("volume").try_cast("double").cast("long").alias("volume"),
     )
@@ -105,11 +110,11 @@ def read_holdings(spark: SparkSession, folder: str) -> DataFrame:
     """
     raw = read_by_header(spark, folder, HOLDING_COLUMNS, ["cusip", "sh"])
     name = r"(\d{4})q(\d)_holdings"
-    year, quarter = (F.regexp_extract("file_name", name, i).cast("int") for i in (1, 2))
+    year, quarter = (F.regexp_extract("file_path", name, i).cast("int") for i in (1, 2))
     cik = F.coalesce(X.clean_cik("cik"), X.cik_of_accession("accession_number"))
     return raw.withColumns({"cik": cik, "year": year, "quarter": quarter}).withColumn(
         "period", period_of(F.col("year"), F.col("quarter"))
-    ).drop("file_name")
+    ).drop("file_path")
 
 
 def extract_holdings(bulk: DataFrame, funds: dict[str, str] = V.TRACKED_FUNDS) -> DataFrame:
@@ -130,10 +135,13 @@ def holdings_table(holdings: DataFrame, ticker_map: DataFrame, funds: dict[str,
     )
 
 
-def read_sector_map(spark: SparkSession, path: str) -> DataFrame:
-    """JSON dictionary ticker -> sector or list -> (ticker, sector text, sectors array)."""
+def read_sector_map(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
+    """JSON dictionary ticker -> sector or list -> (ticker, sector text, sectors array).
+
+    A file is one JSON object, or with `one_per_line` every line is one.
+    """
     parsed = F.from_json("value", "map<string,string>")
-    pairs = spark.read.option("wholetext", True).text(path).select(F.explode(parsed).alias("ticker", "sector"))
+    pairs = spark.read.option("wholetext", not one_per_line).text(path).select(F.explode(parsed).alias("ticker", "sector"))
     return pairs.withColumn("sectors", S.parse_sector("sector"))
 
 
