@@ -176,14 +176,14 @@ def cusip_map(t: Tables):
 def fund_trades(t: Tables):
     from ledgerlight.operators.clean import clean_inferred_trades
 
-    funds = {str(i): f"Fund{i}" for i in range(0, 40)}
+    funds = {str(i): f"Fund{i}" for i in range(1, 40)}
     return clean_inferred_trades(H.infer_fund_trades(holdings(t), cusip_map(t), funds))
 
 
 INFER_SQL = """
 , h AS (SELECT CAST(l_suppkey AS VARCHAR) AS cik, l_suppkey, 'C' || l_partkey AS cusip, translate(CAST(l_partkey AS VARCHAR), '0123456789', 'ABCDEFGHIJ') AS ticker,
    CAST(year(l_shipdate) * 4 + quarter(l_shipdate) AS INT) AS period, l_quantity * 100 AS shares, l_linenumber FROM lineitem),
-q AS (SELECT cik, cusip, ticker, period, sum(shares) AS shares FROM h WHERE l_linenumber <> 7 AND l_suppkey < 40 GROUP BY ALL),
+q AS (SELECT cik, cusip, ticker, period, sum(shares) AS shares FROM h WHERE l_linenumber <> 7 AND l_suppkey BETWEEN 1 AND 39 GROUP BY ALL),
 m AS (SELECT coalesce(a.cik, b.cik) AS cik, coalesce(a.cusip, b.cusip) AS cusip, coalesce(a.ticker, b.ticker) AS ticker, coalesce(a.period, b.period - 1) AS period, coalesce(b.shares, 0) - coalesce(a.shares, 0) AS delta
   FROM (SELECT * FROM q WHERE period < (SELECT max(period) FROM q)) a FULL JOIN (SELECT * FROM q WHERE period > (SELECT min(period) FROM q)) b ON a.cik = b.cik AND a.cusip = b.cusip AND a.period + 1 = b.period),
 inferred AS (SELECT cik, 'Fund' || cik AS fund_name, cusip, ticker, CASE WHEN delta > 0 THEN 'buy' ELSE 'sell' END AS trade_type, CAST(abs(delta) AS BIGINT) AS shares_delta,
@@ -192,7 +192,7 @@ inferred AS (SELECT cik, 'Fund' || cik AS fund_name, cusip, ticker, CASE WHEN de
 
 
 @query("i08_baseline_features", INFER_SQL + ALPHA_SQL.replace("SELECT DISTINCT ticker, trade_date FROM trades", "SELECT DISTINCT ticker, inferred_date AS trade_date FROM inferred") + """
-SELECT cik, fund_name, ticker, inferred_date, trade_type, round(cohort_alpha, 9) AS cohort_alpha, round(coalesce(pre_trade_alpha, 0), 9) AS pre_trade_alpha, 7 AS proximity_days, 90 AS bill_proximity, 0 AS has_proximity_data,
+SELECT cik, fund_name, i.ticker, inferred_date, trade_type, round(cohort_alpha, 9) AS cohort_alpha, round(coalesce(pre_trade_alpha, 0), 9) AS pre_trade_alpha, 7 AS proximity_days, 90 AS bill_proximity, 0 AS has_proximity_data,
   0.0::DOUBLE AS committee_relevance, 0.0::DOUBLE AS amount_zscore, 0 AS cluster_score, 0.0::DOUBLE AS disclosure_lag
 FROM (SELECT DISTINCT cik, fund_name, ticker, inferred_date, trade_type FROM inferred) i JOIN alphas a ON a.ticker = i.ticker AND a.trade_date = i.inferred_date WHERE cohort_alpha IS NOT NULL
 """)
@@ -205,7 +205,7 @@ def i08(t: Tables):
 
 @query("i09_infer_fund_trades", INFER_SQL + "SELECT * FROM inferred")
 def i09(t: Tables):
-    return H.infer_fund_trades(holdings(t), cusip_map(t), {str(i): f"Fund{i}" for i in range(0, 40)})
+    return H.infer_fund_trades(holdings(t), cusip_map(t), {str(i): f"Fund{i}" for i in range(1, 40)})
 
 
 @query("i10_infer_security_trades", """

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -274,4 +272,4 @@ def unfence_json(value: ColumnLike) -> Column:
 def concat_all(*parts: Column | str) -> Column:
     """Concatenation in which strings are literal and NULL columns read 'None'."""
     texts = [F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("None")) for p in parts]
-    return reduce(lambda a, b: F.concat(a, b), texts)
+    return F.concat(*texts)

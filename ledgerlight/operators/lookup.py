@@ -37,23 +37,26 @@ def spread_join(
     joins by key. One pass over `left`; no row is dropped or repeated.
     """
     values = [c for c in lookup.columns if c not in keys and c != weight]
+    # Stated here because the optimizer cannot push the same filters through the limit below.
+    lookup = known(lookup, keys)
     hot = (
         lookup.where(F.col(weight) > (HOT_ROWS if hot_rows is None else hot_rows))
         .orderBy(F.desc(weight), *keys).limit(HOT_KEYS)
         .select(*keys, F.struct(*values).alias("_hot"))
     )
-    cold = lookup.select(*keys, F.struct(*values).alias("_cold"), F.lit(0).cast("long").alias("_spread"))
+    # The weight is read on this side too, so that both sides share one plan and one shuffle.
+    cold = lookup.where(F.col(weight) > 0).select(
+        *keys, F.struct(*values).alias("_cold"), F.lit(0).cast("long").alias("_spread")
+    )
 
     no_key = F.lit(False)
     for key in keys:
         no_key = no_key | F.col(key).isNull()
-    spread = F.when(
-        no_key | F.col("_hot").isNotNull(), F.pmod(F.col("_row_hash"), F.lit(SPREAD)) + 1
-    ).otherwise(F.lit(0)).cast("long")
+    scatter = F.pmod(_row_hash(left), F.lit(SPREAD)) + 1
+    spread = F.when(no_key | F.col("_hot").isNotNull(), scatter).otherwise(F.lit(0)).cast("long")
 
     joined = (
-        left.withColumn("_row_hash", _row_hash(left))
-        .join(F.broadcast(hot), keys, "left")
+        left.join(F.broadcast(hot), keys, "left")
         .withColumn("_spread", spread)
         .join(cold, [*keys, "_spread"], "left")
     )
@@ -61,7 +64,12 @@ def spread_join(
     return joined.select(*[F.col(f"`{c}`") for c in left.columns], *[picked[v].alias(v) for v in values])
 
 
-def enrich(left: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
-    """`spread_join` to any table that is unique on `keys`; counts the left rows per key itself."""
-    counts = known(left, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+def enrich(left: DataFrame, values: DataFrame, keys: list[str], source: DataFrame | None = None) -> DataFrame:
+    """`spread_join` to any table that is unique on `keys`.
+
+    The weights are counted on `source`, which may be a cheaper table with at least the keys of
+    `left` (e.g. before joins); by default on `left` itself.
+    """
+    source = known(left if source is None else source, keys)
+    counts = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
     return spread_join(left, counts.join(values, keys, "inner"), keys)

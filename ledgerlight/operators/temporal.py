@@ -75,59 +75,41 @@ def asof_join(
 
 
 def _window_prices(pairs: DataFrame, prices: DataFrame, forward: int, backward: int) -> DataFrame:
-    """Per (ticker, day): as-of prices at d and d+forward (ahead) and at d and d-backward (behind)."""
-    shifts = [("at", 0), ("ahead", forward), ("behind", -backward)]
-    probes = pairs.select(
-        "ticker",
-        F.explode(F.array(*[
-            F.struct(F.date_add("date", shift).alias("date"), *[F.lit(s == shift).alias(n) for n, s in shifts])
-            for _, shift in shifts
-        ])).alias("probe"),
-        "n_rows",
-    ).select("ticker", "probe.*", F.when(F.col("probe.at"), F.col("n_rows")).alias("n_rows"))
+    """Per (ticker, day): first close on/after d and d+forward, last close on/before d and d-backward.
+
+    Growing range frames ("everything up to n days before this row" in ascending or descending day
+    order) answer the shifted probes without adding rows for them.
+    """
     points = prices.where(F.col("close").isNotNull()).groupBy("ticker", "date").agg(F.max("close").alias("close"))
-    line = (
-        probes.unionByName(points, allowMissingColumns=True)
-        .groupBy("ticker", "date")
-        .agg(
-            F.max("close").alias("close"), F.sum("n_rows").alias("n_rows"),
-            *[F.max(name).alias(name) for name, _ in shifts],
-        )
-        .withColumn("next", F.last("close", ignorenulls=True).over(_so_far(["ticker"], F.desc("date"))))
-        .withColumn("last", F.last("close", ignorenulls=True).over(_so_far(["ticker"], F.asc("date"))))
-    )
-    answers = F.array(
-        F.when(F.col("at"), F.struct(
-            F.col("date").alias("date"), F.col("next").alias("f0"), F.lit(None).cast("double").alias("f1"),
-            F.col("last").alias("b1"), F.lit(None).cast("double").alias("b0"), F.col("n_rows").alias("n_rows"))),
-        F.when(F.col("ahead"), F.struct(
-            F.date_sub("date", forward).alias("date"), F.lit(None).cast("double").alias("f0"),
-            F.col("next").alias("f1"), F.lit(None).cast("double").alias("b1"),
-            F.lit(None).cast("double").alias("b0"), F.lit(None).cast("long").alias("n_rows"))),
-        F.when(F.col("behind"), F.struct(
-            F.date_add("date", backward).alias("date"), F.lit(None).cast("double").alias("f0"),
-            F.lit(None).cast("double").alias("f1"), F.lit(None).cast("double").alias("b1"),
-            F.col("last").alias("b0"), F.lit(None).cast("long").alias("n_rows"))),
-    )
-    return (
-        line.select("ticker", F.explode(F.filter(answers, lambda a: a.isNotNull())).alias("a"))
-        .select("ticker", "a.*")
-        .groupBy("ticker", "date")
-        .agg(*[F.max(c).alias(c) for c in ("f0", "f1", "b0", "b1", "n_rows")])
-    )
+    line = _timeline(points, pairs, ["ticker"], "date", "close")
+
+    def close_until(days: Column, gap: int) -> Column:
+        frame = Window.partitionBy("ticker").orderBy(days).rangeBetween(Window.unboundedPreceding, -gap)
+        return F.last("close", ignorenulls=True).over(frame)
+
+    rising, falling = F.unix_date("date"), -F.unix_date("date")
+    return line.select(
+        "ticker", "date", "n_rows",
+        close_until(falling, 0).alias("f0"), close_until(falling, forward).alias("f1"),
+        close_until(rising, 0).alias("b1"), close_until(rising, backward).alias("b0"),
+    ).where("n_rows > 0")
 
 
 def alpha_lookup(
     trades: DataFrame, prices: DataFrame, benchmark: str = BENCHMARK_TICKER,
-    forward: int = ALPHA_FORWARD_DAYS, backward: int = ALPHA_BACKWARD_DAYS,
+    forward: int = ALPHA_FORWARD_DAYS, backward: int = ALPHA_BACKWARD_DAYS, pairs: DataFrame | None = None,
 ) -> DataFrame:
     """Per distinct (ticker, trade_date): cohort_alpha and pre_trade_alpha against the benchmark.
 
+    `pairs` may give those distinct pairs with their row counts where they are known already.
+
     `prices` has ticker, price_date, close and holds the benchmark too. The benchmark is one key,
     so it is resolved on the distinct days alone: at most one row per calendar day, broadcast.
     """
     series = prices.select("ticker", F.col("price_date").alias("date"), F.col("close").cast("double").alias("close"))
-    pairs = _pairs(trades, ["ticker"], "trade_date").withColumnRenamed("trade_date", "date")
+    if pairs is None:
+        pairs = _pairs(trades, ["ticker"], "trade_date")
+    pairs = pairs.withColumnRenamed("trade_date", "date")
     asset = _window_prices(pairs, series, forward, backward)
     days = pairs.groupBy("date").agg(F.sum("n_rows").alias("n_rows")).withColumn("ticker", F.lit(benchmark))
     bench = _window_prices(days, series.where(F.col("ticker") == benchmark), forward, backward).select(
@@ -177,6 +159,25 @@ def _per_item(array: Column, table: Column) -> Column:
     return F.transform(array, lambda item: F.try_element_at(table, item))
 
 
+def category_gaps(
+    source: DataFrame, events: DataFrame, array: str, category: str, date: str, max_days: int = BILL_CAP_DAYS
+) -> DataFrame:
+    """Per day of `source`: map of category to the gap to its nearest event."""
+    gaps = nearest_lookup(_exploded(source, array, category, date), events, category, date, max_days)
+    return gaps.where("gap_days is not null").groupBy(date).agg(
+        F.map_from_entries(F.collect_list(F.struct(category, "gap_days"))).alias("_gaps")
+    )
+
+
+def apply_category_gaps(left: DataFrame, gaps: DataFrame, array: str, date: str, name: str = "gap_days") -> DataFrame:
+    """Smallest gap over the row's categories. `gaps` has one small map per calendar day: broadcast."""
+    return (
+        left.join(F.broadcast(gaps), date, "left")
+        .withColumn(name, F.array_min(_per_item(F.col(array), F.col("_gaps"))))
+        .select(*left.columns, name)
+    )
+
+
 def nearest_category_event(
     left: DataFrame, events: DataFrame, array: str, category: str, date: str,
     max_days: int = BILL_CAP_DAYS, name: str = "gap_days",
@@ -186,26 +187,21 @@ def nearest_category_event(
     Categories are a small fixed vocabulary (sectors), so the answers are one map per calendar day
     and are broadcast: the large table is not shuffled at all.
     """
-    probes = _exploded(left, array, category, date)
-    gaps = nearest_lookup(probes, events, category, date, max_days).where("gap_days is not null")
-    by_day = gaps.groupBy(date).agg(
-        F.map_from_entries(F.collect_list(F.struct(category, "gap_days"))).alias("_gaps")
-    )
-    return (
-        left.join(F.broadcast(by_day), date, "left")
-        .withColumn(name, F.array_min(_per_item(F.col(array), F.col("_gaps"))))
-        .select(*left.columns, name)
-    )
+    gaps = category_gaps(left, events, array, category, date, max_days)
+    return apply_category_gaps(left, gaps, array, date, name)
 
 
 def nearest_two_tier(
     left: DataFrame, events: DataFrame, entity: str, array: str, category: str, date: str,
-    max_days: int = VOTE_CAP_DAYS, name: str = "gap_days",
+    max_days: int = VOTE_CAP_DAYS, name: str = "gap_days", source: DataFrame | None = None,
 ) -> DataFrame:
-    """Nearest event of the entity in one of the row's categories, else nearest event of the entity."""
-    keys = [entity, date]
-    any_gap = nearest_lookup(left, events, entity, date, max_days)
-    matched = nearest_lookup(_exploded(left, array, category, *keys), events, [entity, category], date, max_days)
+    """Nearest event of the entity in one of the row's categories, else nearest event of the entity.
+
+    `source` may be a cheaper table with at least the keys of `left` (e.g. before joins).
+    """
+    keys, source = [entity, date], left if source is None else source
+    any_gap = nearest_lookup(source, events, entity, date, max_days)
+    matched = nearest_lookup(_exploded(source, array, category, *keys), events, [entity, category], date, max_days)
     by_key = matched.where("gap_days is not null").groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct(category, "gap_days"))).alias("_gaps")
     )
@@ -215,6 +211,11 @@ def nearest_two_tier(
     return joined.withColumn(name, F.coalesce(tier1, F.col("gap_days"))).select(*left.columns, name)
 
 
+def presence(left: DataFrame, by: str, entity: str, date: str) -> DataFrame:
+    """Distinct (by, entity, day) with the number of rows behind each."""
+    return known(left, [by, date]).groupBy(by, entity, date).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def peer_lookup(left: DataFrame, by: str, entity: str, date: str, days: int = CLUSTER_DAYS) -> DataFrame:
     """Per distinct (by, date): distinct entities within +-days (`peers`) and on the day (`on_day`).
 
@@ -222,10 +223,9 @@ def peer_lookup(left: DataFrame, by: str, entity: str, date: str, days: int = CL
     overlapping covers of one entity are merged, and the covers are counted by a running sum over
     at most a few rows per calendar day. No pairs of trades are ever formed.
     """
-    presence = known(left, [by, date]).groupBy(by, entity, date).agg(F.count(F.lit(1)).alias("n_rows"))
     previous = F.lag(date).over(Window.partitionBy(by, entity).orderBy(date))
     named = F.col(entity).isNotNull()
-    marks = presence.withColumn("_prev", previous).select(
+    marks = presence(left, by, entity, date).withColumn("_prev", previous).select(
         by,
         F.explode(F.array(
             F.struct(

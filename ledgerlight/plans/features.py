@@ -13,7 +13,7 @@ from ledgerlight.operators.clean import scoreable
 from ledgerlight.operators.entity import access_maps, access_matrix, relevance
 from ledgerlight.operators.lookup import enrich, spread_join
 from ledgerlight.operators.temporal import (
-    add_alphas, alpha_lookup, nearest_category_event, nearest_lookup, nearest_two_tier, peer_lookup,
+    add_alphas, alpha_lookup, apply_category_gaps, category_gaps, nearest_lookup, nearest_two_tier, peer_lookup, presence,
 )
 
 ID_COLUMNS = ["trade_id", "politician_id", "ticker", "trade_date"]
@@ -68,7 +68,9 @@ def cohort_features(
     base = add_sectors(trades, bridge, ticker_map)
     events = bill_events(bills)
 
-    by_ticker = alpha_lookup(base, prices).join(
+    seen = presence(base, "ticker", "politician_id", "trade_date")
+    pairs = seen.groupBy("ticker", "trade_date").agg(F.sum("n_rows").alias("n_rows"))
+    by_ticker = alpha_lookup(base, prices, pairs=pairs).join(
         peer_lookup(base, "ticker", "politician_id", "trade_date").select("ticker", "trade_date", "peers"),
         ["ticker", "trade_date"], "left",
     )
@@ -79,7 +81,8 @@ def cohort_features(
         .select("politician_id", "trade_date", "gap_days", "log_amt_mean", "log_amt_std", "access", "n_rows")
     )
     combos = base.groupBy("sectors", "trade_date").agg(F.count("*").alias("n_rows"))
-    bill_days = nearest_category_event(combos, events, "sectors", "sector", "trade_date", name="bill_gap")
+    sector_gaps = category_gaps(combos, events, "sectors", "sector", "trade_date")
+    bill_days = apply_category_gaps(combos, sector_gaps, "sectors", "trade_date", "bill_gap")
 
     if median_proximity is None:
         median_proximity = weighted_median(votes_near, "gap_days")
@@ -89,7 +92,7 @@ def cohort_features(
 
     joined = spread_join(base, by_ticker, ["ticker", "trade_date"])
     joined = spread_join(joined, by_person, ["politician_id", "trade_date"])
-    joined = nearest_category_event(joined, events, "sectors", "sector", "trade_date", name="bill_gap")
+    joined = apply_category_gaps(joined, sector_gaps, "sectors", "trade_date", "bill_gap")
     named = F.col("politician_id").isNotNull()
     return joined.select(
         *ID_COLUMNS,
@@ -115,19 +118,21 @@ def cohort_features_v1(
     With exact committee names and votes tagged by sector this is the training variant; without,
     the scoring variant of version 1.
     """
-    base = scoreable(add_alphas(add_sectors(trades, bridge, ticker_map), prices))
+    tagged = add_sectors(trades, bridge, ticker_map)
+    base = scoreable(add_alphas(tagged, prices))
     events = vote_events(votes)
     if "related_sector" in events.columns:
         near = nearest_two_tier(
-            base, events.withColumnRenamed("related_sector", "sector"), "politician_id", "sectors", "sector", "trade_date"
+            base, events.withColumnRenamed("related_sector", "sector"), "politician_id", "sectors", "sector", "trade_date",
+            source=tagged,
         )
     else:
         near = spread_join(
-            base, nearest_lookup(base, events, "politician_id", "trade_date", V.VOTE_CAP_DAYS),
+            base, nearest_lookup(tagged, events, "politician_id", "trade_date", V.VOTE_CAP_DAYS),
             ["politician_id", "trade_date"],
         )
     access = access_maps(access_matrix(seats, exact=exact_committees, rank_column=rank_column))
-    joined = enrich(near, access, ["politician_id"])
+    joined = enrich(near, access, ["politician_id"], source=tagged)
     median = near.groupBy("gap_days").agg(F.count("*").alias("n_rows")).agg(
         F.percentile("gap_days", 0.5, F.col("n_rows"))
     ).scalar()
