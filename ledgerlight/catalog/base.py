@@ -40,12 +40,17 @@ def letters(number: Column) -> Column:
     return F.translate(number.cast("string"), "0123456789", "ABCDEFGHIJ")
 
 
+def trade_key() -> Column:
+    """The row's own values as its id."""
+    return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.floor("l_extendedprice"))
+
+
 def trade_columns() -> dict[str, Column]:
     part, line, late = F.col("l_partkey"), F.col("l_linenumber"), (F.col("l_orderkey") % 120).cast("int")
     price, shipped = F.floor("l_extendedprice").cast("long"), F.to_date("l_shipdate")
     flag = F.col("l_returnflag")
     return {
-        "trade_id": F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"),
+        "trade_id": trade_key(),
         "politician_id": F.col("l_suppkey"),
         "ticker": letters(part),
         "trade_type": F.when(flag == "A", "buy").when(flag == "R", "sell").otherwise("exchange"),
@@ -130,12 +135,12 @@ class Tables:
 
     @cached_property
     def prices(self) -> DataFrame:
-        """Highest unit price per (ticker, ship date); the benchmark is the mean over all parts."""
+        """Highest unit price per (ticker, ship date); the benchmark is the day's whole value over its whole quantity."""
         daily = self.lineitem.groupBy("l_partkey", F.to_date("l_shipdate").alias("price_date")).agg(
             F.max(F.col("l_extendedprice") / F.col("l_quantity")).alias("close")
         ).select(letters(F.col("l_partkey")).alias("ticker"), "price_date", "close")
         bench = self.lineitem.groupBy(F.to_date("l_shipdate").alias("price_date")).agg(
-            F.round(F.avg(F.col("l_extendedprice") / F.col("l_quantity")), 4).alias("close")
+            (F.sum(F.floor("l_extendedprice")) / F.sum("l_quantity")).alias("close")
         ).select(F.lit("SPY").alias("ticker"), "price_date", "close")
         return daily.unionByName(bench)
 
@@ -223,7 +228,7 @@ class Tables:
 
 BASE_SQL = r"""
 WITH trades AS (
-  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS trade_id,
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(floor(l_extendedprice) AS BIGINT)) AS trade_id,
     l_suppkey AS politician_id,
     translate(CAST(l_partkey AS VARCHAR), '0123456789', 'ABCDEFGHIJ') AS ticker,
     CASE l_returnflag WHEN 'A' THEN 'buy' WHEN 'R' THEN 'sell' ELSE 'exchange' END AS trade_type,
@@ -270,7 +275,7 @@ prices AS (
   SELECT translate(CAST(l_partkey AS VARCHAR), '0123456789', 'ABCDEFGHIJ') AS ticker, CAST(l_shipdate AS DATE) AS price_date,
     max(l_extendedprice / l_quantity) AS close FROM lineitem GROUP BY 1, 2
   UNION ALL
-  SELECT 'SPY', CAST(l_shipdate AS DATE), round(avg(l_extendedprice / l_quantity), 4) FROM lineitem GROUP BY 2),
+  SELECT 'SPY', CAST(l_shipdate AS DATE), sum(floor(l_extendedprice)) / sum(l_quantity) FROM lineitem GROUP BY 2),
 bills AS (
   SELECT 'hr' || o_orderkey || '-119' AS bill_id, 'HR' || o_orderkey AS bill_number, 'Act ' || o_orderpriority AS title,
     CASE WHEN o_orderpriority = '1-URGENT' THEN NULL WHEN c_mktsegment = 'AUTOMOBILE' THEN 'Defense'

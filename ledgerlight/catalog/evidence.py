@@ -2,13 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from ledgerlight.catalog.base import Tables, query
+from ledgerlight.catalog.base import Tables, query, trade_key
 from ledgerlight.plans import reports as P
 
 
 def trade_media(t: Tables):
     """Two files for every trade of an even order."""
-    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    key = trade_key()
     return t.lineitem.where("l_orderkey % 2 = 0").select(
         key.alias("trade_id"), F.explode(F.array(F.lit("video"), F.lit("audio"))).alias("asset_type"), F.col("l_shipdate").alias("generated_at")
     ).select(F.concat_ws(":", "trade_id", "asset_type").alias("id"), "trade_id", "asset_type", "generated_at", F.lit("s3://m").alias("storage_url"), F.lit("ready").alias("generation_status"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ledgerlight.catalog.base import Tables, letters, query
+from ledgerlight.catalog.base import Tables, letters, query, trade_key
 from ledgerlight.plans import holdings as H
 
 
@@ -69,13 +69,13 @@ def features(t: Tables):
 
 
 @query("i01_alphas", ALPHA_SQL + """
-SELECT trade_id, round(cohort_alpha, 9) AS cohort_alpha, round(coalesce(pre_trade_alpha, 0), 9) AS pre_trade_alpha FROM trades JOIN alphas USING (ticker, trade_date)
+SELECT trade_id, round(cohort_alpha, 6) AS cohort_alpha, round(coalesce(pre_trade_alpha, 0), 6) AS pre_trade_alpha FROM trades JOIN alphas USING (ticker, trade_date)
 """)
 def i01(t: Tables):
     from ledgerlight.operators.temporal import add_alphas
 
     out = add_alphas(t.trades.select("trade_id", "ticker", "trade_date"), t.prices)
-    return out.select("trade_id", F.round("cohort_alpha", 9).alias("cohort_alpha"), F.round(F.coalesce("pre_trade_alpha", F.lit(0.0)), 9).alias("pre_trade_alpha"))
+    return out.select("trade_id", F.round("cohort_alpha", 6).alias("cohort_alpha"), F.round(F.coalesce("pre_trade_alpha", F.lit(0.0)), 6).alias("pre_trade_alpha"))
 
 
 @query("i01_alpha_calibration", ALPHA_SQL + """
@@ -142,12 +142,12 @@ def i06(t: Tables):
 
 
 @query("i07_features_v2", ALPHA_SQL + GAPS_SQL + """
-SELECT trade_id, politician_id, ticker, trade_date, round(cohort_alpha, 9) AS cohort_alpha, round(coalesce(pre_trade_alpha, 0), 9) AS pre_trade_alpha, proximity_days, bill_proximity, has_proximity_data,
+SELECT trade_id, politician_id, ticker, trade_date, round(cohort_alpha, 6) AS cohort_alpha, round(coalesce(pre_trade_alpha, 0), 6) AS pre_trade_alpha, proximity_days, bill_proximity, has_proximity_data,
   committee_relevance, round(amount_zscore, 6) AS amount_zscore, cluster_score, round(disclosure_lag, 6) AS disclosure_lag FROM features JOIN alphas USING (ticker, trade_date)
 """)
 def i07(t: Tables):
     out = features(t)
-    return out.withColumns({c: F.round(c, d) for c, d in (("cohort_alpha", 9), ("pre_trade_alpha", 9), ("amount_zscore", 6), ("disclosure_lag", 6))})
+    return out.withColumns({c: F.round(c, d) for c, d in (("cohort_alpha", 6), ("pre_trade_alpha", 6), ("amount_zscore", 6), ("disclosure_lag", 6))})
 
 
 @query("i07_features_v1", ALPHA_SQL + """
@@ -157,7 +157,7 @@ keys AS (SELECT DISTINCT politician_id, trade_date, sectors FROM s),
 g AS (SELECT k.politician_id, k.trade_date, k.sectors, min(abs(v.d - k.trade_date)) FILTER (list_contains(k.sectors, v.sector)) AS g1, min(abs(v.d - k.trade_date)) AS g2
   FROM keys k JOIN v ON v.eid = k.politician_id AND abs(v.d - k.trade_date) <= 90 GROUP BY ALL),
 x AS (SELECT s.*, coalesce(g1, g2) AS gap FROM s LEFT JOIN g ON g.politician_id = s.politician_id AND g.trade_date = s.trade_date AND g.sectors = s.sectors)
-SELECT trade_id, politician_id, ticker, trade_date, round(cohort_alpha, 9) AS cohort_alpha, CAST(coalesce(gap, floor((SELECT median(gap) FROM x)), 7) AS INT) AS proximity_days,
+SELECT trade_id, politician_id, ticker, trade_date, round(cohort_alpha, 6) AS cohort_alpha, CAST(coalesce(gap, floor((SELECT median(gap) FROM x)), 7) AS INT) AS proximity_days,
   CASE WHEN gap IS NULL THEN 0 ELSE 1 END AS has_proximity_data, 0.0::DOUBLE AS committee_relevance, disclosure_lag_days AS disclosure_lag FROM x
 """)
 def i07v1(t: Tables):
@@ -166,7 +166,7 @@ def i07v1(t: Tables):
     sector = F.when(F.col("o_orderstatus") == "F", "defense").when(F.col("o_orderstatus") == "O", "finance").otherwise("tech")
     tagged = t.orders.select(F.col("o_custkey").alias("politician_id"), F.to_date("o_orderdate").alias("vote_date"), sector.alias("related_sector"))
     out = cohort_features_v1(t.trades, t.prices, tagged, seats(t))
-    return out.withColumn("cohort_alpha", F.round("cohort_alpha", 9))
+    return out.withColumn("cohort_alpha", F.round("cohort_alpha", 6))
 
 
 def cusip_map(t: Tables):
@@ -192,7 +192,7 @@ inferred AS (SELECT cik, 'Fund' || cik AS fund_name, cusip, ticker, CASE WHEN de
 
 
 @query("i08_baseline_features", INFER_SQL + ALPHA_SQL.replace("SELECT DISTINCT ticker, trade_date FROM trades", "SELECT DISTINCT ticker, inferred_date AS trade_date FROM inferred") + """
-SELECT cik, fund_name, i.ticker, inferred_date, trade_type, round(cohort_alpha, 9) AS cohort_alpha, round(coalesce(pre_trade_alpha, 0), 9) AS pre_trade_alpha, 7 AS proximity_days, 90 AS bill_proximity, 0 AS has_proximity_data,
+SELECT cik, fund_name, i.ticker, inferred_date, trade_type, round(cohort_alpha, 6) AS cohort_alpha, round(coalesce(pre_trade_alpha, 0), 6) AS pre_trade_alpha, 7 AS proximity_days, 90 AS bill_proximity, 0 AS has_proximity_data,
   0.0::DOUBLE AS committee_relevance, 0.0::DOUBLE AS amount_zscore, 0 AS cluster_score, 0.0::DOUBLE AS disclosure_lag
 FROM (SELECT DISTINCT cik, fund_name, ticker, inferred_date, trade_type FROM inferred) i JOIN alphas a ON a.ticker = i.ticker AND a.trade_date = i.inferred_date WHERE cohort_alpha IS NOT NULL
 """)
@@ -200,7 +200,7 @@ def i08(t: Tables):
     from ledgerlight.plans.features import baseline_features
 
     out = baseline_features(fund_trades(t), t.prices)
-    return out.withColumns({c: F.round(c, 9) for c in ("cohort_alpha", "pre_trade_alpha")})
+    return out.withColumns({c: F.round(c, 6) for c in ("cohort_alpha", "pre_trade_alpha")})
 
 
 @query("i09_infer_fund_trades", INFER_SQL + "SELECT * FROM inferred")
@@ -246,7 +246,7 @@ PLAIN = ["l_extendedprice", "l_quantity", "l_discount", "l_tax"]
 
 
 def plain_rows(t: Tables):
-    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    key = trade_key()
     return t.lineitem.select(key.alias("trade_id"), *PLAIN)
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ledgerlight.catalog.base import Tables, letters, query
+from ledgerlight.catalog.base import Tables, letters, query, trade_key
 from ledgerlight.functions import sectors as S
 from ledgerlight.functions import vocab as V
 from ledgerlight.operators import analytics as A
@@ -53,11 +53,11 @@ def d03(t: Tables):
 
 
 @query("d04_amount_stats", """
-SELECT politician_id, round(avg(ln(amount_midpoint + 1)), 9) AS log_amt_mean, round(stddev_pop(ln(amount_midpoint + 1)), 9) AS log_amt_std, count(*) AS n_trades
+SELECT politician_id, round(avg(ln(amount_midpoint + 1)), 6) AS log_amt_mean, round(stddev_pop(ln(amount_midpoint + 1)), 6) AS log_amt_std, count(*) AS n_trades
 FROM trades WHERE politician_id IS NOT NULL AND amount_midpoint IS NOT NULL GROUP BY 1 HAVING count(*) >= 5
 """)
 def d04(t: Tables):
-    return A.amount_stats(t.trades).withColumns({c: F.round(c, 9) for c in ("log_amt_mean", "log_amt_std")})
+    return A.amount_stats(t.trades).withColumns({c: F.round(c, 6) for c in ("log_amt_mean", "log_amt_std")})
 
 
 @query("d05_most_flagged_people", f"""
@@ -551,7 +551,7 @@ def d46p(t: Tables):
 SELECT count(*) AS trades, count(*) FILTER (line_number > 3) AS in_bridge, count(*) FILTER (line_number > 3 AND industry_sector IS NULL) AS bridge_only FROM trades
 """)
 def d46b(t: Tables):
-    linked = t.lineitem.where("l_linenumber > 3").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("trade_id"))
+    linked = t.lineitem.where("l_linenumber > 3").select(trade_key().alias("trade_id"))
     return Q.bridge_coverage(t.trades, linked)
 
 

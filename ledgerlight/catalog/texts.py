@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ledgerlight.catalog.base import Tables, query
+from ledgerlight.catalog.base import Tables, query, trade_key
 from ledgerlight.functions import scores as N
 from ledgerlight.functions import sectors as S
 from ledgerlight.functions import text as X
@@ -170,7 +170,7 @@ def h16(t: Tables):
 
     mapping = t.part.where("p_size > 25").select(letters(F.col("p_partkey")).alias("ticker"), F.col("p_type").alias("sector"))
     bridge = t.lineitem.where("l_linenumber = 1").select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("trade_id"), F.lit("bridged").alias("sector"))
+        trade_key().alias("trade_id"), F.lit("bridged").alias("sector"))
     rows = t.trades.select("trade_id", "ticker", "industry_sector")
     score = add_sectors(rows, bridge, mapping).select("trade_id", F.array_join("sectors", ",").alias("score_mode"))
     load = add_sectors(rows, None, mapping, mode="load").select("trade_id", F.array_join("sectors", ",").alias("load_mode"))
@@ -203,11 +203,11 @@ def h18(t: Tables):
 
 @query("h19_disclosure_lag_feature", """
 SELECT trade_id, greatest(0, least(365, CASE WHEN line_number = 1 THEN 0 ELSE disclosure_lag_days * 9 - 200 END)) AS clipped,
- round(ln(1 + greatest(0, least(365, CASE WHEN line_number = 1 THEN 0 ELSE disclosure_lag_days * 9 - 200 END))), 9) AS logged FROM trades
+ round(ln(1 + greatest(0, least(365, CASE WHEN line_number = 1 THEN 0 ELSE disclosure_lag_days * 9 - 200 END))), 6) AS logged FROM trades
 """)
 def h19(t: Tables):
     days = F.when(F.split("trade_id", "-").getItem(1) != "1", F.col("disclosure_lag_days") * 9 - 200)
-    return t.trades.select("trade_id", N.clipped_lag(days).alias("clipped"), F.round(N.log_lag(days), 9).alias("logged"))
+    return t.trades.select("trade_id", N.clipped_lag(days).alias("clipped"), F.round(N.log_lag(days), 6).alias("logged"))
 
 
 @query("h20_amount_zscore", """

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlight.functions import vocab as V
-from ledgerlight.functions.text import ColumnLike, as_col, first_containing, is_leader, lookup
+from ledgerlight.functions.text import ColumnLike, as_col, first_containing, is_leader, lookup, strip
 
 
 def _empty() -> Column:
@@ -19,7 +19,7 @@ def _literals(values) -> Column:
 
 def parse_sector(value: ColumnLike) -> Column:
     """Plain text, JSON list or quoted-list text -> array<string>; NULL or blank -> empty."""
-    text = F.trim(as_col(value))
+    text = strip(as_col(value))
     listed = F.from_json(text, "array<string>", {"allowSingleQuotes": "true"})
     return (
         F.when(F.coalesce(text, F.lit("")) == "", _empty())

@@ -14,6 +14,11 @@ def as_col(value: ColumnLike) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def strip(value: Column) -> Column:
+    """Without white space (also tabs and line ends) on both sides."""
+    return F.btrim(value, F.lit(" \t\n\r\x0b\x0c"))
+
+
 def literal_map(mapping: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
 
@@ -35,7 +40,7 @@ def blank_to_null(value: Column) -> Column:
 # --- names, places, roles -------------------------------------------------------------------
 
 def state_abbrev(value: ColumnLike) -> Column:
-    name = F.trim(as_col(value))
+    name = strip(as_col(value))
     return F.when(F.length(name) <= 2, F.upper(name)).otherwise(
         F.coalesce(lookup(V.STATE_ABBREV, F.lower(name)), F.upper(F.left(name, F.lit(2))))
     )
@@ -43,7 +48,7 @@ def state_abbrev(value: ColumnLike) -> Column:
 
 def chamber_name(value: ColumnLike) -> Column:
     raw = as_col(value)
-    return F.coalesce(lookup(V.CHAMBERS, F.lower(F.trim(raw))), raw)
+    return F.coalesce(lookup(V.CHAMBERS, F.lower(strip(raw))), raw)
 
 
 def member_chamber(value: ColumnLike) -> Column:
@@ -71,7 +76,7 @@ def office_name(value: ColumnLike) -> Column:
 
 def vote_cast(value: ColumnLike) -> Column:
     """Spoken vote -> yes / no / not_voting / abstain."""
-    return F.coalesce(lookup(V.VOTE_CASTS, F.lower(F.trim(as_col(value)))), F.lit("not_voting"))
+    return F.coalesce(lookup(V.VOTE_CASTS, F.lower(strip(as_col(value)))), F.lit("not_voting"))
 
 
 def vote_position(value: ColumnLike) -> Column:
@@ -127,17 +132,17 @@ def ticker_from_text(text: ColumnLike) -> Column:
 
 
 def valid_ticker_cell(cell: ColumnLike) -> Column:
-    clean = F.upper(F.trim(as_col(cell)))
+    clean = F.upper(strip(as_col(cell)))
     return F.when(clean.rlike("^[A-Z]{1,5}$"), clean)
 
 
 def company_ticker(name: ColumnLike) -> Column:
-    return first_containing(F.lower(F.trim(as_col(name))), list(V.COMPANY_TICKERS.items()))
+    return first_containing(F.lower(strip(as_col(name))), list(V.COMPANY_TICKERS.items()))
 
 
 def trade_type(text: ColumnLike, table=V.HOUSE_TRANSACTIONS) -> Column:
     """Exact wording first, then the first wording contained in the text."""
-    low = F.lower(F.trim(as_col(text)))
+    low = F.lower(strip(as_col(text)))
     return F.coalesce(lookup(table, low), first_containing(low, list(table.items())))
 
 
@@ -149,7 +154,7 @@ def trade_type_contained(text: ColumnLike, table=V.SENATE_TRANSACTIONS) -> Colum
 
 def parse_date(text: ColumnLike) -> Column:
     """Month-first mixed-format date; NULL when nothing fits. Offsets are taken to UTC."""
-    raw = F.trim(as_col(text))
+    raw = strip(as_col(text))
 
     def built(pattern: str, year: int, month: int, day: int) -> Column:
         part = [F.regexp_extract(raw, pattern, i) for i in (year, month, day)]
@@ -202,7 +207,7 @@ def congress_of_roll_call(roll_call_id: ColumnLike) -> Column:
 
 
 def committee_code(code: ColumnLike) -> Column:
-    low = F.lower(F.trim(as_col(code)))
+    low = F.lower(strip(as_col(code)))
     return F.when(low.rlike(r"\d"), low).otherwise(F.concat(low, F.lit("00")))
 
 
@@ -239,12 +244,12 @@ def cik_of_accession(accession: ColumnLike) -> Column:
 
 
 def clean_cik(value: ColumnLike) -> Column:
-    return F.ltrim(F.trim(as_col(value)), F.lit("0"))
+    return F.ltrim(strip(as_col(value)), F.lit("0"))
 
 
 def clean_cusip(value: ColumnLike) -> Column:
     """First nine characters, NULL below six."""
-    trimmed = F.trim(as_col(value))
+    trimmed = strip(as_col(value))
     return F.when(F.length(trimmed) >= 6, F.left(trimmed, F.lit(9)))
 
 
@@ -263,10 +268,10 @@ def json_items(value: ColumnLike) -> Column:
 
 def unfence_json(value: ColumnLike) -> Column:
     """JSON text without a surrounding Markdown fence."""
-    trimmed = F.trim(as_col(value))
+    trimmed = strip(as_col(value))
     inner = F.btrim(trimmed, F.lit("`"))
-    inner = F.when(inner.startswith("json"), F.trim(F.substring(inner, 5, 1 << 30))).otherwise(inner)
-    return F.when(trimmed.startswith("```"), F.trim(inner)).otherwise(trimmed)
+    inner = F.when(inner.startswith("json"), strip(F.substring(inner, 5, 1 << 30))).otherwise(inner)
+    return F.when(trimmed.startswith("```"), strip(inner)).otherwise(trimmed)
 
 
 def concat_all(*parts: Column | str) -> Column:

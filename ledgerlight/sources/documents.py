@@ -21,7 +21,7 @@ FILING = (
 
 
 def _text(value: Column | str) -> Column:
-    return F.trim(F.coalesce(X.as_col(value), F.lit("")))
+    return X.strip(F.coalesce(X.as_col(value), F.lit("")))
 
 
 def read_roll_calls(spark: SparkSession, path: str, congress: int | None = None, session: int | None = None) -> DataFrame:

@@ -141,7 +141,7 @@ def read_sector_map(spark: SparkSession, path: str, one_per_line: bool = False)
     A file is one JSON object, or with `one_per_line` every line is one.
     """
     parsed = F.from_json("value", "map<string,string>")
-    pairs = spark.read.option("wholetext", not one_per_line).text(path).select(F.explode(parsed).alias("ticker", "sector"))
+    pairs = spark.read.text(path, wholetext=not one_per_line).select(F.explode(parsed).alias("ticker", "sector"))
     return pairs.withColumn("sectors", S.parse_sector("sector"))
 
 
