@@ -42,6 +42,23 @@ def _unit(*parts: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 11) / F.lit(float(1 << 53))
 
 
+def _chosen_trees(key: Column, seed: int, trees: int, chance: float) -> Column:
+    """Trees a row is a candidate for, about `trees * chance` of them.
+
+    The row throws a few hashed darts at the trees instead of being tested against every tree.
+    """
+    if chance >= 1.0:
+        return F.sequence(F.lit(seed * trees), F.lit(seed * trees + trees - 1))
+    darts = math.ceil(trees * chance)
+
+    def dart(j: Column) -> Column:
+        tree = (F.floor(_unit(key, j, F.lit(seed), F.lit("tree")) * trees) + seed * trees).cast("int")
+        return F.when(_unit(key, j, F.lit(seed), F.lit("throw")) < trees * chance / darts, tree)
+
+    thrown = F.transform(F.sequence(F.lit(0), F.lit(darts - 1)), dart)
+    return F.array_distinct(F.array_compact(thrown))
+
+
 def draw_samples(
     df: DataFrame, features: list[str], key: str, n_rows: int, trees: int = TREES, subsample: int = SUBSAMPLE,
     seeds: list[int] | None = None,
@@ -58,11 +75,10 @@ def draw_samples(
     if n_rows > pool_size:
         pool = pool.where(_unit(F.col("_key"), F.lit(seeds[0])) < pool_size / n_rows)
     chance = min(1.0, 2.0 * subsample / min(n_rows, pool_size))
-    ids = F.array(*[F.lit(s * trees + i) for s in seeds for i in range(trees)])
-    chosen = F.filter(ids, lambda t: _unit(F.col("_key"), t, F.lit("tree")) < chance)
+    chosen = F.flatten(F.array(*[_chosen_trees(F.col("_key"), s, trees, chance) for s in seeds]))
     pairs = pool.select("_key", *features, F.explode(chosen).alias("tree_id")).withColumn(
-        "draw", F.xxhash64("_key", "tree_id", F.lit("tree"))
-    ).withColumn("draw", F.shiftrightunsigned("draw", 11))
+        "draw", F.shiftrightunsigned(F.xxhash64("_key", "tree_id", F.lit("draw")), 11)
+    )
     rank = F.row_number().over(Window.partitionBy("tree_id").orderBy("draw", "_key"))
     return pairs.withColumn("_rank", rank).where(F.col("_rank") <= subsample).drop("_rank", "_key")
 
@@ -132,7 +148,7 @@ class Forest:
             nodes = nodes.where(F.col("tree_id").between(seed * trees, seed * trees + trees - 1))
         table = nodes.toPandas()
         ids = {t: i for i, t in enumerate(sorted(table["tree_id"].unique()))}
-        levels = int(table["depth"].max())
+        levels = max(1, int(table["depth"].max()))
         inner = 2**levels - 1
         feature = np.zeros((len(ids), max(inner, 1)), dtype=np.int16)
         cut = np.full((len(ids), max(inner, 1)), np.inf)
@@ -150,16 +166,28 @@ class Forest:
                 path[tree, slot - inner] = row.depth + average_path(row.size)
         return cls(list(features), feature, cut, path, psi)
 
-    def scores(self, values: np.ndarray) -> np.ndarray:
-        """Isolation score s in (0, 1]; above 0.5 means unusual."""
-        total = np.zeros(len(values))
+    def scores(self, values: np.ndarray, block: int = 4096) -> np.ndarray:
+        """Isolation score s in (0, 1]; above 0.5 means unusual. Rows are walked in cache-sized blocks."""
+        total = np.empty(len(values))
         levels = int(math.log2(self.path.shape[1]))
-        rows = np.arange(len(values))
-        for feature, cut, path in zip(self.feature, self.cut, self.path):
-            slot = np.zeros(len(values), dtype=np.int64)
-            for _ in range(levels):
-                slot = 2 * slot + 1 + (values[rows, feature[slot]] >= cut[slot])
-            total += path[slot - (len(path) - 1)]
+        inner = self.path.shape[1] - 1
+        for start in range(0, len(values), block):
+            columns = np.ascontiguousarray(values[start:start + block].T)
+            size = columns.shape[1]
+            flat, rows = columns.ravel(), np.arange(size, dtype=np.int32)
+            offsets = self.feature.astype(np.int32) * size
+            lengths = np.zeros(size)
+            for tree in range(len(self.path)):
+                offset, cut = offsets[tree], self.cut[tree]
+                # Everybody is at the root on the first level.
+                slot = 1 + (columns[self.feature[tree, 0]] >= cut[0]).astype(np.int32)
+                for _ in range(levels - 1):
+                    right = flat.take(offset.take(slot) + rows) >= cut.take(slot)
+                    slot += slot
+                    slot += 1
+                    slot += right
+                lengths += self.path[tree].take(slot - inner)
+            total[start:start + block] = lengths
         return np.power(2.0, -total / len(self.path) / max(average_path(self.subsample), 1e-12))
 
     def score_column(self) -> Column:
