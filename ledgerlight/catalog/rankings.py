@@ -62,12 +62,12 @@ r AS (SELECT p.event_id, c.click_id, abs(c.d - p.d) AS gap FROM p JOIN c ON c.us
 SELECT p.event_id, coalesce(string_agg(click_id || ':' || gap, ',' ORDER BY gap, click_id), '') AS nearest FROM p LEFT JOIN r USING (event_id) GROUP BY 1
 """)
 def e06(t: Tables):
-    from ledgerlight.operators.temporal import nearest_k
+    from ledgerlight.operators.temporal import nearest_k_by
 
-    rows = t.events.select("event_id", F.col("user_id").cast("string").alias("user"), "event_type", F.to_date("ts").alias("day"))
-    left = rows.where("event_type = 'purchase'").select("event_id", F.array("user").alias("users"), "day")
-    clicks = rows.where("event_type = 'click'").select(F.col("event_id").alias("click_id"), "user", "day")
-    near = nearest_k(left, clicks, "users", "user", "day", "click_id", max_days=5)
+    rows = t.events.select("event_id", "user_id", "event_type", F.to_date("ts").alias("day"))
+    left = rows.where("event_type = 'purchase'").select("event_id", "user_id", "day")
+    clicks = rows.where("event_type = 'click'").select(F.col("event_id").alias("click_id"), "user_id", "day")
+    near = nearest_k_by(left, clicks, "user_id", "day", "click_id", max_days=5)
     text = F.array_join(F.transform("nearby", lambda e: F.concat_ws(":", e["click_id"], e["gap_days"])), ",")
     return near.select("event_id", F.coalesce(text, F.lit("")).alias("nearest"))
 

@@ -569,7 +569,7 @@ def d48(t: Tables):
 
 
 @query("d49_tickers_by_sector", """
-SELECT p_brand AS sector, count(*) AS n, string_agg(translate(CAST(p_partkey AS VARCHAR), '0123456789', 'ABCDEFGHIJ'), ',' ORDER BY translate(CAST(p_partkey AS VARCHAR), '0123456789', 'ABCDEFGHIJ')) AS tickers FROM part GROUP BY 1
+SELECT p_brand AS sector, translate(CAST(p_partkey AS VARCHAR), '0123456789', 'ABCDEFGHIJ') AS ticker, count(*) OVER (PARTITION BY p_brand) AS n FROM part
 """)
 def d49(t: Tables):
     return A.tickers_by_sector(t.part.select(F.col("p_brand").alias("sector"), letters(F.col("p_partkey")).alias("ticker")))

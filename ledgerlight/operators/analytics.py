@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerlight.functions import scores as N
 from ledgerlight.functions import vocab as V
+from ledgerlight.operators.lookup import enrich
 from ledgerlight.operators.quality import share_pct
 
 # Reporting buckets.
@@ -480,10 +481,12 @@ def bills_by_area(bills: DataFrame) -> DataFrame:
 
 
 def tickers_by_sector(mapping: DataFrame) -> DataFrame:
-    """Sorted tickers per sector (the ticker map is the listed product)."""
-    return mapping.groupBy("sector").agg(
-        F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("ticker")), ",").alias("tickers")
-    )
+    """The ticker map in listing order (sector, ticker) with the size of each sector.
+
+    Rows instead of one list per sector, so a sector of any size stays distributed.
+    """
+    sizes = mapping.groupBy("sector").agg(F.count("*").alias("n"))
+    return enrich(mapping.select("sector", "ticker"), sizes, ["sector"]).orderBy("sector", "ticker")
 
 
 def quadrant_counts(scores: DataFrame) -> DataFrame:

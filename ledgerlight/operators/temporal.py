@@ -184,8 +184,8 @@ def nearest_category_event(
 ) -> DataFrame:
     """Days to the nearest event in any of the row's categories (an array column).
 
-    Categories are a small fixed vocabulary (sectors), so the answers are one map per calendar day
-    and are broadcast: the large table is not shuffled at all.
+    The events' categories are a small fixed vocabulary (sectors), so the answers are one map per
+    calendar day and are broadcast: the large table is not shuffled at all.
     """
     gaps = category_gaps(left, events, array, category, date, max_days)
     return apply_category_gaps(left, gaps, array, date, name)
@@ -273,36 +273,34 @@ def busy_days(
     )
 
 
-def nearest_k(
-    left: DataFrame, events: DataFrame, array: str, category: str, date: str, event_id: str,
-    k: int = 3, max_days: int = BILL_WINDOW_DAYS, name: str = "nearby",
+def _nearest_lists(
+    probes: DataFrame, events: DataFrame, keys: list[str], date: str, event_id: str, k: int, max_days: int
 ) -> DataFrame:
-    """The k events nearest in time within +-max_days in any of the row's categories.
+    """Per probe (keys, day): array `_near` of the k nearest events of the same keys within +-max_days.
 
-    Adds array<struct<gap_days, event_id, date, ...event columns>> ordered by gap, then id. Only the
-    k nearest of each (category, day) are ever kept, since no row can use more.
+    Only the k smallest ids of a day and the k nearest days on either side are ever kept, since no
+    probe can use more.
     """
-    extra = [c for c in events.columns if c not in (category, date, event_id)]
-    rank = F.row_number().over(Window.partitionBy(category, date).orderBy(event_id))
+    extra = [c for c in events.columns if c not in (*keys, date, event_id)]
+    rank = F.row_number().over(Window.partitionBy(*keys, date).orderBy(event_id))
     item = F.struct(F.col(event_id), F.col(date).alias("event_date"), *extra)
     per_day = (
-        known(events, [category, date]).withColumn("_rank", rank).where(F.col("_rank") <= k)
-        .groupBy(category, date).agg(F.collect_list(item).alias("_items"))
+        known(events, [*keys, date]).withColumn("_rank", rank).where(F.col("_rank") <= k)
+        .groupBy(*keys, date).agg(F.collect_list(item).alias("_items"))
     )
-    by_day = Window.partitionBy(category).orderBy(date)
+    by_day = Window.partitionBy(*keys).orderBy(date)
     reach = per_day.select(
-        category, date,
+        *keys, date,
         F.struct(
             F.flatten(F.collect_list("_items").over(by_day.rowsBetween(-(k - 1), 0))).alias("behind"),
             F.flatten(F.collect_list("_items").over(by_day.rowsBetween(0, k - 1))).alias("ahead"),
         ).alias("_reach"),
     )
-    probes = _pairs(_exploded(left, array, category, date), [category], date)
-    line = _timeline(reach, probes, [category], date, "_reach")
+    line = _timeline(reach, probes, keys, date, "_reach")
     sides = line.select(
-        category, date, "n_rows",
-        F.last("_reach", ignorenulls=True).over(_so_far([category], F.asc(date)))["behind"].alias("behind"),
-        F.last("_reach", ignorenulls=True).over(_so_far([category], F.desc(date)))["ahead"].alias("ahead"),
+        *keys, date, "n_rows",
+        F.last("_reach", ignorenulls=True).over(_so_far(keys, F.asc(date)))["behind"].alias("behind"),
+        F.last("_reach", ignorenulls=True).over(_so_far(keys, F.desc(date)))["ahead"].alias("ahead"),
     ).where("n_rows > 0")
     found = F.array_compact(F.flatten(F.array_compact(F.array("behind", "ahead"))))
     scored = F.transform(found, lambda e: F.struct(
@@ -310,11 +308,36 @@ def nearest_k(
         e[event_id].alias(event_id), e["event_date"].alias("event_date"), *[e[c].alias(c) for c in extra],
     ))
     near = F.slice(F.array_sort(F.array_distinct(F.filter(scored, lambda e: e["gap_days"] <= max_days))), 1, k)
-    by_date = sides.select(category, date, near.alias("_near")).where(F.size("_near") > 0).groupBy(date).agg(
+    return sides.select(*keys, date, near.alias("_near"), "n_rows")
+
+
+def nearest_k_by(
+    left: DataFrame, events: DataFrame, by, date: str, event_id: str,
+    k: int = 3, max_days: int = BILL_WINDOW_DAYS, name: str = "nearby",
+) -> DataFrame:
+    """The k events of the same key nearest in time within +-max_days, ordered by gap, then id."""
+    keys = _cols(by)
+    near = _nearest_lists(_pairs(left, keys, date), events, keys, date, event_id, k, max_days)
+    return spread_join(left, near.withColumnRenamed("_near", name), [*keys, date])
+
+
+def nearest_k(
+    left: DataFrame, events: DataFrame, array: str, category: str, date: str, event_id: str,
+    k: int = 3, max_days: int = BILL_WINDOW_DAYS, name: str = "nearby",
+) -> DataFrame:
+    """The k events nearest in time within +-max_days in any of the row's categories.
+
+    Adds array<struct<gap_days, event_id, event_date, ...event columns>> ordered by gap, then id.
+    The events' categories are a small fixed vocabulary (sectors; see `nearest_k_by` for open keys),
+    so the answers are one small map per calendar day and are broadcast.
+    """
+    probes = _pairs(_exploded(left, array, category, date), [category], date)
+    lists = _nearest_lists(probes, events, [category], date, event_id, k, max_days)
+    by_date = lists.where(F.size("_near") > 0).groupBy(date).agg(
         F.map_from_entries(F.collect_list(F.struct(category, "_near"))).alias("_near")
     )
-    lists = F.array_compact(_per_item(F.col(array), F.col("_near")))
-    best = F.slice(F.array_sort(F.array_distinct(F.flatten(lists))), 1, k)
+    found = F.array_compact(_per_item(F.col(array), F.col("_near")))
+    best = F.slice(F.array_sort(F.array_distinct(F.flatten(found))), 1, k)
     return left.join(F.broadcast(by_date), date, "left").withColumn(name, best).select(*left.columns, name)
 
 

@@ -9,10 +9,12 @@ all trees for a batch of rows at once.
 from __future__ import annotations
 
 import math
+import sys
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,9 @@ SEED = 42
 EULER = 0.5772156649
 POOL_FACTOR = 4
 
+# Executors get this module's functions with the job, installed there or not.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 NODE_SCHEMA = (
     "tree_id int, node_id int, feature int, cut double, left int, right int, depth int, size long"
 )
@@ -210,17 +215,15 @@ def scaling(df: DataFrame, features: list[str]) -> DataFrame:
 
 def standardize(df: DataFrame, features: list[str]) -> DataFrame:
     """Features minus mean over population deviation (a zero deviation counts as 1)."""
-    stats = df.agg(
-        *[F.avg(f).alias(f"_m_{f}") for f in features], *[F.stddev_pop(f).alias(f"_s_{f}") for f in features]
-    )
+    stats = df.agg(F.struct(
+        *[F.avg(f).alias(f"mean_{f}") for f in features], *[F.stddev_pop(f).alias(f"std_{f}") for f in features]
+    )).scalar()
 
     def scaled(f: str) -> Column:
-        spread = F.col(f"_s_{f}")
-        return ((F.col(f) - F.col(f"_m_{f}")) / F.when(spread == 0, F.lit(1.0)).otherwise(spread)).alias(f)
+        spread = stats[f"std_{f}"]
+        return ((F.col(f) - stats[f"mean_{f}"]) / F.when(spread == 0, F.lit(1.0)).otherwise(spread)).alias(f)
 
-    # One-row side: an inner join on a constant, broadcast.
-    joined = df.withColumn("_one", F.lit(1)).join(F.broadcast(stats.withColumn("_one", F.lit(1))), "_one")
-    return joined.select(*[scaled(c) if c in features else F.col(c) for c in df.columns])
+    return df.select(*[scaled(c) if c in features else F.col(c) for c in df.columns])
 
 
 def raw_from_score(score: Column) -> Column:
