@@ -103,17 +103,15 @@ def is_leader(role: ColumnLike) -> Column:
 # --- amounts, tickers, transactions ---------------------------------------------------------
 
 def amount_range(text: ColumnLike, ranges=V.HOUSE_AMOUNTS) -> Column:
-    """Range text -> struct(lower, upper, midpoint)."""
+    """Range text -> struct(lower, upper, midpoint); the first matching pattern wins."""
     raw = as_col(text)
 
-    def bound(pick: int) -> Column:
-        matches = [F.when(raw.rlike(r[0]), F.lit(r[pick]).cast("long")) for r in ranges]
-        return F.coalesce(*matches, F.lit(V.DEFAULT_RANGE[pick - 1]).cast("long"))
+    def bounds(lower: int, upper: int) -> Column:
+        named = {"lower": lower, "upper": upper, "midpoint": (lower + upper) // 2}
+        return F.struct(*[F.lit(v).cast("long").alias(n) for n, v in named.items()])
 
-    lower, upper = bound(1), bound(2)
-    return F.struct(
-        lower.alias("lower"), upper.alias("upper"), F.floor((lower + upper) / 2).cast("long").alias("midpoint")
-    )
+    matches = [F.when(raw.rlike(pattern), bounds(lower, upper)) for pattern, lower, upper in ranges]
+    return F.coalesce(*matches, bounds(*V.DEFAULT_RANGE))
 
 
 def labelled_ticker(text: ColumnLike, pattern: str = V.HOUSE_TICKER) -> Column:
@@ -152,27 +150,26 @@ def trade_type_contained(text: ColumnLike, table=V.SENATE_TRANSACTIONS) -> Colum
 
 # --- dates ------------------------------------------------------------------------------------
 
+# Accepted date spellings, rewritten to year-month-day.
+DATE_SPELLINGS = [
+    (r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})(?!\d).*$", "$3-$1-$2"),
+    (r"^(\d{1,2})[/-](\d{1,2})[/-](\d{2})(?!\d).*$", "20$3-$1-$2"),
+    (r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2}).*$", "$1-$2-$3"),
+]
+WORDED_DATE = (r"^([A-Za-z]{3})[a-z]*\.? (\d{1,2}), (\d{4}).*$", "$1 $2 $3")
+OFFSET_INSTANT = r"^\d{4}-\d{2}-\d{2}[T ].*(Z|[+-]\d{2}:?\d{2})$"
+
+
 def parse_date(text: ColumnLike) -> Column:
     """Month-first mixed-format date; NULL when nothing fits. Offsets are taken to UTC."""
     raw = strip(as_col(text))
-
-    def built(pattern: str, year: int, month: int, day: int) -> Column:
-        part = [F.regexp_extract(raw, pattern, i) for i in (year, month, day)]
-        full_year = F.when(F.length(part[0]) == 2, F.concat(F.lit("20"), part[0])).otherwise(part[0])
-        pieces = F.concat_ws("-", full_year, F.lpad(part[1], 2, "0"), F.lpad(part[2], 2, "0"))
-        return F.when(raw.rlike(pattern), F.try_to_date(pieces, "yyyy-MM-dd"))
-
     instant = F.try_to_timestamp(raw)
-    offset = F.when(
-        raw.rlike(r"^\d{4}-\d{2}-\d{2}[T ].*(Z|[+-]\d{2}:?\d{2})$"),
-        F.to_date(F.to_utc_timestamp(instant, F.current_timezone())),
-    )
-    iso = built(r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})", 1, 2, 3)
-    month_first = built(r"^(\d{1,2})[-/](\d{1,2})[-/](\d{4}|\d{2})(?!\d)", 3, 1, 2)
-    long_form = r"^([A-Za-z]{3})[a-z]*\.? (\d{1,2}), (\d{4})"
-    words = F.concat_ws(" ", *[F.regexp_extract(raw, long_form, i) for i in (1, 2, 3)])
-    worded = F.when(raw.rlike(long_form), F.try_to_date(F.initcap(words), "MMM d yyyy"))
-    return F.coalesce(offset, iso, month_first, worded)
+    utc_day = F.when(raw.rlike(OFFSET_INSTANT), F.to_date(F.to_utc_timestamp(instant, F.current_timezone())))
+    dashed = raw
+    for pattern, rewritten in DATE_SPELLINGS:
+        dashed = F.regexp_replace(dashed, pattern, rewritten)
+    worded = F.initcap(F.regexp_replace(raw, *WORDED_DATE))
+    return F.coalesce(utc_day, F.try_to_date(dashed, "yyyy-M-d"), F.try_to_date(worded, "MMM d yyyy"))
 
 
 def lag_days(later: ColumnLike, earlier: ColumnLike) -> Column:

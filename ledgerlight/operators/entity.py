@@ -72,7 +72,10 @@ def resolve_entity(
         exact = _key_rows(known, [full, F.when(last.isNotNull(), whole)], id_column, order)
         natural = _key_rows(known, [F.col(key_column)], id_column, order)
         by_last = _key_rows(known, [F.lower(last)], id_column, order)
-        steps = _match(_match(_match(names, exact, "_name", "_r1"), natural, "_name", "_r2"), by_last, "_last", "_r3")
+        steps = _match(_match(names, exact, "_name", "_r1"), natural, "_name", "_r2")
+        # Many names share a last name or have none, so this step is a spread join.
+        last_rows = by_last.select(F.col("name_key").alias("_last_key"), F.col("found").alias("_r3"))
+        steps = enrich(steps.withColumn("_last_key", X.blank_to_null(F.col("_last"))), last_rows, ["_last_key"])
         results = ["_r1", "_r2", "_r3"]
     else:
         first_word = F.split(first, r"\s+").getItem(0)

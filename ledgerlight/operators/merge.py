@@ -94,8 +94,8 @@ def compare_runs(first: DataFrame, second: DataFrame, key: str, suffixes: tuple[
 
 
 def missing_keys(wanted: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    return wanted.select(key).dropna().distinct().join(known.select(key), key, "left_anti")
+    return wanted.select(key).dropna().distinct().join(known.select(key).distinct(), key, "left_anti")
 
 
 def known_keys(wanted: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    return wanted.select(key).dropna().distinct().join(known.select(key), key, "left_semi")
+    return wanted.select(key).dropna().distinct().join(known.select(key).distinct(), key, "left_semi")

@@ -78,7 +78,7 @@ def read_by_header(
 
         return F.array_position(F.transform("cells", fits), F.lit(True)).cast("int").alias(f"at_{name}")
 
-    headers = lines.where(is_header).groupBy("file_path").agg(F.first("cells").alias("cells")).select(
+    headers = lines.where(is_header).groupBy("file_path").agg(F.min("cells").alias("cells")).select(
         "file_path", *[place(n, s) for n, s in columns.items()]
     )
     body = lines.where(~is_header & (F.trim("value") != "")).select("file_path", "cells").join(headers, "file_path")
