@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlight.functions import text as X
 from ledgerlight.functions import vocab as V
-from ledgerlight.operators.merge import keep_first, union_aligned
+from ledgerlight.operators.merge import computed_once, keep_first, union_aligned
 
 TRADE_KEY = ["politician_id", "ticker", "trade_date", "trade_type"]
 
@@ -64,7 +64,8 @@ def normalize_feed(df: DataFrame, since: str = "2022-01-01") -> DataFrame:
         F.coalesce("AssetType", F.lit("stock")).alias("asset_type"),
         X.lookup(V.FEED_TICKERS, X.valid_ticker_cell("Ticker")).alias("industry_sector"),
         F.col("Source").alias("source_url"),
-    ).withColumn("disclosure_lag_days", X.lag_days("disclosure_date", "trade_date"))
+    )
+    trades = computed_once(trades).withColumn("disclosure_lag_days", X.lag_days("disclosure_date", "trade_date"))
     kept = trades.where(
         F.col("ticker").isNotNull() & F.col("trade_type").isNotNull()
         & (F.col("trade_date") >= F.lit(since).cast("date"))

@@ -20,6 +20,14 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column | str], per_ke
     return df.withColumn("_rank", rank).where(F.col("_rank") <= per_key).drop("_rank")
 
 
+def computed_once(df: DataFrame) -> DataFrame:
+    """The same rows; every column is computed once, before any filter on it.
+
+    Without this the optimizer copies costly expressions (parsing) into the filters that use them.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def union_aligned(frames: list[DataFrame]) -> DataFrame:
     """Bag union by column name; absent columns become NULL."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
