@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -26,19 +24,19 @@ def build_session(app_name: str = "ledgerlight", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach.
+    """Folder every executor can reach: the one named in `spark.checkpoint.dir`.
 
-    On a cluster this is the folder named in `spark.checkpoint.dir`. Only where that is
-    unset (local tests) is a temporary folder made and used for checkpoints too.
+    Where it is unset, a session in one JVM uses a folder below its warehouse; a cluster has to name one,
+    since files in a driver's own folder would be out of the executors' reach.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerlight-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return os.path.dirname(current.rstrip("/"))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+    spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
