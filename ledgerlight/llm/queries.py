@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import curriculum, decontaminate, language, records, simhash
+from ledgerlight.llm import curriculum, decontaminate, kneser_ney, language, records, simhash
 from ledgerlight.llm.oracles import ORACLES  # noqa: F401
-from ledgerlight.llm.shared import scratch_table, table, word_count
+from ledgerlight.llm.shared import remainder, scratch_table, table, word_count
 
 
 def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,6 +19,15 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminations(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op3_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = remainder(F.col("doc_id"), 10) == 0
+    model = kneser_ney.fit(docs.where(~held_out))
+    return kneser_ney.score(docs.withColumn("held_out", held_out), model).withColumn("train_tokens", F.lit(model.tokens).cast("long")).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op5_curriculum(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     sized = scratch_table(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
@@ -42,5 +51,5 @@ def op10_records(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_simhash, op2_decontamination, op5_curriculum, op7_language, op10_records)
+    f.__name__: f for f in (op1_simhash, op2_decontamination, op3_kneser_ney, op5_curriculum, op7_language, op10_records)
 }
