@@ -58,4 +58,15 @@ SELECT doc_id, size, source_size, target, one + two AS taken,
 FROM k
 """
 
-ORACLES = {"op2_decontamination": OP2, "op5_curriculum": OP5}
+OP6 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS keeper FROM pages),
+h AS (SELECT *, sha1(html) AS digest FROM p)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((CAST('0x' || substr(digest, CAST(i // 4 * 5 + 1 AS INT), 5) AS INT) >> CAST(15 - i % 4 * 5 AS INT)) & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id < keeper THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < keeper THEN keeper END AS refers_to
+FROM h
+"""
+
+ORACLES = {"op2_decontamination": OP2, "op5_curriculum": OP5, "op6_warc": OP6}

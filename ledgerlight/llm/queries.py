@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import curriculum, decontaminate, kneser_ney, language, records, simhash
+from ledgerlight.llm import curriculum, decontaminate, kneser_ney, language, records, simhash, warc
 from ledgerlight.llm.oracles import ORACLES  # noqa: F401
 from ledgerlight.llm.shared import remainder, scratch_table, table, word_count
+from ledgerlight.session import scratch_path
 
 
 def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
@@ -39,6 +40,16 @@ def op5_curriculum(spark: SparkSession, folder: str) -> DataFrame:
     ).orderBy("first_position", "doc_id")
 
 
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archives = scratch_path(spark, "archives")
+    warc.write(table(spark, folder, "pages").select("page_id", "url", "html"), archives)
+    found = warc.read(spark, archives)
+    return found.select(
+        warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        warc.page_of(F.col("refers_to_id")).alias("refers_to"),
+    )
+
+
 def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     model = language.fit(docs.where(~language.fold(docs)))
@@ -51,5 +62,5 @@ def op10_records(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_simhash, op2_decontamination, op3_kneser_ney, op5_curriculum, op7_language, op10_records)
+    f.__name__: f for f in (op1_simhash, op2_decontamination, op3_kneser_ney, op5_curriculum, op6_warc, op7_language, op10_records)
 }
