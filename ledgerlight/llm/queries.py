@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import curriculum, decontaminate, kneser_ney, language, records, simhash, warc
+from ledgerlight.llm import curriculum, decontaminate, kneser_ney, language, records, retrieval, secrets, simhash, warc
 from ledgerlight.llm.oracles import ORACLES  # noqa: F401
 from ledgerlight.llm.shared import remainder, scratch_table, table, word_count
 from ledgerlight.session import scratch_path
@@ -57,10 +57,32 @@ def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_retrieval(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return retrieval.top_products(vectors.where("vec_id % 100 = 0"), vectors)
+
+
+def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan(table(spark, folder, "documents").select("doc_id", "text"))
+
+    def written(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def of(*kinds: str) -> Column:
+        return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+    return found.select(
+        "doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS[:3]],
+        F.sha2(written(of(*secrets.KINDS[:3])).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"),
+    )
+
+
 def op10_records(spark: SparkSession, folder: str) -> DataFrame:
     return records.tokenized(table(spark, folder, "documents").select("doc_id", "text"))
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_simhash, op2_decontamination, op3_kneser_ney, op5_curriculum, op6_warc, op7_language, op10_records)
+    f.__name__: f for f in (
+        op1_simhash, op2_decontamination, op3_kneser_ney, op5_curriculum, op6_warc, op7_language, op8_retrieval, op9_secrets, op10_records,
+    )
 }
