@@ -80,9 +80,9 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, width: int = SHING
 
     wanted = candidates.select("text_key").distinct()
     texts = docs.select(_text_key(F.col("text")).alias("text_key"), "text").join(small(wanted), "text_key", "left_semi")
-    texts = texts.groupBy("text_key").agg(F.first("text").alias("text")).select(
-        "text_key", _shingles(_words(F.col("text")), width).alias("found")
-    )
+    # The words are a column of their own: inside the lambda that joins them they would be made once per shingle.
+    texts = texts.groupBy("text_key").agg(F.first("text").alias("text")).select("text_key", _words(F.col("text")).alias("words"))
+    texts = texts.select("text_key", _shingles(F.col("words"), width).alias("found"))
     pairs = candidates.join(texts, "text_key").join(items.select("item_key", "shingles", "n"), "item_key")
     shared = F.size(F.array_intersect("shingles", "found"))
     return pairs.withColumn("shared", shared).where(F.col("shared") >= _need(F.col("n"), threshold)).select(
