@@ -16,7 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.shared import scratch_table, shared_folder, worker_cache
+from ledgerlight.llm.shared import scratch_table, shared_folder, ship, unship, worker_cache
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -332,7 +332,7 @@ def _write_words(folder: str):
 
 def _count_pairs(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = unship(shared)
         counter = Counter(model.bits)
         for batch in batches:
             for _, hashes, words in token_groups(batch.column("text")):
@@ -431,7 +431,7 @@ def fit(texts: DataFrame) -> Model:
     if not model.words:
         return model
 
-    runs = texts.mapInArrow(_count_pairs(spark.sparkContext.broadcast(model)), "shard int, run binary")
+    runs = texts.mapInArrow(_count_pairs(ship(spark, model)), "shard int, run binary")
     written = scratch_table(runs.groupBy("shard").applyInArrow(
         _write_pairs(folder, model.width), "shard int, hashes string, counts string, seen array<long>, range long, contexts binary, follows binary"
     ), "pairs")
@@ -457,7 +457,7 @@ def fit(texts: DataFrame) -> Model:
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = unship(shared)
         for batch in batches:
             found = [model.score(hashes, words) for _, hashes, words in token_groups(batch.column("text"))]
             names = [n for n in batch.schema.names if n != "text"]
@@ -475,7 +475,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Tokens are the words and one end; a NULL or blank text is the end alone. Workers map the model's
     files and touch the pages they need. Perplexity is 10 ** (-score / n_tokens).
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = ship(docs.sparkSession, model)
     kept = docs.drop("n_tokens", "n_known", "base_score", "score")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name != "text")
     return kept.mapInArrow(_score(shared), f"{fields}, n_tokens long, n_known long, base_score double, score double")

@@ -11,7 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.shared import remainder, scratch_table, worker_cache
+from ledgerlight.llm.shared import remainder, scratch_table, ship, unship, worker_cache
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -159,8 +159,9 @@ def fit(docs: DataFrame, slots: int = SLOTS, hashes: int = HASHES, share: float
 
 def _predict(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filters = unship(model)
         for batch in batches:
-            names, scores = model.value.predict(batch.column("text").to_pylist())
+            names, scores = filters.predict(batch.column("text").to_pylist())
             kept = [batch.column(i) for i in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(scores)], names=[*batch.schema.names, "lang_pred", "score"])
 
@@ -173,7 +174,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     A text that is NULL or has no letter is `und` with score 0; if no n-gram of a text is known, the first
     language gets an equal share as score. The filter is broadcast: its size is a parameter.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = ship(docs.sparkSession, model)
     kept = docs.drop("lang_pred", "score")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
     return kept.mapInArrow(_predict(shared), f"{fields}, lang_pred string, score double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import curriculum, decontaminate, kneser_ney, language, records, retrieval, secrets, simhash, warc
+from ledgerlight.llm import curriculum, decontaminate, kneser_ney, language, records, retrieval, secrets, simhash, toxicity, warc
 from ledgerlight.llm.oracles import ORACLES  # noqa: F401
 from ledgerlight.llm.shared import remainder, scratch_table, table, word_count
 from ledgerlight.session import scratch_path
@@ -29,6 +29,13 @@ def op3_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels")
+    scorer = toxicity.fit(docs, labels.where(remainder(F.col("doc_id"), 3) != 1))
+    found = toxicity.score(docs.withColumn("held_out", remainder(F.col("doc_id"), 3) == 1), scorer)
+    return found.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op5_curriculum(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     sized = scratch_table(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
@@ -83,6 +90,6 @@ def op10_records(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f for f in (
-        op1_simhash, op2_decontamination, op3_kneser_ney, op5_curriculum, op6_warc, op7_language, op8_retrieval, op9_secrets, op10_records,
+        op1_simhash, op2_decontamination, op3_kneser_ney, op4_toxicity, op5_curriculum, op6_warc, op7_language, op8_retrieval, op9_secrets, op10_records,
     )
 }

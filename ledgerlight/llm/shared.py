@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import pickle
 import sys
 import types
 from urllib.parse import unquote, urlparse
@@ -67,6 +68,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def ship(spark: SparkSession, thing):
+    """Broadcast of an object of this package's classes, code included, for workers without the package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+
+
+def unship(sent):
+    return pickle.loads(sent.value)
+
+
 def worker_cache(name: str) -> dict:
     """A dict that lives as long as the Python worker, across its tasks."""
     holder = sys.modules.setdefault("_ledgerlight_worker", types.ModuleType("_ledgerlight_worker"))
