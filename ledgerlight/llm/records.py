@@ -8,6 +8,7 @@ import struct
 import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,35 +66,53 @@ class Pieces(dict):
 
     For tokenizers that drop white space and never join what it separates: the ids of a text are then those
     of its pieces in turn. A piece goes through the tokenizer's normalizer and splitter, and its model's
-    ids are kept per split, or, where it holds one of the added tokens, through the tokenizer as a whole.
+    ids are kept per split; one that holds an added token goes through the tokenizer as a whole. Pieces that differ
+    in letter case or end in punctuation share the work, where the tokenizer itself is seen to treat them alike.
     """
 
     def __init__(self, tokenizer, width: int):
         super().__init__()
-        self.kind = f"<u{width}"
+        self.kind, self.code = f"<u{width}", {2: "H", 4: "I"}[width]
         self.tokenizer, self.splits = tokenizer, {}
         self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.tail = {p for p in b".,;:!?" if self._parts(f"ab{chr(p)}") == ["ab", chr(p)] and self._parts(f"\u00e9{chr(p)}")[1:] == [chr(p)]}
+        lower = "abcdefghijklmnopqrstuvwxyz"
+        self.folds = self._parts(lower.upper()) == [lower] and self._parts(lower) == [lower]
+
+    def _parts(self, text: str) -> list[str]:
+        if self.tokenizer.pre_tokenizer is None:
+            return []
+        if self.tokenizer.normalizer is not None:
+            text = self.tokenizer.normalizer.normalize_str(text)
+        return [part for part, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
     def __missing__(self, piece: bytes) -> bytes:
-        text = piece.decode()
-        if any(a in text for a in self.added) or self.tokenizer.pre_tokenizer is None:
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-        else:
-            if self.tokenizer.normalizer is not None:
-                text = self.tokenizer.normalizer.normalize_str(text)
-            ids = b"".join([self.split(part) for part, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)])
+        ids = self._ids(piece)
         if len(self) >= CACHED:
             self.clear()
         self[piece] = ids
         return ids
 
+    def _ids(self, piece: bytes) -> bytes:
+        if piece[-1] in self.tail and len(piece) > 1 and piece[:-1].decode()[-1].isalpha():
+            return self[piece[:-1]] + self[piece[-1:]]
+        if self.folds and piece.isascii() and piece.isalpha():
+            low = piece.lower()
+            return self._model(piece.decode()) if low == piece else self[low]
+        text = piece.decode()
+        if any(a in text for a in self.added) or self.tokenizer.pre_tokenizer is None:
+            return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.split, self._parts(text)))
+
+    def _model(self, part: str) -> bytes:
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(part)]).tobytes()
+
     def split(self, part: str) -> bytes:
         ids = self.splits.get(part)
         if ids is None:
-            ids = np.array([t.id for t in self.tokenizer.model.tokenize(part)], self.kind).tobytes()
             if len(self.splits) >= CACHED:
                 self.splits.clear()
-            self.splits[part] = ids
+            self.splits[part] = ids = self._model(part)
         return ids
 
     def encode(self, text: str | None) -> bytes:
