@@ -316,10 +316,10 @@ def i16(t: Tables):
 
 @query("i16_seed_stability")
 def i16s(t: Tables):
-    """Label agreement of forests grown from three seeds in one job."""
+    """Label agreement of forests grown from ten seeds of 200 trees in one job."""
     from ledgerlight.plans.iforest import seed_stability
 
-    return seed_stability(plain_rows(t), PLAIN, "trade_id", 3, 50)
+    return seed_stability(plain_rows(t), PLAIN, "trade_id")
 
 
 @query("i17_flagged_by_day", """

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Rows of one key that a task should get at most, slots that keys are hashed to, and parts of rows without a key.
 HOT_ROWS = 1_000_000
-HOT_KEYS = 100_000
+SLOTS = 1 << 16
 SPREAD = 4096
 
 
@@ -31,37 +32,32 @@ def spread_join(
 ) -> DataFrame:
     """Left join to `lookup` (unique on `keys`), where `weight` counts the left rows of each key.
 
-    A key with more than `hot_rows` rows would put them all into one task. The lookup rows of such
-    keys, at most the `HOT_KEYS` heaviest, are broadcast, and the left rows of hot and of NULL keys
-    get a spread value instead of meeting in one partition. Every other row, however heavy its key,
-    joins by key. One pass over `left`; no row is dropped or repeated.
+    Keys are hashed to SLOTS slots. A slot whose heaviest key has more than `hot_rows` rows is cut
+    into as many parts as that takes: the left rows of all its keys are dealt to the parts by a hash of
+    the row, and the lookup rows go to every part. However many keys are hot, what is broadcast is one
+    pair of numbers per slot. Rows with a NULL key match nothing and are dealt out likewise. One pass
+    over `left`; no row is dropped or repeated.
     """
     values = [c for c in lookup.columns if c not in keys and c != weight]
-    # Stated here because the optimizer cannot push the same filters through the limit below.
+    most = HOT_ROWS if hot_rows is None else hot_rows
     lookup = known(lookup, keys)
-    hot = (
-        lookup.where(F.col(weight) > (HOT_ROWS if hot_rows is None else hot_rows))
-        .orderBy(F.desc(weight), *keys).limit(HOT_KEYS)
-        .select(*keys, F.struct(*values).alias("_hot"))
+    # Equal keys have to get equal hashes on both sides, whatever their integer widths.
+    slot = F.pmod(F.xxhash64(*[F.col(k).cast(left.schema[k].dataType) for k in keys]), F.lit(SLOTS)).cast("int")
+    parts = lookup.groupBy(slot.alias("_slot")).agg(F.max(weight).alias("_most")).where(F.col("_most") > most).select(
+        "_slot", F.ceil(F.col("_most") / F.lit(max(1, most))).alias("_parts")
     )
-    # The weight is read on this side too, so that both sides share one plan and one shuffle.
-    cold = lookup.where(F.col(weight) > 0).select(
-        *keys, F.struct(*values).alias("_cold"), F.lit(0).cast("long").alias("_spread")
+    cut = lookup.withColumn("_slot", slot).join(F.broadcast(parts), "_slot", "left").select(
+        *keys, F.struct(*values).alias("_found"), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1)).alias("_part")
     )
-
     no_key = F.lit(False)
     for key in keys:
         no_key = no_key | F.col(key).isNull()
-    scatter = F.pmod(_row_hash(left), F.lit(SPREAD)) + 1
-    spread = F.when(no_key | F.col("_hot").isNotNull(), scatter).otherwise(F.lit(0)).cast("long")
-
+    part = F.pmod(_row_hash(left), F.when(no_key, F.lit(SPREAD)).otherwise(F.coalesce("_parts", F.lit(1))))
     joined = (
-        left.join(F.broadcast(hot), keys, "left")
-        .withColumn("_spread", spread)
-        .join(cold, [*keys, "_spread"], "left")
+        left.withColumn("_slot", slot).join(F.broadcast(parts), "_slot", "left")
+        .withColumn("_part", part).join(cut, [*keys, "_part"], "left")
     )
-    picked = F.coalesce("_hot", "_cold")
-    return joined.select(*[F.col(f"`{c}`") for c in left.columns], *[picked[v].alias(v) for v in values])
+    return joined.select(*[F.col(f"`{c}`") for c in left.columns], *[F.col("_found")[v].alias(v) for v in values])
 
 
 def enrich(left: DataFrame, values: DataFrame, keys: list[str], source: DataFrame | None = None) -> DataFrame:

@@ -23,7 +23,6 @@ TREES = 200
 SUBSAMPLE = 256
 SEED = 42
 EULER = 0.5772156649
-POOL_FACTOR = 4
 
 # Executors get this module's functions with the job, installed there or not.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -70,16 +69,14 @@ def draw_samples(
 ) -> DataFrame:
     """(tree_id, draw, features): `subsample` rows without repetition for every tree.
 
-    A pool of a few hundred thousand rows is cut out of the data by one hash threshold, then each
-    tree takes the rows of the pool with the smallest hash of (key, tree). Every tree's rows are a
-    uniform sample of the whole table, whatever its size, and nothing is sorted but the pool.
+    Every row is a candidate for a tree with twice the chance that it is drawn, by a hash of its key, and each
+    tree takes its candidates with the smallest hash of (key, tree). The rule is the same at every size:
+    a tree's rows are a uniform sample of the whole table, seeds draw independently, and each tree
+    sorts about twice its subsample.
     """
     seeds = [SEED] if seeds is None else seeds
-    pool_size = POOL_FACTOR * trees * subsample
     pool = df.select(F.col(key).cast("string").alias("_key"), *[F.col(f).cast("double").alias(f) for f in features])
-    if n_rows > pool_size:
-        pool = pool.where(_unit(F.col("_key"), F.lit(seeds[0])) < pool_size / n_rows)
-    chance = min(1.0, 2.0 * subsample / min(n_rows, pool_size))
+    chance = min(1.0, 2.0 * subsample / max(1, n_rows))
     chosen = F.flatten(F.array(*[_chosen_trees(F.col("_key"), s, trees, chance) for s in seeds]))
     pairs = pool.select("_key", *features, F.explode(chosen).alias("tree_id")).withColumn(
         "draw", F.shiftrightunsigned(F.xxhash64("_key", "tree_id", F.lit("draw")), 11)

@@ -1,59 +1,114 @@
 """Sinks: full reload, append, upsert and insert-ignore on Parquet tables.
 
-A table is a folder of numbered versions. A writer always writes a new version and never touches
-an old one, so a reader sees a complete table and a lost executor or a failed job leaves the
-current version as it was.
+A write puts its rows into a new folder and then adds one line to the table's log: the version and
+all folders that make it up. Nothing that a version names is ever changed, so a reader keeps the
+version it began with, and what a failed or repeated attempt left behind is in no version.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import uuid
 
-from ledgerlight.operators.merge import insert_ignore, upsert_rows
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
+
+from ledgerlight.operators.merge import insert_ignore, keep_first, upsert_rows
+
+LOG = "version long, attempt string, columns string, keys array<string>, folders array<string>"
+BUCKETS = 64
+
+
+class ConcurrentWrite(RuntimeError):
+    """Another writer committed the same version first."""
 
 
 class VersionedTable:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _versions(self) -> list[int]:
-        """Numbers of the complete versions."""
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        found = [n for n in names if n.startswith("v=")]
-        done = [n for n in found if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
-        return sorted(int(n[2:]) for n in done)
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+
+    def _current(self) -> Row | None:
+        """The newest version; of two writers of one version the smaller attempt name wins."""
+        try:
+            log = self.spark.read.schema(LOG).json(f"{self.path}/log")
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
+        return log.orderBy(F.desc("version"), "attempt").first()
 
     def exists(self) -> bool:
-        return bool(self._versions())
+        return self._current() is not None
 
-    def _folder(self, version: int) -> str:
-        return f"{self.path}/v={version:08d}"
+    def _rows(self, columns: str, folders: list[str]) -> DataFrame:
+        schema = StructType.fromJson(json.loads(columns))
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{f}" for f in folders])
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self._folder(self._versions()[-1]))
-
-    def replace(self, df: DataFrame, partition_by: list[str] | None = None) -> None:
+        current = self._current()
+        if current is None:
+            raise FileNotFoundError(self.path)
+        return self._rows(current["columns"], current["folders"])
+
+    def _bucket(self, keys: list[str]) -> Column:
+        return F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys]), F.lit(self.buckets)).cast("int")
+
+    def _write(self, df: DataFrame, keys: list[str]) -> list[str]:
+        """The rows in a folder of their own; with `keys`, one folder per bucket of keys."""
+        folder = f"data/{uuid.uuid4().hex}"
+        if not keys:
+            df.write.parquet(f"{self.path}/{folder}")
+            return [folder]
+        df.withColumn("_bucket", self._bucket(keys)).write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
+        written = self.spark.read.schema(StructType([*df.schema.fields]).add("_bucket", IntegerType())).parquet(f"{self.path}/{folder}")
+        return [f"{folder}/_bucket={r['_bucket']}" for r in written.select("_bucket").distinct().collect()]
+
+    def _commit(self, before: Row | None, schema: StructType, keys: list[str], folders: list[str]) -> None:
+        version, attempt = (before["version"] + 1 if before else 1), uuid.uuid4().hex
+        line = [(version, attempt, json.dumps(schema.jsonValue()), keys, folders)]
+        self.spark.createDataFrame(line, LOG).coalesce(1).write.mode("append").json(f"{self.path}/log")
+        winner = self.spark.read.schema(LOG).json(f"{self.path}/log").where(F.col("version") == version).agg(F.min("attempt")).first()[0]
+        if winner != attempt:
+            raise ConcurrentWrite(f"{self.path} version {version}")
+
+    def replace(self, df: DataFrame) -> None:
         """Truncate and reload."""
-        versions = self._versions()
-        writer = df.write.mode("errorifexists")
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(self._folder(versions[-1] + 1 if versions else 1))
+        before = self._current()
+        self._commit(before, df.schema, [], self._write(df, []))
 
     def append(self, df: DataFrame) -> None:
-        """Add rows to the current version (atomic per job commit)."""
-        if self.exists():
-            df.write.mode("append").parquet(self._folder(self._versions()[-1]))
-        else:
-            self.replace(df)
-
-    def upsert(self, updates: DataFrame, keys: list[str]) -> None:
-        self.replace(upsert_rows(self.read(), updates, keys) if self.exists() else updates)
+        """A version with more rows; columns that either side lacks are NULL."""
+        before = self._current()
+        if before is None:
+            return self.replace(df)
+        schema = StructType.fromJson(json.loads(before["columns"]))
+        added = [f for f in df.schema.fields if f.name not in schema.fieldNames()]
+        same = df.select(*[F.col(f.name).cast(schema[f.name].dataType if f.name in schema.fieldNames() else f.dataType) for f in df.schema.fields])
+        folders = self._write(same, before["keys"])
+        self._commit(before, StructType(schema.fields + added), before["keys"], before["folders"] + folders)
+
+    def upsert(self, updates: DataFrame, keys: list[str], order: list[Column] | None = None) -> None:
+        """Rows of `updates` replace or extend the table by key; NULL keys match nothing.
+
+        Of several updates of a key the first in `order` counts, by default that with the largest
+        values. The first upsert deals the table into buckets of keys; later ones rewrite those buckets
+        only that have updates.
+        """
+        before = self._current()
+        updates = keep_first(updates, keys, order or [F.desc(c) for c in updates.columns if c not in keys] or [F.lit(1)])
+        if before is None:
+            return self._commit(None, updates.schema, keys, self._write(updates, keys))
+        touched, kept = before["folders"], []
+        if before["keys"] == keys:
+            hit = {f"_bucket={r['b']}" for r in updates.select(self._bucket(keys).alias("b")).distinct().collect()}
+            touched = [f for f in before["folders"] if f.rsplit("/", 1)[1] in hit]
+            kept = [f for f in before["folders"] if f.rsplit("/", 1)[1] not in hit]
+        merged = upsert_rows(self._rows(before["columns"], touched), updates, keys)
+        self._commit(before, merged.schema, keys, kept + self._write(merged, keys))
 
     def insert_ignore(self, rows: DataFrame, keys: list[str]) -> None:
         self.append(insert_ignore(self.read(), rows, keys) if self.exists() else rows.dropDuplicates(keys))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -51,40 +55,40 @@ def normalize_columns(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame
 
 
 def read_by_header(
-    spark: SparkSession, path: str, columns: dict[str, list[str]], header_words: list[str], width: int = 24,
-    contains: list[str] | None = None,
+    spark: SparkSession, path: str, columns: dict[str, list[str]], header_words: list[str],
+    contains: list[str] | None = None, multi_line: bool = False,
 ) -> DataFrame:
     """CSV files whose headers differ from file to file (order, letter case, spelling), all as text.
 
-    The header of each file is the line holding all `header_words`; one row per file is joined back.
-    Columns listed in `contains` match any header cell that contains the spelling. Adds `file_path`.
+    A file's first line is its header; files whose header lacks one of `header_words` are left out. The
+    driver sees one line per file, and files with equal headers are read together, all their columns by
+    position. Columns listed in `contains` match any header cell that contains the spelling. With
+    `multi_line`, quoted cells may hold line breaks (a file is then one split). Adds `file_path`.
     """
-    cells = F.from_csv("value", ", ".join(f"c{i} string" for i in range(width)))
     lines = spark.read.text(path).select(
-        F.col("value"), F.col("_metadata.file_path").alias("file_path"), cells.alias("c")
-    ).withColumn("cells", F.array(*[F.col(f"c.c{i}") for i in range(width)]))
-    low = F.lower("value")
-    is_header = F.lit(True)
-    for word in header_words:
-        is_header = is_header & low.contains(word)
-
-    def place(name: str, spellings: list[str]) -> Column:
-        def fits(cell: Column) -> Column:
-            clean = F.lower(F.trim(cell))
-            hit = clean.isin(spellings)
-            for s in spellings if name in (contains or []) else []:
-                hit = hit | clean.contains(s)
-            return F.coalesce(hit, F.lit(False))
-
-        return F.array_position(F.transform("cells", fits), F.lit(True)).cast("int").alias(f"at_{name}")
-
-    headers = lines.where(is_header).groupBy("file_path").agg(F.min("cells").alias("cells")).select(
-        "file_path", *[place(n, s) for n, s in columns.items()]
-    )
-    body = lines.where(~is_header & (F.trim("value") != "")).select("file_path", "cells").join(headers, "file_path")
-    return body.select(
-        *[F.when(F.col(f"at_{n}") > 0, F.try_element_at("cells", f"at_{n}")).alias(n) for n in columns], "file_path"
-    )
+        "value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"),
+    ).where((F.col("start") == 0) & (F.trim("value") != ""))
+    files: dict[str, list[str]] = {}
+    for row in lines.groupBy("file_path").agg(F.min_by("value", "at").alias("header")).collect():
+        files.setdefault(row["header"].lstrip("\ufeff"), []).append(unquote(row["file_path"]))
+
+    def place(cells: list[str], name: str, spellings: list[str]) -> Column:
+        loose = name in (contains or [])
+        at = [i for i, c in enumerate(cells) if c in spellings or loose and any(s in c for s in spellings)]
+        return (F.col(f"c{at[0]}") if at else F.lit(None).cast("string")).alias(name)
+
+    tables = []
+    for header, paths in sorted(files.items()):
+        if not all(w in header.lower() for w in header_words):
+            continue
+        cells = [c.strip().lower() for c in next(csv.reader([header]))]
+        schema = ", ".join(f"c{i} string" for i in range(len(cells)))
+        body = spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", multi_line).csv(sorted(paths))
+        tables.append(body.select(*[place(cells, n, s) for n, s in columns.items()], F.col("_metadata.file_path").alias("file_path")))
+    if not tables:
+        return spark.createDataFrame([], ", ".join(f"{n} string" for n in [*columns, "file_path"]))
+    return reduce(DataFrame.unionByName, tables)
 
 
 def read_prices(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,7 +96,7 @@ def read_prices(spark: SparkSession, folder: str) -> DataFrame:
 
     The ticker is the file name, or the folder name `ticker=...` where Spark wrote several files.
     """
-    raw = read_by_header(spark, folder, PRICE_COLUMNS, ["date", "close"], 12, contains=["price_date"])
+    raw = read_by_header(spark, folder, PRICE_COLUMNS, ["date", "close"], contains=["price_date"])
     money = {c: F.col(c).try_cast("decimal(12,4)") for c in ("open_price", "high", "low", "close")}
     folder_name = X.blank_to_null(F.regexp_extract("file_path", r"ticker=([^/]+)/[^/]*$", 1))
     file_name = F.regexp_extract("file_path", r"([^/]+)\.csv$", 1)
@@ -108,7 +112,7 @@ def read_holdings(spark: SparkSession, folder: str) -> DataFrame:
 
     The fund key comes from the accession number where a file has no key column.
     """
-    raw = read_by_header(spark, folder, HOLDING_COLUMNS, ["cusip", "sh"])
+    raw = read_by_header(spark, folder, HOLDING_COLUMNS, ["cusip", "sh"], multi_line=True)
     name = r"(\d{4})q(\d)_holdings"
     year, quarter = (F.regexp_extract("file_path", name, i).cast("int") for i in (1, 2))
     cik = F.coalesce(X.clean_cik("cik"), X.cik_of_accession("accession_number"))

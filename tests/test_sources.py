@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlight.sources import disclosures as P
@@ -98,3 +99,37 @@ def test_full_rescore_clears_reports(spark, tmp_path):
     assert scores.read().count() == 2 and reports.read().count() == 1
     K.write_scores(scores, rows_, rescore_all=True, reports=reports)
     assert scores.read().count() == 1 and reports.read().count() == 0
+
+
+def test_failed_write_append_and_bucketed_upsert(spark, tmp_path):
+    table = K.VersionedTable(spark, str(tmp_path / "t"), buckets=4)
+    table.replace(spark.createDataFrame([(i, "a") for i in range(20)], "k int, v string"))
+    bad = spark.createDataFrame([(1, "x")], "k int, v string").withColumn("v", F.raise_error(F.lit("lost")).cast("string"))
+    for attempt in (table.replace, table.append, lambda df: table.upsert(df, ["k"])):
+        with pytest.raises(Exception, match="lost"):
+            attempt(bad)
+        assert table.read().count() == 20
+    reader = table.read()
+    table.append(spark.createDataFrame([(20, "b", 1.5)], "k int, v string, w double"))
+    assert reader.count() == 20 and rows(table.read().where("k >= 19")) == [(19, "a", None), (20, "b", 1.5)]
+    table.upsert(spark.createDataFrame([(3, "old"), (3, "up"), (99, "new")], "k int, v string"), ["k"])
+    before = set(table._current()["folders"])
+    table.upsert(spark.createDataFrame([(3, "again")], "k int, v string"), ["k"])
+    assert len(set(table._current()["folders"]) - before) == 1
+    assert rows(table.read().where("k in (3, 99)").select("k", "v")) == [(3, "again"), (99, "new")] and table.read().count() == 22
+    table.append(spark.createDataFrame([(100, "more")], "k int, v string"))
+    table.upsert(spark.createDataFrame([(100, "most")], "k int, v string"), ["k"])
+    assert rows(table.read().where("k = 100").select("v")) == [("most",)]
+
+
+def test_headers_are_first_lines(spark, tmp_path):
+    (tmp_path / "h").mkdir()
+    (tmp_path / "h" / "2024q1_holdings.csv").write_text('CUSIP,nameOfIssuer,sshPrnamt,sshPrnamtType,cik\nC1,"Cusip Shell, Inc",5,SH,1\nC2,"two\nlines",6,SH,1\n')
+    (tmp_path / "h" / "2024q2_holdings.csv").write_text("sshPrnamt,cusip,nameOfIssuer,sshPrnamtType,cik\n7,C3,x,SH,2\n")
+    (tmp_path / "h" / "notes.csv").write_text("nothing,here\n1,2\n")
+    held = R.read_holdings(spark, str(tmp_path / "h"))
+    assert rows(held.select("cusip", "issuer_name", "shares", "quarter")) == [("C1", "Cusip Shell, Inc", "5", 1), ("C2", "two\nlines", "6", 1), ("C3", "x", "7", 2)]
+    (tmp_path / "p").mkdir()
+    wide = ",".join(f"x{i}" for i in range(29))
+    (tmp_path / "p" / "AA.csv").write_text(f"Date,{wide},Close,{wide.replace('x', 'y')}\n2024-01-02,{wide},12.5,{wide}\n")
+    assert [float(r["close"]) for r in R.read_prices(spark, str(tmp_path / "p")).collect()] == [12.5]
