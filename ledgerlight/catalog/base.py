@@ -165,12 +165,13 @@ class Tables:
 
     @cached_property
     def reports(self) -> DataFrame:
-        """Evidence reports on the flagged trades of two line numbers, some with gaps."""
+        """Evidence reports on all flagged trades, some with gaps; those of two line numbers name their trade."""
         flagged = self.scored.where(F.col("severity_quadrant").isin("SEVERE", "SYSTEMIC"))
         number = F.split("trade_id", "-").getItem(1).cast("int")
         lag = F.col("disclosure_lag_days")
-        return flagged.where(number <= 2).select(
-            F.concat(F.lit("r"), F.col("trade_id")).alias("id"), "trade_id", "severity_quadrant",
+        # Reports on other lines don't name their trade.
+        return flagged.select(
+            F.concat(F.lit("r"), F.col("trade_id")).alias("id"), F.when(number <= 2, F.col("trade_id")).alias("trade_id"), "severity_quadrant",
             F.when(lag != 7, F.concat(F.lit("Trade in "), F.col("ticker"), F.repeat(F.lit(" flagged"), lag % 20))).alias("headline"),
             F.when(lag % 10 != 3, F.concat(F.lit("Narrative "), F.col("trade_id"))).alias("narrative"),
             F.when(lag % 11 == 0, None).when(lag % 11 == 1, F.lit("{}"))
@@ -288,7 +289,7 @@ bills AS (
     CASE WHEN o_orderstatus <> 'P' THEN 'https://b/' || o_orderkey END AS url
   FROM orders JOIN customer ON o_custkey = c_custkey),
 reports AS (
-  SELECT 'r' || trade_id AS id, trade_id, severity_quadrant,
+  SELECT 'r' || trade_id AS id, CASE WHEN line_number <= 2 THEN t.trade_id END AS trade_id, severity_quadrant,
     CASE WHEN disclosure_lag_days <> 7 THEN 'Trade in ' || ticker || repeat(' flagged', disclosure_lag_days % 20) END AS headline,
     CASE WHEN disclosure_lag_days % 10 <> 3 THEN 'Narrative ' || trade_id END AS narrative,
     CASE WHEN disclosure_lag_days % 11 = 0 THEN NULL WHEN disclosure_lag_days % 11 = 1 THEN '{}'
@@ -300,7 +301,7 @@ reports AS (
     CASE disclosure_lag_days % 3 WHEN 0 THEN '["x", "y"]' WHEN 1 THEN '[]' END AS citation_image_prompts,
     CASE WHEN disclosure_lag_days % 2 = 0 THEN 'fallback' ELSE 'm1' END AS model,
     disclosure_lag_days + 100 AS prompt_tokens, disclosure_lag_days + 10 AS output_tokens
-  FROM flagged WHERE line_number <= 2),
+  FROM flagged t),
 media AS (
   SELECT event_id AS id, user_id AS trade_id,
     CASE WHEN event_type IN ('view', 'click') THEN 'citation_image' WHEN event_type = 'purchase' THEN 'video' ELSE 'audio' END AS asset_type,

@@ -29,12 +29,12 @@ def j01(t: Tables):
 
 @query("j02_person_dossiers", """
 , latest AS (SELECT politician_id, string_agg(trade_id, ',' ORDER BY trade_date DESC, trade_id DESC) AS trades, count(r_id) AS n_reports FROM
-  (SELECT s.politician_id, s.trade_id, s.trade_date, r.id AS r_id FROM scored s LEFT JOIN reports r USING (trade_id) QUALIFY row_number() OVER (PARTITION BY s.politician_id ORDER BY s.trade_date DESC, s.trade_id) <= 5) GROUP BY 1)
+  (SELECT s.politician_id, s.trade_id, s.trade_date, r.id AS r_id FROM scored s LEFT JOIN reports r USING (trade_id) QUALIFY row_number() OVER (PARTITION BY s.politician_id ORDER BY s.trade_date DESC, s.trade_id) <= 50) GROUP BY 1)
 SELECT p.id, p.full_name, count(*) AS total_trades, count(*) FILTER (severity_quadrant = 'SEVERE') AS severe_count, round(avg(cohort_index), 2) AS avg_cohort, any_value(l.trades) AS trades, any_value(l.n_reports) AS n_reports
 FROM politicians p JOIN scored s ON s.politician_id = p.id JOIN latest l ON l.politician_id = p.id GROUP BY 1, 2
 """)
 def j02(t: Tables):
-    out = P.person_dossiers(t.politicians, t.trades, t.scores, t.reports, 5)
+    out = P.person_dossiers(t.politicians, t.trades, t.scores, t.reports)
     ids = F.array_join(F.transform("trades", lambda x: x["trade_id"]), ",")
     told = F.size(F.filter("trades", lambda x: x["audit_report_id"].isNotNull())).cast("long")
     return out.select("id", "full_name", "total_trades", "severe_count", "avg_cohort", ids.alias("trades"), told.alias("n_reports"))
@@ -76,7 +76,7 @@ SELECT r.trade_id, coalesce(headline, 'Automated audit report') AS headline, coa
   CASE r.severity_quadrant WHEN 'SEVERE' THEN 'very_high' ELSE 'high' END AS risk_level FROM reports r JOIN trades USING (trade_id)
 """)
 def j04d(t: Tables):
-    return P.fill_report_defaults(t.reports.withColumn("risk_level", F.lit(None).cast("string")), t.scored).select(
+    return P.fill_report_defaults(t.reports.where(F.col("trade_id").isNotNull()).withColumn("risk_level", F.lit(None).cast("string")), t.scored).select(
         "trade_id", "headline", "narrative", "disclaimer", "evidence_json", "narration_script", "risk_level")
 
 
@@ -106,7 +106,7 @@ def j05q(t: Tables):
 
 
 @query("j06_report_queue", """
-SELECT trade_id, severity_quadrant FROM flagged WHERE trade_date >= '1997-01-01' AND trade_id NOT IN (SELECT trade_id FROM reports)
+SELECT trade_id, severity_quadrant FROM flagged WHERE trade_date >= '1997-01-01' AND trade_id NOT IN (SELECT trade_id FROM reports WHERE trade_id IS NOT NULL)
 ORDER BY CASE severity_quadrant WHEN 'SEVERE' THEN 1 ELSE 2 END, greatest(cohort_index, baseline_index) DESC, trade_id LIMIT 100
 """)
 def j06(t: Tables):

@@ -117,7 +117,7 @@ SELECT 'senate-119-1-' || o_orderkey AS vote_id, 'S' || k AS lis_member_id, CASE
 """)
 def a08p(t: Tables):
     key = F.col("c_custkey")
-    lis = t.customer.where(key % 2 == 0).select(F.concat(F.lit("S"), key).alias("lis_member_id"), F.concat(F.lit("B"), key).alias("bioguide_id"))
+    lis = t.customer.select(F.when(key % 2 == 0, F.concat(F.lit("S"), key)).alias("lis_member_id"), F.concat(F.lit("B"), key).alias("bioguide_id"))
     votes = D.read_roll_calls(t.spark, _roll_calls(t))
     return D.roll_call_positions(votes, lis).select("vote_id", "lis_member_id", "politician_id", "position")
 
@@ -242,7 +242,7 @@ SELECT CASE l_suppkey WHEN 7 THEN 'seven' END AS fund_name, l_suppkey::VARCHAR A
 def a19(t: Tables):
     from ledgerlight.catalog.models import holdings
 
-    mapping = t.part.where("p_size > 20").select(F.concat(F.lit("C"), F.col("p_partkey")).alias("cusip"), letters(F.col("p_partkey")).alias("ticker"))
+    mapping = t.part.select(F.when(F.col("p_size") > 20, F.concat(F.lit("C"), F.col("p_partkey"))).alias("cusip"), letters(F.col("p_partkey")).alias("ticker"))
     rows = holdings(t).withColumns({"value_x1000": F.lit("x"), "year": F.lit(2024), "quarter": F.lit(1)})
     return R.holdings_table(rows, mapping, {"7": "seven"}).select("fund_name", "fund_cik", "cusip", "ticker", "shares")
 
@@ -276,3 +276,20 @@ def a21(t: Tables):
         F.col("c_name").alias("contributor_name"), F.when(key % 2 == 0, "Big Bank").otherwise("Oil & Gas").alias("contributor_employer"), F.lit("c").alias("committee_name"),
         key.alias("candidate_id"), F.col("c_acctbal").alias("amount"), F.lit(None).cast("date").alias("receipt_date"), F.lit("TX").alias("state"))
     return candidates.join(R.load_contributions(paid).select("candidate_id", "sector_tag"), "candidate_id")
+
+
+@query("a21_candidate_totals", """
+SELECT 'H' || c_custkey AS candidate_id, c_acctbal AS total_receipts, c_acctbal * 2 AS total_disbursements, 1.0::DOUBLE AS cash_on_hand, 2.0::DOUBLE AS total_individual_contributions, 3.0::DOUBLE AS total_pac_contributions, 2024 AS election_year FROM customer
+""")
+def a21t(t: Tables):
+    """API totals flattened, then brought to the table's columns."""
+    answer = t.customer.select(
+        F.concat(F.lit("H"), "c_custkey").alias("candidate_id"), F.col("c_name").alias("name"), F.lit("DEM").alias("party_full"), F.col("c_acctbal").alias("receipts"),
+        (F.col("c_acctbal") * 2).alias("disbursements"), F.lit(1.0).alias("cash_on_hand_end_period"), F.lit(2.0).alias("individual_contributions"),
+        F.lit(3.0).alias("other_political_committee_contributions"))
+    return R.load_candidate_totals(D.flatten_totals(answer))
+
+
+@query("a21_cusip_map", "SELECT 'C' || p_size AS cusip, min(p_brand) AS ticker FROM part GROUP BY 1")
+def a21c(t: Tables):
+    return R.load_cusip_map(t.part.select(F.col("p_partkey").alias("id"), F.concat(F.lit("C"), "p_size").alias("cusip"), F.col("p_brand").alias("ticker")))

@@ -48,12 +48,12 @@ SELECT DISTINCT ticker FROM trades WHERE ticker NOT IN (
   SELECT translate(CAST(p_partkey AS VARCHAR), '0123456789', 'ABCDEFGHIJ') FROM part WHERE p_size > 25)
 """)
 def c04(t: Tables):
-    priced = t.part.where("p_size > 25").select(letters(F.col("p_partkey")).alias("ticker"))
+    priced = t.part.select(F.when(F.col("p_size") > 25, letters(F.col("p_partkey"))).alias("ticker"))
     return M.missing_keys(t.trades, priced, "ticker")
 
 
 @query("c05_flagged_without_report", """
-SELECT trade_id, severity_quadrant FROM flagged WHERE trade_id NOT IN (SELECT trade_id FROM reports)
+SELECT trade_id, severity_quadrant FROM flagged WHERE trade_id NOT IN (SELECT trade_id FROM reports WHERE trade_id IS NOT NULL)
 """)
 def c05(t: Tables):
     return I.unreported(t.scored, t.reports).select("trade_id", "severity_quadrant")
@@ -79,8 +79,8 @@ SELECT count(*) FILTER (politician_id NOT IN (SELECT c_custkey FROM customer WHE
   count(*) FILTER (politician_id NOT IN (SELECT politician_id FROM memberships WHERE role = 'member')) AS no_seats FROM trades
 """)
 def c07(t: Tables):
-    voters = t.customer.where("c_acctbal > 5000").select(F.col("c_custkey").alias("politician_id"))
-    members = t.memberships.where("role = 'member'")
+    voters = t.customer.select(F.when(F.col("c_acctbal") > 5000, F.col("c_custkey")).alias("politician_id"))
+    members = t.memberships.withColumn("politician_id", F.when(F.col("role") == "member", F.col("politician_id")))
     return Q.uncovered_counts(t.trades, "politician_id", {"no_votes": voters, "no_seats": members})
 
 
@@ -160,13 +160,13 @@ def c12(t: Tables):
 @query("c13_nearest_event", """
 , p AS (SELECT event_id, user_id, CAST(ts AS DATE) AS d FROM events WHERE event_type = 'purchase'),
 c AS (SELECT user_id, CAST(ts AS DATE) AS d FROM events WHERE event_type = 'click')
-SELECT event_id, CAST((SELECT min(abs(c.d - p.d)) FROM c WHERE c.user_id = p.user_id AND abs(c.d - p.d) <= 3) AS INT) AS gap_days FROM p
+SELECT event_id, CAST((SELECT min(abs(c.d - p.d)) FROM c WHERE c.user_id = p.user_id AND abs(c.d - p.d) <= 90) AS INT) AS gap_days FROM p
 """)
 def c13(t: Tables):
     rows = t.events.select("event_id", "user_id", "event_type", F.to_date("ts").alias("day"))
     left = rows.where("event_type = 'purchase'").select("event_id", "user_id", "day")
     votes = rows.where("event_type = 'click'")
-    return T.nearest_event(left, votes, "user_id", "day", 3).select("event_id", "gap_days")
+    return T.nearest_event(left, votes, "user_id", "day").select("event_id", "gap_days")
 
 
 @query("c14_nearest_sector_event", """
@@ -249,14 +249,14 @@ def c18(t: Tables):
 near AS (SELECT k.ticker, k.d, count(*) AS n, min(p.price_date) AS first_day, max(p.close) AS top FROM keys k
   JOIN prices p ON p.ticker = k.ticker AND p.price_date BETWEEN k.d - 30 AND k.d + 30 GROUP BY 1, 2),
 firsts AS (SELECT ticker, count(*) AS n, min(price_date) AS first_day, max(close) AS top FROM
-  (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY price_date) AS rn FROM prices) WHERE rn <= 20 GROUP BY 1)
+  (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY price_date) AS rn FROM prices) WHERE rn <= 200 GROUP BY 1)
 SELECT t.trade_id, CAST(coalesce(near.n, firsts.n) AS INT) AS n_closes, coalesce(near.first_day, firsts.first_day) AS first_day,
   coalesce(near.top, firsts.top) AS top_close
 FROM trades t LEFT JOIN near ON near.ticker = t.ticker AND near.d = t.trade_date + 400 LEFT JOIN firsts ON firsts.ticker = t.ticker
 """)
 def c19(t: Tables):
     left = t.trades.select("trade_id", "ticker", F.date_add("trade_date", 400).alias("trade_date"))
-    out = T.price_window(left, t.prices, 30, 20)
+    out = T.price_window(left, t.prices)
     return out.select(
         "trade_id", F.size("closes").alias("n_closes"), F.col("closes")[0]["price_date"].alias("first_day"),
         F.array_max(F.transform("closes", lambda c: c["close"])).alias("top_close"),
@@ -268,7 +268,7 @@ SELECT t.trade_id, p.p_brand AS sector FROM trades t LEFT JOIN part p
 ON t.ticker = translate(CAST(p_partkey AS VARCHAR), '0123456789', 'ABCDEFGHIJ') AND p_size <= 40
 """)
 def c20(t: Tables):
-    mapping = t.part.where("p_size <= 40").select(letters(F.col("p_partkey")).alias("ticker"), "p_brand")
+    mapping = t.part.select(F.when(F.col("p_size") <= 40, letters(F.col("p_partkey"))).alias("ticker"), "p_brand")
     return E.map_column(t.trades.select("trade_id", "ticker"), mapping, "ticker", "p_brand", "sector").drop("ticker")
 
 
@@ -405,3 +405,31 @@ def c30(t: Tables):
     return report_review(t.trades, t.scores, t.politicians, t.reports).select(
         "trade_id", "headline", "ticker", "trade_type", "amount_midpoint", "full_name", "cohort_index", "baseline_index"
     )
+
+
+@query("c20_vote_positions", """
+SELECT user_id AS politician_id, event_id % 1000 AS vote_id, min(CASE event_type WHEN 'view' THEN 'Yes' WHEN 'click' THEN 'No' WHEN 'purchase' THEN 'Present' ELSE 'Not Voting' END) AS position
+FROM events JOIN customer ON c_custkey = user_id JOIN (SELECT DISTINCT o_orderkey FROM orders) ON o_orderkey = event_id % 1000 GROUP BY 1, 2
+""")
+def c20p(t: Tables):
+    """Positions of two sources; people and votes are found by their natural keys, unknown ones dropped."""
+    kind = F.col("event_type")
+    word = F.when(kind == "view", "yes").when(kind == "click", "no").when(kind == "purchase", "abstain").otherwise("?")
+    raw = t.events.select(
+        F.concat(F.lit("B"), "user_id").alias("politician_id"), F.concat(F.lit("V"), F.col("event_id") % 1000).alias("vote_id"), word.alias("position"), kind.alias("kind"))
+    people = t.customer.select(F.concat(F.lit("B"), "c_custkey").alias("bioguide_id"), F.col("c_custkey").alias("id"))
+    votes = t.orders.select(F.concat(F.lit("V"), "o_orderkey").alias("roll_call_id"), F.col("o_orderkey").alias("id")).distinct()
+    return E.resolve_positions([raw.where("kind = 'view'"), raw.where("kind <> 'view'")], people, votes)
+
+
+@query("c23_memberships", """
+SELECT politician_id, committee_id, min(role) AS role FROM memberships GROUP BY 1, 2
+""")
+def c23m(t: Tables):
+    """Seats by natural keys: committee codes differ in letter case and lack their number."""
+    code = letters(F.col("committee_id"))
+    people = t.supplier.select(F.col("s_name").alias("bioguide_id"), F.col("s_suppkey").alias("id"))
+    raw = t.memberships.join(people.withColumnRenamed("id", "politician_id"), "politician_id").select(
+        F.col("bioguide_id").alias("politician_id"), code.alias("committee_id"), "role")
+    committees = t.committees.select(F.concat(F.lower(letters(F.col("id"))), F.lit("00")).alias("committee_id"), "id")
+    return E.resolve_memberships(raw, people, committees)

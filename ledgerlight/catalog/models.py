@@ -323,12 +323,12 @@ def i16s(t: Tables):
 
 
 @query("i17_flagged_by_day", """
-SELECT trade_id, trade_date, greatest(cohort_index, baseline_index) AS max_index, full_name, r.headline, r.narrative FROM flagged f LEFT JOIN reports r USING (trade_id) LEFT JOIN politicians p ON p.id = f.politician_id
+SELECT trade_id, trade_date, greatest(cohort_index, baseline_index) AS max_index, CAST(row_number() OVER (PARTITION BY trade_date ORDER BY greatest(cohort_index, baseline_index) DESC, trade_id) AS INT) AS day_rank, full_name, r.headline, r.narrative FROM flagged f LEFT JOIN reports r USING (trade_id) LEFT JOIN politicians p ON p.id = f.politician_id
 """)
 def i17(t: Tables):
     from ledgerlight.plans.reports import flagged_by_day
 
-    return flagged_by_day(t.scored, t.politicians, t.reports).select("trade_id", "trade_date", "max_index", "full_name", "headline", "narrative")
+    return flagged_by_day(t.scored, t.politicians, t.reports).select("trade_id", "trade_date", "max_index", "day_rank", "full_name", "headline", "narrative")
 
 
 @query("i18_retrain_days", """

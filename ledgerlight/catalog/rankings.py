@@ -57,7 +57,7 @@ def e05(t: Tables):
 @query("e06_closest_events", """
 , c AS (SELECT user_id, event_id AS click_id, CAST(ts AS DATE) AS d FROM events WHERE event_type = 'click'),
 p AS (SELECT event_id, user_id, CAST(ts AS DATE) AS d FROM events WHERE event_type = 'purchase'),
-r AS (SELECT p.event_id, c.click_id, abs(c.d - p.d) AS gap FROM p JOIN c ON c.user_id = p.user_id AND abs(c.d - p.d) <= 5
+r AS (SELECT p.event_id, c.click_id, abs(c.d - p.d) AS gap FROM p JOIN c ON c.user_id = p.user_id AND abs(c.d - p.d) <= 90
   QUALIFY row_number() OVER (PARTITION BY p.event_id ORDER BY abs(c.d - p.d), c.click_id) <= 3)
 SELECT p.event_id, coalesce(string_agg(click_id || ':' || gap, ',' ORDER BY gap, click_id), '') AS nearest FROM p LEFT JOIN r USING (event_id) GROUP BY 1
 """)
@@ -67,7 +67,7 @@ def e06(t: Tables):
     rows = t.events.select("event_id", "user_id", "event_type", F.to_date("ts").alias("day"))
     left = rows.where("event_type = 'purchase'").select("event_id", "user_id", "day")
     clicks = rows.where("event_type = 'click'").select(F.col("event_id").alias("click_id"), "user_id", "day")
-    near = nearest_k_by(left, clicks, "user_id", "day", "click_id", max_days=5)
+    near = nearest_k_by(left, clicks, "user_id", "day", "click_id", max_days=90)
     text = F.array_join(F.transform("nearby", lambda e: F.concat_ws(":", e["click_id"], e["gap_days"])), ",")
     return near.select("event_id", F.coalesce(text, F.lit("")).alias("nearest"))
 
@@ -225,12 +225,12 @@ def f12(t: Tables):
 
 @query("f13_top_contributors", """
 SELECT committee_id, contributor_name, total FROM (SELECT c_nationkey AS committee_id, c_name AS contributor_name, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)
-QUALIFY row_number() OVER (PARTITION BY committee_id ORDER BY total DESC, contributor_name) <= 5
+QUALIFY row_number() OVER (PARTITION BY committee_id ORDER BY total DESC, contributor_name) <= 200
 """)
 def f13(t: Tables):
     paid = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("c_nationkey").alias("committee_id"), F.col("c_name").alias("contributor_name"), F.col("o_totalprice").cast("decimal(15,2)").alias("amount"))
-    return R.top_contributors(paid, 5).withColumn("total", F.col("total").cast("double"))
+    return R.top_contributors(paid).withColumn("total", F.col("total").cast("double"))
 
 
 @query("g01_union_chambers", """

@@ -379,7 +379,10 @@ FROM g CROSS JOIN s LEFT JOIN cov c ON c.ticker = g.ticker AND c.source = s.sour
 """)
 def d36(t: Tables):
     part = t.part.withColumn("ticker", letters(F.col("p_partkey")))
-    return Q.coverage(t.trades, "ticker", {"prices": part.where("p_size > 10"), "map": part.where("p_brand = 'Brand#1'")})
+    return Q.coverage(t.trades, "ticker", {
+        "prices": part.withColumn("ticker", F.when(F.col("p_size") > 10, F.col("ticker"))),
+        "map": part.withColumn("ticker", F.when(F.col("p_brand") == "Brand#1", F.col("ticker"))),
+    })
 
 
 @query("d37_bill_population", """
@@ -544,14 +547,14 @@ SELECT ticker, count(*) AS n_trades, min(trade_date) AS first_date, max(trade_da
 WHERE ticker NOT IN (SELECT translate(CAST(p_partkey AS VARCHAR), '0123456789', 'ABCDEFGHIJ') FROM part WHERE p_size > 10) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25
 """)
 def d46p(t: Tables):
-    return Q.tickers_without_price(t.trades, t.part.where("p_size > 10").select(letters(F.col("p_partkey")).alias("ticker")))
+    return Q.tickers_without_price(t.trades, t.part.select(F.when(F.col("p_size") > 10, letters(F.col("p_partkey"))).alias("ticker")))
 
 
 @query("d46_bridge_coverage", """
 SELECT count(*) AS trades, count(*) FILTER (line_number > 3) AS in_bridge, count(*) FILTER (line_number > 3 AND industry_sector IS NULL) AS bridge_only FROM trades
 """)
 def d46b(t: Tables):
-    linked = t.lineitem.where("l_linenumber > 3").select(trade_key().alias("trade_id"))
+    linked = t.lineitem.select(F.when(F.col("l_linenumber") > 3, trade_key()).alias("trade_id"))
     return Q.bridge_coverage(t.trades, linked)
 
 
@@ -561,11 +564,12 @@ def d47(t: Tables):
 
 
 @query("d48_row_counts", """
-, c AS (SELECT 'lineitem' AS "table", count(*) AS n_rows FROM lineitem UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'documents', count(*) FROM documents)
+, c AS (SELECT 'region' AS "table", count(*) AS n_rows FROM region UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'supplier', count(*) FROM supplier UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'documents', count(*) FROM documents UNION ALL SELECT 'embeddings', count(*) FROM embeddings UNION ALL SELECT 'pages', count(*) FROM pages UNION ALL SELECT 'benchmark', count(*) FROM benchmark UNION ALL SELECT 'labels', count(*) FROM labels UNION ALL SELECT 'conversations', count(*) FROM conversations)
 SELECT * FROM c UNION ALL SELECT 'TOTAL', CAST(sum(n_rows) AS BIGINT) FROM c
 """)
 def d48(t: Tables):
-    return Q.row_counts({n: getattr(t, n) for n in ("lineitem", "orders", "events", "documents")})
+    names = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+    return Q.row_counts({n: getattr(t, n) for n in names})
 
 
 @query("d49_tickers_by_sector", """

@@ -168,7 +168,7 @@ SELECT t.trade_id, array_to_string(CASE WHEN t.line_number = 1 THEN ['bridged']
 def h16(t: Tables):
     from ledgerlight.catalog.base import letters
 
-    mapping = t.part.where("p_size > 25").select(letters(F.col("p_partkey")).alias("ticker"), F.col("p_type").alias("sector"))
+    mapping = t.part.select(F.when(F.col("p_size") > 25, letters(F.col("p_partkey"))).alias("ticker"), F.col("p_type").alias("sector"))
     bridge = t.lineitem.where("l_linenumber = 1").select(
         trade_key().alias("trade_id"), F.lit("bridged").alias("sector"))
     rows = t.trades.select("trade_id", "ticker", "industry_sector")
