@@ -107,7 +107,7 @@ def plan(
 
     def copy(number: int) -> Column:
         start = F.col("_source_size") * number + F.col("_offset") + F.col("_before")
-        demand = start / F.col("_target")
+        demand = F.try_divide(start, F.col("_target"))
         time = F.lit(None).cast("double")
         for i, schedule in enumerate(schedules):
             time = F.when(F.col("_schedule") == i, time_of(demand, schedule)).otherwise(time)
