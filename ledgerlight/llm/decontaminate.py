@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.shared import scratch_table, small
+from ledgerlight.llm.shared import scratch_table, small, whole_row
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -106,5 +106,5 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, width: int = SHINGLE,
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = SHINGLE, threshold: float = CONTAINMENT) -> DataFrame:
     """`docs` (all columns) without the documents that hold an item; NULL texts stay."""
     held = scratch_table(contaminated_texts(docs, benchmark, width, threshold).select("text_key").distinct(), "contaminated")
-    keyed = docs.withColumn("_text_key", _text_key(F.col("text")))
-    return keyed.join(small(held.withColumnRenamed("text_key", "_text_key")), "_text_key", "left_anti").drop("_text_key")
+    keyed = docs.select(whole_row(docs), _text_key(F.col("text")).alias("text_key"))
+    return keyed.join(small(held), "text_key", "left_anti").select("row.*")

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ledgerlight.llm.shared import remainder, scratch_table, ship, unship, worker_cache
 
@@ -157,27 +158,27 @@ def fit(docs: DataFrame, slots: int = SLOTS, hashes: int = HASHES, share: float
     return Model(languages, table, hashes)
 
 
-def _predict(model):
+def _predict(model, columns: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = unship(model)
         for batch in batches:
             names, scores = filters.predict(batch.column("text").to_pylist())
-            kept = [batch.column(i) for i in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(scores)], names=[*batch.schema.names, "lang_pred", "score"])
+            kept = [batch.column(i) for i in range(batch.num_columns)]  # by place: names may differ in case only
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(scores)], names=[*batch.schema.names, *columns])
 
     return run
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` with lang_pred and score appended (replacing columns of these names).
+def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """`docs` with the predicted language and its score appended as `names`, replacing columns of these names.
 
     A text that is NULL or has no letter is `und` with score 0; if no n-gram of a text is known, the first
     language gets an equal share as score. The filter is broadcast: its size is a parameter.
     """
     shared = ship(docs.sparkSession, model)
-    kept = docs.drop("lang_pred", "score")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(_predict(shared), f"{fields}, lang_pred string, score double")
+    kept = docs.drop(*names)
+    schema = StructType([*kept.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
+    return kept.mapInArrow(_predict(shared, names), schema)
 
 
 def fold(docs: DataFrame, modulus: int = 3, held: int = 1):

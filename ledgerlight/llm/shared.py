@@ -26,6 +26,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, with as many underscores as it takes for `df` to have no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct `row`: what an operator adds beside it can't clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
 def scratch_table(df: DataFrame, name: str) -> DataFrame:
     """`df` written to the shared folder and read again: computed once, lineage cut, safe when executors go."""
     path = scratch_path(df.sparkSession, name)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlight.llm.components import connected_components
-from ledgerlight.llm.shared import scratch_table, small
+from ledgerlight.llm.shared import scratch_table, small, whole_row
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -228,12 +228,12 @@ def keep_first(docs: DataFrame, width: int = SHINGLE, seed: int = SEED, threshol
     shared = scratch_table(each.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").select("doc_id"), "shared-ids")
     dropped = each.join(groups, "fp").where("doc_id <> component_id").select("doc_id").distinct()
     dropped = scratch_table(dropped.unionByName(shared.where("doc_id IS NOT NULL")).distinct(), "dropped-ids")
-    kept = docs.where("doc_id IS NOT NULL").join(small(dropped), "doc_id", "left_anti")
+    rows = docs.select(whole_row(docs), "doc_id", "text")
+    kept = rows.where("doc_id IS NOT NULL").join(small(dropped), "doc_id", "left_anti").select("row.*")
     if shared.isEmpty():
         return kept
-    unclear = docs.withColumn("_id", F.col("doc_id")).join(
-        shared.withColumnRenamed("doc_id", "_shared"), F.col("_id").eqNullSafe(F.col("_shared")), "left_semi"
-    ).withColumn("_fp", F.udf(lambda text: _signed(fingerprint(text, width, seed)), "long")("text"))
-    chosen = unclear.join(groups.withColumnsRenamed({"fp": "_fp", "root": "_root", "component_id": "_component"}), "_fp")
-    first = chosen.where(F.col("_id").eqNullSafe(F.col("_component"))).dropDuplicates(["_root"])
-    return kept.unionByName(first.select(*[F.col(f"`{c}`") for c in docs.columns]))
+    unclear = rows.join(
+        shared.withColumnRenamed("doc_id", "shared_id"), F.col("doc_id").eqNullSafe(F.col("shared_id")), "left_semi"
+    ).withColumn("fp", F.udf(lambda text: _signed(fingerprint(text, width, seed)), "long")("text"))
+    first = unclear.join(groups, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).dropDuplicates(["root"])
+    return kept.unionByName(first.select("row.*"))
