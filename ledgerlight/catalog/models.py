@@ -250,15 +250,73 @@ def plain_rows(t: Tables):
     return t.lineitem.select(key.alias("trade_id"), *PLAIN)
 
 
-@query("i12_forest_fit")
+def sql_unit(*parts: str) -> str:
+    """The forest's hash in SQL."""
+    return f"(CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE)"
+
+
+def forest_sql(features: list[str], rows: str, seed: int = 42, trees: int = 200, subsample: int = 256, depth: int = 8) -> str:
+    """CTEs that grow the forest over `rows` (key, v: the features as a list): `nodes` is the node table.
+
+    For tables of more than 2 * subsample rows. Every level places the drawn rows in their nodes, then cuts these.
+    """
+    ranges = ", ".join(f"{{0}}(v[{i + 1}])" for i in range(len(features)))
+    out = f"""
+, rows_in AS ({rows}),
+chance AS (SELECT 2.0::DOUBLE * {subsample} / count(*) AS chance, CAST(ceil({trees} * (2.0::DOUBLE * {subsample} / count(*))) AS INT) AS darts FROM rows_in),
+thrown AS (
+  SELECT key, v, unnest(list_distinct(list_transform(
+    list_filter(range(0, darts), lambda j: {sql_unit("key", "j", str(seed), "'throw'")} < {trees} * chance / darts),
+    lambda j: CAST(floor({sql_unit("key", "j", str(seed), "'tree'")} * {trees}) AS INT) + {seed * trees}))) AS tree_id FROM rows_in, chance),
+level0 AS (SELECT tree_id, 0 AS node_id, v FROM thrown
+  QUALIFY row_number() OVER (PARTITION BY tree_id ORDER BY {sql_unit("key", "tree_id", "'draw'")}, key) <= {subsample})"""
+    for d in range(depth + 1):
+        grown = "size > 1 AND len(usable) > 0" if d < depth else "false"
+        out += f""",
+range{d} AS (SELECT tree_id, node_id, count(*) AS size, [{ranges.format("min")}] AS low, [{ranges.format("max")}] AS high FROM level{d} GROUP BY 1, 2),
+usable{d} AS (SELECT *, list_filter(range(0, {len(features)}), lambda i: high[i + 1] > low[i + 1]) AS usable FROM range{d}),
+picked{d} AS (SELECT *, CASE WHEN {grown} THEN CAST(usable[CAST(floor({sql_unit("tree_id", "node_id", "'feature'")} * len(usable)) AS INT) + 1] AS INT) ELSE -1 END AS feature FROM usable{d}),
+placed{d} AS (SELECT *, CASE WHEN feature >= 0 THEN low[feature + 1] + {sql_unit("tree_id", "node_id", "'cut'")} * (high[feature + 1] - low[feature + 1]) END AS place FROM picked{d}),
+cut{d} AS (SELECT tree_id, node_id, feature, size, {d} AS depth,
+  CASE WHEN place > low[feature + 1] AND place <= high[feature + 1] THEN place WHEN feature >= 0 THEN high[feature + 1] END AS cut FROM placed{d})"""
+        if d < depth:
+            out += f""",
+level{d + 1} AS (SELECT tree_id, CASE WHEN v[feature + 1] < cut THEN 2 * node_id + 1 ELSE 2 * node_id + 2 END AS node_id, v
+  FROM level{d} JOIN cut{d} USING (tree_id, node_id) WHERE feature >= 0)"""
+    return out + ",\nnodes AS (" + " UNION ALL ".join(f"SELECT * FROM cut{d}" for d in range(depth + 1)) + ")"
+
+
+def score_sql(depth: int = 8, subsample: int = 256) -> str:
+    """CTEs that walk every row of `rows_in` through all trees: `scored_rows` (key, score)."""
+    mean = "(2.0::DOUBLE * (ln({0} - 1.0::DOUBLE) + 0.5772156649::DOUBLE) - 2.0::DOUBLE * ({0} - 1.0::DOUBLE) / {0})"
+    steps = "SELECT key, v, features, cuts, paths, 0 AS node FROM rows_in, lists"
+    for _ in range(depth):
+        steps = f"SELECT key, v, features, cuts, paths, CASE WHEN features[node + 1] < 0 THEN node WHEN v[features[node + 1] + 1] < cuts[node + 1] THEN 2 * node + 1 ELSE 2 * node + 2 END AS node FROM ({steps})"
+    return f""",
+paths AS (SELECT tree_id, node_id, feature, cut, depth + CASE WHEN size <= 1 THEN 0 WHEN size = 2 THEN 1 ELSE {mean.format("size")} END AS path FROM nodes),
+every AS (SELECT tree_id, node_id FROM (SELECT DISTINCT tree_id FROM nodes), range(0, {2 ** (depth + 1) - 1}) AS r(node_id)),
+lists AS (SELECT tree_id, list(feature ORDER BY node_id) AS features, list(cut ORDER BY node_id) AS cuts, list(path ORDER BY node_id) AS paths
+  FROM every LEFT JOIN paths USING (tree_id, node_id) GROUP BY 1),
+scored_rows AS (SELECT key, any_value(v) AS v, pow(2.0::DOUBLE, -avg(paths[node + 1]) / {mean.format(f"{subsample}.0::DOUBLE")}) AS score FROM ({steps}) GROUP BY key)"""
+
+
+PLAIN_SQL = forest_sql(PLAIN, f"SELECT trade_id AS key, [{', '.join(f'CAST({f} AS DOUBLE)' for f in PLAIN)}] AS v FROM (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(floor(l_extendedprice) AS BIGINT)) AS trade_id, * FROM lineitem)")
+
+
+@query("i12_forest_fit", PLAIN_SQL + """
+SELECT tree_id, node_id, feature, round(cut, 6) AS cut, CAST(CASE WHEN feature >= 0 THEN 2 * node_id + 1 ELSE -1 END AS INT) AS "left",
+  CAST(CASE WHEN feature >= 0 THEN 2 * node_id + 2 ELSE -1 END AS INT) AS "right", depth, size FROM nodes
+""")
 def i12(t: Tables):
-    """Node table of a forest over all lineitems (no SQL twin; tested against the published algorithm)."""
+    """Node table of a forest over all lineitems."""
     from ledgerlight.plans.iforest import fit
 
-    return fit(plain_rows(t), PLAIN, "trade_id")
+    return fit(plain_rows(t), PLAIN, "trade_id").withColumn("cut", F.when(F.col("feature") >= 0, F.round("cut", 6)))
 
 
-@query("i13_forest_score")
+@query("i13_forest_score", PLAIN_SQL + score_sql() + """
+SELECT key AS trade_id, round(score, 6) AS score, round(0.5::DOUBLE - score, 6) AS raw_score, CASE WHEN 0.5::DOUBLE - score < 0 THEN -1 ELSE 1 END AS label FROM scored_rows
+""")
 def i13(t: Tables):
     """Score, raw value and label of every lineitem."""
     from ledgerlight.plans import iforest as IF
@@ -267,7 +325,7 @@ def i13(t: Tables):
     forest = IF.Forest.from_nodes(IF.fit(rows, PLAIN, "trade_id"), PLAIN)
     raw = IF.raw_from_score(F.col("score"))
     return rows.withColumn("score", forest.score_column()).select(
-        "trade_id", "score", raw.alias("raw_score"), IF.label_from_raw(raw).alias("label"))
+        "trade_id", F.round("score", 6).alias("score"), F.round(raw, 6).alias("raw_score"), IF.label_from_raw(raw).alias("label"))
 
 
 def dual_scores(t: Tables):

@@ -8,6 +8,7 @@ all trees for a batch of rows at once.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import sys
 from dataclasses import dataclass
@@ -41,9 +42,18 @@ def average_path(size: float) -> float:
     return 2.0 * (math.log(size - 1.0) + EULER) - 2.0 * (size - 1.0) / size
 
 
+HASH_SPACE = float(1 << 52)
+
+
 def _unit(*parts: Column) -> Column:
-    """Uniform number in [0, 1) from a hash."""
-    return F.shiftrightunsigned(F.xxhash64(*parts), 11) / F.lit(float(1 << 53))
+    """Uniform number in [0, 1): the first 52 bits of the MD5 of the parts, which any engine can compute."""
+    text = F.concat_ws("|", *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(HASH_SPACE)
+
+
+def unit(*parts: object) -> float:
+    """`_unit` of plain values."""
+    return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:13], 16) / HASH_SPACE
 
 
 def _chosen_trees(key: Column, seed: int, trees: int, chance: float) -> Column:
@@ -79,14 +89,18 @@ def draw_samples(
     chance = min(1.0, 2.0 * subsample / max(1, n_rows))
     chosen = F.flatten(F.array(*[_chosen_trees(F.col("_key"), s, trees, chance) for s in seeds]))
     pairs = pool.select("_key", *features, F.explode(chosen).alias("tree_id")).withColumn(
-        "draw", F.shiftrightunsigned(F.xxhash64("_key", "tree_id", F.lit("draw")), 11)
+        "draw", _unit(F.col("_key"), F.col("tree_id"), F.lit("draw"))
     )
     rank = F.row_number().over(Window.partitionBy("tree_id").orderBy("draw", "_key"))
     return pairs.withColumn("_rank", rank).where(F.col("_rank") <= subsample).drop("_rank", "_key")
 
 
-def grow_tree(values: np.ndarray, limit: int, rng: np.random.Generator) -> list[tuple]:
-    """Nodes (id, feature, cut, depth, size) of one tree; children of node i are 2i+1 and 2i+2."""
+def grow_tree(values: np.ndarray, limit: int, tree_id: int) -> list[tuple]:
+    """Nodes (id, feature, cut, depth, size) of one tree; children of node i are 2i+1 and 2i+2.
+
+    Feature and cut are functions of hashes of the tree and the node: the same rows give the same tree
+    wherever it is grown. A cut that would leave the left side empty becomes the largest value.
+    """
     nodes, stack = [], [(0, values, 0)]
     while stack:
         node, rows, depth = stack.pop()
@@ -95,12 +109,11 @@ def grow_tree(values: np.ndarray, limit: int, rng: np.random.Generator) -> list[
         if depth >= limit or len(rows) <= 1 or len(usable) == 0:
             nodes.append((node, -1, np.nan, depth, len(rows)))
             continue
-        feature = int(rng.choice(usable))
-        cut = float(rng.uniform(low[feature], high[feature]))
+        feature = int(usable[int(unit(tree_id, node, "feature") * len(usable))])
+        cut = float(low[feature] + unit(tree_id, node, "cut") * (high[feature] - low[feature]))
+        if not low[feature] < cut <= high[feature]:
+            cut = float(high[feature])
         below = rows[:, feature] < cut
-        if not below.any():
-            cut = float(np.nextafter(low[feature], high[feature]))
-            below = rows[:, feature] < cut
         nodes.append((node, feature, cut, depth, len(rows)))
         stack.append((2 * node + 2, rows[~below], depth + 1))
         stack.append((2 * node + 1, rows[below], depth + 1))
@@ -122,8 +135,7 @@ def fit(
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
         tree_id = int(frame["tree_id"].iloc[0])
-        ordered = frame.sort_values(["draw", *columns], kind="stable")
-        nodes = grow_tree(ordered[columns].to_numpy(float), limit, np.random.default_rng(tree_id))
+        nodes = grow_tree(frame[columns].to_numpy(float), limit, tree_id)
         return pd.DataFrame(
             [(tree_id, n, f, c, *((2 * n + 1, 2 * n + 2) if f >= 0 else (-1, -1)), d, s) for n, f, c, d, s in nodes],
             columns=["tree_id", "node_id", "feature", "cut", "left", "right", "depth", "size"],
