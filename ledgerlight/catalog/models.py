@@ -1,8 +1,11 @@
 """Features, holdings inference and models (I)."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from ledgerlight.catalog.base import Tables, letters, query, trade_key
+from ledgerlight.functions.vocab import FEATURES_V2
 from ledgerlight.plans import holdings as H
 
 
@@ -255,49 +258,49 @@ def sql_unit(*parts: str) -> str:
     return f"(CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE)"
 
 
-def forest_sql(features: list[str], rows: str, seed: int = 42, trees: int = 200, subsample: int = 256, depth: int = 8) -> str:
+def forest_sql(features: list[str], rows: str, seed: int = 42, trees: int = 200, subsample: int = 256, depth: int = 8, p: str = "") -> str:
     """CTEs that grow the forest over `rows` (key, v: the features as a list): `nodes` is the node table.
 
     For tables of more than 2 * subsample rows. Every level places the drawn rows in their nodes, then cuts these.
     """
     ranges = ", ".join(f"{{0}}(v[{i + 1}])" for i in range(len(features)))
     out = f"""
-, rows_in AS ({rows}),
-chance AS (SELECT 2.0::DOUBLE * {subsample} / count(*) AS chance, CAST(ceil({trees} * (2.0::DOUBLE * {subsample} / count(*))) AS INT) AS darts FROM rows_in),
-thrown AS (
+, {p}rows_in AS ({rows}),
+{p}chance AS (SELECT 2.0::DOUBLE * {subsample} / count(*) AS chance, CAST(ceil({trees} * (2.0::DOUBLE * {subsample} / count(*))) AS INT) AS darts FROM {p}rows_in),
+{p}thrown AS (
   SELECT key, v, unnest(list_distinct(list_transform(
     list_filter(range(0, darts), lambda j: {sql_unit("key", "j", str(seed), "'throw'")} < {trees} * chance / darts),
-    lambda j: CAST(floor({sql_unit("key", "j", str(seed), "'tree'")} * {trees}) AS INT) + {seed * trees}))) AS tree_id FROM rows_in, chance),
-level0 AS (SELECT tree_id, 0 AS node_id, v FROM thrown
+    lambda j: CAST(floor({sql_unit("key", "j", str(seed), "'tree'")} * {trees}) AS INT) + {seed * trees}))) AS tree_id FROM {p}rows_in, {p}chance),
+{p}level0 AS (SELECT tree_id, 0 AS node_id, v FROM {p}thrown
   QUALIFY row_number() OVER (PARTITION BY tree_id ORDER BY {sql_unit("key", "tree_id", "'draw'")}, key) <= {subsample})"""
     for d in range(depth + 1):
         grown = "size > 1 AND len(usable) > 0" if d < depth else "false"
         out += f""",
-range{d} AS (SELECT tree_id, node_id, count(*) AS size, [{ranges.format("min")}] AS low, [{ranges.format("max")}] AS high FROM level{d} GROUP BY 1, 2),
-usable{d} AS (SELECT *, list_filter(range(0, {len(features)}), lambda i: high[i + 1] > low[i + 1]) AS usable FROM range{d}),
-picked{d} AS (SELECT *, CASE WHEN {grown} THEN CAST(usable[CAST(floor({sql_unit("tree_id", "node_id", "'feature'")} * len(usable)) AS INT) + 1] AS INT) ELSE -1 END AS feature FROM usable{d}),
-placed{d} AS (SELECT *, CASE WHEN feature >= 0 THEN low[feature + 1] + {sql_unit("tree_id", "node_id", "'cut'")} * (high[feature + 1] - low[feature + 1]) END AS place FROM picked{d}),
-cut{d} AS (SELECT tree_id, node_id, feature, size, {d} AS depth,
-  CASE WHEN place > low[feature + 1] AND place <= high[feature + 1] THEN place WHEN feature >= 0 THEN high[feature + 1] END AS cut FROM placed{d})"""
+{p}range{d} AS (SELECT tree_id, node_id, count(*) AS size, [{ranges.format("min")}] AS low, [{ranges.format("max")}] AS high FROM {p}level{d} GROUP BY 1, 2),
+{p}usable{d} AS (SELECT *, list_filter(range(0, {len(features)}), lambda i: high[i + 1] > low[i + 1]) AS usable FROM {p}range{d}),
+{p}picked{d} AS (SELECT *, CASE WHEN {grown} THEN CAST(usable[CAST(floor({sql_unit("tree_id", "node_id", "'feature'")} * len(usable)) AS INT) + 1] AS INT) ELSE -1 END AS feature FROM {p}usable{d}),
+{p}placed{d} AS (SELECT *, CASE WHEN feature >= 0 THEN low[feature + 1] + {sql_unit("tree_id", "node_id", "'cut'")} * (high[feature + 1] - low[feature + 1]) END AS place FROM {p}picked{d}),
+{p}cut{d} AS (SELECT tree_id, node_id, feature, size, {d} AS depth,
+  CASE WHEN place > low[feature + 1] AND place <= high[feature + 1] THEN place WHEN feature >= 0 THEN high[feature + 1] END AS cut FROM {p}placed{d})"""
         if d < depth:
             out += f""",
-level{d + 1} AS (SELECT tree_id, CASE WHEN v[feature + 1] < cut THEN 2 * node_id + 1 ELSE 2 * node_id + 2 END AS node_id, v
-  FROM level{d} JOIN cut{d} USING (tree_id, node_id) WHERE feature >= 0)"""
-    return out + ",\nnodes AS (" + " UNION ALL ".join(f"SELECT * FROM cut{d}" for d in range(depth + 1)) + ")"
+{p}level{d + 1} AS (SELECT tree_id, CASE WHEN v[feature + 1] < cut THEN 2 * node_id + 1 ELSE 2 * node_id + 2 END AS node_id, v
+  FROM {p}level{d} JOIN {p}cut{d} USING (tree_id, node_id) WHERE feature >= 0)"""
+    return out + f",\n{p}nodes AS (" + " UNION ALL ".join(f"SELECT * FROM {p}cut{d}" for d in range(depth + 1)) + ")"
 
 
-def score_sql(depth: int = 8, subsample: int = 256) -> str:
-    """CTEs that walk every row of `rows_in` through all trees: `scored_rows` (key, score)."""
+def score_sql(depth: int = 8, subsample: int = 256, p: str = "", rows: str = "rows_in") -> str:
+    """CTEs that walk every row of `rows` through all trees: `scored_rows` (key, score)."""
     mean = "(2.0::DOUBLE * (ln({0} - 1.0::DOUBLE) + 0.5772156649::DOUBLE) - 2.0::DOUBLE * ({0} - 1.0::DOUBLE) / {0})"
-    steps = "SELECT key, v, features, cuts, paths, 0 AS node FROM rows_in, lists"
+    steps = f"SELECT key, v, features, cuts, paths, 0 AS node FROM {rows}, {p}lists"
     for _ in range(depth):
         steps = f"SELECT key, v, features, cuts, paths, CASE WHEN features[node + 1] < 0 THEN node WHEN v[features[node + 1] + 1] < cuts[node + 1] THEN 2 * node + 1 ELSE 2 * node + 2 END AS node FROM ({steps})"
     return f""",
-paths AS (SELECT tree_id, node_id, feature, cut, depth + CASE WHEN size <= 1 THEN 0 WHEN size = 2 THEN 1 ELSE {mean.format("size")} END AS path FROM nodes),
-every AS (SELECT tree_id, node_id FROM (SELECT DISTINCT tree_id FROM nodes), range(0, {2 ** (depth + 1) - 1}) AS r(node_id)),
-lists AS (SELECT tree_id, list(feature ORDER BY node_id) AS features, list(cut ORDER BY node_id) AS cuts, list(path ORDER BY node_id) AS paths
-  FROM every LEFT JOIN paths USING (tree_id, node_id) GROUP BY 1),
-scored_rows AS (SELECT key, any_value(v) AS v, pow(2.0::DOUBLE, -avg(paths[node + 1]) / {mean.format(f"{subsample}.0::DOUBLE")}) AS score FROM ({steps}) GROUP BY key)"""
+{p}paths AS (SELECT tree_id, node_id, feature, cut, depth + CASE WHEN size <= 1 THEN 0 WHEN size = 2 THEN 1 ELSE {mean.format("size")} END AS path FROM {p}nodes),
+{p}every AS (SELECT tree_id, node_id FROM (SELECT DISTINCT tree_id FROM {p}nodes), range(0, {2 ** (depth + 1) - 1}) AS r(node_id)),
+{p}lists AS (SELECT tree_id, list(feature ORDER BY node_id) AS features, list(cut ORDER BY node_id) AS cuts, list(path ORDER BY node_id) AS paths
+  FROM {p}every LEFT JOIN {p}paths USING (tree_id, node_id) GROUP BY 1),
+{p}scored_rows AS (SELECT key, any_value(v) AS v, pow(2.0::DOUBLE, -avg(paths[node + 1]) / {mean.format(f"{subsample}.0::DOUBLE")}) AS score FROM ({steps}) GROUP BY key)"""
 
 
 PLAIN_SQL = forest_sql(PLAIN, f"SELECT trade_id AS key, [{', '.join(f'CAST({f} AS DOUBLE)' for f in PLAIN)}] AS v FROM (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(floor(l_extendedprice) AS BIGINT)) AS trade_id, * FROM lineitem)")
@@ -329,7 +332,6 @@ def i13(t: Tables):
 
 
 def dual_scores(t: Tables):
-    from ledgerlight.functions.vocab import FEATURES_V2
     from ledgerlight.plans import iforest as IF
     from ledgerlight.plans.features import baseline_features
     from ledgerlight.plans.scoring import dual_score, model_version
@@ -338,8 +340,12 @@ def dual_scores(t: Tables):
 
     # Both matrices are written once: training and scoring read them several times.
     cohort_path, baseline_path = scratch_path(t.spark, "cohort"), scratch_path(t.spark, "baseline")
-    write_matrix(features(t).where("cohort_alpha is not null"), cohort_path)
-    write_matrix(baseline_features(fund_trades(t), t.prices).withColumn(
+    def stored(df):
+        """Six decimals, as both engines compute them alike."""
+        return df.withColumns({f: F.round(f, 6) for f, kind in df.dtypes if kind == "double"})
+
+    write_matrix(stored(features(t).where("cohort_alpha is not null")), cohort_path)
+    write_matrix(stored(baseline_features(fund_trades(t), t.prices)).withColumn(
         "row_key", F.concat_ws("-", "cik", "ticker", "inferred_date", "trade_type")), baseline_path)
     cohort, baseline = t.spark.read.parquet(cohort_path), t.spark.read.parquet(baseline_path)
     forests = [
@@ -348,10 +354,38 @@ def dual_scores(t: Tables):
     return dual_score(cohort, *forests, model_version("2026-01-01", "2026-01-02"), "2026-01-03 00:00:00")
 
 
-@query("i14_dual_score")
+def dual_sql() -> str:
+    """CTEs of both matrices, both forests and the `dual` scores of the cohort's rows."""
+    nine = "[" + ", ".join(f"CAST({f} AS DOUBLE)" for f in FEATURES_V2) + "] AS v"
+    funds = ALPHA_SQL.replace("SELECT DISTINCT ticker, trade_date FROM trades", "SELECT DISTINCT ticker, inferred_date AS trade_date FROM inferred")
+    funds = re.sub(r"\b(k|a[1-8]|alphas)\b", r"fund_\1", funds)
+    index = "CAST(floor((-greatest(-0.5::DOUBLE, least(0.5::DOUBLE, {0})) + 0.5::DOUBLE) * 100) AS INT)"
+    return ALPHA_SQL + GAPS_SQL + """
+, cohort AS (SELECT trade_id, politician_id, ticker, trade_date, round(cohort_alpha, 6) AS cohort_alpha, round(coalesce(pre_trade_alpha, 0), 6) AS pre_trade_alpha, proximity_days, bill_proximity, has_proximity_data,
+  round(committee_relevance, 6) AS committee_relevance, round(amount_zscore, 6) AS amount_zscore, cluster_score, round(disclosure_lag, 6) AS disclosure_lag
+  FROM features JOIN alphas USING (ticker, trade_date) WHERE cohort_alpha IS NOT NULL)
+""" + INFER_SQL + funds + """
+, baseline AS (SELECT concat_ws('-', cik, i.ticker, inferred_date, trade_type) AS row_key, round(cohort_alpha, 6) AS cohort_alpha, round(coalesce(pre_trade_alpha, 0), 6) AS pre_trade_alpha, 7 AS proximity_days,
+  90 AS bill_proximity, 0 AS has_proximity_data, 0 AS committee_relevance, 0 AS amount_zscore, 0 AS cluster_score, 0 AS disclosure_lag
+  FROM (SELECT DISTINCT cik, fund_name, ticker, inferred_date, trade_type FROM inferred) i JOIN fund_alphas a ON a.ticker = i.ticker AND a.trade_date = i.inferred_date WHERE cohort_alpha IS NOT NULL)
+""" + forest_sql(FEATURES_V2, f"SELECT trade_id AS key, {nine} FROM cohort", p="c_") + score_sql(p="c_", rows="c_rows_in") \
+        + forest_sql(FEATURES_V2, f"SELECT row_key AS key, {nine} FROM baseline", p="b_") + score_sql(p="b_", rows="c_rows_in") + f"""
+, dual AS (SELECT c.*, 0.5::DOUBLE - a.score AS cohort_raw, 0.5::DOUBLE - b.score AS baseline_raw,
+  {index.format("(0.5::DOUBLE - a.score)")} AS cohort_index, {index.format("(0.5::DOUBLE - b.score)")} AS baseline_index
+  FROM cohort c JOIN c_scored_rows a ON a.key = c.trade_id JOIN b_scored_rows b ON b.key = c.trade_id)
+"""
+
+
+@query("i14_dual_score", dual_sql() + f"""
+SELECT trade_id, politician_id, ticker, trade_date, round(cohort_raw, 6) AS cohort_raw_score, CASE WHEN cohort_raw < 0 THEN -1 ELSE 1 END AS cohort_label, cohort_index,
+  round(baseline_raw, 6) AS baseline_raw_score, CASE WHEN baseline_raw < 0 THEN -1 ELSE 1 END AS baseline_label, baseline_index,
+  CASE WHEN cohort_index >= 60 AND baseline_index >= 60 THEN 'SEVERE' WHEN baseline_index >= 60 THEN 'SYSTEMIC' WHEN cohort_index >= 60 THEN 'OUTLIER' ELSE 'UNREMARKABLE' END AS severity_quadrant,
+  cohort_index >= 70 OR baseline_index >= 70 AS audit_triggered, {", ".join(f"round({f}, 4) AS feat_{f}" if f == "disclosure_lag" else f"{f} AS feat_{f}" for f in FEATURES_V2)},
+  'v2_cohort_2026-01-01_baseline_2026-01-02' AS model_version, TIMESTAMP '2026-01-03 00:00:00' AS scored_at FROM dual
+""")
 def i14(t: Tables):
     """Features, both forests and quadrants end to end."""
-    return dual_scores(t)
+    return dual_scores(t).withColumns({c: F.round(c, 6) for c in ("cohort_raw_score", "baseline_raw_score")})
 
 
 @query("i15_training_stats", """
@@ -364,7 +398,11 @@ def i15(t: Tables):
     return training_stats(t.scores.select(((50 - F.col("cohort_index")) / 100.0).alias("raw_score")))
 
 
-@query("i16_model_checks")
+@query("i16_model_checks", dual_sql() + """
+, checks AS (SELECT round(count(*) FILTER (cohort_raw < 0)::DOUBLE / count(*), 4) AS outlier_rate, round(abs(avg(cohort_index) - avg(baseline_index)), 4) AS mean_gap,
+  round(count(*) FILTER (cohort_index >= 55 AND baseline_index >= 55)::DOUBLE / count(*), 4) AS both_high_rate, round(corr(cohort_index, baseline_index), 4) AS correlation FROM dual)
+SELECT *, outlier_rate BETWEEN 0.01 AND 0.20 AS outlier_rate_ok, mean_gap < 20 AS mean_gap_ok, both_high_rate >= 0.003 AS both_high_ok, coalesce(correlation < 0.80, true) AS correlation_ok FROM checks
+""")
 def i16(t: Tables):
     """Thresholds on the end-to-end scores."""
     from ledgerlight.plans.scoring import model_checks
