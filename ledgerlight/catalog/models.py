@@ -98,12 +98,16 @@ def i01c(t: Tables):
 
 @query("i02_proximity", GAPS_SQL + "SELECT trade_id, proximity_days, has_proximity_data FROM features")
 def i02(t: Tables):
-    return features(t).select("trade_id", "proximity_days", "has_proximity_data")
+    from ledgerlight.plans.features import proximity_features
+
+    return proximity_features(t.trades, votes(t))
 
 
 @query("i03_bill_proximity", GAPS_SQL + "SELECT trade_id, bill_proximity FROM features")
 def i03(t: Tables):
-    return features(t).select("trade_id", "bill_proximity")
+    from ledgerlight.plans.features import bill_proximity
+
+    return bill_proximity(t.trades, t.bills)
 
 
 @query("i04_committee_relevance", GAPS_SQL + "SELECT trade_id, committee_relevance FROM features")
@@ -141,7 +145,9 @@ def i05(t: Tables):
 
 @query("i06_zscore_cluster_lag", GAPS_SQL + "SELECT trade_id, round(amount_zscore, 6) AS amount_zscore, cluster_score, round(disclosure_lag, 6) AS disclosure_lag FROM features")
 def i06(t: Tables):
-    return features(t).select("trade_id", F.round("amount_zscore", 6).alias("amount_zscore"), "cluster_score", F.round("disclosure_lag", 6).alias("disclosure_lag"))
+    from ledgerlight.plans.features import behaviour_features
+
+    return behaviour_features(t.trades).withColumns({c: F.round(c, 6) for c in ("amount_zscore", "disclosure_lag")})
 
 
 @query("i07_features_v2", ALPHA_SQL + GAPS_SQL + """

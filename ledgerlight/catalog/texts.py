@@ -180,7 +180,7 @@ def h16(t: Tables):
 @query("h17_ticker_map_overrides", f"""
 , b AS (SELECT CASE p_partkey WHEN 1 THEN 'MSFT' WHEN 2 THEN 'SPY' WHEN 3 THEN 'GE' ELSE 'P' || {H16_MAP} END AS ticker, p_type AS sector FROM part)
 SELECT ticker, CASE ticker WHEN 'MSFT' THEN '["tech", "defense"]' WHEN 'GE' THEN '["defense", "energy", "healthcare"]' ELSE sector END AS sector FROM b
-UNION ALL SELECT 'QQQ', 'tech' UNION ALL SELECT 'XLE', 'energy' UNION ALL SELECT 'ITA', 'defense'
+UNION ALL SELECT * FROM (VALUES {", ".join(f"('{fund}', '{sector}')" for fund, sector in V.FUND_TICKERS.items())}) AS added(ticker, sector) WHERE ticker NOT IN (SELECT ticker FROM b)
 """)
 def h17(t: Tables):
     from ledgerlight.catalog.base import letters
@@ -188,9 +188,7 @@ def h17(t: Tables):
     key = F.col("p_partkey")
     base = t.part.select(
         F.when(key == 1, "MSFT").when(key == 2, "SPY").when(key == 3, "GE").otherwise(F.concat(F.lit("P"), letters(key))).alias("ticker"), F.col("p_type").alias("sector"))
-    full = S.ticker_map(t.spark, base)
-    known = base.select("ticker").union(t.spark.createDataFrame([("QQQ",), ("XLE",), ("ITA",)], "ticker string"))
-    return full.join(known.distinct(), "ticker", "left_semi")
+    return S.ticker_map(t.spark, base)
 
 
 @query("h18_excess_return", """

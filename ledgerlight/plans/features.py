@@ -108,6 +108,42 @@ def cohort_features(
     )
 
 
+def proximity_features(trades: DataFrame, votes: DataFrame, median: Column | int | None = None) -> DataFrame:
+    """trade_id, proximity_days, has_proximity_data alone: one pass over distinct (person, day) pairs, one join back."""
+    near = nearest_lookup(trades, vote_events(votes), "politician_id", "trade_date", V.VOTE_CAP_DAYS)
+    median = weighted_median(near, "gap_days") if median is None else median
+    keyed = trades.select("trade_id", "politician_id", "trade_date")
+    joined = spread_join(keyed, near, ["politician_id", "trade_date"])
+    return joined.select(
+        "trade_id", N.impute_days("gap_days", median if isinstance(median, Column) else F.lit(median), V.PROXIMITY_FALLBACK).alias("proximity_days"),
+        F.col("gap_days").isNotNull().cast("int").alias("has_proximity_data"),
+    )
+
+
+def bill_proximity(trades: DataFrame, bills: DataFrame, median: Column | int | None = None) -> DataFrame:
+    """trade_id, bill_proximity alone: the gaps depend on sectors and day, of which there are few."""
+    base = add_sectors(trades, None, None).select("trade_id", "sectors", "trade_date")
+    combos = base.groupBy("sectors", "trade_date").agg(F.count("*").alias("n_rows"))
+    gaps = category_gaps(combos, bill_events(bills), "sectors", "sector", "trade_date")
+    median = weighted_median(apply_category_gaps(combos, gaps, "sectors", "trade_date", "bill_gap"), "bill_gap") if median is None else median
+    joined = apply_category_gaps(base, gaps, "sectors", "trade_date", "bill_gap")
+    return joined.select("trade_id", N.impute_days("bill_gap", median if isinstance(median, Column) else F.lit(median), V.BILL_FALLBACK).alias("bill_proximity"))
+
+
+def behaviour_features(trades: DataFrame) -> DataFrame:
+    """trade_id, amount_zscore, cluster_score, disclosure_lag alone."""
+    base = trades.select("trade_id", "politician_id", "ticker", "trade_date", "amount_midpoint", "disclosure_lag_days")
+    own = enrich(base, amount_stats(trades).select("politician_id", "log_amt_mean", "log_amt_std"), ["politician_id"])
+    peers = peer_lookup(trades, "ticker", "politician_id", "trade_date").select("ticker", "trade_date", "peers", "n_rows")
+    joined = spread_join(own, peers, ["ticker", "trade_date"])
+    named = F.col("politician_id").isNotNull()
+    return joined.select(
+        "trade_id", N.amount_zscore("amount_midpoint", "log_amt_mean", "log_amt_std").alias("amount_zscore"),
+        F.when(named, F.coalesce(F.col("peers") - 1, F.lit(0))).otherwise(0).cast("int").alias("cluster_score"),
+        N.log_lag("disclosure_lag_days").alias("disclosure_lag"),
+    )
+
+
 def cohort_features_v1(
     trades: DataFrame, prices: DataFrame, votes: DataFrame, seats: DataFrame,
     bridge: DataFrame | None = None, ticker_map: DataFrame | None = None,
