@@ -327,18 +327,17 @@ def nearest_k(
 ) -> DataFrame:
     """The k events nearest in time within +-max_days in any of the row's categories.
 
-    Adds array<struct<gap_days, event_id, event_date, ...event columns>> ordered by gap, then id.
-    The events' categories are a small fixed vocabulary (sectors; see `nearest_k_by` for open keys),
-    so the answers are one small map per calendar day and are broadcast.
+    Adds array<struct<gap_days, event_id, event_date, ...event columns>> ordered by gap, then id, NULL
+    where nothing is near. The answer depends on the categories and the day alone: it is worked out per
+    distinct pair of these, from k events per category and day, and joined back by key.
     """
-    probes = _pairs(_exploded(left, array, category, date), [category], date)
-    lists = _nearest_lists(probes, events, [category], date, event_id, k, max_days)
-    by_date = lists.where(F.size("_near") > 0).groupBy(date).agg(
-        F.map_from_entries(F.collect_list(F.struct(category, "_near"))).alias("_near")
-    )
-    found = F.array_compact(_per_item(F.col(array), F.col("_near")))
-    best = F.slice(F.array_sort(F.array_distinct(F.flatten(found))), 1, k)
-    return left.join(F.broadcast(by_date), date, "left").withColumn(name, best).select(*left.columns, name)
+    combos = known(left, [array, date]).groupBy(array, date).agg(F.count(F.lit(1)).alias("n_rows"))
+    asked = combos.select(array, date, "n_rows", F.explode(F.array_distinct(array)).alias(category))
+    lists = _nearest_lists(_pairs(asked, [category], date), events, [category], date, event_id, k, max_days)
+    found = asked.join(lists.where(F.size("_near") > 0).select(category, date, "_near"), [category, date])
+    best = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_near")))), 1, k)
+    answers = found.groupBy(array, date).agg(best.alias(name), F.max("n_rows").alias("n_rows"))
+    return spread_join(left, answers, [array, date])
 
 
 def price_window(
