@@ -23,7 +23,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 END = 1
 #: A worker's cache starts anew beyond so many pieces of text.
-CACHED = 700_000
+CACHED = 500_000
 INDEX = "shard int, path string, ordinal long, doc_id long, offset long, bytes long, n_tokens long"
 
 # A record: u64 length, u32 masked CRC-32 of these 8 bytes, the payload, u32 masked CRC-32 of the payload;
@@ -73,7 +73,7 @@ class Pieces(dict):
     def __init__(self, tokenizer, width: int):
         super().__init__()
         self.kind, self.code = f"<u{width}", {2: "H", 4: "I"}[width]
-        self.tokenizer, self.splits = tokenizer, {}
+        self.tokenizer, self.splits, self.letters = tokenizer, {}, {}
         self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.tail = {p for p in b".,;:!?" if self._parts(f"ab{chr(p)}") == ["ab", chr(p)] and self._parts(f"\u00e9{chr(p)}")[1:] == [chr(p)]}
         lower = "abcdefghijklmnopqrstuvwxyz"
@@ -100,10 +100,19 @@ class Pieces(dict):
             low = piece.lower()
             return self._model(piece.decode()) if low == piece else self[low]
         text = piece.decode()
+        letters = [self.letters[c] if c in self.letters else self._letter(c) for c in text]
+        if None not in letters:
+            return self.split("".join(letters))
         if any(a in text for a in self.added) or self.tokenizer.pre_tokenizer is None:
             return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.split, self._parts(text)))
 
+    def _letter(self, letter: str) -> str | None:
+        """What a Latin letter becomes in any word, None if it isn't one or is more than one part."""
+        own = self._parts(letter) if letter.isalpha() and ord(letter) < 0x250 else []
+        self.letters[letter] = own[0] if len(own) == 1 and self._parts(f"a{letter}a") == [f"a{own[0]}a"] else None
+        return self.letters[letter]
+
     def _model(self, part: str) -> bytes:
         return array(self.code, [t.id for t in self.tokenizer.model.tokenize(part)]).tobytes()
 
