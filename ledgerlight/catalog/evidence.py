@@ -83,10 +83,10 @@ def j04d(t: Tables):
 @query("j05_daily_digests", """
 , r AS (SELECT f.*, p.full_name, row_number() OVER (PARTITION BY trade_date ORDER BY greatest(cohort_index, baseline_index) DESC, trade_id) AS rn FROM flagged f LEFT JOIN politicians p ON p.id = f.politician_id)
 SELECT trade_date AS report_date, count(*) AS n_trades, 'This is The desk for ' || trade_date || '. Today''s highest-risk activity includes ' || string_agg(full_name || ' ' || trade_type || ' ' || ticker || ' (' || severity_quadrant || ')', '; ' ORDER BY rn) FILTER (rn <= 3)
-  || '. These flags are statistical anomalies for public-interest review and not proof of misconduct.' AS narration_script FROM r GROUP BY 1
+  || '. These flags are statistical anomalies for public-interest review and not proof of misconduct.' AS narration_script, '""" + P.DIGEST_PROMPT.replace("'", "''") + """' AS video_prompt, 'pending' AS generation_status FROM r GROUP BY 1
 """)
 def j05(t: Tables):
-    return P.daily_digests(t.scored, t.politicians, t.reports).select("report_date", "n_trades", "narration_script")
+    return P.daily_digests(t.scored, t.politicians)
 
 
 @query("j05_digest_members", "SELECT trade_date AS report_date, trade_id, greatest(cohort_index, baseline_index) AS max_index FROM flagged")
@@ -94,13 +94,22 @@ def j05m(t: Tables):
     return P.digest_members(t.scored)
 
 
+@query("j05_covered_ids", """
+SELECT trade_date AS report_date, count(*) AS n_trades, string_agg(trade_id, ',' ORDER BY greatest(cohort_index, baseline_index) DESC, trade_id) AS trade_ids_covered FROM flagged GROUP BY 1
+""")
+def j05c(t: Tables):
+    """The ids a day's digest covers, highest index first."""
+    listed = P.with_covered_ids(P.daily_digests(t.scored, t.politicians), P.digest_members(t.scored))
+    return listed.select("report_date", "n_trades", F.array_join("trade_ids_covered", ",").alias("trade_ids_covered"))
+
+
 @query("j05_quiet_digests", """
 SELECT DISTINCT CAST(o_orderdate AS DATE) AS report_date, 'This is The desk for ' || CAST(o_orderdate AS DATE) || '. No SEVERE or SYSTEMIC trades were recorded today.' AS narration_script FROM orders
 WHERE CAST(o_orderdate AS DATE) NOT IN (SELECT trade_date FROM scored WHERE severity_quadrant = 'SEVERE' AND line_number = 1)
 """)
 def j05q(t: Tables):
     few = t.scored.where((F.col("severity_quadrant") == "SEVERE") & (F.split("trade_id", "-").getItem(1) == "1"))
-    digests = P.daily_digests(few, t.politicians, t.reports)
+    digests = P.daily_digests(few, t.politicians)
     days = t.orders.select(F.to_date("o_orderdate").alias("report_date"))
     return P.quiet_digest(days, digests).select("report_date", "narration_script")
 

@@ -357,17 +357,22 @@ def d34(t: Tables):
     return positions(holdings(t), ["cik", "cusip"])
 
 
-@query("d35_null_profile", """
-, u AS (SELECT 'trades' AS "table", 'ticker' AS "column", count(*) FILTER (ticker IS NULL) AS nulls, count(*) AS total FROM trades
-UNION ALL SELECT 'trades', 'industry_sector', count(*) FILTER (industry_sector IS NULL), count(*) FROM trades
-UNION ALL SELECT 'bills', 'policy_area', count(*) FILTER (policy_area IS NULL), count(*) FROM bills
-UNION ALL SELECT 'bills', 'url', count(*) FILTER (url IS NULL), count(*) FROM bills)
-SELECT *, round(nulls * 100.0::DOUBLE / total, 1) AS null_pct FROM u
-""")
+PROFILED = {
+    "trades": "trade_id politician_id ticker trade_type trade_date disclosure_lag_days disclosure_date amount_midpoint amount_lower amount_upper industry_sector".split(),
+    "bills": "bill_id bill_number title policy_area latest_action_date url".split(),
+    "reports": "id trade_id headline narrative evidence_json disclaimer video_prompt narration_script citation_image_prompts model".split(),
+}
+
+
+@query("d35_null_profile", ", u AS (" + " UNION ALL ".join(
+    f"""SELECT '{table}' AS "table", '{c}' AS "column", count(*) FILTER ({c} IS NULL) AS nulls, count(*) AS total FROM {table}"""
+    for table, columns in PROFILED.items() for c in columns
+) + ")\nSELECT *, round(nulls * 100.0::DOUBLE / total, 1) AS null_pct FROM u")
 def d35(t: Tables):
-    return Q.null_profile(t.trades, "trades", ["ticker", "industry_sector"]).unionByName(
-        Q.null_profile(t.bills, "bills", ["policy_area", "url"])
-    )
+    """Every column of three tables, one pass over each."""
+    from functools import reduce
+
+    return reduce(lambda a, b: a.unionByName(b), [Q.null_profile(getattr(t, n).select(*columns), n) for n, columns in PROFILED.items()])
 
 
 @query("d36_coverage", """

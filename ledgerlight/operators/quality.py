@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -213,6 +212,3 @@ def bridge_coverage(trades: DataFrame, bridge: DataFrame) -> DataFrame:
         F.count_if(F.col("_linked") & F.col("industry_sector").isNull()).alias("bridge_only"),
     )
 
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
