@@ -10,6 +10,7 @@ from ledgerlight.functions import sectors as S
 from ledgerlight.functions import vocab as V
 from ledgerlight.operators.analytics import is_flagged, listed_order
 from ledgerlight.operators.clean import optional_filters, search_people, select_person
+from ledgerlight.operators.lookup import enrich
 from ledgerlight.operators.merge import keep_first
 
 LATE_DAYS = 45
@@ -94,7 +95,8 @@ def case_trades(
     people = politicians if name is None else politicians.where(F.contains(F.lower("full_name"), F.lit(name.lower())))
     wanted = optional_filters(scored, quadrants=quadrants, since=since, until=until, ticker=ticker)
     person = people.select(F.col("id").alias("politician_id"), "full_name", "party", "chamber")
-    joined = wanted.join(person, "politician_id").withColumn("alpha_30d", F.round("feat_cohort_alpha", 3))
+    known = enrich(wanted, person.withColumn("_known", F.lit(True)), ["politician_id"]).where("_known").drop("_known")
+    joined = known.withColumn("alpha_30d", F.round("feat_cohort_alpha", 3))
     by = F.desc("baseline_index") if order == "baseline_index" else F.asc(order)
     ordered = joined.orderBy(by, "trade_id")
     return ordered if limit is None else ordered.limit(limit)
@@ -118,7 +120,10 @@ def committee_overlap(
     committees = seats.groupBy("politician_id").agg(
         F.array_join(F.array_sort(F.collect_set("committee_name")), "; ").alias("committees")
     )
-    return _with_people(page, politicians, "full_name", "party", "state").join(committees, "politician_id", "left")
+    if limit is not None:
+        return _with_people(page, politicians, "full_name", "party", "state").join(committees, "politician_id", "left")
+    person = politicians.select(F.col("id").alias("politician_id"), "full_name", "party", "state").join(committees, "politician_id", "left")
+    return enrich(wanted.withColumn("combined_score", total), person, ["politician_id"]).orderBy(F.desc(x), F.desc("combined_score"), "trade_id")
 
 
 def media_queue(scored: DataFrame, reports: DataFrame, limit: int = 100) -> DataFrame:
