@@ -293,3 +293,41 @@ def a21t(t: Tables):
 @query("a21_cusip_map", "SELECT 'C' || p_size AS cusip, min(p_brand) AS ticker FROM part GROUP BY 1")
 def a21c(t: Tables):
     return R.load_cusip_map(t.part.select(F.col("p_partkey").alias("id"), F.concat(F.lit("C"), "p_size").alias("cusip"), F.col("p_brand").alias("ticker")))
+
+
+@query("a10_flatten_committees", """
+SELECT 'hs' || n_nationkey || '00' AS id, 'Committee on Finance ' || n_nationkey AS name, CASE n_nationkey % 3 WHEN 0 THEN 'house' WHEN 1 THEN 'senate' ELSE 'joint' END AS chamber FROM nation
+""")
+def a10c(t: Tables):
+    key_ = F.col("n_nationkey")
+    answer = t.nation.select(
+        F.concat(F.lit("hs"), key_, F.lit("00")).alias("systemCode"), F.concat(F.lit("Committee on Finance "), key_).alias("name"),
+        F.when(key_ % 3 == 0, "House of Representatives").when(key_ % 3 == 1, "Senate").otherwise("Other").alias("chamber"))
+    return D.flatten_committees(D.read_json(t.spark, _json(t, answer, "committees"), D.COMMITTEES)).select("id", "name", "chamber")
+
+
+def _house_votes(t: Tables):
+    """Orders as House roll calls, their buyer and clerk as voters; some without a bill."""
+    votes = t.orders.select(
+        F.col("o_orderkey").alias("rollCallNumber"), F.to_date("o_orderdate").cast("string").alias("startDate"), F.lit("On Passage").alias("voteQuestion"),
+        F.col("o_orderstatus").alias("result"), F.when(F.col("o_orderstatus") != "P", "HR").alias("legislationType"), F.col("o_custkey").cast("string").alias("legislationNumber"),
+        F.array(
+            F.struct(F.concat(F.lit("B"), F.col("o_custkey")).alias("bioguideID"), F.lit("Yea").alias("voteCast")),
+            F.struct(F.when(F.col("o_orderstatus") == "F", F.lit("C1")).alias("bioguideID"), F.lit("Nay").alias("voteCast")),
+        ).alias("results"))
+    return D.read_json(t.spark, _json(t, votes, "house_votes"), D.HOUSE_VOTES)
+
+
+@query("a10_flatten_house_votes", """
+SELECT 'house-119-' || o_orderkey AS id, CASE WHEN o_orderstatus <> 'P' THEN 'HR' || o_custkey || '-119' ELSE '' END AS bill_id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS vote_date, 'house' AS chamber, o_orderstatus AS description FROM orders
+""")
+def a10v(t: Tables):
+    return D.flatten_house_votes(_house_votes(t)).select("id", "bill_id", "vote_date", "chamber", "description")
+
+
+@query("a10_flatten_house_positions", """
+SELECT 'B' || o_custkey AS politician_id, 'house-119-' || o_orderkey AS vote_id, 'yes' AS position FROM orders
+UNION ALL SELECT 'C1', 'house-119-' || o_orderkey, 'no' FROM orders WHERE o_orderstatus = 'F'
+""")
+def a10p(t: Tables):
+    return D.flatten_house_positions(_house_votes(t))
