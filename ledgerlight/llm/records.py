@@ -23,7 +23,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 END = 1
 #: A worker's cache starts anew beyond so many pieces of text.
-CACHED = 500_000
+CACHED = 300_000
 INDEX = "shard int, path string, ordinal long, doc_id long, offset long, bytes long, n_tokens long"
 
 # A record: u64 length, u32 masked CRC-32 of these 8 bytes, the payload, u32 masked CRC-32 of the payload;
