@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -200,9 +200,14 @@ def _grouped(docs: DataFrame, width: int, seed: int, threshold: int) -> tuple[Da
     each = scratch_table(fingerprints(docs, width, seed), "fingerprints")
     distinct = scratch_table(each.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     roots = connected_components(near_links(distinct.select("fp"), threshold))
+    return each, rooted_groups(distinct, roots)
+
+
+def rooted_groups(distinct: DataFrame, roots: DataFrame) -> DataFrame:
+    """(fp, root, component_id) of `distinct` (fp, first_id) by its components' `roots`."""
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return each, rooted.join(least, "root").select("fp", "root", "component_id")
+    return rooted.join(least, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, seed: int = SEED, threshold: int = THRESHOLD) -> DataFrame:
@@ -224,6 +229,11 @@ def keep_first(docs: DataFrame, width: int = SHINGLE, seed: int = SEED, threshol
     their own fingerprint. A group without any known id keeps one row.
     """
     each, groups = _grouped(docs, width, seed, threshold)
+    return first_of_groups(docs, each, groups, lambda text: _signed(fingerprint(text, width, seed)))
+
+
+def first_of_groups(docs: DataFrame, each: DataFrame, groups: DataFrame, print_of: Callable[[str | None], int]) -> DataFrame:
+    """The rows of `docs` that `keep_first` keeps, by `each` (doc_id, fp), `groups` and the function that gives a text's fp."""
     groups = scratch_table(groups, "groups")
     shared = scratch_table(each.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").select("doc_id"), "shared-ids")
     dropped = each.join(groups, "fp").where("doc_id <> component_id").select("doc_id").distinct()
@@ -234,6 +244,6 @@ def keep_first(docs: DataFrame, width: int = SHINGLE, seed: int = SEED, threshol
         return kept
     unclear = rows.join(
         shared.withColumnRenamed("doc_id", "shared_id"), F.col("doc_id").eqNullSafe(F.col("shared_id")), "left_semi"
-    ).withColumn("fp", F.udf(lambda text: _signed(fingerprint(text, width, seed)), "long")("text"))
+    ).withColumn("fp", F.udf(print_of, "long")("text"))
     first = unclear.join(groups, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).dropDuplicates(["root"])
     return kept.unionByName(first.select("row.*"))
