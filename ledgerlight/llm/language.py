@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import os
 import sys
 from collections.abc import Iterator
 
@@ -12,13 +14,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from ledgerlight.llm.shared import remainder, scratch_table, ship, unship, worker_cache
+from ledgerlight.llm.shared import remainder, scratch_table, shared_folder, ship, unship, worker_cache
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 UNKNOWN = "und"
+#: Fewest slots; more are taken until the language with the most n-grams has FALSE_RATE or less.
 SLOTS = 1 << 18
 HASHES = 4
+FALSE_RATE = 0.01
+#: A filter of more 64-bit words than this isn't sent but mapped from the shared folder.
+SENT = 1 << 21
+#: Most words of a filter: 16 GB, or 2^27 n-grams of a language at FALSE_RATE while there are 64 languages or fewer.
+MOST = 1 << 31
+#: Slots written by one task, a power of two.
+PART = 1 << 18
 #: An n-gram belongs to a language if it is at least this share as frequent there as where it is most frequent.
 SHARE = 0.25
 LEAST = 2
@@ -95,13 +105,52 @@ def _mark(slots: int, hashes: int):
     return run
 
 
+def _words_of(languages: list[str]) -> int:
+    return max(1, -(-len(languages) // 64))
+
+
+def slots_for(ngrams: int, hashes: int = HASHES, rate: float = FALSE_RATE) -> int:
+    """Fewest slots, as a power of two, at which `ngrams` n-grams give a false positive rate of `rate` or less."""
+    need = -hashes * ngrams / math.log(1 - rate ** (1 / hashes))
+    return 1 << math.ceil(math.log2(max(1.0, need)))
+
+
+def _put(path: str, shape: tuple[int, int]):
+    """Writes cells of the filter into its file; a task has whole parts of it to itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.memmap(path, np.uint64, "r+", shape=shape)
+        for batch in batches:
+            table[np.asarray(batch.column("slot")), np.asarray(batch.column("word"))] = np.asarray(batch.column("mask")).view(np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("slot")], names=["slot"])
+        table.flush()
+
+    return run
+
+
 class Model:
-    """languages in code point order, and the filter: slots x words of 64 language bits."""
+    """languages in code point order, and the filter: slots x words of 64 language bits, or the path of its file."""
+
+    def __init__(self, languages: list[str], table: np.ndarray | str, hashes: int):
+        self.languages, self.hashes = languages, hashes
+        self.path = table if isinstance(table, str) else None
+        self.table = self._mapped() if self.path else table
+        filled = np.zeros(len(languages))
+        for at in range(0, len(self.table), PART):
+            part = self.table[at : at + PART]
+            filled += [np.count_nonzero(part[:, i // 64] & np.uint64(1 << i % 64)) for i in range(len(languages))]
+        self.false_rate = (filled / max(1, len(self.table))) ** hashes
+
+    def _mapped(self) -> np.ndarray:
+        return np.memmap(self.path, np.uint64, "r").view(np.ndarray).reshape(-1, _words_of(self.languages))
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | ({"table": None} if self.path else {})
 
-    def __init__(self, languages: list[str], table: np.ndarray, hashes: int):
-        self.languages, self.table, self.hashes = languages, table, hashes
-        bits = [table[:, i // 64] >> np.uint64(i % 64) & np.uint64(1) for i in range(len(languages))]
-        self.false_rate = np.array([float(b.mean()) ** hashes for b in bits])
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        if self.path:
+            self.table = self._mapped()
 
     def hits(self, grams: np.ndarray) -> np.ndarray:
         """Languages that may contain each n-gram: the AND of its slots."""
@@ -136,8 +185,10 @@ class Model:
 
 
 def fit(docs: DataFrame, slots: int = SLOTS, hashes: int = HASHES, share: float = SHARE, least: int = LEAST) -> Model:
-    """Learn from `docs` (text, lang), all rows with both. The driver gets the filter alone: `slots` rows at most
-    for every 64 languages."""
+    """Learn from `docs` (text, lang), all rows with both. The filter has `slots` rows (a power of two) for every 64
+    languages, or as many more as the language with the most n-grams needs for FALSE_RATE. The driver gets a
+    filter of up to SENT words; a larger one is written by the executors to the shared folder. Over MOST words
+    is an error."""
     counts = scratch_table(
         docs.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang").mapInArrow(_count, "lang string, gram long, n long")
         .groupBy("lang", "gram").agg(F.sum("n").alias("n")), "ngrams",
@@ -148,12 +199,25 @@ def fit(docs: DataFrame, slots: int = SLOTS, hashes: int = HASHES, share: float
     rates = counts.join(F.broadcast(totals.join(numbers, "lang")), "lang").withColumn("rate", F.col("n") / F.col("total"))
     top = F.max("rate").over(Window.partitionBy("gram"))
     owned = rates.withColumn("top", top).where((F.col("rate") >= share * F.col("top")) & (F.col("n") >= least))
+    owned = scratch_table(owned.select("gram", "number"), "owned-ngrams")
+    fullest = owned.groupBy("number").count().agg(F.max("count")).first()[0] or 0
+    slots, width = max(slots, slots_for(fullest, hashes)), _words_of(languages)
+    if slots * width > MOST:
+        raise ValueError(f"{fullest} n-grams of one of {len(languages)} languages need a filter of {slots * width} words; {MOST} are the most")
     masks = owned.groupBy("gram", F.floor(F.col("number") / 64).cast("int").alias("word")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("number") % 64)).alias("mask")
     )
     marked = masks.mapInArrow(_mark(slots, hashes), "slot long, word int, mask long")
-    filled = marked.groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toPandas()
-    table = np.zeros((slots, max(1, -(-len(languages) // 64))), np.uint64)
+    filled = marked.groupBy("slot", "word").agg(F.bit_or("mask").alias("mask"))
+    if slots * width > SENT:
+        path = os.path.join(shared_folder(docs.sparkSession, "filter"), "filter")
+        with open(path, "wb") as file:
+            file.truncate(8 * slots * width)
+        put = filled.repartition(F.floor(F.col("slot") / PART)).mapInArrow(_put(path, (slots, width)), "slot long")
+        put.write.format("noop").mode("overwrite").save()
+        return Model(languages, path, hashes)
+    filled = filled.toPandas()
+    table = np.zeros((slots, width), np.uint64)
     table[filled["slot"].to_numpy(np.int64), filled["word"].to_numpy(np.int64)] = filled["mask"].to_numpy(np.int64).view(np.uint64)
     return Model(languages, table, hashes)
 
@@ -173,7 +237,7 @@ def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred"
     """`docs` with the predicted language and its score appended as `names`, replacing columns of these names.
 
     A text that is NULL or has no letter is `und` with score 0; if no n-gram of a text is known, the first
-    language gets an equal share as score. The filter is broadcast: its size is a parameter.
+    language gets an equal share as score. The filter is broadcast, or mapped if it is large.
     """
     shared = ship(docs.sparkSession, model)
     kept = docs.drop(*names)

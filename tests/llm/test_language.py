@@ -52,3 +52,26 @@ def test_many_languages_and_false_positives():
     masks = model.hits(grams)
     assert all(int(masks[i, i % 130 // 64]) >> (i % 130 % 64) & 1 for i in range(260))
     assert model.false_rate.max() < 0.01
+
+
+def test_filter_grows_with_the_ngrams(spark, monkeypatch):
+    """Two languages of large alphabets, in a filter that is too small for them, sent or mapped."""
+    rng = np.random.default_rng(3)
+
+    def text(first, n):
+        return "".join(chr(first + int(c)) for c in rng.integers(0, 3000, n))
+
+    rows = [(name, text(first, 2000)) for name, first in (("ko", 0xAC00), ("zh", 0x4E00)) for _ in range(4)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    for sent in (L.SENT, 1):
+        monkeypatch.setattr(L, "SENT", sent)
+        model = L.fit(docs, slots=1 << 10, least=1)
+        assert model.false_rate.max() <= L.FALSE_RATE and (model.path is None) == (sent > 1)
+        found = L.predict(docs, model).collect()
+        assert all(r["lang_pred"] == r["lang"] and r["score"] > 0.99 for r in found)
+    monkeypatch.setattr(L, "MOST", 1 << 10)
+    try:
+        L.fit(docs, slots=1 << 10, least=1)
+    except ValueError:
+        return
+    raise AssertionError("a filter over the bound is made")
