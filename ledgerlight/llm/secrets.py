@@ -8,7 +8,9 @@ import hashlib
 import json
 import re
 import sys
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -25,6 +27,8 @@ LEAST_RUN = 24
 #: How the key encodings name themselves.
 SSH_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
 SSH_PRIVATE = b"openssh-key-v1\0"
+#: Length-prefixed fields of a public key by type, the type included.
+SSH_FIELDS = dict(zip(SSH_TYPES, (3, 5, 2, 3, 3, 3)))
 SCHEMA = "spans array<struct<kind:string,start:long,end:long>>"
 
 
@@ -114,20 +118,73 @@ def _confirmed(data: bytes) -> str | None:
     return "der" if der_key(data) else "ssh" if ssh_key(data) else None
 
 
+def _stated(packed: str, at: int) -> int:
+    """Bytes that the DER or SSH header at `at` of an encoded run says its key has; 0 without such a header."""
+
+    def peek(start: int, n: int) -> bytes:
+        first = at + start // 3 * 4
+        return _base64(packed[first : first + (start % 3 + n + 2) // 3 * 4])[start % 3 : start % 3 + n]
+
+    head = peek(0, 6)
+    if head[:1] == b"\x30" and len(head) == 6:
+        octets = max(0, head[1] - 128)
+        return 2 + octets + int.from_bytes(head[2 : 2 + octets], "big") if 1 <= octets <= 4 else 2 + head[1] if head[1] < 128 else 0
+    if peek(0, len(SSH_PRIVATE)) == SSH_PRIVATE:  # three fields, the number of public keys, these, the private part
+        end, fields, private = len(SSH_PRIVATE), 3, True
+    else:
+        n = int.from_bytes(head[:4], "big")
+        end, fields, private = 0, SSH_FIELDS.get(peek(4, n), 0) if n <= max(map(len, SSH_TYPES)) else 0, False
+    while fields and end < len(packed):
+        end += 4 + int.from_bytes(peek(end, 4), "big")
+        fields -= 1
+        if private and not fields:
+            fields, private = int.from_bytes(peek(end, 4), "big") + 1, False
+            end += 4
+    return 0 if fields else end
+
+
+def _keys_by_line(text: str, start: int, end: int) -> Iterator[tuple[str, int, int]]:
+    """Keys of a run of lines, each from the start of a line over as many lines as its own header asks for."""
+    lines = [(start + m.start(), start + m.end()) for m in re.finditer(r"[^\r\n]+", text[start:end])]
+    offsets = [0, *accumulate(b - a for a, b in lines)]
+    packed = "".join(text[a:b] for a, b in lines)
+    i = 0
+    while i < len(lines):
+        n = _stated(packed, offsets[i])
+        last = bisect_left(offsets, offsets[i] + -(-4 * n // 3)) - 1 if n else len(lines)
+        kind = None
+        if last < len(lines) and offsets[last + 1] - offsets[i] <= -(-n // 3) * 4:  # with padding or without
+            kind = _confirmed(_base64(packed[offsets[i] : offsets[last + 1]]))
+        if kind:
+            yield kind, lines[i][0], lines[last][1]
+        i = last + 1 if kind else i + 1
+
+
+def _tokens(text: str, rule: re.Pattern) -> Iterator[tuple[str, int, int]]:
+    """Signed tokens; where three segments aren't one, the next may start at the second of them."""
+    m = rule.search(text)
+    while m:
+        found = signed_token(*m.groups())
+        if found:
+            yield "jwt", *m.span()
+        m = rule.search(text, m.end() if found else m.start(2))
+
+
 def find(text: str, rules: dict[str, re.Pattern]) -> list[tuple[str, int, int]]:
     """(kind, start, end) by start, then kind: in code points, the end exclusive."""
     spans = [("assign", *m.span()) for m in rules["assign"].finditer(text) if len(m[2]) >= LEAST_ASSIGN]
     for kind in ("access", "hex"):
         spans += [(kind, *m.span()) for m in rules[kind].finditer(text)]
     if "." in text:
-        spans += [("jwt", *m.span()) for m in rules["jwt"].finditer(text) if signed_token(*m.groups())]
+        spans += _tokens(text, rules["jwt"])
     for m in rules["run"].finditer(text):
         start, end = m.span()
-        kind = _confirmed(_base64(m[0]))
+        kind, rest = _confirmed(_base64(m[0])), end
         if not kind and "\n" in m[0]:  # the word after an encoded block isn't always part of it
-            end = start + m[0].rindex("\n")
-            end -= text[end - 1] == "\r"
+            rest = start + m[0].rindex("\n")
+            end = rest - (text[rest - 1] == "\r")
             kind = _confirmed(_base64(text[start:end]))
+            spans += _keys_by_line(text, rest if kind else start, m.end())
         if kind:
             spans.append((kind, start, end))
     for m in rules["hexrun"].finditer(text):
@@ -152,7 +209,8 @@ def scan(docs: DataFrame) -> DataFrame:
     Base kinds are patterns: assign (a named value of 12 or more characters), access (an access key id of 18
     or more) and hex (16 or more digits), leftmost and non-overlapping per kind. The others are proven by
     decoding base64 or hex runs: jwt (signed token, JSON header and payload), der (nested lengths that fill
-    the data exactly) and ssh (length-prefixed fields or a private key block). A NULL text has no spans;
+    the data exactly) and ssh (length-prefixed fields or a private key block). Lines that follow each other are
+    tried as one block, then each as the start of a key as long as its own header says. A NULL text has no spans;
     repeated rows come out repeated. Rows are independent, so any split of the table will do.
     """
     kept = docs.drop("spans")

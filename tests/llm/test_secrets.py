@@ -62,6 +62,28 @@ def test_structures():
         assert not kinds(text), text
 
 
+def test_keys_one_per_line():
+    rules = secrets._rules()
+    keys = [b64(der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2b\x65\x70")) + der(4, der(4, bytes([i]) * 32)))) for i in range(4)]
+    large = b64(der(0x30, der(2, b"\0") + der(2, b"\1" * 127)))
+    block = "\n".join(large[i : i + 64] for i in range(0, len(large), 64))
+    private = b64(secrets.SSH_PRIVATE + b"".join(struct.pack(">I", len(x)) + x for x in (b"none", b"none", b"")) + struct.pack(">I", 1) + struct.pack(">I", len(SSH)) + SSH + struct.pack(">I", 76) + b"p" * 76)
+    assert {len(k) for k in keys} == {64} and not any(x.endswith("=") for x in (large, private, b64(SSH)))
+    other = "https://host/" + "f" * 40
+    for want in ([keys[0]], keys[:2], keys[:3], keys, [other, keys[0]], [other, *keys, other], [keys[0], b64(SSH), keys[1]], [other, block, keys[2]], [block, block, block], [other, private, keys[0]]):
+        for end in ("\n", "\r\n"):
+            text = "x " + end.join(w.replace("\n", end) for w in want) + end + "words after"
+            found = [text[a:b] for kind, a, b in secrets.find(text, rules) if kind in ("der", "ssh")]
+            assert found == [w.replace("\n", end) for w in want if w != other], (want, end)
+
+
+def test_token_after_dotted_words():
+    rules = secrets._rules()
+    for before in ("authorization.", "bearertoken.value.", "aaaaaaaa.bbbbbbbb.cccccccc.dddddddd."):
+        text = f"see {before}{TOKEN} end"
+        assert [text[a:b] for kind, a, b in secrets.find(text, rules) if kind == "jwt"] == [TOKEN]
+
+
 def test_query(spark, sf_dir, tmp_path):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(90, None), (None, "token=abcdefghijkl"), (91, f"see {TOKEN}")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
