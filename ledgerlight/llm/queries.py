@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import curriculum, decontaminate, kneser_ney, language, records, retrieval, secrets, simhash, toxicity, warc
+from ledgerlight.llm import curriculum, decontaminate, kneser_ney, language, minhash, records, retrieval, secrets, simhash, toxicity, warc
 from ledgerlight.llm.oracles import ORACLES  # noqa: F401
 from ledgerlight.llm.shared import remainder, scratch_table, table, word_count
 from ledgerlight.session import scratch_path
@@ -88,8 +88,19 @@ def op10_records(spark: SparkSession, folder: str) -> DataFrame:
     return records.tokenized(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op11_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    def digits(column: str) -> Column:
+        return F.lower(F.hex(column))
+
+    return minhash.with_edits(table(spark, folder, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_chars", digits("edited_sha256").alias("edited_sha256"), digits("signature").alias("fingerprint"),
+        digits("edited_signature").alias("edited_fingerprint"), "near_edited", "near_next",
+    )
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_simhash, op2_decontamination, op3_kneser_ney, op4_toxicity, op5_curriculum, op6_warc, op7_language, op8_retrieval, op9_secrets, op10_records,
+        op11_fingerprints,
     )
 }

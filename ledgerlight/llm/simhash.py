@@ -11,6 +11,7 @@ import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlight.llm.components import connected_components
 from ledgerlight.llm.shared import scratch_table, small, whole_row
@@ -229,11 +230,24 @@ def keep_first(docs: DataFrame, width: int = SHINGLE, seed: int = SEED, threshol
     their own fingerprint. A group without any known id keeps one row.
     """
     each, groups = _grouped(docs, width, seed, threshold)
-    return first_of_groups(docs, each, groups, lambda text: _signed(fingerprint(text, width, seed)))
 
+    def prints(texts: list[str | None]) -> list[int]:
+        return [_signed(fingerprint(t, width, seed)) for t in texts]
 
-def first_of_groups(docs: DataFrame, each: DataFrame, groups: DataFrame, print_of: Callable[[str | None], int]) -> DataFrame:
-    """The rows of `docs` that `keep_first` keeps, by `each` (doc_id, fp), `groups` and the function that gives a text's fp."""
+    return first_of_groups(docs, each, groups, prints)
+
+
+def _with_prints(prints: Callable[[list[str | None]], list[int]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array(prints(batch.column("text").to_pylist()), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), found], names=["row", "fp"])
+
+    return run
+
+
+def first_of_groups(docs: DataFrame, each: DataFrame, groups: DataFrame, prints: Callable[[list[str | None]], list[int]]) -> DataFrame:
+    """The rows of `docs` that `keep_first` keeps, by `each` (doc_id, fp), `groups` and the function that gives texts' fps."""
     groups = scratch_table(groups, "groups")
     shared = scratch_table(each.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").select("doc_id"), "shared-ids")
     dropped = each.join(groups, "fp").where("doc_id <> component_id").select("doc_id").distinct()
@@ -242,8 +256,7 @@ def first_of_groups(docs: DataFrame, each: DataFrame, groups: DataFrame, print_o
     kept = rows.where("doc_id IS NOT NULL").join(small(dropped), "doc_id", "left_anti").select("row.*")
     if shared.isEmpty():
         return kept
-    unclear = rows.join(
-        shared.withColumnRenamed("doc_id", "shared_id"), F.col("doc_id").eqNullSafe(F.col("shared_id")), "left_semi"
-    ).withColumn("fp", F.udf(print_of, "long")("text"))
-    first = unclear.join(groups, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).dropDuplicates(["root"])
+    unclear = rows.join(shared.withColumnRenamed("doc_id", "shared_id"), F.col("doc_id").eqNullSafe(F.col("shared_id")), "left_semi").select("row", "text")
+    looked_up = unclear.mapInArrow(_with_prints(prints), T.StructType([unclear.schema["row"], T.StructField("fp", T.LongType())])).join(groups, "fp")
+    first = looked_up.where(F.col("row.doc_id").eqNullSafe(F.col("component_id"))).dropDuplicates(["root"])
     return kept.unionByName(first.select("row.*"))
