@@ -17,14 +17,13 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlight.llm.components import connected_components
-from ledgerlight.llm.shared import scratch_table, shared_folder, small, worker_cache
+from ledgerlight.llm.shared import scratch_table, shared_folder, small, text_parts, worker_cache
 from ledgerlight.llm.simhash import rooted_groups
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -40,8 +39,8 @@ CHANCE = 1 / 256
 MARGIN = 0.25
 #: Members of one band that a task takes from one side; larger bands are compared part by part.
 PART = 4096
-#: Shingles hashed together, shingles compared together, bytes of text taken together.
-CHUNK, PIECE, TEXT = 1 << 14, 1 << 18, 1 << 23
+#: Shingles hashed together, shingles compared together.
+CHUNK, PIECE = 1 << 14, 1 << 18
 EMPTY = np.full(PERMUTATIONS, 0xFF, np.uint8)
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -125,20 +124,10 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.array([row.tobytes() for row in rows], pa.binary())
 
 
-def _parts(batch: pa.RecordBatch, bytes_: int = TEXT) -> Iterator[pa.RecordBatch]:
-    """Pieces of a batch whose texts together have about `bytes_` bytes, or one row."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < batch.num_rows:
-        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + bytes_, "right")))
-        yield batch.slice(at, stop - at)
-        at = stop
-
-
 def _sign(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _parts(batch):
+            for part in text_parts(batch):
                 hashes, sizes = shingles_of(part.column("text").to_pylist(), width)
                 keys = pa.array([set_key(s) for s in sets(hashes, sizes)], pa.int64())
                 columns = [part.column("doc_id"), part.column("text_key"), keys, _binary(fingerprints(hashes, sizes))]
@@ -209,7 +198,7 @@ def _successive(width: int, id_type: pa.DataType):
         """A task's rows in order. Its last row waits for the next task's first one."""
         shard, held = TaskContext.get().partitionId(), []
         for batch in batches:
-            for part in _parts(batch):
+            for part in text_parts(batch):
                 rows = _signed_rows(part.column("doc_id").to_pylist(), [t or "" for t in part.column("text").to_pylist()], width)
                 if not held:
                     yield _rows(FIRST, shard, id_type, rows[:1], None, width)
@@ -294,7 +283,7 @@ def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _make_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _parts(batch):
+            for part in text_parts(batch):
                 hashes, sizes = shingles_of(part.column("text").to_pylist(), width)
                 found = sets(hashes, sizes)
                 columns = [pa.array([set_key(s) for s in found], pa.int64()), _binary(fingerprints(hashes, sizes)), pa.array([s.tobytes() for s in found], pa.binary())]

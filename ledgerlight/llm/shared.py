@@ -6,8 +6,12 @@ import os
 import pickle
 import sys
 import types
+from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,6 +94,16 @@ def unship(sent):
     return pickle.loads(sent.value)
 
 
+def text_parts(batch: pa.RecordBatch, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """Pieces of a batch whose `text` has about `most` bytes together, or one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def worker_cache(name: str) -> dict:
     """A dict that lives as long as the Python worker, across its tasks."""
     holder = sys.modules.setdefault("_ledgerlight_worker", types.ModuleType("_ledgerlight_worker"))
