@@ -4,9 +4,9 @@ Word i lies on diagonal (lag) d if word i - d is the same. While words come in,
 length grows; a lag whose next word differs ends, and if its stretch is long enough the run is emitted at
 once. What keeps this sparse:
 
-- A run of period q and length 4q or more matches on its diagonal for 3q words, so at a word whose number is a
-  multiple of q. A lag is taken up only at word numbers it divides, from the earlier occurrences of the word or
-  from the number's divisors, whichever are fewer; its first words are then found by walking back.
+- A run of period q and length 4q or more matches on its diagonal for 3q words, so at three successive word
+  numbers that q divides. A lag is taken up only there: at word i, the lags looked at are i's divisors, and the
+  word must have occurred at i - q, i - 2q and i - 3q. The stretch's first words are then found by walking back.
 - While lag q is active, its multiples that stay inside its stretch say nothing new: they match as long as it
   does and end with it.
 """
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
-from ledgerlight.llm.shared import text_parts
+from ledgerlight.llm.shared import text_parts, worker_cache
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -32,23 +32,35 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 LEAST, TIMES = 6, 4
 
 
+#: Divisors of numbers below this are kept by a worker.
+KEPT = 1 << 15
+
+
 def divisors(number: int) -> list[int]:
-    """The divisors of a positive number, in no order."""
-    root = math.isqrt(number)
-    low = np.flatnonzero(number % np.arange(1, root + 1) == 0) + 1
-    return np.union1d(low, number // low).tolist()
+    """The divisors of a positive number that go into it three times or more, in no order."""
+    if number < KEPT:
+        kept = worker_cache("divisors").setdefault("lists", [])
+        if not kept:
+            kept += [[] for _ in range(KEPT)]
+            for d in range(1, KEPT // 3 + 1):
+                for multiple in range(3 * d, KEPT, d):
+                    kept[multiple].append(d)
+        return kept[number]
+    low = np.arange(1, math.isqrt(number) + 1)
+    low = low[number % low == 0]
+    return [d for d in {*low.tolist(), *(number // low).tolist()} if 3 * d <= number]
 
 
 def runs(words: list, least: int = LEAST, times: int = TIMES) -> list[tuple[int, int, int]]:
     """(start, length, period) of every run, by start and period.
 
     A run is a stretch with smallest period q and a length of at least max(least, times * q) that no
-    neighbouring word extends keeping period q. `times` has to be 2 or more.
+    neighbouring word extends keeping period q. `times` has to be 4 or more.
     """
-    if times < 2:
-        raise ValueError("a run has to hold its period twice")
+    if times < 4:
+        raise ValueError("a run has to hold its period four times")
     n, found = len(words), []
-    places: dict = {}  # word -> its numbers so far
+    seen: dict = {}  # word -> how often it came so far
     active: dict[int, int] = {}  # lag -> first word of its stretch
 
     def end(lags: list[int], stop: int) -> None:
@@ -65,24 +77,20 @@ def runs(words: list, least: int = LEAST, times: int = TIMES) -> list[tuple[int,
             ended = [lag for lag in active if words[i - lag] != word]
             if ended:
                 end(ended, i)
-        earlier = places.get(word)
-        if earlier is None:
-            places[word] = [i]
+        before = seen.get(word, 0)
+        seen[word] = before + 1
+        if before < 3:
             continue
-        if len(earlier) <= 16:
-            lags = [i - j for j in earlier if not i % (i - j)]
-        else:
-            lags = [lag for lag in divisors(i) if words[i - lag] == word]
-        for lag in lags:
-            if lag * times > n or lag in active:
+        for lag in divisors(i):
+            if words[i - lag] != word or words[i - 2 * lag] != word or words[i - 3 * lag] != word or lag in active:
                 continue
             if any(lag % shorter == 0 and i - lag >= start for shorter, start in active.items()):
                 continue
             first = i
             while first > lag and words[first - 1] == words[first - 1 - lag]:
                 first -= 1
-            active[lag] = first - lag
-        earlier.append(i)
+            if i - first >= 2 * lag:
+                active[lag] = first - lag
     end(list(active), n)
     return sorted(found, key=lambda r: (r[0], r[2]))
 

@@ -49,23 +49,23 @@ def slow_row(doc_id, text):
 
 
 def test_runs_of_all_short_texts():
-    """Every text of up to 13 words of two kinds and of up to 9 of three, and random ones with planted runs."""
-    for kinds, longest in ((2, 13), (3, 9)):
+    """Every text of up to 14 words of two kinds and of up to 9 of three, and random ones with planted runs."""
+    for kinds, longest in ((2, 14), (3, 9)):
         for n in range(longest + 1):
             for k in range(kinds**n):
                 words = [k // kinds**i % kinds for i in range(n)]
-                for least, times in ((6, 4), (2, 2)):
+                for least, times in ((6, 4), (4, 4), (2, 5)):
                     assert P.runs(words, least, times) == slow_runs(words, least, times), words
     rng = random.Random(4)
     for _ in range(1500):
         kinds, words = rng.choice([1, 2, 3, 8, 50]), []
         while len(words) < rng.randint(0, 300):
             part = rng.choices(range(kinds), k=rng.randint(1, 12))
-            words += part * rng.choice([1, 1, 2, 4, 6]) + part[: rng.randint(0, len(part))]
-        for least, times in ((6, 4), (4, 2), (3, 3)):
+            words += part * rng.choice([1, 1, 2, 4, 6, 7]) + part[: rng.randint(0, len(part))]
+        for least, times in ((6, 4), (4, 4), (9, 5)):
             assert P.runs(words, least, times) == slow_runs(words, least, times), words
     with pytest.raises(ValueError):
-        P.runs([1, 2], 2, 1)
+        P.runs([1, 2], 2, 3)
 
 
 def test_long_texts_stay_fast():
