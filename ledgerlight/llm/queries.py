@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import curriculum, decontaminate, kneser_ney, language, minhash, periodic, records, retrieval, secrets, simhash, toxicity, warc
+from ledgerlight.llm import curriculum, decontaminate, kneser_ney, language, lexical, minhash, periodic, records, retrieval, secrets, simhash, toxicity, warc
 from ledgerlight.llm.oracles import ORACLES  # noqa: F401
 from ledgerlight.llm.shared import remainder, scratch_table, table, word_count
 from ledgerlight.session import scratch_path
@@ -98,6 +98,11 @@ def op11_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_lexical(spark: SparkSession, folder: str) -> DataFrame:
+    indexed = lexical.index(table(spark, folder, "documents"))
+    return lexical.search(indexed, table(spark, folder, "benchmark"))
+
+
 def op13_runs(spark: SparkSession, folder: str) -> DataFrame:
     found = periodic.detect(table(spark, folder, "documents").select("doc_id", "text"), plant=True, whole=False)
     return found.select(
@@ -108,6 +113,6 @@ def op13_runs(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f for f in (
         op1_simhash, op2_decontamination, op3_kneser_ney, op4_toxicity, op5_curriculum, op6_warc, op7_language, op8_retrieval, op9_secrets, op10_records,
-        op11_fingerprints, op13_runs,
+        op11_fingerprints, op12_lexical, op13_runs,
     )
 }
