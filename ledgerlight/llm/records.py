@@ -9,7 +9,7 @@ import sys
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +22,11 @@ from ledgerlight.llm.shared import shared_folder, worker_cache
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 END = 1
-#: A worker's cache starts anew beyond so many pieces of text.
-CACHED = 300_000
+#: Pieces of text in a generation of a worker's cache. Two are kept, so that pieces in use outlive the many that come once.
+CACHED = 450_000
+OTHER = "\0"
+#: Texts that tell tokenizers which keep white space, or see what it separates together, from those that don't.
+PROBES = [" a", "a ", "a b", "a  b", "a\nb", "a\t b", "a\r\nb", "A bc, d . E", "1 2", "\u00e9 \u00e9", "the the . . the", "\n\n", "a \u4e2d b"]
 INDEX = "shard int, path string, ordinal long, doc_id long, offset long, bytes long, n_tokens long"
 
 # A record: u64 length, u32 masked CRC-32 of these 8 bytes, the payload, u32 masked CRC-32 of the payload;
@@ -61,11 +64,26 @@ def parse(payload: bytes) -> tuple[int | None, np.ndarray]:
     return doc_id if has_id else None, np.frombuffer(payload, f"<u{width}", offset=struct.calcsize(HEAD))
 
 
+class Letters(dict):
+    """What Latin letters become in any word, by code point; OTHER for what isn't one or is more than one part."""
+
+    def __init__(self, parts: Callable[[str], list[str]]):
+        super().__init__()
+        self.parts = parts
+
+    def __missing__(self, code: int) -> str:
+        letter = chr(code)
+        own = self.parts(letter) if letter.isalpha() and code < 0x250 else []
+        self[code] = found = own[0] if len(own) == 1 and self.parts(f"a{letter}a") == [f"a{own[0]}a"] else OTHER
+        return found
+
+
 class Pieces(dict):
     """The ids, as bytes, of blank-separated pieces of text, made by the tokenizers library once per piece.
 
     For tokenizers that drop white space and never join what it separates: the ids of a text are then those
-    of its pieces in turn. A piece goes through the tokenizer's normalizer and splitter, and its model's
+    of its pieces in turn. Whether a tokenizer is of that kind is seen from PROBES; one that isn't encodes whole
+    texts. A piece goes through the tokenizer's normalizer and splitter, and its model's
     ids are kept per split; one that holds an added token goes through the tokenizer as a whole. Pieces that differ
     in letter case or end in punctuation share the work, where the tokenizer itself is seen to treat them alike.
     """
@@ -73,7 +91,8 @@ class Pieces(dict):
     def __init__(self, tokenizer, width: int):
         super().__init__()
         self.kind, self.code = f"<u{width}", {2: "H", 4: "I"}[width]
-        self.tokenizer, self.splits, self.letters = tokenizer, {}, {}
+        self.tokenizer, self.model, self.older, self.splits, self.letters = tokenizer, tokenizer.model, {}, {}, Letters(self._parts)
+        self.whole = not all(self._encoded(text) == b"".join(map(self._encoded, text.split())) for text in PROBES)
         self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.tail = {p for p in b".,;:!?" if self._parts(f"ab{chr(p)}") == ["ab", chr(p)] and self._parts(f"\u00e9{chr(p)}")[1:] == [chr(p)]}
         lower = "abcdefghijklmnopqrstuvwxyz"
@@ -87,36 +106,34 @@ class Pieces(dict):
         return [part for part, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
     def __missing__(self, piece: bytes) -> bytes:
-        ids = self._ids(piece)
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self._ids(piece)
         if len(self) >= CACHED:
+            self.older = dict(self)
             self.clear()
         self[piece] = ids
         return ids
 
     def _ids(self, piece: bytes) -> bytes:
-        if piece[-1] in self.tail and len(piece) > 1 and piece[:-1].decode()[-1].isalpha():
-            return self[piece[:-1]] + self[piece[-1:]]
-        if self.folds and piece.isascii() and piece.isalpha():
+        if self.folds and piece.isalpha():  # of bytes: ASCII letters only
             low = piece.lower()
             return self._model(piece.decode()) if low == piece else self[low]
+        if piece[-1] in self.tail and len(piece) > 1 and piece[:-1].decode()[-1].isalpha():
+            return self[piece[:-1]] + self[piece[-1:]]
         text = piece.decode()
-        letters = [self.letters[c] if c in self.letters else self._letter(c) for c in text]
-        if None not in letters:
-            return self.split("".join(letters))
+        part = text.translate(self.letters)
+        if OTHER not in part:
+            return self.split(part)
         if any(a in text for a in self.added) or self.tokenizer.pre_tokenizer is None:
-            return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            return self._encoded(text)
         return b"".join(map(self.split, self._parts(text)))
 
-    def _letter(self, letter: str) -> str | None:
-        """What a Latin letter becomes in any word, None if it isn't one or is more than one part."""
-        own = self._parts(letter) if letter.isalpha() and ord(letter) < 0x250 else []
-        self.letters[letter] = own[0] if len(own) == 1 and self._parts(f"a{letter}a") == [f"a{own[0]}a"] else None
-        return self.letters[letter]
-
     def _model(self, part: str) -> bytes:
-        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(part)]).tobytes()
+        return array(self.code, [t.id for t in self.model.tokenize(part)]).tobytes()
 
     def split(self, part: str) -> bytes:
+        """The ids of a split, which pieces of other case or punctuation may have too."""
         ids = self.splits.get(part)
         if ids is None:
             if len(self.splits) >= CACHED:
@@ -124,7 +141,12 @@ class Pieces(dict):
             self.splits[part] = ids = self._model(part)
         return ids
 
+    def _encoded(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
     def encode(self, text: str | None) -> bytes:
+        if self.whole:
+            return self._encoded((text or "").encode("utf-8", "replace").decode())
         return b"".join(map(self.__getitem__, (text or "").encode("utf-8", "replace").split()))
 
 
@@ -177,6 +199,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, end: int = END) -> DataF
     The index (shard, path, ordinal, doc_id, offset, bytes, n_tokens) is itself a table in the shared
     folder. Shards follow one another in doc_id order, NULL ids first; rows of one id are ordered by
     their texts, and a crowded id is split over shards by them. NULL and empty texts are one end id.
+    Ids have to be whole numbers that fit a long (or text of one); others raise an error.
     """
     spark = docs.sparkSession
     folder = shared_folder(spark, "records")
@@ -189,6 +212,9 @@ def write_records(docs: DataFrame, tokenizer_path: str, end: int = END) -> DataF
 
 
 def _read_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
     for batch in batches:
         for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist()):
             rows = []
@@ -197,7 +223,11 @@ def _read_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     doc_id, ids = parse(payload)
                     rows.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                     start += len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    if len(rows) == 10_000:
+                        yield found(rows)
+                        rows = []
+            if rows:
+                yield found(rows)
 
 
 def read_back(index: DataFrame) -> DataFrame:
@@ -209,7 +239,7 @@ def read_back(index: DataFrame) -> DataFrame:
     shards = index.groupBy("shard", "path").agg(F.sum("n_tokens").alias("n")).orderBy("shard").collect()
     starts = np.concatenate(([0], np.cumsum([s["n"] for s in shards], dtype=np.int64))).tolist()
     rows = [(i, s["path"], at) for i, (s, at) in enumerate(zip(shards, starts))]
-    listed = spark.createDataFrame(rows, "n int, path string, start long").repartition(max(1, len(rows)), "n")
+    listed = spark.createDataFrame(rows, "n int, path string, start long").repartitionById(max(1, len(rows)), F.col("n"))
     return listed.select("path", "start").mapInArrow(_read_shards, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

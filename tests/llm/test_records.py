@@ -26,6 +26,24 @@ def test_pieces_are_the_tokenizers_own_ids(tokenizer):
         assert np.frombuffer(pieces.encode(text), "<u2").tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids, text
 
 
+def test_tokenizers_that_keep_blanks_encode_whole_texts():
+    import public_tokenizers
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = R.Pieces(whole, 4)
+    assert pieces.whole and not R.Pieces(Tokenizer.from_file(R.default_tokenizer()), 2).whole
+    for text in TEXTS:
+        assert np.frombuffer(pieces.encode(text), "<u4").tolist() == whole.encode(text or "", add_special_tokens=False).ids, text
+
+
+def test_pieces_survive_generations(tokenizer, monkeypatch):
+    monkeypatch.setattr(R, "CACHED", 3)
+    pieces = R.Pieces(tokenizer, 2)
+    for text in [*TEXTS, "one two Three, one TWO three four five one"] * 2:
+        assert np.frombuffer(pieces.encode(text), "<u2").tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids, text
+        assert len(pieces) <= 3 and len(pieces.older) <= 3
+
+
 def test_files_round_trip(spark, tokenizer):
     rows = [(i * 7 % 17, t) for i, t in enumerate(TEXTS)] + [(None, "nameless"), (3, "same id"), (3, "same id"), (-5, "below zero")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
