@@ -29,6 +29,8 @@ SEED = 42
 TOP = 10
 #: Slots per different term of a document: a term that isn't there meets another one's count once in 16 times.
 SLOTS = 16
+#: Largest count of a slot, which stands for any larger one too.
+MOST = 15
 #: Items searched for in one pass over the index, and bounds kept at once.
 ITEMS, CELLS = 2_000, 1 << 21
 #: Score of a term: weight * (UNIT * tf // (1000 * tf + 8 * m)), below UNIT // 1000 whatever tf.
@@ -49,17 +51,21 @@ def term_hashes(text: str | None) -> np.ndarray:
 
 
 def sketch(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The greatest count (255: that or more) of the terms in each slot; a power of two of them, at least SLOTS per term.
+    """The greatest count (MOST: that or more) of the terms in each slot; a power of two of slots, at least SLOTS per term.
 
-    `hashes` are sorted, so a slot, their first bits, is a stretch of them.
+    A byte holds two slots. `hashes` are sorted, so a slot, their first bits, is a stretch of them.
     """
     bits = slot_bits(len(hashes))
     out = np.zeros(1 << bits, np.uint8)
     if len(hashes):
         slots = (hashes >> np.uint64(64 - bits)).astype(np.int64)
         starts = np.flatnonzero(np.concatenate(([True], slots[1:] != slots[:-1])))
-        out[slots[starts]] = np.maximum.reduceat(np.minimum(counts, 255), starts)
-    return out
+        out[slots[starts]] = np.maximum.reduceat(np.minimum(counts, MOST), starts)
+    return out[0::2] | out[1::2] << 4
+
+
+def unpacked(hashes: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(hashes, np.uint64), np.frombuffer(counts, f"<u{len(counts) * 8 // max(1, len(hashes))}" if hashes else "<u2")
 
 
 def slot_bits(n: int) -> int:
@@ -82,7 +88,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sizes.append(len(found))
                 sketches.append(sketch(distinct, n).tobytes())
                 hashes.append(distinct.tobytes())
-                counts.append(n.astype(np.uint32).tobytes())
+                counts.append(n.astype("<u2" if n.max(initial=0) < 1 << 16 else "<u4").tobytes())
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(sizes, pa.int64()), *[pa.array(c, pa.binary()) for c in (sketches, hashes, counts)]],
                 names=["doc_id", "n", "sketch", "hashes", "counts"])
@@ -119,9 +125,9 @@ class Batch:
 
     def bounds(self, sketch_: np.ndarray, m: int) -> np.ndarray:
         """No item's score with the sketched document is above its bound."""
-        earned = np.append(impacts(np.arange(255), m), UNIT // 1000)
-        slots = (self.hashes >> np.uint64(64 - (len(sketch_).bit_length() - 1))).astype(np.int64)
-        return self._sums(self.weights * earned[sketch_[slots]])
+        earned = np.append(impacts(np.arange(MOST), m), UNIT // 1000)
+        slots = (self.hashes >> np.uint64(64 - len(sketch_).bit_length())).astype(np.int64)
+        return self._sums(self.weights * earned[sketch_[slots >> 1] >> ((slots & 1) * 4).astype(np.uint8) & MOST])
 
     def _sums(self, worth: np.ndarray) -> np.ndarray:
         total = np.concatenate(([0], np.cumsum(worth[self.places] * self.repeats)))
@@ -182,7 +188,7 @@ def _search(sent, top: int, id_types: tuple[pa.DataType, pa.DataType]):
                         if bounds[row, item] < least[item]:
                             break  # so are all that follow
                         if row not in held:
-                            held[row] = (np.frombuffer(part.column("hashes")[row].as_py(), np.uint64), np.frombuffer(part.column("counts")[row].as_py(), np.uint32))
+                            held[row] = unpacked(part.column("hashes")[row].as_py(), part.column("counts")[row].as_py())
                         score = items.score(item, *held[row], factors[row])
                         if score >= least[item]:
                             best[item] = sorted([*best[item], (score, ids[row])], key=_order)[:top]

@@ -12,15 +12,14 @@ import corpus_pipeline
 from ledgerlight.llm.records import default_tokenizer
 from tests.llm.test_curriculum import targets
 from tests.llm.test_decontaminate import shingles
-from tests.llm.test_simhash import components, slow_fingerprint
+from tests.llm.test_jaccard import firsts
 
 
 def brute(docs, items):
     """(doc_id, token count, crc of the ids) of every copy, sorted. docs: doc_id, text, source."""
     docs = [d for d in docs if any(c.isalpha() for c in d[1] or "")]
-    group = components([slow_fingerprint(d[1]) for d in docs])
-    first = {g: min(d[0] for d, h in zip(docs, group) if h == g) for g in group}
-    docs = [d for d, g in zip(docs, group) if d[0] == first[g]]
+    docs.sort()
+    docs = [docs[i] for i in firsts([d[1] for d in docs])]
     parts = [shingles(i) for i in items]
     docs = [d for d in docs if not any(p and len(p & shingles(d[1])) >= 0.8 * len(p) - 1e-9 for p in parts)]
     words = {d[0]: re.findall(r"[^\x20\x09-\x0D]+", d[1]) for d in docs}
