@@ -182,17 +182,20 @@ def cusip_map(t: Tables):
     return t.part.select(F.concat(F.lit("C"), F.col("p_partkey")).alias("cusip"), letters(F.col("p_partkey")).alias("ticker"))
 
 
+def funds(t: Tables):
+    return t.supplier.select(F.col("s_suppkey").cast("string").alias("cik"), F.concat(F.lit("Fund"), F.col("s_suppkey")).alias("fund_name"))
+
+
 def fund_trades(t: Tables):
     from ledgerlight.operators.clean import clean_inferred_trades
 
-    funds = {str(i): f"Fund{i}" for i in range(1, 40)}
-    return clean_inferred_trades(H.infer_fund_trades(holdings(t), cusip_map(t), funds))
+    return clean_inferred_trades(H.infer_fund_trades(holdings(t), cusip_map(t), funds(t)))
 
 
 INFER_SQL = """
 , h AS (SELECT CAST(l_suppkey AS VARCHAR) AS cik, l_suppkey, 'C' || l_partkey AS cusip, translate(CAST(l_partkey AS VARCHAR), '0123456789', 'ABCDEFGHIJ') AS ticker,
    CAST(year(l_shipdate) * 4 + quarter(l_shipdate) AS INT) AS period, l_quantity * 100 AS shares, l_linenumber FROM lineitem),
-q AS (SELECT cik, cusip, ticker, period, sum(shares) AS shares FROM h WHERE l_linenumber <> 7 AND l_suppkey BETWEEN 1 AND 39 GROUP BY ALL),
+q AS (SELECT cik, cusip, ticker, period, sum(shares) AS shares FROM h WHERE l_linenumber <> 7 AND l_suppkey IN (SELECT s_suppkey FROM supplier) GROUP BY ALL),
 m AS (SELECT coalesce(a.cik, b.cik) AS cik, coalesce(a.cusip, b.cusip) AS cusip, coalesce(a.ticker, b.ticker) AS ticker, coalesce(a.period, b.period - 1) AS period, coalesce(b.shares, 0) - coalesce(a.shares, 0) AS delta
   FROM (SELECT * FROM q WHERE period < (SELECT max(period) FROM q)) a FULL JOIN (SELECT * FROM q WHERE period > (SELECT min(period) FROM q)) b ON a.cik = b.cik AND a.cusip = b.cusip AND a.period + 1 = b.period),
 inferred AS (SELECT cik, 'Fund' || cik AS fund_name, cusip, ticker, CASE WHEN delta > 0 THEN 'buy' ELSE 'sell' END AS trade_type, CAST(abs(delta) AS BIGINT) AS shares_delta,
@@ -214,7 +217,7 @@ def i08(t: Tables):
 
 @query("i09_infer_fund_trades", INFER_SQL + "SELECT * FROM inferred")
 def i09(t: Tables):
-    return H.infer_fund_trades(holdings(t), cusip_map(t), {str(i): f"Fund{i}" for i in range(1, 40)})
+    return H.infer_fund_trades(holdings(t), cusip_map(t), funds(t))
 
 
 @query("i10_infer_security_trades", """
@@ -259,9 +262,13 @@ def plain_rows(t: Tables):
     return t.lineitem.select(key.alias("trade_id"), *PLAIN)
 
 
+def sql_digits(digest: str, first: int) -> str:
+    return f"(CAST('0x' || substr({digest}, {first}, 13) AS BIGINT) / 4503599627370496.0::DOUBLE)"
+
+
 def sql_unit(*parts: str) -> str:
     """The forest's hash in SQL."""
-    return f"(CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE)"
+    return sql_digits(f"md5(concat_ws('|', {', '.join(parts)}))", 1)
 
 
 def forest_sql(features: list[str], rows: str, seed: int = 42, trees: int = 200, subsample: int = 256, depth: int = 8, p: str = "") -> str:
@@ -275,8 +282,8 @@ def forest_sql(features: list[str], rows: str, seed: int = 42, trees: int = 200,
 {p}chance AS (SELECT 2.0::DOUBLE * {subsample} / count(*) AS chance, CAST(ceil({trees} * (2.0::DOUBLE * {subsample} / count(*))) AS INT) AS darts FROM {p}rows_in),
 {p}thrown AS (
   SELECT key, v, unnest(list_distinct(list_transform(
-    list_filter(range(0, darts), lambda j: {sql_unit("key", "j", str(seed), "'throw'")} < {trees} * chance / darts),
-    lambda j: CAST(floor({sql_unit("key", "j", str(seed), "'tree'")} * {trees}) AS INT) + {seed * trees}))) AS tree_id FROM {p}rows_in, {p}chance),
+    list_filter(list_transform(range(0, darts), lambda j: md5(concat_ws('|', key, j, {seed}))), lambda h: {sql_digits("h", 1)} < {trees} * chance / darts),
+    lambda h: CAST(floor({sql_digits("h", 14)} * {trees}) AS INT) + {seed * trees}))) AS tree_id FROM {p}rows_in, {p}chance),
 {p}level0 AS (SELECT tree_id, 0 AS node_id, v FROM {p}thrown
   QUALIFY row_number() OVER (PARTITION BY tree_id ORDER BY {sql_unit("key", "tree_id", "'draw'")}, key) <= {subsample})"""
     for d in range(depth + 1):
@@ -327,18 +334,25 @@ def i12(t: Tables):
 SELECT key AS trade_id, round(score, 6) AS score, round(0.5::DOUBLE - score, 6) AS raw_score, CASE WHEN 0.5::DOUBLE - score < 0 THEN -1 ELSE 1 END AS label FROM scored_rows
 """)
 def i13(t: Tables):
-    """Score, raw value and label of every lineitem."""
+    """Score, raw value and label of every lineitem, by a stored model."""
     from ledgerlight.plans import iforest as IF
 
-    rows = plain_rows(t)
-    forest = IF.Forest.from_nodes(IF.fit(rows, PLAIN, "trade_id"), PLAIN)
+    rows = IF.spread(plain_rows(t), "trade_id")
+    models = store(t)
+    models.train("plain", "v1", rows, PLAIN, "trade_id")
     raw = IF.raw_from_score(F.col("score"))
-    return rows.withColumn("score", forest.score_column()).select(
+    return IF.with_scores(rows, {"score": models.load("plain", "v1", PLAIN)}).select(
         "trade_id", F.round("score", 6).alias("score"), F.round(raw, 6).alias("raw_score"), IF.label_from_raw(raw).alias("label"))
 
 
+def store(t: Tables):
+    from ledgerlight.plans.models import ModelStore
+    from ledgerlight.session import scratch_path
+
+    return ModelStore(t.spark, scratch_path(t.spark, "models"))
+
+
 def dual_scores(t: Tables):
-    from ledgerlight.plans import iforest as IF
     from ledgerlight.plans.features import baseline_features
     from ledgerlight.plans.scoring import dual_score, model_version
     from ledgerlight.session import scratch_path
@@ -354,9 +368,10 @@ def dual_scores(t: Tables):
     write_matrix(stored(baseline_features(fund_trades(t), t.prices)).withColumn(
         "row_key", F.concat_ws("-", "cik", "ticker", "inferred_date", "trade_type")), baseline_path)
     cohort, baseline = t.spark.read.parquet(cohort_path), t.spark.read.parquet(baseline_path)
-    forests = [
-        IF.Forest.from_nodes(IF.fit(df, FEATURES_V2, key), FEATURES_V2) for df, key in ((cohort, "trade_id"), (baseline, "row_key"))
-    ]
+    models = store(t)
+    models.train("cohort", "2026-01-01", cohort, FEATURES_V2, "trade_id")
+    models.train("baseline", "2026-01-02", baseline, FEATURES_V2, "row_key")
+    forests = [models.load(name, version, FEATURES_V2) for name, version in (("cohort", "2026-01-01"), ("baseline", "2026-01-02"))]
     return dual_score(cohort, *forests, model_version("2026-01-01", "2026-01-02"), "2026-01-03 00:00:00")
 
 
@@ -404,6 +419,72 @@ def i15(t: Tables):
     return training_stats(t.scores.select(((50 - F.col("cohort_index")) / 100.0).alias("raw_score")))
 
 
+@query("i15_model_card", PLAIN_SQL + score_sql() + """
+, r AS (SELECT 0.5::DOUBLE - score AS x FROM scored_rows)
+SELECT count(*) AS n_training_samples, round(count(*) FILTER (x < 0) * 100.0::DOUBLE / count(*), 2) AS outlier_pct, round(min(x), 4) AS score_min, round(max(x), 4) AS score_max,
+  round(avg(x), 4) AS score_mean, round(stddev_pop(x), 4) AS score_std, 'l_extendedprice,l_quantity,l_discount,l_tax' AS features, '2026-01-01' AS trained_at FROM r
+""")
+def i15c(t: Tables):
+    """What is stored with a model."""
+    from ledgerlight.plans.iforest import spread
+
+    models = store(t)
+    models.train("plain", "v1", spread(plain_rows(t), "trade_id"), PLAIN, "trade_id", "2026-01-01")
+    return models.card("plain", "v1").withColumn("features", F.array_join("features", ","))
+
+
+POLITICAL = ["committee_relevance", "has_proximity_data"]
+ORDER_FEATURES = ["price", "day", *POLITICAL]
+
+
+def order_rows(t: Tables, trained: bool):
+    """Orders as trades; a baseline model is trained with political features that never vary."""
+    political = [F.lit(0.0), F.lit(0.0)] if trained else [F.col("o_custkey") % 5 / 4.0, (F.col("o_orderkey") % 2).cast("double")]
+    return t.orders.select(
+        F.col("o_orderkey").cast("string").alias("trade_id"), F.col("o_totalprice").cast("double").alias("price"),
+        F.datediff(F.to_date("o_orderdate"), F.lit("1992-01-01").cast("date")).cast("double").alias("day"), *[c.alias(n) for c, n in zip(political, POLITICAL)],
+    )
+
+
+ORDER_SQL = """SELECT CAST(o_orderkey AS VARCHAR) AS key, [CAST(o_totalprice AS DOUBLE), CAST(datediff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE), {0}, {1}] AS v FROM orders"""
+
+
+@query("i16_feature_inertness", forest_sql(ORDER_FEATURES, ORDER_SQL.format("0.0::DOUBLE", "0.0::DOUBLE")) + f"""
+, real_rows AS ({ORDER_SQL.format("o_custkey % 5 / 4.0::DOUBLE", "CAST(o_orderkey % 2 AS DOUBLE)")}),
+taking AS (SELECT key, v, row_number() OVER (ORDER BY md5('to' || key), key) AS place FROM real_rows),
+giving AS (SELECT v AS d, row_number() OVER (ORDER BY md5('from' || key), key) AS place FROM real_rows),
+variants AS (SELECT '0|' || key AS key, v FROM real_rows UNION ALL
+  SELECT i || '|' || key, list_transform(range(1, 5), lambda j: CASE WHEN j = i THEN d[j] ELSE v[j] END) FROM taking JOIN giving USING (place), range(1, 5) AS r(i))
+""" + score_sql(rows="variants") + """
+, indexed AS (SELECT CAST(split_part(key, '|', 1) AS INT) AS variant, split_part(key, '|', 2) AS trade_id, floor((-greatest(-0.5::DOUBLE, least(0.5::DOUBLE, 0.5::DOUBLE - score)) + 0.5::DOUBLE) * 100) AS idx FROM scored_rows),
+shifts AS (SELECT ['price', 'day', 'committee_relevance', 'has_proximity_data'][a.variant] AS feature, abs(a.idx - b.idx) AS shift FROM indexed a JOIN indexed b ON a.trade_id = b.trade_id AND b.variant = 0 WHERE a.variant > 0)
+SELECT feature, round(avg(shift), 4) AS mean_shift, CAST(max(shift) AS DOUBLE) AS max_shift, max(shift) <= 0 AS inert FROM shifts GROUP BY feature
+""")
+def i16f(t: Tables):
+    """How far each feature moves the indices of a baseline model."""
+    from ledgerlight.plans.models import feature_inertness
+
+    models = store(t)
+    models.train("baseline", "v1", order_rows(t, trained=True), ORDER_FEATURES, "trade_id")
+    return feature_inertness(order_rows(t, trained=False), models.load("baseline", "v1", ORDER_FEATURES), "trade_id")
+
+
+@query("i16_probes", PLAIN_SQL + f"""
+, probe_rows AS (SELECT 'extreme' AS key, [{", ".join(f"2 * max({f}) - min({f})" for f in PLAIN)}]::DOUBLE[] AS v FROM lineitem UNION ALL SELECT 'ordinary', [{", ".join(f"median({f})" for f in PLAIN)}]::DOUBLE[] FROM lineitem)
+""" + score_sql(rows="probe_rows") + """
+, i AS (SELECT key AS probe, CAST(floor((-greatest(-0.5::DOUBLE, least(0.5::DOUBLE, 0.5::DOUBLE - score)) + 0.5::DOUBLE) * 100) AS INT) AS index FROM scored_rows)
+SELECT probe, index, CASE WHEN probe = 'extreme' THEN index >= 65 ELSE index < 40 END AS ok FROM i
+""")
+def i16p(t: Tables):
+    """An extreme and an ordinary row, made of the training data."""
+    from ledgerlight.plans.iforest import spread
+    from ledgerlight.plans.models import probes
+
+    models, rows = store(t), spread(plain_rows(t), "trade_id")
+    models.train("plain", "v1", rows, PLAIN, "trade_id")
+    return probes(rows, models.load("plain", "v1", PLAIN))
+
+
 @query("i16_model_checks", dual_sql() + """
 , checks AS (SELECT round(count(*) FILTER (cohort_raw < 0)::DOUBLE / count(*), 4) AS outlier_rate, round(abs(avg(cohort_index) - avg(baseline_index)), 4) AS mean_gap,
   round(count(*) FILTER (cohort_index >= 55 AND baseline_index >= 55)::DOUBLE / count(*), 4) AS both_high_rate, round(corr(cohort_index, baseline_index), 4) AS correlation FROM dual)

@@ -53,18 +53,25 @@ def quarter_changes(holdings: DataFrame, keys: list[str]) -> DataFrame:
     return joined.select(*keys, "period", *filled, *issuer)
 
 
-def infer_fund_trades(holdings: DataFrame, ticker_map: DataFrame, funds: dict[str, str] = V.TRACKED_FUNDS) -> DataFrame:
+def infer_fund_trades(holdings: DataFrame, ticker_map: DataFrame, funds: dict[str, str] | DataFrame = V.TRACKED_FUNDS) -> DataFrame:
     """Buys and sells per (fund, security) and quarter pair, dated the end of the earlier quarter.
 
-    `holdings`: cik, cusip, shares, share_type, period; `ticker_map`: cusip, ticker.
+    `holdings`: cik, cusip, shares, share_type, period; `ticker_map`: cusip, ticker. `funds` are those to keep:
+    a short list, or a table (cik, fund_name) of any length, unique on cik; an empty list keeps all, named by their cik.
     """
-    tracked = share_positions(only_funds(holdings, funds)) if funds else share_positions(holdings)
-    moved = quarter_changes(tracked, ["cik", "cusip"]).withColumn(
+    if isinstance(funds, DataFrame):
+        # The bounds of the quarters are those of the tracked funds, so funds are kept before the comparison.
+        held = map_column(share_positions(holdings).withColumn("cik", X.clean_cik("cik")), funds, "cik", "fund_name", "fund_name").where("fund_name IS NOT NULL")
+        moved = quarter_changes(held, ["cik", "fund_name", "cusip"])
+    else:
+        moved = quarter_changes(share_positions(only_funds(holdings, funds)) if funds else share_positions(holdings), ["cik", "cusip"])
+        moved = moved.withColumn("fund_name", X.lookup(funds, F.col("cik")) if funds else F.col("cik"))
+    moved = moved.withColumn(
         "delta", F.col("shares_current") - F.col("shares_prior")
     ).where(F.abs("delta") >= V.MIN_SHARES_DELTA)
     named = map_column(moved, ticker_map, "cusip", "ticker", "ticker").where(F.col("ticker").rlike("^[A-Z]{1,5}$"))
     return named.select(
-        "cik", (X.lookup(funds, F.col("cik")) if funds else F.col("cik")).alias("fund_name"), "cusip", "ticker",
+        "cik", "fund_name", "cusip", "ticker",
         F.when(F.col("delta") > 0, "buy").otherwise("sell").alias("trade_type"),
         F.abs("delta").cast("long").alias("shares_delta"), period_end(F.col("period")).alias("inferred_date"),
     )

@@ -45,10 +45,18 @@ def average_path(size: float) -> float:
 HASH_SPACE = float(1 << 52)
 
 
+def _digest(*parts: Column) -> Column:
+    """MD5 of the parts, which any engine can compute."""
+    return F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary"))
+
+
+def _digits(digest: Column, first: int) -> Column:
+    """Uniform number in [0, 1): 52 bits of a digest from hex digit `first` on."""
+    return F.conv(F.substring(digest, first, 13), 16, 10).cast("double") / F.lit(HASH_SPACE)
+
+
 def _unit(*parts: Column) -> Column:
-    """Uniform number in [0, 1): the first 52 bits of the MD5 of the parts, which any engine can compute."""
-    text = F.concat_ws("|", *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(HASH_SPACE)
+    return _digits(_digest(*parts), 1)
 
 
 def unit(*parts: object) -> float:
@@ -65,12 +73,9 @@ def _chosen_trees(key: Column, seed: int, trees: int, chance: float) -> Column:
         return F.sequence(F.lit(seed * trees), F.lit(seed * trees + trees - 1))
     darts = math.ceil(trees * chance)
 
-    def dart(j: Column) -> Column:
-        tree = (F.floor(_unit(key, j, F.lit(seed), F.lit("tree")) * trees) + seed * trees).cast("int")
-        return F.when(_unit(key, j, F.lit(seed), F.lit("throw")) < trees * chance / darts, tree)
-
-    thrown = F.transform(F.sequence(F.lit(0), F.lit(darts - 1)), dart)
-    return F.array_distinct(F.array_compact(thrown))
+    digests = F.transform(F.sequence(F.lit(0), F.lit(darts - 1)), lambda j: _digest(key, j, F.lit(seed)))
+    thrown = F.filter(digests, lambda d: _digits(d, 1) < trees * chance / darts)
+    return F.array_distinct(F.transform(thrown, lambda d: (F.floor(_digits(d, 14) * trees) + seed * trees).cast("int")))
 
 
 def draw_samples(
@@ -145,6 +150,15 @@ def fit(
     return drawn.groupBy("tree_id").applyInPandas(build, NODE_SCHEMA)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """`df` dealt out by its key if it is read in fewer parts than there are cores, as a table of few row groups is.
+
+    Rows cost far more in the forests than in the shuffle. Larger tables come in more parts and stay where they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 @dataclass
 class Forest:
     """Nodes in array form: complete binary trees whose last level holds path lengths."""
@@ -214,6 +228,18 @@ class Forest:
         return score(*[F.col(f).cast("double") for f in self.features])
 
 
+def with_scores(df: DataFrame, forests: dict[str, Forest]) -> DataFrame:
+    """`df` with a score column per forest; all walk the same Arrow batches, whatever features each of them takes."""
+    features = list(dict.fromkeys(f for forest in forests.values() for f in forest.features))
+
+    @F.pandas_udf(", ".join(f"{name} double" for name in forests))
+    def scores(*columns: pd.Series) -> pd.DataFrame:
+        values = dict(zip(features, (c.to_numpy(float, na_value=np.nan) for c in columns)))
+        return pd.DataFrame({name: forest.scores(np.column_stack([values[f] for f in forest.features])) for name, forest in forests.items()})
+
+    return df.withColumn("_scores", scores(*[F.col(f).cast("double") for f in features])).select(*df.columns, "_scores.*")
+
+
 def scaling(df: DataFrame, features: list[str]) -> DataFrame:
     """Mean and population deviation per feature, kept with the model (scores do not depend on it)."""
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features]))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlight.functions import scores as N
 from ledgerlight.plans.features import ID_COLUMNS
-from ledgerlight.plans.iforest import Forest, label_from_raw, raw_from_score
+from ledgerlight.plans.iforest import Forest, label_from_raw, raw_from_score, with_scores
 from ledgerlight.operators.clean import scoreable
 
 RETRAIN_RATE = 0.25
@@ -23,7 +23,7 @@ def dual_score(
 ) -> DataFrame:
     """Score every scoreable trade with both models (raw value, label, index) and place it."""
     rows = scoreable(features)
-    out = rows.withColumns({"_c": cohort.score_column(), "_b": baseline.score_column()})
+    out = with_scores(rows, {"_c": cohort, "_b": baseline})
     out = out.withColumns({"cohort_raw_score": raw_from_score(F.col("_c")), "baseline_raw_score": raw_from_score(F.col("_b"))})
     out = out.withColumns({
         f"{m}_{name}": make(F.col(f"{m}_raw_score"))

@@ -1,15 +1,21 @@
 """Sinks: full reload, append, upsert and insert-ignore on Parquet tables.
 
-A write puts its rows into a new folder and then adds one line to the table's log: the version and
+A write puts its rows into a new folder and then adds one file to the table's log: the version and
 all folders that make it up. Nothing that a version names is ever changed, so a reader keeps the
-version it began with, and what a failed or repeated attempt left behind is in no version.
+version it began with, and what a failed or repeated attempt left behind is in no version. The file is
+named by the version and appears whole or not at all, and only if there is none of that name: of two
+writers of one version the first has it and the other is told. That takes a file system whose renames
+are atomic (HDFS, a mounted path).
 """
 
 from __future__ import annotations
 
 import json
+import os
 import uuid
+from urllib.parse import unquote, urlparse
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +23,7 @@ from pyspark.sql.types import IntegerType, StructType
 
 from ledgerlight.operators.merge import insert_ignore, keep_first, upsert_rows
 
-LOG = "version long, attempt string, columns string, keys array<string>, folders array<string>"
+LOG = "version long, columns string, keys array<string>, folders array<string>"
 BUCKETS = 64
 
 
@@ -30,14 +36,14 @@ class VersionedTable:
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
     def _current(self) -> Row | None:
-        """The newest version; of two writers of one version the smaller attempt name wins."""
+        """The newest version."""
         try:
             log = self.spark.read.schema(LOG).json(f"{self.path}/log")
         except AnalysisException as error:
             if error.getCondition() == "PATH_NOT_FOUND":
                 return None
             raise
-        return log.orderBy(F.desc("version"), "attempt").first()
+        return log.orderBy(F.desc("version")).first()
 
     def exists(self) -> bool:
         return self._current() is not None
@@ -68,15 +74,43 @@ class VersionedTable:
         return [f"{folder}/_bucket={r['_bucket']}" for r in written.select("_bucket").distinct().collect()]
 
     def _commit(self, before: Row | None, schema: StructType, keys: list[str], folders: list[str]) -> None:
-        version, attempt = (before["version"] + 1 if before else 1), uuid.uuid4().hex
-        line = [(version, attempt, json.dumps(schema.jsonValue()), keys, folders)]
-        self.spark.createDataFrame(line, LOG).coalesce(1).write.mode("append").json(f"{self.path}/log")
-        winner = self.spark.read.schema(LOG).json(f"{self.path}/log").where(F.col("version") == version).agg(F.min("attempt")).first()[0]
-        if winner != attempt:
+        version = before["version"] + 1 if before else 1
+        line = {"version": version, "columns": json.dumps(schema.jsonValue()), "keys": keys, "folders": folders}
+        if not self._publish(f"{self.path}/log", f"{version:020d}.json", json.dumps(line) + "\n"):
             raise ConcurrentWrite(f"{self.path} version {version}")
 
+    def _publish(self, folder: str, name: str, text: str) -> bool:
+        """A new file with this text; False if there is one of that name. Half-written files have names that readers skip."""
+        hidden = f"_{uuid.uuid4().hex}"
+        where = urlparse(folder)
+        if where.scheme in ("", "file"):
+            local = unquote(where.path)
+            os.makedirs(local, exist_ok=True)
+            with open(os.path.join(local, hidden), "w", encoding="utf-8") as file:
+                file.write(text)
+            try:
+                os.link(os.path.join(local, hidden), os.path.join(local, name))
+            except FileExistsError:
+                return False
+            finally:
+                os.unlink(os.path.join(local, hidden))
+            return True
+        fs = self.spark._jvm.org.apache.hadoop.fs
+        path, conf = fs.Path(f"{folder}/{hidden}"), self.spark._jsc.hadoopConfiguration()
+        stream = path.getFileSystem(conf).create(path, False)
+        stream.write(bytearray(text, "utf-8"))
+        stream.close()
+        try:  # unlike that of FileSystem, this rename never replaces a file
+            fs.FileContext.getFileContext(path.toUri(), conf).rename(path, fs.Path(f"{folder}/{name}"), self.spark._sc._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Py4JJavaError as error:
+            if "FileAlreadyExistsException" not in str(error.java_exception):
+                raise
+            path.getFileSystem(conf).delete(path, False)
+            return False
+        return True
+
     def replace(self, df: DataFrame) -> None:
-        """Truncate and reload."""
+        """Truncate and reload. Like every write: ConcurrentWrite if another writer committed since it began."""
         before = self._current()
         self._commit(before, df.schema, [], self._write(df, []))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerlight.operators.quantiles import exact_percentiles
 from ledgerlight.plans import holdings as H
 from ledgerlight.plans import iforest as IF
+from ledgerlight.plans import models as MS
 from ledgerlight.plans import scoring as SC
 from tests.conftest import rows
 
@@ -98,6 +99,73 @@ def test_baseline_ignores_constant_features(spark):
     assert forest.scores(a) == forest.scores(b)
 
 
+def test_stored_models(spark, tmp_path):
+    """Scores of a loaded model are those of the trained one; versions, features and broken trainings are checked."""
+    df = sample(spark)
+    store = MS.ModelStore(spark, str(tmp_path / "models"))
+    with pytest.raises(FileNotFoundError):
+        store.load("m", "v1")
+    trained = store.train("m", "v1", df, FEATURES, "id", "2026-01-01")
+    loaded = store.load("m", "v1", FEATURES)
+    values = np.random.default_rng(3).normal(size=(50, 4))
+    assert (trained.scores(values) == loaded.scores(values)).all()
+    direct = IF.Forest.from_nodes(IF.fit(df, FEATURES, "id"), FEATURES)
+    assert (direct.scores(values) == loaded.scores(values)).all()
+    with pytest.raises(FileExistsError):
+        store.train("m", "v1", df.limit(10), FEATURES, "id")
+    for wrong in (FEATURES[::-1], FEATURES[:3], [*FEATURES, "more"]):
+        with pytest.raises(ValueError):
+            store.load("m", "v1", wrong)
+    card = store.card("m", "v1").first()
+    raw = 0.5 - direct.scores(np.array(df.select(*FEATURES).collect(), float))
+    assert card["n_training_samples"] == 3000 and card["trained_at"] == "2026-01-01" and card["score_mean"] == round(raw.mean(), 4)
+    assert card["outlier_pct"] == round((raw < 0).mean() * 100, 2)
+    df.sparkSession.createDataFrame([(0,)], "tree_id int").write.parquet(str(tmp_path / "models" / "m" / "v2" / "nodes"))  # broken off
+    store.train("m", "v2", df, FEATURES, "id")
+    both = IF.with_scores(df, {"one": loaded, "two": store.load("m", "v2")}).where("one <> two").count()
+    assert both == 0
+
+
+def test_numbered_and_donors(spark):
+    df = spark.range(1000).select("id", (F.col("id") * 3).alias("a"), F.lit("x").alias("_at2")).repartition(6)
+    got = rows(MS.numbered(df, [F.desc("id")], "place").select("id", "place"))
+    assert got == sorted(((i, 999 - i) for i in range(1000)), key=repr)
+    donors = MS.with_donors(df, ["a"], "id").collect()
+    given = {r["id"]: r["donor_a"] for r in donors}
+    assert sorted(given.values()) == [3 * i for i in range(1000)] and sum(v == 3 * k for k, v in given.items()) < 12
+    again = {r["id"]: r["donor_a"] for r in MS.with_donors(df.repartition(2), ["a"], "id").collect()}
+    assert again == given
+    assert MS.with_donors(df.limit(0), ["a"], "id").count() == 0
+
+
+def test_inert_features_and_probes(spark):
+    """Features that were constant in training move no index, the others do; an extreme probe is flagged, an ordinary one isn't."""
+    df = sample(spark, 4000, 40)
+    forest = IF.Forest.from_nodes(IF.fit(df, FEATURES, "id"), FEATURES)
+    varied = df.withColumn("flat", F.rand(3) * 100)
+    found = {r["feature"]: r for r in MS.feature_inertness(varied, forest, "id").collect()}
+    assert found["flat"]["inert"] and found["flat"]["max_shift"] == 0
+    assert all(not found[f]["inert"] and found[f]["mean_shift"] > 0.5 for f in "abc")
+    table = varied.toPandas().set_index("id")
+    given = MS.with_donors(varied.select("id", *FEATURES), FEATURES, "id").toPandas().set_index("id").loc[table.index]
+    index = lambda v: np.floor((-np.clip(0.5 - forest.scores(v), -0.5, 0.5) + 0.5) * 100)
+    base, moved = table[FEATURES].to_numpy(float), table[FEATURES].copy()
+    moved["b"] = given["donor_b"]
+    assert found["b"]["mean_shift"] == pytest.approx(np.abs(index(moved.to_numpy(float)) - index(base)).mean(), abs=1e-4)
+    assert {r["probe"]: r["ok"] for r in MS.probes(df, forest).collect()} == {"extreme": True, "ordinary": True}
+
+
+def test_funds_as_a_table(spark):
+    """A table of funds gives what the same list gives, however long it is."""
+    data = [(str(c), f"S{s}", str(100 * ((c * 7 + s * 3 + p) % 9)), p, "SH" if s else "PRN") for c in range(30) for s in range(4) for p in (8096, 8097, 8098)]
+    held = spark.createDataFrame(data, "cik string, cusip string, shares string, period int, share_type string")
+    names = spark.createDataFrame([(f"S{s}", "ABCD"[s] * 2) for s in range(4)], "cusip string, ticker string")
+    funds = {str(c): f"Fund {c}" for c in range(3, 30)}
+    table = spark.createDataFrame(list(funds.items()) + [("777", "absent")], "cik string, fund_name string")
+    listed = rows(H.infer_fund_trades(held, names, funds))
+    assert rows(H.infer_fund_trades(held, names, table)) == listed and len(listed) > 50
+
+
 def test_holdings_inference(spark):
     data = [("1", "X", "100", 8096), ("1", "X", "300", 8097), ("1", "Y", "500", 8096), ("1", "Z", "50", 8097), ("1", "X", "bad", 8098), ("9", "X", "900", 8097)]
     held = spark.createDataFrame([(c, s, n, p, "SH", s.lower()) for c, s, n, p in data], "cik string, cusip string, shares string, period int, share_type string, issuer_name string")

@@ -122,6 +122,37 @@ def test_failed_write_append_and_bucketed_upsert(spark, tmp_path):
     assert rows(table.read().where("k = 100").select("v")) == [("most",)]
 
 
+def test_of_two_writers_of_one_version_the_first_has_it(spark, tmp_path):
+    """Both begin at version 1. The first to commit is told so and stays; the second is told that it lost."""
+    table, other = K.VersionedTable(spark, str(tmp_path / "t")), K.VersionedTable(spark, str(tmp_path / "t"))
+    table.replace(spark.createDataFrame([(0, "base")], "k int, v string"))
+    before = table._current()
+    for number in range(4):  # whatever the names that the writers' files get
+        schema = spark.createDataFrame([], "k int, v string").schema
+        mine = [*before["folders"], *table._write(spark.createDataFrame([(number, "first")], schema), [])]
+        theirs = [*before["folders"], *other._write(spark.createDataFrame([(number, "second")], schema), [])]
+        table._commit(before, schema, [], mine)
+        with pytest.raises(K.ConcurrentWrite):
+            other._commit(before, schema, [], theirs)
+        assert rows(other.read().where("v <> 'base'")) == [(number, "first")]
+        table._commit(table._current(), schema, [], before["folders"])
+        before = table._current()
+    assert not [f for f in (tmp_path / "t" / "log").iterdir() if f.name.startswith("_")]
+
+
+def test_log_on_a_file_system_of_its_own(spark, tmp_path):
+    """Without a mounted path the version's file is renamed by the file system, which refuses to replace one."""
+    table = K.VersionedTable(spark, str(tmp_path / "t"))
+    folder = f"file:{tmp_path}/log"
+    real = K.urlparse
+    K.urlparse = lambda text: real(text.replace("file:", "other:"))
+    try:
+        assert table._publish(folder, "1.json", "a\n") and not table._publish(folder, "1.json", "b\n")
+    finally:
+        K.urlparse = real
+    assert (tmp_path / "log" / "1.json").read_text() == "a\n" and len([f for f in (tmp_path / "log").iterdir() if f.suffix == ".json" or f.name.startswith("_")]) == 1
+
+
 def test_headers_are_first_lines(spark, tmp_path):
     (tmp_path / "h").mkdir()
     (tmp_path / "h" / "2024q1_holdings.csv").write_text('CUSIP,nameOfIssuer,sshPrnamt,sshPrnamtType,cik\nC1,"Cusip Shell, Inc",5,SH,1\nC2,"two\nlines",6,SH,1\n')
