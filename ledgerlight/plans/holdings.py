@@ -57,12 +57,13 @@ def infer_fund_trades(holdings: DataFrame, ticker_map: DataFrame, funds: dict[st
     """Buys and sells per (fund, security) and quarter pair, dated the end of the earlier quarter.
 
     `holdings`: cik, cusip, shares, share_type, period; `ticker_map`: cusip, ticker. `funds` are those to keep:
-    a short list, or a table (cik, fund_name) of any length, unique on cik; an empty list keeps all, named by their cik.
+    a short list, or a table (cik, fund_name) of any length, unique on cik without leading zeros; an empty list keeps all, named by their cik.
     """
     if isinstance(funds, DataFrame):
         # The bounds of the quarters are those of the tracked funds, so funds are kept before the comparison.
-        held = map_column(share_positions(holdings).withColumn("cik", X.clean_cik("cik")), funds, "cik", "fund_name", "fund_name").where("fund_name IS NOT NULL")
-        moved = quarter_changes(held, ["cik", "fund_name", "cusip"])
+        named = funds.select(X.clean_cik("cik").alias("_fund"), "fund_name")
+        held = map_column(share_positions(holdings).withColumn("_fund", X.clean_cik("cik")), named, "_fund", "fund_name", "fund_name")
+        moved = quarter_changes(held.where("fund_name IS NOT NULL"), ["cik", "fund_name", "cusip"])
     else:
         moved = quarter_changes(share_positions(only_funds(holdings, funds)) if funds else share_positions(holdings), ["cik", "cusip"])
         moved = moved.withColumn("fund_name", X.lookup(funds, F.col("cik")) if funds else F.col("cik"))

@@ -164,6 +164,8 @@ def test_funds_as_a_table(spark):
     table = spark.createDataFrame(list(funds.items()) + [("777", "absent")], "cik string, fund_name string")
     listed = rows(H.infer_fund_trades(held, names, funds))
     assert rows(H.infer_fund_trades(held, names, table)) == listed and len(listed) > 50
+    zero = spark.createDataFrame([("0", "Zero"), ("0005", "Five")], "cik string, fund_name string")
+    assert {(r["cik"], r["fund_name"]) for r in H.infer_fund_trades(held, names, zero).collect()} == {("0", "Zero"), ("5", "Five")}
 
 
 def test_holdings_inference(spark):
