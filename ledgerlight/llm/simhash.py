@@ -23,6 +23,8 @@ SHINGLE = 3
 SEED = 42
 #: Runs of one anchor with more fingerprints than this are searched breadth first.
 DENSE = 16
+#: An anchor with more fingerprints than this isn't compared by one task: its fingerprints are split further.
+CROWD = 1 << 14
 
 
 def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int:
@@ -161,39 +163,96 @@ def _links(anchors: np.ndarray, prints: np.ndarray, threshold: int) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(x) for x in ends], names=["a", "b"])
 
 
-def _compare(threshold: int):
+def _with_kind(found: pa.RecordBatch, crowded: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*found.columns, pa.array(np.full(found.num_rows, crowded))], names=["a", "b", "crowded"])
+
+
+def _compare(threshold: int, most: int | None = None):
+    """Links (a, b, False); of anchors with more than `most` rows, the rows instead: (anchor, fp, True)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by anchor; the last anchor of a batch may go on in the next one."""
-        held_a, held_p = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        for batch in batches:
-            a, p = np.asarray(batch.column("anchor")), np.asarray(batch.column("fp")).view(np.uint64)
-            if not len(a):
-                continue
-            if held_a[-1].size == 0 or a[-1] != held_a[-1][-1]:
-                a, p = np.concatenate([*held_a, a]), np.concatenate([*held_p, p])
-                cut = np.searchsorted(a, a[-1])
-                yield _links(a[:cut], p[:cut], threshold)
-                held_a, held_p = [a[cut:]], [p[cut:]]
+        limit = CROWD if most is None else most
+        crowd = None
+        for a, p in _whole_anchors(batches, limit):
+            if limit and (len(a) > limit and a[0] == a[-1] or a[0] == crowd):
+                crowd = a[0]
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(p.view(np.int64)), pa.array(np.full(len(a), True))], names=["a", "b", "crowded"])
             else:
-                held_a.append(a)
-                held_p.append(p)
-        a, p = np.concatenate(held_a), np.concatenate(held_p)
-        if len(a):
-            yield _links(a, p, threshold)
+                yield _with_kind(_links(a, p, threshold), False)
 
     return run
 
 
+def _whole_anchors(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(anchors, fps) of whole anchors, several or one; an anchor of more than `most` (if not 0) rows comes alone, in parts.
+
+    Rows come sorted by anchor; the last anchor of a batch may go on in the next one.
+    """
+    none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    held, crowd = [none], None
+    for batch in batches:
+        a, p = np.asarray(batch.column("anchor")), np.asarray(batch.column("fp")).view(np.uint64)
+        if not len(a):
+            continue
+        if crowd is not None:
+            cut = int(np.searchsorted(a, crowd, "right"))
+            if cut:
+                yield a[:cut], p[:cut]
+            if cut == len(a):
+                continue
+            a, p, crowd = a[cut:], p[cut:], None
+        a, p = np.concatenate([*[h[0] for h in held], a]), np.concatenate([*[h[1] for h in held], p])
+        ends = np.append(np.flatnonzero(a[1:] != a[:-1]) + 1, len(a))
+        starts = np.concatenate(([0], ends[:-1]))
+        at = 0
+        for i in np.flatnonzero(ends - starts > most).tolist() if most else ():
+            if starts[i] > at:
+                yield a[at : starts[i]], p[at : starts[i]]
+            yield a[starts[i] : ends[i]], p[starts[i] : ends[i]]
+            at = int(ends[i])
+        if at == len(a):  # the last anchor is a crowd and may go on
+            held, crowd = [none], a[-1]
+            continue
+        if starts[-1] > at:
+            yield a[at : starts[-1]], p[at : starts[-1]]
+        held = [(a[starts[-1] :], p[starts[-1] :])]
+    a, p = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+    if len(a):
+        yield a, p
+
+
 def near_links(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(a, b): links among the distinct fingerprints `prints` (fp), enough to connect all that chains of links connect.
 
-    Every pair that differs in at most `threshold` (3 or fewer) bits meets at an anchor. An anchor's rows
-    are distinct 64-bit words, so even a crowded one is small, and it is streamed in sorted order.
+    Every pair that differs in at most `threshold` (3 or fewer) bits meets at an anchor. Rows are streamed in
+    sorted order; an anchor of more than CROWD of them passes them on and is split, see `_crowd_links`.
     """
     if threshold > THRESHOLD:
         raise ValueError("the anchors cover pairs that differ in at most 3 bits")
-    replicas = prints.mapInArrow(_replicate, "anchor long, fp long")
-    return replicas.repartition("anchor").sortWithinPartitions("anchor", "fp").mapInArrow(_compare(threshold), "a long, b long")
+    found = scratch_table(_compared(prints.mapInArrow(_replicate, "anchor long, fp long"), threshold), "links")
+    plain, crowded = found.where("NOT crowded").select("a", "b"), found.where("crowded").select(F.col("a").alias("anchor"), F.col("b").alias("fp"))
+    return plain if crowded.isEmpty() else plain.unionByName(_crowd_links(crowded, threshold))
+
+
+def _compared(rows: DataFrame, threshold: int, most: int | None = None) -> DataFrame:
+    return rows.repartition("anchor").sortWithinPartitions("anchor", "fp").mapInArrow(_compare(threshold, most), "a long, b long, crowded boolean")
+
+
+def _crowd_links(crowded: DataFrame, threshold: int) -> DataFrame:
+    """The links within crowded anchors. An anchor stands for one half of its fingerprints, so the other halves tell them apart.
+
+    Of the other half's four bytes, two fingerprints within three bits share one: members meet per byte. Where even
+    these groups are crowded, they are dealt to parts, and every two parts are compared, by as many tasks as that takes.
+    """
+    other = F.when(F.shiftright("anchor", 32) == 0, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
+    byte = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.xxhash64("anchor", k, other.bitwiseAND(F.element_at(F.array(*[F.lit(0xFF << 8 * i) for i in range(4)]), k + 1))))
+    met = crowded.select("fp", F.explode(byte).alias("group"))
+    counted = met.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD)
+    parts = counted.select("group", F.ceil(F.col("n") / CROWD).cast("int").alias("parts"))
+    dealt = met.join(small(parts), "group", "left").withColumn("part", F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(1), F.col("parts") - 1), lambda k: F.array_sort(F.array(F.col("part"), (F.col("part") + k) % F.col("parts"))))
+    blocks = dealt.select("fp", "group", F.explode(F.when(F.col("parts") > 1, pairs).otherwise(F.array(F.array(F.lit(0), F.lit(0))))).alias("block"))
+    return _compared(blocks.select(F.xxhash64("group", "block").alias("anchor"), "fp"), threshold, most=0).select("a", "b")
 
 
 def _grouped(docs: DataFrame, width: int, seed: int, threshold: int) -> tuple[DataFrame, DataFrame]:

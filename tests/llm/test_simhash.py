@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -74,9 +75,14 @@ def planted(rng):
     return prints
 
 
-def test_groups_against_brute_force(spark):
+@pytest.mark.parametrize("crowd,low", [(simhash.CROWD, False), (6, False), (6, True)])
+def test_groups_against_brute_force(spark, monkeypatch, crowd, low):
+    """Also with anchors split at six members, and with half of the bits shared by most fingerprints."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
     rng = random.Random(8)
     prints = planted(rng)
+    if low:
+        prints = [p & 0xFFFFFFFF | 0xABCD << 32 for p in prints[:100]] + [p >> 32 << 32 | 0x1234 for p in prints[:100]] + prints[300:]
     signed = [simhash._signed(p) for p in prints]
     links = simhash.near_links(spark.createDataFrame([(s,) for s in set(signed)], "fp long"))
     roots = {r["node"]: r["root"] for r in connected_components(links).collect()}
@@ -85,6 +91,39 @@ def test_groups_against_brute_force(spark):
     assert len(set(zip(mine, theirs))) == len(set(mine)) == len(set(theirs))
 
 
+def test_crowded_anchors_come_in_parts():
+    import pyarrow as pa
+
+    anchors = np.repeat([1, 2, 3, 4, 5, 6], [3, 40, 1, 25, 2, 30])
+    prints = np.arange(len(anchors), dtype=np.int64)
+    for size in (1, 4, 7, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(anchors[i : i + size]), pa.array(prints[i : i + size])], names=["anchor", "fp"]) for i in range(0, len(anchors), size)]
+        got = list(simhash._whole_anchors(iter(batches), 10))
+        assert np.concatenate([p for _, p in got]).tolist() == prints.tolist()
+        seen = [set(a.tolist()) for a, _ in got]
+        assert all(len(s) == 1 for s in seen if s & {2, 4, 6}) and all(sum(a in s for s in seen) == 1 for a in (1, 3, 5))
+        assert max(len(p) for a, p in got) <= 10 + size
+        out = pa.Table.from_batches(simhash._compare(3, 10)(iter(batches))).to_pydict()
+        assert sorted(b for b, c in zip(out["b"], out["crowded"]) if c) == prints[np.isin(anchors, [2, 4, 6])].tolist()
+
+
+def test_many_members_of_one_anchor(spark):
+    """60,000 fingerprints that share one half: no task compares more than a small part of the pairs."""
+    one = 0x5A5A5A5A
+    rows = spark.range(60_000).select(F.shiftleft(F.xxhash64("id"), 32).bitwiseOR(F.lit(one)).alias("fp")).distinct()
+    near = rows.limit(1).select(F.col("fp").bitwiseXOR(F.lit(7 << 40)).alias("fp"))
+    prints = rows.unionByName(near).distinct()
+    found = simhash.near_links(prints)
+    values = np.array([r["fp"] for r in prints.collect()]).view(np.uint64)
+    links = found.collect()
+    assert len(links) > 0
+    joined = np.array([[r["a"], r["b"]] for r in links]).view(np.uint64)
+    assert (np.bitwise_count(joined[:, 0] ^ joined[:, 1]) <= 3).all()
+    linked = set(joined.ravel().tolist())
+    some = [v for v in values[:: len(values) // 300] if (np.bitwise_count(values ^ v) <= 3).sum() > 1]
+    assert all(int(v) in linked for v in some)
+
+
 def test_long_chains_and_loops(spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, 500), (7, 3), (3, 7), (-5, 900), (900, 901)]
     found = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
