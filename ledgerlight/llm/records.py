@@ -23,7 +23,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 END = 1
 #: Pieces of text in a generation of a worker's cache. Two are kept, so that pieces in use outlive the many that come once.
-CACHED = 450_000
+CACHED = 250_000
 OTHER = "\0"
 #: Texts that tell tokenizers which keep white space, or see what it separates together, from those that don't.
 PROBES = [" a", "a ", "a b", "a  b", "a\nb", "a\t b", "a\r\nb", "A bc, d . E", "1 2", "\u00e9 \u00e9", "the the . . the", "\n\n", "a \u4e2d b"]
@@ -84,14 +84,14 @@ class Pieces(dict):
     For tokenizers that drop white space and never join what it separates: the ids of a text are then those
     of its pieces in turn. Whether a tokenizer is of that kind is seen from PROBES; one that isn't encodes whole
     texts. A piece goes through the tokenizer's normalizer and splitter, and its model's
-    ids are kept per split; one that holds an added token goes through the tokenizer as a whole. Pieces that differ
+    ids are kept per piece; one that holds an added token goes through the tokenizer as a whole. Pieces that differ
     in letter case or end in punctuation share the work, where the tokenizer itself is seen to treat them alike.
     """
 
     def __init__(self, tokenizer, width: int):
         super().__init__()
         self.kind, self.code = f"<u{width}", {2: "H", 4: "I"}[width]
-        self.tokenizer, self.model, self.older, self.splits, self.letters = tokenizer, tokenizer.model, {}, {}, Letters(self._parts)
+        self.tokenizer, self.model, self.older, self.letters = tokenizer, tokenizer.model, {}, Letters(self._parts)
         self.whole = not all(self._encoded(text) == b"".join(map(self._encoded, text.split())) for text in PROBES)
         self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.tail = {p for p in b".,;:!?" if self._parts(f"ab{chr(p)}") == ["ab", chr(p)] and self._parts(f"\u00e9{chr(p)}")[1:] == [chr(p)]}
@@ -124,23 +124,15 @@ class Pieces(dict):
         text = piece.decode()
         part = text.translate(self.letters)
         if OTHER not in part:
-            return self.split(part)
+            low = text.lower()
+            return self[low.encode()] if low != text and low.translate(self.letters) == part else self._model(part)
         if any(a in text for a in self.added) or self.tokenizer.pre_tokenizer is None:
             return self._encoded(text)
-        return b"".join(map(self.split, self._parts(text)))
+        return b"".join(map(self._model, self._parts(text)))
 
     def _model(self, part: str) -> bytes:
         return array(self.code, [t.id for t in self.model.tokenize(part)]).tobytes()
 
-    def split(self, part: str) -> bytes:
-        """The ids of a split, which pieces of other case or punctuation may have too."""
-        ids = self.splits.get(part)
-        if ids is None:
-            if len(self.splits) >= CACHED:
-                self.splits.clear()
-            self.splits[part] = ids = self._model(part)
-        return ids
-
     def _encoded(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
