@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 from ledgerlight.catalog.base import Tables, query
 from ledgerlight.operators import clean as C
 from ledgerlight.operators import merge as M
+from ledgerlight.operators import metrics as W
+from ledgerlight.session import scratch_path
+from ledgerlight.sources import sinks as K
 
 DEDUP = "QUALIFY row_number() OVER (PARTITION BY politician_id, ticker, trade_date, trade_type ORDER BY trade_id, disclosure_lag_days, disclosure_date, amount_midpoint) = 1"
 
@@ -100,6 +103,18 @@ def b09(t: Tables):
     return C.split_resolved(t.trades, ["politician_id", "industry_sector"])[1]
 
 
+@query("b09_write_resolved", """
+SELECT count(*) FILTER (industry_sector IS NOT NULL) AS kept, count(*) FILTER (industry_sector IS NULL) AS dropped,
+  count(*) FILTER (politician_id IS NULL) AS null_politician_id, count(*) FILTER (industry_sector IS NULL) AS null_industry_sector,
+  count(*) FILTER (industry_sector IS NOT NULL) AS stored FROM trades
+""")
+def b09w(t: Tables):
+    """The counts come from the job that writes the rows; `stored` is counted on the written table."""
+    table = K.VersionedTable(t.spark, scratch_path(t.spark, "resolved"))
+    counts = W.write_resolved(t.trades, ["politician_id", "industry_sector"], table.replace)
+    return table.read().agg(*[F.lit(n).alias(c) for c, n in counts.items()], F.count(F.lit(1)).alias("stored"))
+
+
 @query("b10_only_funds", "SELECT l_suppkey AS cik, count(*) AS n FROM lineitem WHERE l_suppkey IN (7, 11, 42) GROUP BY 1")
 def b10(t: Tables):
     rows = t.lineitem.select(F.lpad(F.col("l_suppkey").cast("string"), 10, "0").alias("cik"))

@@ -4,9 +4,11 @@ from pyspark.sql import functions as F
 
 from ledgerlight.catalog.base import Tables, letters, query
 from ledgerlight.sources import documents as D
+from ledgerlight.sources import quarters as S
 from ledgerlight.sources import sinks as K
 from ledgerlight.sources import tabular as R
 from ledgerlight.session import scratch_path
+from ledgerlight.streaming import landing as L
 
 
 def _json(t: Tables, df, name: str) -> str:
@@ -247,6 +249,64 @@ def a19(t: Tables):
     return R.holdings_table(rows, mapping, {"7": "seven"}).select("fund_name", "fund_cik", "cusip", "ticker", "shares")
 
 
+def _quarters(t: Tables) -> str:
+    """All holdings by quarter, then the second quarter of 1997 again with doubled shares."""
+    path, day = scratch_path(t.spark, "quarters"), F.col("l_shipdate")
+    rows = t.lineitem.select(
+        F.col("l_suppkey").cast("string").alias("fund_cik"), F.concat(F.lit("C"), F.col("l_partkey")).alias("cusip"),
+        (F.col("l_quantity") * 100).cast("long").alias("shares"), F.year(day).alias("year"), F.quarter(day).alias("quarter"))
+    S.write_quarters(rows, path)
+    S.write_quarters(rows.where("year = 1997 and quarter = 2").withColumn("shares", F.col("shares") * 2), path)
+    return path
+
+
+QUARTERS = """
+SELECT l_suppkey::VARCHAR AS fund_cik, 'C' || l_partkey AS cusip, year(l_shipdate)::INT AS year, quarter(l_shipdate)::INT AS quarter,
+  CAST(l_quantity * 100 AS BIGINT) * CASE WHEN year(l_shipdate) = 1997 AND quarter(l_shipdate) = 2 THEN 2 ELSE 1 END AS shares FROM lineitem
+"""
+
+
+@query("a19_quarter_reload", QUARTERS)
+def a19q(t: Tables):
+    return S.read_quarters(t.spark, _quarters(t)).select("fund_cik", "cusip", "year", "quarter", "shares")
+
+
+@query("a05_stored_quarters", QUARTERS + "WHERE CAST(l_shipdate AS DATE) BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'")
+def a05q(t: Tables):
+    """Eight quarters out of all stored ones; only their folders are read."""
+    return S.read_quarters(t.spark, _quarters(t), (1997, 1), (1998, 4)).select("fund_cik", "cusip", "year", "quarter", "shares")
+
+
+PRICE_FILE = "ticker string, price_date date, close double, volume long"
+
+
+def _price_runs(t: Tables) -> tuple[str, list[int]]:
+    """Every order as a price, then files with new prices of the filled orders, each followed by a run, and a run without new files."""
+    folder, table, checkpoint = (scratch_path(t.spark, n) for n in ("arriving", "landed", "landing"))
+    prices = t.orders.select(
+        F.concat(F.lit("X"), F.col("o_custkey") % 40).alias("ticker"), F.to_date("o_orderdate").alias("price_date"), F.col("o_totalprice").alias("close"),
+        F.col("o_orderkey").alias("volume"), "o_orderstatus")
+    taken = []
+    for wave in (prices, prices.where("o_orderstatus = 'F'").withColumn("close", F.col("close") * 2), None):
+        if wave is not None:
+            wave.drop("o_orderstatus").write.mode("append").option("header", True).csv(folder)
+        taken.append(L.land(L.arriving_csv(t.spark, folder, PRICE_FILE), table, checkpoint))
+    return table, taken
+
+
+@query("a02_landed_prices", "SELECT 'X' || o_custkey % 40 AS ticker, CAST(o_orderdate AS DATE) AS price_date, o_totalprice * CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END AS close, o_orderkey AS volume FROM orders")
+def a02l(t: Tables):
+    table, _ = _price_runs(t)
+    return L.newest(L.landed(t.spark, table, PRICE_FILE), ["volume"])
+
+
+@query("a02_landing_runs", "SELECT count(*) AS first_run, count(*) FILTER (o_orderstatus = 'F') AS second_run, CAST(0 AS BIGINT) AS third_run, count(*) + count(*) FILTER (o_orderstatus = 'F') AS stored FROM orders")
+def a02r(t: Tables):
+    table, taken = _price_runs(t)
+    names = ("first_run", "second_run", "third_run")
+    return L.landed(t.spark, table, PRICE_FILE).agg(*[F.lit(n).cast("long").alias(c) for c, n in zip(names, taken)], F.count(F.lit(1)).alias("stored"))
+
+
 def _pages(t: Tables):
     package = F.struct(
         F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("BILLS-119hr"), F.col("o_orderkey"), F.lit("ih"))).otherwise(F.concat(F.lit("CRPT-119hrpt"), F.col("o_orderkey"))).alias("packageId"),

@@ -7,8 +7,12 @@ from ledgerlight.functions import sectors as S
 from ledgerlight.functions import text as X
 from ledgerlight.operators import entity as E
 from ledgerlight.operators import merge as M
+from ledgerlight.operators import metrics as W
+from ledgerlight.operators import patterns as P
 from ledgerlight.operators import quality as Q
 from ledgerlight.operators import temporal as T
+from ledgerlight.session import scratch_path
+from ledgerlight.sources import sinks as K
 from ledgerlight.streaming import incremental as I
 
 
@@ -369,6 +373,51 @@ def c27(t: Tables):
     return M.backfill(t.bills.select("bill_id", "policy_area", "url"), detail, "bill_id", ["policy_area", "url"])
 
 
+@query("c27_backfill_on_write", """
+, f AS (SELECT (policy_area IS NULL AND o_totalprice > 100000) OR (b.url IS NULL AND o_totalprice > 200000) AS was_filled, coalesce(policy_area, CASE WHEN o_totalprice > 100000 THEN 'Animals' END) AS policy_area
+  FROM bills b JOIN orders ON bill_id = 'hr' || o_orderkey || '-119')
+SELECT count(*) AS total, count(*) FILTER (was_filled) AS enriched, count(policy_area) AS with_area FROM f
+""")
+def c27w(t: Tables):
+    """Enriched rows counted by the job that writes them."""
+    table = K.VersionedTable(t.spark, scratch_path(t.spark, "backfilled"))
+    counts = W.write_backfilled(c27(t), table.replace)
+    return table.read().agg(*[F.lit(n).alias(c) for c, n in counts.items()], F.count("policy_area").alias("with_area"))
+
+
+WATCH = """
+, watch AS (SELECT '#' || lpad(s_suppkey::VARCHAR, 9, '0') AS pattern, s_suppkey AS place, 's' || s_nationkey AS label FROM supplier
+  UNION ALL SELECT n_name, 1000000000 + n_nationkey, 'n' || n_regionkey FROM nation),
+named AS (SELECT c_custkey, c_name || ' of ' || n_name AS name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey),
+found AS (SELECT c_custkey, place, label FROM named, watch WHERE contains(lower(name), lower(pattern)))
+"""
+
+
+def _watched(t: Tables):
+    """Customers with their country as names; suppliers' numbers and all countries as watched patterns."""
+    numbers = t.supplier.select(
+        F.concat(F.lit("#"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0")).alias("pattern"), F.col("s_suppkey").cast("long").alias("place"),
+        F.concat(F.lit("s"), "s_nationkey").alias("label"))
+    countries = t.nation.select(
+        F.col("n_name").alias("pattern"), (F.lit(1_000_000_000) + F.col("n_nationkey")).cast("long").alias("place"), F.concat(F.lit("n"), "n_regionkey").alias("label"))
+    named = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", F.concat("c_name", F.lit(" of "), "n_name").alias("name"))
+    return named, numbers.unionByName(countries)
+
+
+@query("c24_pattern_table", WATCH + """
+SELECT c_custkey, coalesce((SELECT string_agg(DISTINCT label, ',' ORDER BY label) FROM found f WHERE f.c_custkey = n.c_custkey), '') AS labels FROM named n
+""")
+def c24p(t: Tables):
+    named, watch = _watched(t)
+    return P.all_matches(named, "name", watch, "pattern", "label", "labels").select("c_custkey", F.array_join("labels", ",").alias("labels"))
+
+
+@query("h15_pattern_table", WATCH + "SELECT c_custkey, (SELECT arg_min(label, place) FROM found f WHERE f.c_custkey = n.c_custkey) AS label FROM named n")
+def h15p(t: Tables):
+    named, watch = _watched(t)
+    return P.first_match(named, "name", watch, "pattern", "place", "label", "label").select("c_custkey", "label")
+
+
 @query("c28_compare_runs", """
 SELECT a.trade_id, a.cohort_index AS cohort_index_v1, b.baseline_index AS cohort_index_v2 FROM scored a JOIN scored b USING (trade_id)
 """)

@@ -8,8 +8,11 @@ from ledgerlight.functions import vocab as V
 from ledgerlight.operators import analytics as A
 from ledgerlight.operators import entity as E
 from ledgerlight.operators import merge as M
+from ledgerlight.operators import metrics as W
 from ledgerlight.operators import quality as Q
 from ledgerlight.plans.features import add_sectors
+from ledgerlight.session import scratch_path
+from ledgerlight.sources import sinks as K
 
 Q4 = "severity_quadrant"
 SEV = "count(*) FILTER (severity_quadrant = 'SEVERE')"
@@ -397,16 +400,26 @@ def d37(t: Tables):
     return Q.population(t.bills, ["policy_area", "url", "title"])
 
 
-@query("d38_quality_gate", """
+GATE_SQL = """
 , n AS (SELECT count(*) AS total, count(*) FILTER (policy_area IS NULL) AS pa, count(*) FILTER (url IS NULL) AS u FROM bills)
 SELECT 'bills' AS "table", 'policy_area' AS "column", total, pa AS nulls, round(pa::DOUBLE / total, 4) AS null_share, CASE WHEN total < 100 THEN 'warn' ELSE 'ok' END AS rows_verdict,
   CASE WHEN pa::DOUBLE / total > 0.5 THEN 'warn' ELSE 'ok' END AS nulls_verdict FROM n
 UNION ALL SELECT 'bills', 'url', total, u, round(u::DOUBLE / total, 4), CASE WHEN total < 100000000 THEN 'warn' ELSE 'ok' END, CASE WHEN u::DOUBLE / total > 0.3 THEN 'warn' ELSE 'ok' END FROM n
-""")
+"""
+
+
+@query("d38_quality_gate", GATE_SQL)
 def d38(t: Tables):
     return Q.quality_gate(t.bills, "bills", [("policy_area", 0.5, 100), ("url", 0.3, 100000000)])
 
 
+@query("d38_gate_on_write", GATE_SQL)
+def d38w(t: Tables):
+    """The same verdicts from the job that writes the table."""
+    table = K.VersionedTable(t.spark, scratch_path(t.spark, "gated"))
+    return W.write_gated(t.bills, "bills", [("policy_area", 0.5, 100), ("url", 0.3, 100000000)], table.replace)
+
+
 @query("d39_report_problems", """
 , p AS (SELECT trade_id, concat_ws('; ',
   CASE WHEN length(headline) > 120 THEN 'headline too long (' || length(headline) || ' chars)' END, CASE WHEN coalesce(headline, '') = '' THEN 'missing headline' END,

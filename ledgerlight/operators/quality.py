@@ -86,12 +86,13 @@ def coverage(df: DataFrame, key: str, tables: dict[str, DataFrame]) -> DataFrame
     return union_aligned(rows)
 
 
-def quality_gate(df: DataFrame, table: str, rules: list[tuple[str, float, int]], strict: bool = False) -> DataFrame:
-    """Verdict per rule (column, most NULLs allowed, fewest rows): ok, warn, or fail when strict."""
-    counted = df.agg(
-        F.count("*").alias("_total"),
-        *[F.count_if(F.col(c).isNull()).alias(c) for c in dict.fromkeys(r[0] for r in rules)],
-    )
+def gate_counts(rules: list[tuple[str, float, int]]) -> dict[str, Column]:
+    """The aggregates that `gate_verdicts` reads."""
+    return {"_total": F.count(F.lit(1))} | {c: F.count_if(F.col(c).isNull()) for c, _, _ in rules}
+
+
+def gate_verdicts(counted: DataFrame, table: str, rules: list[tuple[str, float, int]], strict: bool = False) -> DataFrame:
+    """Verdict per rule from one row of `gate_counts`."""
     bad = F.lit("fail" if strict else "warn")
     entries = F.explode(F.array(*[
         F.struct(
@@ -104,6 +105,11 @@ def quality_gate(df: DataFrame, table: str, rules: list[tuple[str, float, int]],
     return counted.select(entries.alias("e")).select(F.lit(table).alias("table"), "e.*")
 
 
+def quality_gate(df: DataFrame, table: str, rules: list[tuple[str, float, int]], strict: bool = False) -> DataFrame:
+    """Verdict per rule (column, most NULLs allowed, fewest rows): ok, warn, or fail when strict."""
+    return gate_verdicts(df.agg(*[column.alias(name) for name, column in gate_counts(rules).items()]), table, rules, strict)
+
+
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("copies")).where("copies > 1")
 
