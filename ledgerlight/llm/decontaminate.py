@@ -16,11 +16,11 @@ def _words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), F.array().cast("array<string>"))
 
 
-def _shingles(words: Column, width: int) -> Column:
-    """Distinct word shingles; a shorter text is one shingle, an empty one none."""
+def _shingles(words: Column, width: Column) -> Column:
+    """Distinct shingles of `width` words; a shorter text has none."""
     at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - (width - 1)))
     made = F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(words, i, width), " ")))
-    return F.when(F.size(words) > 0, made).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(words) >= width, made).otherwise(F.array().cast("array<string>"))
 
 
 def _text_key(text: Column) -> Column:
@@ -37,20 +37,25 @@ def _window_hash(hashes: Column, at: Column, width: int) -> Column:
 
 
 def sketches(items: DataFrame, width: int, threshold: float) -> DataFrame:
-    """(hash, item_key, need): the smallest MinHash values of every item, as many as its size partition needs.
+    """(hash, item_key, width, need): the smallest MinHash values of every item, as many as its size partition needs.
 
+    `width` is the most words of a shingle; an item's own, in its column of that name, is less where it is shorter.
     Items are partitioned by their number of shingles n, at powers of two. A text that holds the share
     t of an item lacks at most n - ceil(t*n) of its shingles, so of any n - ceil(t*n) + 1 of them it holds
     one. Every item keeps that many of its smallest hash values, counted for the largest n of its
     partition: a document that reaches t holds at least one value of the sketch, none is missed.
     """
     hashes = F.transform(F.col("words"), lambda w: F.xxhash64(w))
-    at = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - width))
-    hashed = items.withColumn("_h", hashes).withColumn("_h", F.array_distinct(F.transform(at, lambda i: _window_hash(F.col("_h"), i, width))))
+    at = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - F.col("width")))
+
+    def windows(w: int) -> Column:
+        return F.array_distinct(F.transform(at, lambda i: _window_hash(F.col("_h"), i, w)))
+
+    hashed = items.withColumn("_h", hashes).withColumn("_h", F.coalesce(*[F.when(F.col("width") == w, windows(w)) for w in range(1, width + 1)]))
     upper = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n"))))
     depth = (upper - _need(upper, threshold) + 1).cast("int")
     return hashed.select(
-        F.explode(F.slice(F.array_sort("_h"), F.lit(1), depth)).alias("hash"), "item_key", _need(F.col("n"), threshold).alias("need")
+        F.explode(F.slice(F.array_sort("_h"), F.lit(1), depth)).alias("hash"), "item_key", "width", _need(F.col("n"), threshold).alias("need")
     )
 
 
@@ -59,31 +64,39 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, width: int = SHING
 
     text_key and item_key are the MD5 of the texts, so exact copies are looked at once. Texts are first
     searched for the items' sketches, each position of a text hashed once; the candidates' shingles are
-    then intersected with the items' own. NULL, blank and wordless texts hold nothing and are in nothing;
-    an item of fewer than `width` words is only in texts of just these words.
+    then intersected with the items' own. NULL, blank and wordless texts hold nothing and are in nothing.
+    An item of fewer than `width` words is one shingle of its own width: it is in every text that has just
+    these words in a row, so an item of one common word is in very many.
     """
     items = benchmark.select(_text_key(F.col("text")).alias("item_key"), _words(F.col("text")).alias("words")).where(F.size("words") > 0)
-    items = scratch_table(
-        items.dropDuplicates(["item_key"]).withColumn("shingles", _shingles(F.col("words"), width)).withColumn("n", F.size("shingles")), "items"
-    )
-    sketch = scratch_table(sketches(items, width, threshold).drop("words"), "sketches")
+    items = items.dropDuplicates(["item_key"]).withColumn("width", F.least(F.lit(width), F.size("words")))
+    items = scratch_table(items.withColumn("shingles", _shingles(F.col("words"), F.col("width"))).withColumn("n", F.size("shingles")), "items")
+    sketch = scratch_table(sketches(items, width, threshold), "sketches")
+    # At most `width` numbers: those of the shingles' words that items have.
+    widths = sorted(r["width"] for r in items.select("width").distinct().collect()) or [width]
 
     hashes = F.transform(_words(F.col("text")), lambda w: F.xxhash64(w))
     hashed = docs.where(F.col("text").isNotNull()).select(_text_key(F.col("text")).alias("text_key"), hashes.alias("hashes"))
-    last = F.size("hashes") - width
-    positions = hashed.where(F.size("hashes") > 0).select(
-        "text_key", "hashes", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), last))).alias("at")
-    ).select("text_key", F.greatest(F.lit(1), F.size("hashes") - (width - 1)).alias("length"), _window_hash(F.col("hashes"), F.col("at"), width).alias("hash"))
+    last = F.size("hashes") - widths[0]
+    at = hashed.where(last >= 0).select("text_key", "hashes", F.explode(F.sequence(F.lit(0), last)).alias("at"))
+
+    def window(w: int) -> Column:
+        return F.when(F.col("at") + w <= F.size("hashes"), _window_hash(F.col("hashes"), F.col("at"), w))
+
+    starts = F.size("hashes").alias("size"), F.col("at")
+    positions = at.select("text_key", *starts, window(widths[0]).alias("hash")) if len(widths) == 1 else at.select(
+        "text_key", *starts, F.explode(F.array_compact(F.array(*[window(w) for w in widths]))).alias("hash"))
     candidates = scratch_table(
-        positions.join(small(sketch), "hash").where("length >= need").select("text_key", "item_key").distinct(), "candidates"
+        positions.join(small(sketch), "hash").where("size - width + 1 >= need").select("text_key", "item_key", "width").distinct(), "candidates"
     )
 
     wanted = candidates.select("text_key").distinct()
     texts = docs.select(_text_key(F.col("text")).alias("text_key"), "text").join(small(wanted), "text_key", "left_semi")
     # The words are a column of their own: inside the lambda that joins them they would be made once per shingle.
     texts = texts.groupBy("text_key").agg(F.first("text").alias("text")).select("text_key", _words(F.col("text")).alias("words"))
-    texts = texts.select("text_key", _shingles(F.col("words"), width).alias("found"))
-    pairs = candidates.join(texts, "text_key").join(items.select("item_key", "shingles", "n"), "item_key")
+    found = [F.struct(F.lit(w).alias("width"), _shingles(F.col("words"), F.lit(w)).alias("found")) for w in widths]
+    texts = texts.select("text_key", F.inline(F.array(*found)))
+    pairs = candidates.join(texts, ["text_key", "width"]).join(items.select("item_key", "shingles", "n"), "item_key")
     shared = F.size(F.array_intersect("shingles", "found"))
     return pairs.withColumn("shared", shared).where(F.col("shared") >= _need(F.col("n"), threshold)).select(
         "text_key", "item_key", (F.col("shared") / F.col("n")).alias("containment")

@@ -6,17 +6,18 @@ OP2 = r"""
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL),
 i AS (
-  SELECT item_id, md5(text) AS item_key, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w
-  FROM benchmark WHERE text IS NOT NULL),
+  SELECT *, least(len(w), 5) AS m FROM (
+    SELECT item_id, md5(text) AS item_key, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w
+    FROM benchmark WHERE text IS NOT NULL) WHERE len(w) > 0),
 ds AS (
   SELECT DISTINCT doc_id, key, s FROM (
     SELECT doc_id, md5(array_to_string(w, ' ')) AS key,
-      unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda k: array_to_string(w[k:k + 4], ' '))) AS s
-    FROM d WHERE len(w) > 0)),
+      unnest(list_transform(range(1, len(w) - m + 2), lambda k: array_to_string(w[k:k + m - 1], ' '))) AS s
+    FROM d, (SELECT DISTINCT m FROM i) WHERE len(w) >= m)),
 ish AS (
   SELECT DISTINCT item_id, item_key, s FROM (
-    SELECT item_id, item_key, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda k: array_to_string(w[k:k + 4], ' '))) AS s
-    FROM i WHERE len(w) > 0)),
+    SELECT item_id, item_key, unnest(list_transform(range(1, len(w) - m + 2), lambda k: array_to_string(w[k:k + m - 1], ' '))) AS s
+    FROM i)),
 n AS (SELECT item_id, item_key, count(*) AS n FROM ish GROUP BY ALL),
 hit AS (SELECT doc_id, key, item_id, item_key, count(*) AS shared FROM ds JOIN ish USING (s) GROUP BY ALL)
 SELECT doc_id, item_id, max(shared / n) AS containment

@@ -9,18 +9,27 @@ from pyspark.sql import functions as F
 from ledgerlight.llm import decontaminate as D
 
 
-def shingles(text):
-    words = re.findall(r"[^\W_]+", (text or "").lower())
-    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+def words_of(text):
+    return re.findall(r"[^\W_]+", (text or "").lower())
+
+
+def shingles(words, width):
+    return {" ".join(words[i : i + width]) for i in range(len(words) - width + 1)}
+
+
+def share(item, text):
+    """Of an item's shingles, five words each or all of a shorter item, those in the text."""
+    width = min(5, len(words_of(item)))
+    own = shingles(words_of(item), width) if width else set()
+    return len(own & shingles(words_of(text), width)) / len(own) if own else 0
 
 
 def brute(docs, items):
     out = {}
     for d, text in docs:
         for i, item in items:
-            own = shingles(item)
-            if own and len(own & shingles(text)) / len(own) >= 0.8 - 1e-12:
-                out[d, i] = max(out.get((d, i), 0), len(own & shingles(text)) / len(own))
+            if (held := share(item, text)) >= 0.8 - 1e-12:
+                out[d, i] = max(out.get((d, i), 0), held)
     return sorted(((d, i, c) for (d, i), c in out.items()), key=repr)
 
 
@@ -47,7 +56,7 @@ def test_against_brute_force(spark, monkeypatch, rows):
     found = sorted((tuple(r) for r in D.contaminations(left, bench).collect()), key=repr)
     assert found == brute(docs, items) and len(found) > 25
     clean = D.without_contaminated(left, bench)
-    hit = {t for d, t in docs for i, x in items if shingles(x) and len(shingles(x) & shingles(t)) / len(shingles(x)) >= 0.8 - 1e-12}
+    hit = {t for d, t in docs for i, x in items if share(x, t) >= 0.8 - 1e-12}
     assert clean.columns == left.columns
     assert sorted((r["doc_id"], r["text"]) for r in clean.where("doc_id IS NOT NULL AND text IS NOT NULL").collect()) == sorted(d for d in docs if d[0] is not None and d[1] is not None and d[1] not in hit)
     assert clean.where("text IS NULL").count() == 1
@@ -55,7 +64,7 @@ def test_against_brute_force(spark, monkeypatch, rows):
 
 def test_sketches_hold_a_value_of_every_large_enough_part(spark):
     words = " ".join(f"v{i}" for i in range(37))
-    item = spark.createDataFrame([("k", words.split())], "item_key string, words array<string>").withColumn("n", F.lit(33))
+    item = spark.createDataFrame([("k", words.split())], "item_key string, words array<string>").withColumn("n", F.lit(33)).withColumn("width", F.lit(5))
     sketch = {r["hash"] for r in D.sketches(item, 5, 0.8).collect()}
     assert len(sketch) == 64 - 52 + 1  # for the largest item of the partition
 
@@ -66,3 +75,11 @@ def test_empty_tables(spark):
     assert D.contaminations(docs.where("doc_id > 1"), items).count() == 0
     assert D.contaminations(docs, items.where("item_id > 1")).count() == 0
     assert D.without_contaminated(docs, items).count() == 0
+
+
+def test_short_items_inside_long_texts(spark):
+    docs = [(1, "the capital of France is well known to all of us"), (2, "Capital, of FRANCE"), (3, "capital France of"), (4, "of France"), (5, "a zebra")]
+    items = [(1, "capital of France"), (2, "zebra"), (3, "is well known to all of us all"), (4, "of France is well")]
+    left, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = sorted((r["doc_id"], r["item_id"]) for r in D.contaminations(left, bench).collect())
+    assert found == [(1, 1), (1, 4), (2, 1), (5, 2)] == [(d, i) for d, i, _ in brute(docs, items)]
