@@ -105,6 +105,8 @@ def text_parts(batch: pa.RecordBatch, most: int = 1 << 23) -> Iterator[pa.Record
 
 
 def worker_cache(name: str) -> dict:
-    """A dict that lives as long as the Python worker, across its tasks."""
+    """A dict that a Python worker keeps across its tasks, until one of them asks for a dict of another name."""
     holder = sys.modules.setdefault("_ledgerlight_worker", types.ModuleType("_ledgerlight_worker"))
-    return holder.__dict__.setdefault(name, {})
+    if getattr(holder, "name", None) != name:
+        holder.name, holder.kept = name, {}
+    return holder.kept
