@@ -86,6 +86,7 @@ def slots_of(grams: np.ndarray, slots: int, hashes: int) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    _letters()  # before a batch comes: what another operator has left in this worker goes first
     for batch in batches:
         langs = np.asarray(batch.column("lang").to_pylist(), object)
         texts = batch.column("text").to_pylist()

@@ -109,4 +109,5 @@ def worker_cache(name: str) -> dict:
     holder = sys.modules.setdefault("_ledgerlight_worker", types.ModuleType("_ledgerlight_worker"))
     if getattr(holder, "name", None) != name:
         holder.name, holder.kept = name, {}
+        pa.default_memory_pool().release_unused()
     return holder.kept
