@@ -168,6 +168,29 @@ def a10b(t: Tables):
     return out.select("id", "bill_number", "policy_area", "related_sector", "latest_action", "sponsor_bioguide")
 
 
+@query("a10_flatten_bill_records", """
+SELECT 'hr' || o_orderkey || '-119' AS id, 'HR' || o_orderkey AS bill_number, CASE WHEN o_orderstatus = 'F' THEN 'Health' END AS policy_area, CASE WHEN o_orderstatus = 'F' THEN 'healthcare' END AS related_sector,
+  CASE WHEN o_orderstatus = 'F' THEN 'detail' ELSE 'listed' END AS latest_action, CASE WHEN o_orderstatus = 'F' THEN 'B' || o_custkey END AS sponsor_bioguide,
+  CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END AS priority, CASE WHEN o_orderstatus <> 'O' THEN o_custkey END AS cosponsors FROM orders
+""")
+def a10_records(t: Tables):
+    """`count` is a number in some records and a word in others; `priority` is known to no schema."""
+    def action(text):
+        return F.struct(F.lit(text).alias("text"), F.lit("2025-01-01").alias("actionDate")).alias("latestAction")
+
+    base = [F.lit("HR").alias("type"), F.col("o_orderkey").cast("string").alias("number"), F.lit(119).alias("congress")]
+    count = F.when(F.col("o_orderstatus") == "O", "many").otherwise(F.col("o_custkey").cast("string"))
+    listed = t.orders.select(*base, F.lit("t").alias("title"), action("listed"), count.alias("count"))
+    detail = t.orders.where("o_orderstatus = 'F'").select(
+        *base, F.struct(F.lit("Health").alias("name")).alias("policyArea"), action("detail"), F.col("o_orderpriority").alias("priority"),
+        F.array(F.struct(F.concat(F.lit("B"), F.col("o_custkey")).alias("bioguideId"))).alias("sponsors"))
+    out = D.flatten_bill_records(
+        D.read_variant(t.spark, _json(t, listed, "bills")), D.read_variant(t.spark, _json(t, detail, "details")),
+        {"priority": ("$.priority", "string"), "cosponsors": ("$.count", "long")},
+    )
+    return out.select("id", "bill_number", "policy_area", "related_sector", "latest_action", "sponsor_bioguide", "priority", "cosponsors")
+
+
 @query("a11_flatten_finance", """
 SELECT c_custkey::VARCHAR AS candidate_id, CASE WHEN c_custkey % 2 = 0 THEN 'House' ELSE 'Senate' END AS office, CASE WHEN c_custkey % 3 > 0 THEN 'C' || c_nationkey END AS principal_committee_id, c_acctbal AS amount, c_mktsegment AS committee_name FROM customer
 """)

@@ -12,6 +12,7 @@ from ledgerlight.operators import patterns as P
 from ledgerlight.operators import quality as Q
 from ledgerlight.operators import temporal as T
 from ledgerlight.session import scratch_path
+from ledgerlight.sources import bucketed as B
 from ledgerlight.sources import sinks as K
 from ledgerlight.streaming import incremental as I
 
@@ -139,6 +140,22 @@ def c10(t: Tables):
     return T.asof_join(left, right, "ticker", "trade_date", "close", "forward")
 
 
+def _stored_prices(t: Tables) -> tuple:
+    """Prices as a table in buckets of the ticker, and the number of these."""
+    name = B.store(t.prices, B.scratch_name("prices"), ["ticker"], ["price_date"], 16)
+    return t.spark.table(name), B.buckets_of(t.spark, name)
+
+
+@query("c10_asof_bucketed", """
+, probes AS (SELECT trade_id, ticker, trade_date + 30 AS trade_date FROM trades)
+""" + ASOF.format(left="probes", condition="t.trade_date <= p.price_date"))
+def c10_bucketed(t: Tables):
+    left = t.trades.select("trade_id", "ticker", F.date_add("trade_date", 30).alias("trade_date"))
+    prices, buckets = _stored_prices(t)
+    right = prices.withColumnRenamed("price_date", "trade_date")
+    return T.asof_join(left, right, "ticker", "trade_date", "close", "forward", buckets=buckets)
+
+
 @query("c11_asof_backward", """
 , probes AS (SELECT trade_id, ticker, trade_date - 7 AS trade_date FROM trades)
 """ + ASOF.format(left="probes", condition="t.trade_date >= p.price_date"))
@@ -248,7 +265,7 @@ def c18(t: Tables):
     return near.select("trade_id", F.coalesce(text, F.lit("")).alias("nearby"))
 
 
-@query("c19_price_window", """
+C19 = """
 , keys AS (SELECT DISTINCT ticker, trade_date + 400 AS d FROM trades),
 near AS (SELECT k.ticker, k.d, count(*) AS n, min(p.price_date) AS first_day, max(p.close) AS top FROM keys k
   JOIN prices p ON p.ticker = k.ticker AND p.price_date BETWEEN k.d - 30 AND k.d + 30 GROUP BY 1, 2),
@@ -257,16 +274,29 @@ firsts AS (SELECT ticker, count(*) AS n, min(price_date) AS first_day, max(close
 SELECT t.trade_id, CAST(coalesce(near.n, firsts.n) AS INT) AS n_closes, coalesce(near.first_day, firsts.first_day) AS first_day,
   coalesce(near.top, firsts.top) AS top_close
 FROM trades t LEFT JOIN near ON near.ticker = t.ticker AND near.d = t.trade_date + 400 LEFT JOIN firsts ON firsts.ticker = t.ticker
-""")
-def c19(t: Tables):
-    left = t.trades.select("trade_id", "ticker", F.date_add("trade_date", 400).alias("trade_date"))
-    out = T.price_window(left, t.prices)
+"""
+
+
+def _closes(out):
     return out.select(
         "trade_id", F.size("closes").alias("n_closes"), F.col("closes")[0]["price_date"].alias("first_day"),
         F.array_max(F.transform("closes", lambda c: c["close"])).alias("top_close"),
     )
 
 
+@query("c19_price_window", C19)
+def c19(t: Tables):
+    left = t.trades.select("trade_id", "ticker", F.date_add("trade_date", 400).alias("trade_date"))
+    return _closes(T.price_window(left, t.prices))
+
+
+@query("c19_price_window_bucketed", C19)
+def c19_bucketed(t: Tables):
+    left = t.trades.select("trade_id", "ticker", F.date_add("trade_date", 400).alias("trade_date"))
+    prices, buckets = _stored_prices(t)
+    return _closes(T.price_window(left, prices, buckets=buckets))
+
+
 @query("c20_dictionary_map", """
 SELECT t.trade_id, p.p_brand AS sector FROM trades t LEFT JOIN part p
 ON t.ticker = translate(CAST(p_partkey AS VARCHAR), '0123456789', 'ABCDEFGHIJ') AND p_size <= 40

@@ -10,6 +10,7 @@ from ledgerlight.operators import entity as E
 from ledgerlight.operators import merge as M
 from ledgerlight.operators import metrics as W
 from ledgerlight.operators import quality as Q
+from ledgerlight.operators.quantiles import grouped_percentiles
 from ledgerlight.plans.features import add_sectors
 from ledgerlight.session import scratch_path
 from ledgerlight.sources import sinks as K
@@ -349,6 +350,21 @@ def d33(t: Tables):
     return counts.agg(F.floor(F.percentile("d", 0.5, F.col("n_rows"))).cast("int").alias("median_days"))
 
 
+@query("d33_medians_by_person", """
+SELECT politician_id, count(*) AS n, quantile_cont(amount_midpoint, 0.25) AS p25, quantile_cont(amount_midpoint, 0.5) AS median,
+  quantile_cont(amount_midpoint, 0.9) AS p90 FROM trades WHERE amount_midpoint IS NOT NULL GROUP BY 1
+""")
+def d33_by_person(t: Tables):
+    return grouped_percentiles(t.trades, ["politician_id"], "amount_midpoint", {"p25": 0.25, "median": 0.5, "p90": 0.9})
+
+
+@query("d33_medians_by_ticker", """
+SELECT ticker, trade_type, count(*) AS n, median(disclosure_lag_days) AS median_lag FROM trades WHERE disclosure_lag_days IS NOT NULL GROUP BY 1, 2
+""")
+def d33_by_ticker(t: Tables):
+    return grouped_percentiles(t.trades, ["ticker", "trade_type"], "disclosure_lag_days", {"median_lag": 0.5})
+
+
 @query("d34_position_sums", """
 SELECT CAST(l_suppkey AS VARCHAR) AS cik, 'C' || l_partkey AS cusip, CAST(year(l_shipdate) * 4 + quarter(l_shipdate) AS INT) AS period, sum(l_quantity * 100) AS shares,
   min(translate(CAST(l_partkey AS VARCHAR), '0123456789', 'ABCDEFGHIJ')) AS issuer_name FROM lineitem GROUP BY 1, 2, 3

@@ -27,13 +27,33 @@ def _so_far(keys: list[str], order: Column):
     return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def _pairs(left: DataFrame, keys: list[str], date: str) -> DataFrame:
-    """Distinct (keys, day) of the large table with the number of rows behind each."""
-    return known(left, [*keys, date]).groupBy(*keys, date).agg(F.count(F.lit(1)).alias("n_rows"))
+def _pairs(left: DataFrame, keys: list[str], date: str, buckets: int | None = None) -> DataFrame:
+    """Distinct (keys, day) of the large table with the number of rows behind each.
 
+    With `buckets` they are dealt as a table stored in that many buckets of the keys is, so that the stored
+    table meets them where it lies.
+    """
+    pairs = known(left, [*keys, date]).groupBy(*keys, date).agg(F.count(F.lit(1)).alias("n_rows"))
+    return pairs.repartition(buckets, *keys) if buckets else pairs
+
+
+def _timeline(
+    points: DataFrame, probes: DataFrame, keys: list[str], date: str, payload: str, buckets: int | None = None
+) -> DataFrame:
+    """One row per (keys, day): the payload of that day, if any, and the probe count, if any.
 
-def _timeline(points: DataFrame, probes: DataFrame, keys: list[str], date: str, payload: str) -> DataFrame:
-    """One row per (keys, day): the payload of that day, if any, and the probe count, if any."""
+    With `buckets` both sides lie in that many buckets of the keys and stay there: a union would forget it, so
+    the days of a key (at most the calendar's) are joined as two lists. Keys without a probe are left out.
+    """
+    if buckets:
+        asked = probes.groupBy(*keys).agg(F.collect_list(F.struct(F.col(date), F.lit(None).cast(points.schema[payload].dataType).alias(payload), F.col("n_rows"))).alias("_asked"))
+        stored = points.groupBy(*keys).agg(F.collect_list(F.struct(F.col(date), F.col(payload), F.lit(0).cast("long").alias("n_rows"))).alias("_stored"))
+        both = asked.join(stored.hint("merge"), keys, "left").select(
+            *keys, F.explode(F.concat("_asked", F.coalesce("_stored", F.array()))).alias("_row")
+        )
+        return both.groupBy(*keys, F.col(f"_row.{date}").alias(date)).agg(
+            F.max(f"_row.{payload}").alias(payload), F.sum("_row.n_rows").alias("n_rows")
+        )
     merged = points.select(*keys, date, payload, F.lit(0).cast("long").alias("n_rows")).unionByName(
         probes.select(*keys, date, "n_rows"), allowMissingColumns=True
     )
@@ -42,14 +62,17 @@ def _timeline(points: DataFrame, probes: DataFrame, keys: list[str], date: str,
 
 def asof_lookup(
     left: DataFrame, right: DataFrame, by, date: str, value: str, direction: str = "forward",
-    tolerance_days: int | None = None, matched_date: str | None = None,
+    tolerance_days: int | None = None, matched_date: str | None = None, buckets: int | None = None,
 ) -> DataFrame:
-    """Distinct (by, date) of `left` with the as-of value of `right` and the row count `n_rows`."""
+    """Distinct (by, date) of `left` with the as-of value of `right` and the row count `n_rows`.
+
+    `buckets`: `right` is stored in that many buckets of `by` (`sources.bucketed`) and isn't shuffled.
+    """
     if direction not in ("forward", "backward"):
         raise ValueError(f"unknown direction {direction!r}")
     keys = _cols(by)
     points = right.where(F.col(value).isNotNull()).groupBy(*keys, date).agg(F.max(value).alias("_value"))
-    line = _timeline(points, _pairs(left, keys, date), keys, date, "_value")
+    line = _timeline(points, _pairs(left, keys, date, buckets), keys, date, "_value", buckets)
     order = F.col(date).asc() if direction == "backward" else F.col(date).desc()
     seen = F.when(F.col("_value").isNotNull(), F.struct(F.col("_value"), F.col(date).alias("_date")))
     out = line.withColumn("_hit", F.last(seen, ignorenulls=True).over(_so_far(keys, order))).where("n_rows > 0")
@@ -64,13 +87,13 @@ def asof_lookup(
 
 def asof_join(
     left: DataFrame, right: DataFrame, by, date: str, value: str, direction: str = "forward",
-    tolerance_days: int | None = None, matched_date: str | None = None,
+    tolerance_days: int | None = None, matched_date: str | None = None, buckets: int | None = None,
 ) -> DataFrame:
     """First value on/after the day ("forward") or last value on/before it ("backward").
 
     Without `tolerance_days` the match may be arbitrarily far away.
     """
-    lookup = asof_lookup(left, right, by, date, value, direction, tolerance_days, matched_date)
+    lookup = asof_lookup(left, right, by, date, value, direction, tolerance_days, matched_date, buckets)
     return spread_join(left, lookup, [*_cols(by), date])
 
 
@@ -341,14 +364,16 @@ def nearest_k(
 
 
 def price_window(
-    trades: DataFrame, prices: DataFrame, days: int = 30, fallback: int = 200, name: str = "closes"
+    trades: DataFrame, prices: DataFrame, days: int = 30, fallback: int = 200, name: str = "closes",
+    buckets: int | None = None,
 ) -> DataFrame:
     """Closes within +-days of each trade; without any, the first `fallback` closes of the ticker.
 
-    Adds array<struct<price_date, close>> in date order.
+    Adds array<struct<price_date, close>> in date order. `buckets`: `prices` is stored in that many buckets of
+    the ticker and isn't shuffled.
     """
     points = prices.groupBy("ticker", F.col("price_date").alias("trade_date")).agg(F.max("close").alias("close"))
-    line = _timeline(points, _pairs(trades, ["ticker"], "trade_date"), ["ticker"], "trade_date", "close")
+    line = _timeline(points, _pairs(trades, ["ticker"], "trade_date", buckets), ["ticker"], "trade_date", "close", buckets)
     entry = F.when(
         F.col("close").isNotNull(), F.struct(F.col("trade_date").alias("price_date"), F.col("close"))
     )
@@ -360,5 +385,5 @@ def price_window(
         .groupBy("ticker").agg(F.collect_list(entry).alias("_first"))
     )
     closes = F.sort_array(F.when(F.size("_near") > 0, F.col("_near")).otherwise(F.col("_first")))
-    lookup = near.join(first, "ticker", "left").select("ticker", "trade_date", closes.alias(name), "n_rows")
+    lookup = near.join(first.hint("merge") if buckets else first, "ticker", "left").select("ticker", "trade_date", closes.alias(name), "n_rows")
     return spread_join(trades, lookup, ["ticker", "trade_date"])

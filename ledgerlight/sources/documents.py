@@ -152,6 +152,52 @@ def flatten_bills(listed: DataFrame, details: DataFrame) -> DataFrame:
     )
 
 
+def read_variant(spark: SparkSession, path: str, name: str = "record") -> DataFrame:
+    """JSON records without a schema, each whole in one VARIANT column: fields nobody asked for stay readable."""
+    return spark.read.format("json").option("singleVariantColumn", name).load(path)
+
+
+def variant_field(record: Column | str, path: str, kind: str = "string") -> Column:
+    """The value at `path`; NULL if it is missing or can't be read as `kind`."""
+    return F.try_variant_get(X.as_col(record), path, kind)
+
+
+def either_field(detail: Column | str, listed: Column | str, path: str, listed_path: str | None = None) -> Column:
+    """Text at `path` of the detail record, else of the listed one; empty text counts as missing."""
+    found = [variant_field(detail, path), variant_field(listed, listed_path or path)]
+    return F.coalesce(*[X.blank_to_null(f) for f in found])
+
+
+def flatten_bill_records(listed: DataFrame, details: DataFrame, extra: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """Bills out of schema-less records (`record`): a detail value, where it is there, wins over the listed one.
+
+    `extra` names further columns as (path, type), looked up in the detail and then in the listed record.
+    Repeated details of a bill count once: that with the greatest JSON text. Records without type, number
+    or congress match nothing.
+    """
+    def key(record: str) -> Column:
+        kind, number, congress = (variant_field(record, f"$.{f}") for f in ("type", "number", "congress"))
+        return F.concat(F.lower(kind), number, F.lit("-"), congress)
+
+    text = F.max(F.to_json("record")).alias("_text")
+    detail = details.select(key("record").alias("id"), "record").where("id IS NOT NULL").groupBy("id").agg(text)
+    joined = listed.select(key("record").alias("id"), F.col("record").alias("l")).join(detail, "id", "left").select(
+        "id", "l", F.try_parse_json("_text").alias("d")
+    )
+    kind, number = variant_field("l", "$.type"), variant_field("l", "$.number")
+    area = variant_field("d", "$.policyArea.name")
+    return joined.select(
+        "id", variant_field("l", "$.congress", "int").alias("congress"), F.concat(F.upper(kind), number).alias("bill_number"),
+        variant_field("l", "$.title").alias("title"), either_field("l", "d", "$.introducedDate").alias("introduced_date"),
+        area.alias("policy_area"), S.policy_sector(area).alias("related_sector"),
+        either_field("d", "l", "$.latestAction.text").alias("latest_action"),
+        either_field("d", "l", "$.latestAction.actionDate").alias("latest_action_date"),
+        either_field("d", "l", "$.originChamber").alias("origin_chamber"),
+        variant_field("d", "$.sponsors[0].bioguideId").alias("sponsor_bioguide"), variant_field("d", "$.legislationUrl").alias("url"),
+        *[F.coalesce(variant_field("d", p, k), variant_field("l", p, k)).alias(n) for n, (p, k) in (extra or {}).items()],
+    )
+
+
 def flatten_house_votes(df: DataFrame, congress: int = 119) -> DataFrame:
     bill = F.concat("legislationType", "legislationNumber", F.lit(f"-{congress}"))
     return df.select(
