@@ -83,35 +83,86 @@ def _element(data: bytes, at: int) -> tuple[int, int, int] | None:
     return (tag, at, at + n) if at + n <= len(data) else None
 
 
+def _elements(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
+    """The DER elements that fill data[at:end]; None if they don't."""
+    found = []
+    while at < end:
+        inner = _element(data, at)
+        if inner is None or inner[2] > end:
+            return None
+        found.append(inner)
+        at = inner[2]
+    return found
+
+
 def der_key(data: bytes) -> bool:
-    """An outer sequence that fills the data and whose elements fill it, the first an integer or a sequence
-    and one an integer of 16 bytes, a bit string or an octet string, as all DER keys have."""
+    """A key in one of its DER encodings, which fills the data.
+
+    These are: RSA private keys (version and eight integers, or with further primes), DSA private keys (six
+    integers), elliptic curve private keys (version 1 and an octet string), wrapped private keys (version,
+    algorithm, octet string), encrypted ones (algorithm, octet string) and wrapped public keys (algorithm, bit
+    string); an algorithm is a sequence that starts with an object identifier, key material has 16 bytes
+    or more. A bare pair of integers is a signature or an unnamed public key, a sequence of three with signed
+    content a certificate: neither is reported.
+    """
     outer = _element(data, 0)
     if outer is None or outer[0] != 0x30 or outer[2] != len(data):
         return False
-    at, tags, large = outer[1], [], False
-    while at < outer[2]:
-        inner = _element(data, at)
-        if inner is None:
-            return False
-        tags.append(inner[0])
-        large |= inner[2] - inner[1] >= 16 and inner[0] in (0x02, 0x03, 0x04)
-        at = inner[2]
-    return len(tags) >= 2 and tags[0] in (0x02, 0x30) and large
+    parts = _elements(data, outer[1], outer[2])
+    if not parts:
+        return False
 
+    def is_algorithm(part: tuple[int, int, int]) -> bool:
+        inside = _elements(data, part[1], part[2]) if part[0] == 0x30 else None
+        return bool(inside) and inside[0][0] == 0x06 and inside[0][2] > inside[0][1]
 
-def ssh_key(data: bytes) -> bool:
-    """A private key block, or length-prefixed fields that start with a key type and fill the data."""
-    if data.startswith(SSH_PRIVATE):
-        return True
-    at, fields = 0, []
-    while at + 4 <= len(data):
+    tags = [t for t, _, _ in parts]
+    sizes = [end - at for _, at, end in parts]
+    if tags[0] == 0x30:
+        return len(parts) == 2 and is_algorithm(parts[0]) and tags[1] in (0x03, 0x04) and sizes[1] >= 16
+    version = data[parts[0][1]] if tags[0] == 0x02 and sizes[0] == 1 else None
+    if version not in (0, 1):
+        return False
+    if tags[1:9] == [0x02] * 8 and sizes[1] >= 16:
+        return len(parts) == 9 and version == 0 or len(parts) == 10 and version == 1 and tags[9] == 0x30
+    if tags[1:] == [0x02] * 5:
+        return version == 0 and sizes[1] >= 16
+    optional = {0xA0, 0xA1, 0x81}
+    if tags[1:2] == [0x04]:
+        return version == 1 and sizes[1] >= 16 and set(tags[2:]) <= optional
+    return tags[1:3] == [0x30, 0x04] and is_algorithm(parts[1]) and sizes[2] >= 16 and set(tags[3:]) <= optional
+
+
+def _fields(data: bytes, at: int, most: int | None = None) -> tuple[list[bytes], int] | None:
+    """Length-prefixed fields from `at`, `most` of them or up to the end of the data, and where they end."""
+    fields = []
+    while at < len(data) if most is None else len(fields) < most:
+        if at + 4 > len(data):
+            return None
         n = int.from_bytes(data[at : at + 4], "big")
         if at + 4 + n > len(data):
-            return False
+            return None
         fields.append(data[at + 4 : at + 4 + n])
         at += 4 + n
-    return at == len(data) and len(fields) >= 2 and fields[0] in SSH_TYPES
+    return fields, at
+
+
+def _ssh_public(data: bytes) -> bool:
+    found = _fields(data, 0)
+    return bool(found and found[0]) and SSH_FIELDS.get(found[0][0]) == len(found[0])
+
+
+def ssh_key(data: bytes) -> bool:
+    """A public key: the fields of its type fill the data. Or a private key block: names of cipher and key
+    derivation, its options, the number of public keys, these, and a private part that ends the data."""
+    if not data.startswith(SSH_PRIVATE):
+        return _ssh_public(data)
+    head = _fields(data, len(SSH_PRIVATE), 3)
+    if head is None or not head[0][0] or not head[0][1] or head[1] + 4 > len(data):
+        return False
+    count = int.from_bytes(data[head[1] : head[1] + 4], "big")
+    rest = _fields(data, head[1] + 4)
+    return rest is not None and count >= 1 and len(rest[0]) == count + 1 and all(map(_ssh_public, rest[0][:-1])) and bool(rest[0][-1])
 
 
 def _confirmed(data: bytes) -> str | None:
@@ -208,8 +259,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
     Base kinds are patterns: assign (a named value of 12 or more characters), access (an access key id of 18
     or more) and hex (16 or more digits), leftmost and non-overlapping per kind. The others are proven by
-    decoding base64 or hex runs: jwt (signed token, JSON header and payload), der (nested lengths that fill
-    the data exactly) and ssh (length-prefixed fields or a private key block). Lines that follow each other are
+    decoding base64 or hex runs: jwt (signed token, JSON header and payload), der (a key encoding whose nested
+    lengths fill the data exactly) and ssh (the fields of a key type, or a private key block to its end). Lines that follow each other are
     tried as one block, then each as the start of a key as long as its own header says. A NULL text has no spans;
     repeated rows come out repeated. Rows are independent, so any split of the table will do.
     """

@@ -19,9 +19,21 @@ def der(tag, content):
     return bytes([tag]) + (bytes([n]) if n < 128 else bytes([128 + (n.bit_length() + 7) // 8]) + n.to_bytes((n.bit_length() + 7) // 8, "big")) + content
 
 
-RSA = der(0x30, der(2, b"\0") + der(2, b"\1" * 129) + der(2, b"\1\0\1"))
-SPKI = der(0x30, der(0x30, der(6, b"\x2a\x86\x48")) + der(3, b"\0" * 66))
+def ints(*values):
+    return b"".join(der(2, v) for v in values)
+
+
+OID = der(0x30, der(6, b"\x2a\x86\x48"))
+RSA = der(0x30, ints(b"\0", b"\1" * 129, b"\1\0\1", b"\2" * 128, *[b"\3" * 64] * 5))
+SPKI = der(0x30, OID + der(3, b"\0" * 66))
 SSH = b"".join(struct.pack(">I", len(x)) + x for x in (b"ssh-ed25519", b"k" * 32))
+
+
+def private_key(n, keys=(SSH,), names=(b"none", b"none", b"")):
+    fields = [struct.pack(">I", len(x)) + x for x in (*names, *keys, b"p" * n)]
+    return secrets.SSH_PRIVATE + b"".join(fields[:3]) + struct.pack(">I", len(keys)) + b"".join(fields[3:])
+
+
 TOKEN = ".".join([b64(json.dumps({"alg": "HS256", "typ": "JWT"}).encode(), True), b64(b'{"sub":"1"}', True), b64(b"s" * 32, True)])
 
 
@@ -54,7 +66,7 @@ def test_structures():
 
     body = b64(RSA)
     block = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(body[i : i + 64] for i in range(0, len(body), 64)) + "\n-----END RSA PRIVATE KEY-----"
-    for text, want in [(f"x {TOKEN} y", "jwt"), (block, "der"), (f"k {b64(RSA)} z", "der"), (RSA.hex(), "der"), (b64(SPKI), "der"), (b64(SSH), "ssh"), (b64(secrets.SSH_PRIVATE + b"q" * 60), "ssh")]:
+    for text, want in [(f"x {TOKEN} y", "jwt"), (block, "der"), (f"k {b64(RSA)} z", "der"), (RSA.hex(), "der"), (b64(SPKI), "der"), (b64(SSH), "ssh"), (b64(private_key(60)), "ssh")]:
         assert want in kinds(text), text
         start, end = next((s[1], s[2]) for s in secrets.find(text, rules) if s[0] == want)
         assert text[start:end].strip() == text[start:end]
@@ -62,12 +74,35 @@ def test_structures():
         assert not kinds(text), text
 
 
+def test_key_encodings():
+    big = b"\5" * 32
+    for data in (
+        RSA, SPKI, der(0x30, ints(b"\1", b"\1" * 129, b"\3", *[b"\3" * 64] * 6) + der(0x30, b"")), der(0x30, ints(b"\0", *[big] * 5)),
+        der(0x30, ints(b"\1") + der(4, big) + der(0xA0, der(6, b"\x2b")) + der(0xA1, der(3, big))),
+        der(0x30, ints(b"\0") + OID + der(4, big)), der(0x30, OID + der(4, big)),
+    ):
+        assert secrets.der_key(data)
+        assert not secrets.der_key(data[:-1]) and not secrets.der_key(data + b"\0")
+    certificate = der(0x30, der(0x30, der(0xA0, ints(b"\2")) + ints(big)) + OID + der(3, big))
+    for data in (
+        b"", der(0x30, b""), der(0x30, ints(big, big)), der(0x30, ints(b"\1" * 129, b"\1\0\1")), certificate, der(0x30, ints(b"\2") + der(4, big)),
+        der(0x30, ints(b"\0") + der(0x30, ints(b"\1")) + der(4, big)), der(0x30, der(0x30, b"") + der(3, big)), der(0x30, OID + der(3, b"short")), der(0x30, ints(b"") + OID),
+    ):
+        assert not secrets.der_key(data), data
+    assert secrets.ssh_key(SSH) and secrets.ssh_key(private_key(40)) and secrets.ssh_key(private_key(40, (SSH, SSH)))
+    for data in (
+        secrets.SSH_PRIVATE + b"q" * 60, secrets.SSH_PRIVATE, private_key(40)[:-1], private_key(40) + b"\0", private_key(40, ()), private_key(40, (b"no key",)),
+        private_key(0), private_key(40, names=(b"", b"none", b"")), SSH + SSH, SSH[: 4 + 11],
+    ):
+        assert not secrets.ssh_key(data), data
+
+
 def test_keys_one_per_line():
     rules = secrets._rules()
     keys = [b64(der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2b\x65\x70")) + der(4, der(4, bytes([i]) * 32)))) for i in range(4)]
-    large = b64(der(0x30, der(2, b"\0") + der(2, b"\1" * 127)))
+    large = b64(der(0x30, der(2, b"\1") + der(4, b"\1" * 127)))
     block = "\n".join(large[i : i + 64] for i in range(0, len(large), 64))
-    private = b64(secrets.SSH_PRIVATE + b"".join(struct.pack(">I", len(x)) + x for x in (b"none", b"none", b"")) + struct.pack(">I", 1) + struct.pack(">I", len(SSH)) + SSH + struct.pack(">I", 76) + b"p" * 76)
+    private = b64(private_key(76))
     assert {len(k) for k in keys} == {64} and not any(x.endswith("=") for x in (large, private, b64(SSH)))
     other = "https://host/" + "f" * 40
     for want in ([keys[0]], keys[:2], keys[:3], keys, [other, keys[0]], [other, *keys, other], [keys[0], b64(SSH), keys[1]], [other, block, keys[2]], [block, block, block], [other, private, keys[0]]):
