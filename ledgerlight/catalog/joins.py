@@ -142,7 +142,8 @@ def c10(t: Tables):
 
 def _stored_prices(t: Tables) -> tuple:
     """Prices as a table in buckets of the ticker, and the number of these."""
-    name = B.store(t.prices, B.scratch_name("prices"), ["ticker"], ["price_date"], 16)
+    # There are no more prices than lineitems, whose number is in the files' footers.
+    name = B.store(t.prices, B.scratch_name("prices"), ["ticker"], ["price_date"], B.buckets_for(t.lineitem.count()))
     return t.spark.table(name), B.buckets_of(t.spark, name)
 
 
@@ -231,7 +232,7 @@ ON a.ticker = b.ticker AND a.politician_id <> b.politician_id AND abs(a.trade_da
 """)
 def c16(t: Tables):
     left = t.trades.select("trade_id", "ticker", "politician_id", "trade_date")
-    return T.peer_cluster(left, "ticker", "politician_id", "trade_date").select(
+    return T.peer_cluster(left, "ticker", "politician_id", "trade_date", tasks=T.tasks_for(left)).select(
         "trade_id", F.col("cluster_score").cast("long").alias("cluster_score")
     )
 

@@ -24,9 +24,9 @@ def e01(t: Tables):
 SELECT DISTINCT a.ticker, a.trade_date, (SELECT count(DISTINCT b.politician_id) FROM trades b WHERE b.ticker = a.ticker AND b.trade_date BETWEEN a.trade_date - 90 AND a.trade_date + 90) AS peers FROM trades a
 """)
 def e02(t: Tables):
-    from ledgerlight.operators.temporal import peer_lookup
+    from ledgerlight.operators.temporal import peer_lookup, tasks_for
 
-    return peer_lookup(t.trades, "ticker", "politician_id", "trade_date", 90).select("ticker", "trade_date", "peers")
+    return peer_lookup(t.trades, "ticker", "politician_id", "trade_date", 90, tasks_for(t.trades)).select("ticker", "trade_date", "peers")
 
 
 @query("e03_keep_latest", """

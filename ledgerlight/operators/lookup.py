@@ -28,7 +28,8 @@ def known(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def spread_join(
-    left: DataFrame, lookup: DataFrame, keys: list[str], weight: str = "n_rows", hot_rows: int | None = None
+    left: DataFrame, lookup: DataFrame, keys: list[str], weight: str = "n_rows", hot_rows: int | None = None,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Left join to `lookup` (unique on `keys`), where `weight` counts the left rows of each key.
 
@@ -37,13 +38,18 @@ def spread_join(
     the row, and the lookup rows go to every part. However many keys are hot, what is broadcast is one
     pair of numbers per slot. Rows with a NULL key match nothing and are dealt out likewise. One pass
     over `left`; no row is dropped or repeated.
+
+    With `source`, a cheap table with at least the keys of `left`, its rows are counted by slot and the lookup,
+    which may be dear, is worked out once instead of twice; `weight` isn't needed then.
     """
     values = [c for c in lookup.columns if c not in keys and c != weight]
     most = HOT_ROWS if hot_rows is None else hot_rows
     lookup = known(lookup, keys)
     # Equal keys have to get equal hashes on both sides, whatever their integer widths.
     slot = F.pmod(F.xxhash64(*[F.col(k).cast(left.schema[k].dataType) for k in keys]), F.lit(SLOTS)).cast("int")
-    parts = lookup.groupBy(slot.alias("_slot")).agg(F.max(weight).alias("_most")).where(F.col("_most") > most).select(
+    counted = lookup if source is None else known(source, keys)
+    heaviest = F.max(weight) if source is None else F.count(F.lit(1))
+    parts = counted.groupBy(slot.alias("_slot")).agg(heaviest.alias("_most")).where(F.col("_most") > most).select(
         "_slot", F.ceil(F.col("_most") / F.lit(max(1, most))).alias("_parts")
     )
     cut = lookup.withColumn("_slot", slot).join(F.broadcast(parts), "_slot", "left").select(
@@ -63,9 +69,7 @@ def spread_join(
 def enrich(left: DataFrame, values: DataFrame, keys: list[str], source: DataFrame | None = None) -> DataFrame:
     """`spread_join` to any table that is unique on `keys`.
 
-    The weights are counted on `source`, which may be a cheaper table with at least the keys of
+    The rows are counted on `source`, which may be a cheaper table with at least the keys of
     `left` (e.g. before joins); by default on `left` itself.
     """
-    source = known(left if source is None else source, keys)
-    counts = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
-    return spread_join(left, counts.join(values, keys, "inner"), keys)
+    return spread_join(left, values, keys, weight="", source=left if source is None else source)

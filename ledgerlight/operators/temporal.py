@@ -8,6 +8,8 @@ trades) with ordered windows, and the answers go back through `spread_join`.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,14 @@ from ledgerlight.functions.vocab import (
 )
 from ledgerlight.operators.lookup import known, spread_join
 
+#: Rows of the large table behind one task's share of a timeline.
+TASK_ROWS = 250_000
+
+
+def tasks_for(df: DataFrame) -> int:
+    """Number of tasks that a timeline of `df`, a table whose rows are cheap to count, is dealt to."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(df.count() / TASK_ROWS))
+
 
 def _cols(by: str | list[str]) -> list[str]:
     return [by] if isinstance(by, str) else list(by)
@@ -94,7 +104,7 @@ def asof_join(
     Without `tolerance_days` the match may be arbitrarily far away.
     """
     lookup = asof_lookup(left, right, by, date, value, direction, tolerance_days, matched_date, buckets)
-    return spread_join(left, lookup, [*_cols(by), date])
+    return spread_join(left, lookup, [*_cols(by), date], source=left)
 
 
 def _window_prices(pairs: DataFrame, prices: DataFrame, forward: int, backward: int) -> DataFrame:
@@ -148,7 +158,7 @@ def alpha_lookup(
 
 def add_alphas(trades: DataFrame, prices: DataFrame, benchmark: str = BENCHMARK_TICKER) -> DataFrame:
     """Trades with cohort_alpha and pre_trade_alpha (both NULL where prices are missing)."""
-    return spread_join(trades, alpha_lookup(trades, prices, benchmark), ["ticker", "trade_date"])
+    return spread_join(trades, alpha_lookup(trades, prices, benchmark), ["ticker", "trade_date"], source=trades)
 
 
 def nearest_lookup(left: DataFrame, events: DataFrame, by, date: str, max_days: int) -> DataFrame:
@@ -171,7 +181,7 @@ def nearest_event(
 ) -> DataFrame:
     """Days to the nearest event of the same key, NULL beyond `max_days`."""
     lookup = nearest_lookup(left, events, by, date, max_days).withColumnRenamed("gap_days", name)
-    return spread_join(left, lookup, [*_cols(by), date])
+    return spread_join(left, lookup, [*_cols(by), date], source=left)
 
 
 def _exploded(left: DataFrame, array: str, item: str, *others: str) -> DataFrame:
@@ -229,7 +239,7 @@ def nearest_two_tier(
         F.map_from_entries(F.collect_list(F.struct(category, "gap_days"))).alias("_gaps")
     )
     lookup = any_gap.join(by_key, keys, "left")
-    joined = spread_join(left, lookup, keys)
+    joined = spread_join(left, lookup, keys, source=source)
     tier1 = F.array_min(_per_item(F.col(array), F.col("_gaps")))
     return joined.withColumn(name, F.coalesce(tier1, F.col("gap_days"))).select(*left.columns, name)
 
@@ -239,16 +249,21 @@ def presence(left: DataFrame, by: str, entity: str, date: str) -> DataFrame:
     return known(left, [by, date]).groupBy(by, entity, date).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def peer_lookup(left: DataFrame, by: str, entity: str, date: str, days: int = CLUSTER_DAYS) -> DataFrame:
+def peer_lookup(
+    left: DataFrame, by: str, entity: str, date: str, days: int = CLUSTER_DAYS, tasks: int | None = None
+) -> DataFrame:
     """Per distinct (by, date): distinct entities within +-days (`peers`) and on the day (`on_day`).
 
     A sweep instead of a self join: every entity covers [d-days, d+days] around each of its days,
     overlapping covers of one entity are merged, and the covers are counted by a running sum over
-    at most a few rows per calendar day. No pairs of trades are ever formed.
+    at most a few rows per calendar day. No pairs of trades are ever formed. `tasks` (`tasks_for`): number of
+    tasks that the entities' days are dealt to, so that a task's share doesn't grow with the table.
     """
     previous = F.lag(date).over(Window.partitionBy(by, entity).orderBy(date))
     named = F.col(entity).isNotNull()
-    marks = presence(left, by, entity, date).withColumn("_prev", previous).select(
+    seen = presence(left, by, entity, date)
+    seen = seen.repartition(tasks, by, entity) if tasks else seen
+    marks = seen.withColumn("_prev", previous).select(
         by,
         F.explode(F.array(
             F.struct(
@@ -274,11 +289,12 @@ def peer_lookup(left: DataFrame, by: str, entity: str, date: str, days: int = CL
 
 
 def peer_cluster(
-    left: DataFrame, by: str, entity: str, date: str, days: int = CLUSTER_DAYS, name: str = "cluster_score"
+    left: DataFrame, by: str, entity: str, date: str, days: int = CLUSTER_DAYS, name: str = "cluster_score",
+    tasks: int | None = None,
 ) -> DataFrame:
     """Number of distinct other entities in the same key within +-days; 0 for an unknown entity."""
-    lookup = peer_lookup(left, by, entity, date, days).select(by, date, "peers", "n_rows")
-    joined = spread_join(left, lookup, [by, date])
+    lookup = peer_lookup(left, by, entity, date, days, tasks).select(by, date, "peers", "n_rows")
+    joined = spread_join(left, lookup, [by, date], source=left)
     others = F.when(F.col(entity).isNotNull(), F.coalesce(F.col("peers") - 1, F.lit(0))).otherwise(0)
     return joined.withColumn(name, others.cast("int")).select(*left.columns, name)
 
@@ -341,7 +357,7 @@ def nearest_k_by(
     """The k events of the same key nearest in time within +-max_days, ordered by gap, then id."""
     keys = _cols(by)
     near = _nearest_lists(_pairs(left, keys, date), events, keys, date, event_id, k, max_days)
-    return spread_join(left, near.withColumnRenamed("_near", name), [*keys, date])
+    return spread_join(left, near.withColumnRenamed("_near", name), [*keys, date], source=left)
 
 
 def nearest_k(
@@ -360,7 +376,7 @@ def nearest_k(
     found = asked.join(lists.where(F.size("_near") > 0).select(category, date, "_near"), [category, date])
     best = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_near")))), 1, k)
     answers = found.groupBy(array, date).agg(best.alias(name), F.max("n_rows").alias("n_rows"))
-    return spread_join(left, answers, [array, date])
+    return spread_join(left, answers, [array, date], source=left)
 
 
 def price_window(
@@ -384,6 +400,9 @@ def price_window(
         points.withColumn("_rank", rank).where(F.col("_rank") <= fallback)
         .groupBy("ticker").agg(F.collect_list(entry).alias("_first"))
     )
-    closes = F.sort_array(F.when(F.size("_near") > 0, F.col("_near")).otherwise(F.col("_first")))
-    lookup = near.join(first.hint("merge") if buckets else first, "ticker", "left").select("ticker", "trade_date", closes.alias(name), "n_rows")
-    return spread_join(trades, lookup, ["ticker", "trade_date"])
+    # A day without closes of its own takes those of its ticker from one list, which isn't repeated for every day.
+    own = near.select("ticker", "trade_date", F.when(F.size("_near") > 0, F.sort_array("_near")).alias("_own"))
+    joined = spread_join(trades, own, ["ticker", "trade_date"], source=trades)
+    joined = spread_join(joined, first.select("ticker", F.sort_array("_first").alias("_first")), ["ticker"], source=trades)
+    closes = F.when(F.col("trade_date").isNotNull(), F.coalesce("_own", "_first"))
+    return joined.select(*[F.col(f"`{c}`") for c in trades.columns], closes.alias(name))

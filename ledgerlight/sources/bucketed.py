@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from ledgerlight.session import scratch_path
 
 BUCKETS = 64
+#: Rows that a bucket should have at most, on average, and the least number of buckets.
+BUCKET_ROWS, LEAST_BUCKETS = 250_000, 16
 
 
 def store(df: DataFrame, name: str, keys: list[str], order: list[str], buckets: int = BUCKETS, path: str | None = None) -> str:
@@ -24,6 +27,11 @@ def store(df: DataFrame, name: str, keys: list[str], order: list[str], buckets:
     return name
 
 
+def buckets_for(n_rows: int) -> int:
+    """Number of buckets for a table of `n_rows` rows: a task that reads one gets no more as the table grows."""
+    return max(LEAST_BUCKETS, math.ceil(n_rows / BUCKET_ROWS))
+
+
 def scratch_name(name: str) -> str:
     """A table name that is free in any session."""
     return f"{name}_{uuid.uuid4().hex}"
