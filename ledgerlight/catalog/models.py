@@ -145,9 +145,10 @@ def i05(t: Tables):
 
 @query("i06_zscore_cluster_lag", GAPS_SQL + "SELECT trade_id, round(amount_zscore, 6) AS amount_zscore, cluster_score, round(disclosure_lag, 6) AS disclosure_lag FROM features")
 def i06(t: Tables):
+    from ledgerlight.operators.temporal import tasks_for
     from ledgerlight.plans.features import behaviour_features
 
-    return behaviour_features(t.trades).withColumns({c: F.round(c, 6) for c in ("amount_zscore", "disclosure_lag")})
+    return behaviour_features(t.trades, tasks_for(t.trades)).withColumns({c: F.round(c, 6) for c in ("amount_zscore", "disclosure_lag")})
 
 
 @query("i07_features_v2", ALPHA_SQL + GAPS_SQL + """

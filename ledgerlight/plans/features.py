@@ -15,6 +15,8 @@ from ledgerlight.operators.lookup import enrich, spread_join
 from ledgerlight.operators.temporal import (
     add_alphas, alpha_lookup, apply_category_gaps, category_gaps, nearest_lookup, nearest_two_tier, peer_lookup, presence,
 )
+from ledgerlight.session import scratch_path
+
 
 ID_COLUMNS = ["trade_id", "politician_id", "ticker", "trade_date"]
 
@@ -38,6 +40,13 @@ def add_sectors(
     return out.withColumn("sectors", sectors).drop(*extra)
 
 
+def _once(df: DataFrame, name: str) -> DataFrame:
+    """`df` written to the shared folder and read back, so that several uses work it out once."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bill_events(bills: DataFrame) -> DataFrame:
     """Bill actions as (sector, trade_date) events."""
     return bills.select(
@@ -90,8 +99,8 @@ def cohort_features(
         median_bill = weighted_median(bill_days, "bill_gap")
     median_proximity, median_bill = (m if isinstance(m, Column) else F.lit(m) for m in (median_proximity, median_bill))
 
-    joined = spread_join(base, by_ticker, ["ticker", "trade_date"])
-    joined = spread_join(joined, by_person, ["politician_id", "trade_date"])
+    joined = spread_join(base, by_ticker, ["ticker", "trade_date"], source=trades)
+    joined = spread_join(joined, by_person, ["politician_id", "trade_date"], source=trades)
     joined = apply_category_gaps(joined, sector_gaps, "sectors", "trade_date", "bill_gap")
     named = F.col("politician_id").isNotNull()
     return joined.select(
@@ -113,7 +122,7 @@ def proximity_features(trades: DataFrame, votes: DataFrame, median: Column | int
     near = nearest_lookup(trades, vote_events(votes), "politician_id", "trade_date", V.VOTE_CAP_DAYS)
     median = weighted_median(near, "gap_days") if median is None else median
     keyed = trades.select("trade_id", "politician_id", "trade_date")
-    joined = spread_join(keyed, near, ["politician_id", "trade_date"])
+    joined = spread_join(keyed, near, ["politician_id", "trade_date"], source=trades)
     return joined.select(
         "trade_id", N.impute_days("gap_days", median if isinstance(median, Column) else F.lit(median), V.PROXIMITY_FALLBACK).alias("proximity_days"),
         F.col("gap_days").isNotNull().cast("int").alias("has_proximity_data"),
@@ -130,12 +139,12 @@ def bill_proximity(trades: DataFrame, bills: DataFrame, median: Column | int | N
     return joined.select("trade_id", N.impute_days("bill_gap", median if isinstance(median, Column) else F.lit(median), V.BILL_FALLBACK).alias("bill_proximity"))
 
 
-def behaviour_features(trades: DataFrame) -> DataFrame:
-    """trade_id, amount_zscore, cluster_score, disclosure_lag alone."""
+def behaviour_features(trades: DataFrame, tasks: int | None = None) -> DataFrame:
+    """trade_id, amount_zscore, cluster_score, disclosure_lag alone. `tasks`: see `peer_lookup`."""
     base = trades.select("trade_id", "politician_id", "ticker", "trade_date", "amount_midpoint", "disclosure_lag_days")
     own = enrich(base, amount_stats(trades).select("politician_id", "log_amt_mean", "log_amt_std"), ["politician_id"])
-    peers = peer_lookup(trades, "ticker", "politician_id", "trade_date").select("ticker", "trade_date", "peers", "n_rows")
-    joined = spread_join(own, peers, ["ticker", "trade_date"])
+    peers = peer_lookup(trades, "ticker", "politician_id", "trade_date", tasks=tasks).select("ticker", "trade_date", "peers", "n_rows")
+    joined = spread_join(own, peers, ["ticker", "trade_date"], source=trades)
     named = F.col("politician_id").isNotNull()
     return joined.select(
         "trade_id", N.amount_zscore("amount_midpoint", "log_amt_mean", "log_amt_std").alias("amount_zscore"),
@@ -165,11 +174,12 @@ def cohort_features_v1(
     else:
         near = spread_join(
             base, nearest_lookup(tagged, events, "politician_id", "trade_date", V.VOTE_CAP_DAYS),
-            ["politician_id", "trade_date"],
+            ["politician_id", "trade_date"], source=tagged,
         )
     access = access_maps(access_matrix(seats, exact=exact_committees, rank_column=rank_column))
     joined = enrich(near, access, ["politician_id"], source=tagged)
-    median = near.groupBy("gap_days").agg(F.count("*").alias("n_rows")).agg(
+    joined = _once(joined.select(*ID_COLUMNS, "cohort_alpha", "gap_days", "access", "sectors", "disclosure_lag_days"), "cohort-v1")
+    median = joined.groupBy("gap_days").agg(F.count("*").alias("n_rows")).agg(
         F.percentile("gap_days", 0.5, F.col("n_rows"))
     ).scalar()
     return joined.select(
@@ -186,7 +196,7 @@ def baseline_features(
     median_proximity: int = V.PROXIMITY_FALLBACK, median_bill: int = V.BILL_FALLBACK,
 ) -> DataFrame:
     """Institutional trades: real alphas, constant political features, rows without prices dropped."""
-    dated = inferred.withColumnRenamed("inferred_date", "trade_date")
+    dated = _once(inferred, "inferred").withColumnRenamed("inferred_date", "trade_date")
     kept = scoreable(add_alphas(dated, prices)).withColumnRenamed("trade_date", "inferred_date")
     ids = [c for c in ("cik", "fund_name", "ticker", "inferred_date", "trade_type") if c in kept.columns]
     constants = {
