@@ -14,10 +14,10 @@ from ledgerlight.operators.lookup import enrich, spread_join
 from ledgerlight.operators.merge import merge_maps
 
 
-def map_column(df: DataFrame, mapping: DataFrame, key: str, value: str, into: str) -> DataFrame:
-    """Left join to a dictionary (unique on its first column) by `key`."""
+def map_column(df: DataFrame, mapping: DataFrame, key: str, value: str, into: str, source: DataFrame | None = None) -> DataFrame:
+    """Left join to a dictionary (unique on its first column) by `key`. `source`: see `enrich`."""
     pairs = mapping.select(F.col(mapping.columns[0]).alias(key), F.col(value).alias("_mapped"))
-    joined = enrich(df, pairs, [key])
+    joined = enrich(df, pairs, [key], source)
     kept = [c for c in df.columns if c != into]
     return joined.select(*kept, F.col("_mapped").alias(into))
 

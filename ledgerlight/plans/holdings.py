@@ -70,7 +70,8 @@ def infer_fund_trades(holdings: DataFrame, ticker_map: DataFrame, funds: dict[st
     moved = moved.withColumn(
         "delta", F.col("shares_current") - F.col("shares_prior")
     ).where(F.abs("delta") >= V.MIN_SHARES_DELTA)
-    named = map_column(moved, ticker_map, "cusip", "ticker", "ticker").where(F.col("ticker").rlike("^[A-Z]{1,5}$"))
+    # A security moves at most twice for each of its holdings, which are counted without comparing quarters again.
+    named = map_column(moved, ticker_map, "cusip", "ticker", "ticker", source=holdings).where(F.col("ticker").rlike("^[A-Z]{1,5}$"))
     return named.select(
         "cik", "fund_name", "cusip", "ticker",
         F.when(F.col("delta") > 0, "buy").otherwise("sell").alias("trade_type"),
