@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from ledgerlight.llm.records import default_tokenizer
 from tests.llm.test_curriculum import targets
-from tests.llm.test_decontaminate import shingles
+from tests.llm.test_decontaminate import share
 from tests.llm.test_jaccard import firsts
 
 
@@ -20,8 +20,7 @@ def brute(docs, items):
     docs = [d for d in docs if any(c.isalpha() for c in d[1] or "")]
     docs.sort()
     docs = [docs[i] for i in firsts([d[1] for d in docs])]
-    parts = [shingles(i) for i in items]
-    docs = [d for d in docs if not any(p and len(p & shingles(d[1])) >= 0.8 * len(p) - 1e-9 for p in parts)]
+    docs = [d for d in docs if not any(share(i, d[1]) >= 0.8 - 1e-12 for i in items)]
     words = {d[0]: re.findall(r"[^\x20\x09-\x0D]+", d[1]) for d in docs}
     sizes = {}
     for d in docs:
