@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,10 +12,10 @@ SLOTS = 1 << 16
 SPREAD = 4096
 
 
-def _row_hash(df: DataFrame):
+def _row_hash(df: DataFrame, columns: list[str] | None = None) -> Column:
     hashable = [
         F.col(f"`{f.name}`") for f in df.schema.fields
-        if not isinstance(f.dataType, (T.MapType, T.VariantType))
+        if not isinstance(f.dataType, (T.MapType, T.VariantType)) and (columns is None or f.name in columns)
     ]
     return F.xxhash64(*hashable, F.spark_partition_id())
 
@@ -29,7 +29,7 @@ def known(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def spread_join(
     left: DataFrame, lookup: DataFrame, keys: list[str], weight: str = "n_rows", hot_rows: int | None = None,
-    source: DataFrame | None = None,
+    source: DataFrame | None = None, dealt_by: list[str] | None = None,
 ) -> DataFrame:
     """Left join to `lookup` (unique on `keys`), where `weight` counts the left rows of each key.
 
@@ -41,6 +41,9 @@ def spread_join(
 
     With `source`, a cheap table with at least the keys of `left`, its rows are counted by slot and the lookup,
     which may be dear, is worked out once instead of twice; `weight` isn't needed then.
+
+    `dealt_by` names columns that tell the rows of a key apart: only they are hashed, so that columns nobody asks
+    for aren't read and sent for the hash alone.
     """
     values = [c for c in lookup.columns if c not in keys and c != weight]
     most = HOT_ROWS if hot_rows is None else hot_rows
@@ -58,7 +61,7 @@ def spread_join(
     no_key = F.lit(False)
     for key in keys:
         no_key = no_key | F.col(key).isNull()
-    part = F.pmod(_row_hash(left), F.when(no_key, F.lit(SPREAD)).otherwise(F.coalesce("_parts", F.lit(1))))
+    part = F.pmod(_row_hash(left, dealt_by), F.when(no_key, F.lit(SPREAD)).otherwise(F.coalesce("_parts", F.lit(1))))
     joined = (
         left.withColumn("_slot", slot).join(F.broadcast(parts), "_slot", "left")
         .withColumn("_part", part).join(cut, [*keys, "_part"], "left")
@@ -66,10 +69,12 @@ def spread_join(
     return joined.select(*[F.col(f"`{c}`") for c in left.columns], *[F.col("_found")[v].alias(v) for v in values])
 
 
-def enrich(left: DataFrame, values: DataFrame, keys: list[str], source: DataFrame | None = None) -> DataFrame:
+def enrich(
+    left: DataFrame, values: DataFrame, keys: list[str], source: DataFrame | None = None, dealt_by: list[str] | None = None
+) -> DataFrame:
     """`spread_join` to any table that is unique on `keys`.
 
     The rows are counted on `source`, which may be a cheaper table with at least the keys of
     `left` (e.g. before joins); by default on `left` itself.
     """
-    return spread_join(left, values, keys, weight="", source=left if source is None else source)
+    return spread_join(left, values, keys, weight="", source=left if source is None else source, dealt_by=dealt_by)

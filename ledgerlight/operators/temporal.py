@@ -389,7 +389,11 @@ def price_window(
     the ticker and isn't shuffled.
     """
     points = prices.groupBy("ticker", F.col("price_date").alias("trade_date")).agg(F.max("close").alias("close"))
-    line = _timeline(points, _pairs(trades, ["ticker"], "trade_date", buckets), ["ticker"], "trade_date", "close", buckets)
+    pairs = _pairs(trades, ["ticker"], "trade_date", buckets)
+    if not buckets:
+        # Days of both kinds are sent to their ticker's place once; the windows below and the first closes find them there.
+        points, pairs = points.repartition("ticker"), pairs.repartition("ticker")
+    line = _timeline(points, pairs, ["ticker"], "trade_date", "close", buckets)
     entry = F.when(
         F.col("close").isNotNull(), F.struct(F.col("trade_date").alias("price_date"), F.col("close"))
     )
@@ -400,9 +404,10 @@ def price_window(
         points.withColumn("_rank", rank).where(F.col("_rank") <= fallback)
         .groupBy("ticker").agg(F.collect_list(entry).alias("_first"))
     )
-    # A day without closes of its own takes those of its ticker from one list, which isn't repeated for every day.
-    own = near.select("ticker", "trade_date", F.when(F.size("_near") > 0, F.sort_array("_near")).alias("_own"))
+    # A day without closes of its own is in no lookup and takes those of its ticker from one list, which isn't
+    # repeated for every day.
+    own = near.where(F.size("_near") > 0).select("ticker", "trade_date", F.sort_array("_near").alias("_own"))
     joined = spread_join(trades, own, ["ticker", "trade_date"], source=trades)
-    joined = spread_join(joined, first.select("ticker", F.sort_array("_first").alias("_first")), ["ticker"], source=trades)
+    joined = spread_join(joined, first.select("ticker", F.sort_array("_first").alias("_first")), ["ticker"], source=trades, dealt_by=trades.columns)
     closes = F.when(F.col("trade_date").isNotNull(), F.coalesce("_own", "_first"))
     return joined.select(*[F.col(f"`{c}`") for c in trades.columns], closes.alias(name))

@@ -66,6 +66,22 @@ def test_first_closes_are_not_repeated_for_every_day(spark, monkeypatch):
     assert sum(n or 0 for n in sent) == 3 + 4
 
 
+def test_days_without_closes_send_nothing(spark, monkeypatch):
+    prices = spark.createDataFrame([("A", day(n), float(n)) for n in range(5)] + [("A", None, 9.0), ("C", day(1), None)], "ticker string, price_date date, close double")
+    rows = [(i, "A", day(1000 + i)) for i in range(10)] + [(10, "A", day(2)), (11, "A", day(2)), (12, "C", day(1))]
+    trades = spark.createDataFrame(rows, "id int, ticker string, trade_date date")
+    sent, join = [], T.spread_join
+
+    def counted(left, lookup, *args, **kwargs):
+        sent.append(lookup.count())
+        return join(left, lookup, *args, **kwargs)
+
+    monkeypatch.setattr(T, "spread_join", counted)
+    got = {r["id"]: len(r["closes"]) for r in T.price_window(trades, prices, days=1, fallback=4).collect()}
+    assert got == {**{i: 4 for i in range(10)}, 10: 3, 11: 3, 12: 0}
+    assert sent == [1, 2]
+
+
 def test_quarters_are_compared_once(spark):
     rows = [("1", "C1", "SH", "5000", 8000), ("1", "C1", "SH", "100", 8001), ("2", "C2", "SH", "900", 8001), ("2", "C1", None, "x", 8002)]
     holdings = spark.createDataFrame(rows, "cik string, cusip string, share_type string, shares string, period int")
