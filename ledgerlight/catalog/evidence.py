@@ -52,7 +52,7 @@ FROM scored s JOIN politicians p ON p.id = s.politician_id LEFT JOIN best ON bes
 """)
 def j03(t: Tables):
     out = P.evidence_packets(t.scored, t.politicians, t.bills)
-    head = F.regexp_extract("prompt", r"(?s)^(.*?)\n\nFeature Snapshot", 1)
+    head = F.substring_index("prompt", "\n\nFeature Snapshot", 1)
     bills = F.regexp_extract("prompt", r"(?s)±90 days\):\n(.*)\n$", 1)
     return out.select("trade_id", head.alias("head"), bills.alias("bills"))
 

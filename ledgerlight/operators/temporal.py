@@ -362,21 +362,26 @@ def nearest_k_by(
 
 def nearest_k(
     left: DataFrame, events: DataFrame, array: str, category: str, date: str, event_id: str,
-    k: int = 3, max_days: int = BILL_WINDOW_DAYS, name: str = "nearby",
+    k: int = 3, max_days: int = BILL_WINDOW_DAYS, name: str = "nearby", told: dict[str, Column] | None = None,
+    source: DataFrame | None = None, dealt_by: list[str] | None = None,
 ) -> DataFrame:
     """The k events nearest in time within +-max_days in any of the row's categories.
 
     Adds array<struct<gap_days, event_id, event_date, ...event columns>> ordered by gap, then id, NULL
     where nothing is near. The answer depends on the categories and the day alone: it is worked out per
-    distinct pair of these, from k events per category and day, and joined back by key.
+    distinct pair of these, from k events per category and day, and joined back by key. `told` names further
+    columns made of that list, worked out once per pair as well. `source` may be a cheaper table with at least
+    the keys of `left` (e.g. before joins); `dealt_by` as in `spread_join`.
     """
-    combos = known(left, [array, date]).groupBy(array, date).agg(F.count(F.lit(1)).alias("n_rows"))
+    source = left if source is None else source
+    combos = known(source, [array, date]).groupBy(array, date).agg(F.count(F.lit(1)).alias("n_rows"))
     asked = combos.select(array, date, "n_rows", F.explode(F.array_distinct(array)).alias(category))
     lists = _nearest_lists(_pairs(asked, [category], date), events, [category], date, event_id, k, max_days)
     found = asked.join(lists.where(F.size("_near") > 0).select(category, date, "_near"), [category, date])
     best = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_near")))), 1, k)
     answers = found.groupBy(array, date).agg(best.alias(name), F.max("n_rows").alias("n_rows"))
-    return spread_join(left, answers, [array, date], source=left)
+    # The day goes first: days are quicker to sort by than lists.
+    return spread_join(left, answers.withColumns(told or {}), [date, array], source=source, dealt_by=dealt_by)
 
 
 def price_window(

@@ -99,6 +99,24 @@ def test_dossiers_move_trades_once_by_their_id(spark, sf_dir):
     assert "amount_lower" not in plan and "feat_cohort_alpha" not in plan
 
 
+def test_bills_are_put_into_words_once_per_day(spark, sf_dir, monkeypatch):
+    from ledgerlight.plans import reports as R
+
+    t, seen, join = Tables(spark, sf_dir), [], T.spread_join
+
+    def noted(left, lookup, keys, *args, **kwargs):
+        seen.append((left.columns, lookup.columns))
+        return join(left, lookup, keys, *args, **kwargs)
+
+    monkeypatch.setattr(T, "spread_join", noted)
+    out = R.evidence_packets(t.scored, t.politicians, t.bills)
+    [(left, lookup)] = seen
+    assert "full_name" in left and "_section" in lookup
+    assert out.columns == [*t.scored.columns, "sectors", "nearby_bills", *R.PERSON, "prompt"]
+    lines = [len(r["nearby_bills"] or []) - r["prompt"].count("    Action Date: ") for r in out.where("trade_id like '1%'").collect()]
+    assert lines and not any(lines)
+
+
 def test_quarters_are_compared_once(spark):
     rows = [("1", "C1", "SH", "5000", 8000), ("1", "C1", "SH", "100", 8001), ("2", "C2", "SH", "900", 8001), ("2", "C1", None, "x", 8002)]
     holdings = spark.createDataFrame(rows, "cik string, cusip string, share_type string, shares string, period int")
