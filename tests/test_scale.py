@@ -117,6 +117,21 @@ def test_bills_are_put_into_words_once_per_day(spark, sf_dir, monkeypatch):
     assert lines and not any(lines)
 
 
+def test_table_columns_are_found_once_per_table(spark):
+    from ledgerlight.sources.disclosures import trades_from_tables
+
+    header = ["#", "Transaction Date", "Owner", "Ticker", "Asset Name", "Asset Type", "Type", "Amount"]
+    body = [["1", "01/02/2024", "Self", "aapl", "Apple", "Stock", "Purchase", "Over $5,000,000"], ["2"], ["", None, ""]]
+    tables = spark.createDataFrame(
+        [(1, [header, *body]), (2, [None, *body]), (3, [body[0], header, *body]), (4, [header])], "doc_id int, cells array<array<string>>"
+    )
+    filings = spark.createDataFrame([("1", "A B", "A", "B", "TX", "1/3/2024")], "doc_id string, full_name string, first_name string, last_name string, state_district string, filing_date string")
+    out = trades_from_tables(tables, filings, "senate")
+    assert [(r["doc_id"], r["position"], r["ticker"], r["trade_type"], str(r["trade_date"])) for r in out.collect()] == [("1", 0, "AAPL", "buy", "2024-01-02")]
+    above = plan_of(out).split("posexplode")[0]
+    assert "array_position" not in above
+
+
 def test_quarters_are_compared_once(spark):
     rows = [("1", "C1", "SH", "5000", 8000), ("1", "C1", "SH", "100", 8001), ("2", "C2", "SH", "900", 8001), ("2", "C1", None, "x", 8002)]
     holdings = spark.createDataFrame(rows, "cik string, cusip string, share_type string, shares string, period int")
