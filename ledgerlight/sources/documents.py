@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,15 +20,85 @@ FILING = (
     "Prefix string, Last string, First string, Suffix string, FilingType string, StateDst string, Year string, "
     "FilingDate string, DocID string"
 )
+#: XML files of more bytes are read in splits; a record that is cut out of one has at most so many bytes.
+SPLIT_BYTES = 32 << 20
+RECORD_BYTES = 16 << 20
+#: Comments, CDATA and instructions, where tags don't count; the text before the first and after the last record.
+SECTIONS = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?(?!xml\s).*?\?>"
+OPENING = (
+    r"^\uFEFF?(?:<\?xml\s+version\s*=\s*[\"']1\.0[\"'](?:\s+encoding\s*=\s*[\"'](?i:utf-8)[\"'])?(?:\s+standalone\s*=\s*[\"'](?:yes|no)[\"'])?\s*\?>)?"
+    r"\s*<([^\s<>/!?]+)(?:\s(?:[^<>]*[^<>/])?)?>\s*$"
+)
+CLOSING = r"^\s*</([^\s<>]+)\s*>\s*$"
 
 
 def _text(value: Column | str) -> Column:
     return X.strip(F.coalesce(X.as_col(value), F.lit("")))
 
 
+def read_xml(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
+    """The elements `tag` of XML files as Spark's XML reader gives them, with large files read in splits.
+
+    That reader takes a file whole in one task. Files of more than SPLIT_BYTES are read as text instead, cut at the
+    ends of their records. A pass before that finds those where the cut could give other rows: records have to be all
+    there is in one root element, each whole, well-formed and of at most RECORD_BYTES, with no other start or end of
+    one in comments or CDATA; the file has to be UTF-8. Any other file is read whole.
+    """
+    whole = spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+    # A longer record is left out here, so that the bytes don't add up to those of the file.
+    text = spark.read.option("lineSep", f"</{tag}>").option("mapreduce.input.linerecordreader.line.maxlength", RECORD_BYTES).text(path)
+    folders = text.drop("value").columns
+    if len(whole.columns) < len(spark.createDataFrame([], schema).columns) + len(folders):
+        return whole  # a folder's name gives a column's value
+    size, file = F.col("_metadata.file_size"), F.col("_metadata.file_path")
+    text = text.where(size > SPLIT_BYTES)
+    odd = file.isin(_not_split(text, tag, schema))
+    rests = text.where(~odd).select(F.explode(F.slice(F.split("value", _start(tag), 2), 2, 1)).alias("rest"), *folders)
+    # A generated row is parsed once, whatever filters follow.
+    split = rests.select(F.inline(F.array(F.from_xml(_record(F.col("rest"), tag), schema))), *folders)
+    return whole.where((size <= SPLIT_BYTES) | odd).unionByName(split)
+
+
+def _start(tag: str) -> str:
+    return rf"<{re.escape(tag)}(?=[\s/>])"
+
+
+def _record(rest: Column, tag: str) -> Column:
+    return F.concat(F.lit(f"<{tag}"), rest, F.lit(f"</{tag}>"))
+
+
+def _not_split(text: DataFrame, tag: str, schema: str) -> list[str]:
+    """Files whose records can't be told from `text`, the parts between the records' ends."""
+    end = len(f"</{tag}>".encode())
+    marked = F.col("value").contains("<!") | F.col("value").contains("<?")
+    parts = text.select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"),
+        F.split("value", _start(tag)).alias("raw"),
+    ).withColumns({
+        "bare": F.when(marked, F.split(F.regexp_replace("value", SECTIONS, " "), _start(tag))).otherwise(F.col("raw")),
+        "wrong": F.from_xml(_record(F.get("raw", F.lit(1)), tag), f"{schema}, _corrupt_record string")["_corrupt_record"].isNotNull()})
+    starts, inside = F.size("raw") - 1, F.get("bare", F.lit(1))
+    odd = (
+        ~F.is_valid_utf8("value") | (starts != F.size("bare") - 1) | inside.contains("<!") | inside.contains("<?")
+        | inside.rlike(r"^(\s[^<]*)?/>") | inside.rlike(rf"</{re.escape(tag)}\s") | F.col("wrong"))
+    files = parts.select(
+        "file", "size", "place", starts.alias("starts"), odd.alias("odd"), F.get("bare", F.lit(0)).alias("gap"), (F.octet_length("value") + end).alias("bytes"),
+    ).groupBy("file", "size").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.count_if(F.col("starts") == 1).alias("records"),
+        F.count_if(F.col("odd")).alias("odd"), F.count_if(F.col("gap").rlike(r"\S")).alias("gaps"),
+        F.min_by("gap", "place").alias("first"), F.max_by(F.struct("gap", "starts"), "place").alias("last"))
+    root, closed = F.regexp_extract("first", OPENING, 1), F.regexp_extract("last.gap", CLOSING, 1)
+    # All parts but the last end a record; the reader leaves out a byte order mark.
+    plain = (
+        (F.col("odd") == 0) & (F.col("records") == F.col("n") - 1) & (F.col("last.starts") == 0) & (F.col("gaps") == 2)
+        & (root != "") & (root == closed) & (F.col("bytes") - F.col("size")).isin(end, end - 3))
+    return [r["file"] for r in files.where(~plain).select("file").collect()]
+
+
 def read_roll_calls(spark: SparkSession, path: str, congress: int | None = None, session: int | None = None) -> DataFrame:
     """Roll-call XML -> one row per vote with the member array."""
-    raw = spark.read.format("xml").option("rowTag", "roll_call_vote").schema(ROLL_CALL).load(path)
+    raw = read_xml(spark, path, "roll_call_vote", ROLL_CALL)
     parts = [
         F.lit(str(congress)) if congress else _text("congress"), F.lit(str(session)) if session else _text("session"),
         F.regexp_replace(_text("vote_number"), "^0+(?=.)", ""),
@@ -56,7 +128,7 @@ def roll_call_positions(votes: DataFrame, lis_map: DataFrame) -> DataFrame:
 
 def read_filing_index(spark: SparkSession, path: str) -> DataFrame:
     """Filing-index XML -> transaction reports only, with the full name built from its parts."""
-    raw = spark.read.format("xml").option("rowTag", "Member").schema(FILING).load(path)
+    raw = read_xml(spark, path, "Member", FILING)
     return raw.where(F.upper(_text("FilingType")).isin("P", "PTR")).select(
         _text("Prefix").alias("prefix"), _text("Last").alias("last_name"), _text("First").alias("first_name"),
         _text("Suffix").alias("suffix"), _text("FilingType").alias("filing_type"),

@@ -55,6 +55,58 @@ def test_roll_call_xml(spark, tmp_path):
     assert rows(loaded.select("roll_call_id", "chamber", "congress", "vote_date")) == [("senate-119-1-7", "Senate", 119, dt.date(2025, 1, 9))]
 
 
+def filing(number, last="L", kind="P"):
+    return f"<Member><Last>{last}</Last><First>F{number}</First><FilingType>{kind}</FilingType><DocID>{number}</DocID></Member>\n"
+
+
+def in_small_splits(spark, monkeypatch, read):
+    """What `read` returns and the number of its tasks, with splits of 500 bytes for any file."""
+    monkeypatch.setattr(D, "SPLIT_BYTES", 0)
+    sizes = {"spark.sql.files.maxPartitionBytes": "500b", "spark.sql.files.openCostInBytes": "8b"}
+    try:
+        for key, value in sizes.items():
+            spark.conf.set(key, value)
+        return rows(read()), read().rdd.getNumPartitions()
+    finally:
+        for key in sizes:
+            spark.conf.unset(key)
+
+
+def test_large_xml_is_read_in_splits(spark, tmp_path, monkeypatch):
+    path = tmp_path / "index.xml"
+    lasts = ["Ob\u00e9 &amp; Co", "<![CDATA[a<b]]>", " two\r\n lines ", ""]
+    body = "".join(filing(i, lasts[i % 4], "ptr" if i % 3 else "C") + "<!-- next -->" * (i % 2) for i in range(300))
+    path.write_bytes(b"\xef\xbb\xbf" + f'<?xml version="1.0" encoding="UTF-8"?>\n<Index a="b">{body}<!-- end --></Index>\n'.encode())
+    whole = rows(D.read_filing_index(spark, str(path)))
+    found, tasks = in_small_splits(spark, monkeypatch, lambda: D.read_filing_index(spark, str(path)))
+    assert found == whole and len(whole) == 200 and tasks > 20
+    votes = "".join(f"<roll_call_vote><vote_number>{i}</vote_number><members><member><last_name>A</last_name></member></members></roll_call_vote>" for i in range(100))
+    path.write_text(f"<votes>{votes}</votes>")
+    found, tasks = in_small_splits(spark, monkeypatch, lambda: D.read_roll_calls(spark, str(path)))
+    assert len(found) == 100 and all(len(r[-1]) == 1 for r in found) and tasks > 10
+
+
+def test_xml_that_cannot_be_cut_is_read_whole(spark, tmp_path, monkeypatch):
+    some = "".join(filing(i) for i in range(20))
+    texts = [
+        f"<FD>{some}<!-- {filing(98)} -->{some}</FD>", f"<FD>{some}<!-- </Member> -->{some}</FD>", f"<FD>{some}{filing(98, '<![CDATA[</Member>]]>')}{some}</FD>",
+        f"<FD>{some}{filing(98, '<Member>x</Member>')}{some}</FD>", f"<FD>{some}<Member/><Member a='1'/>{some}</FD>", f"<FD>{some}{filing(98, 'a & b')}{some}</FD>",
+        f"<FD>{some}{filing(98, '<x>')}{some}</FD>", f"<FD>{some}<Member><FilingType>P</FilingType><DocID>98</DocID>", f"<FD>{some}{some.replace('</Member>', '</Member >')}</FD>",
+        f"<FD>{some}</FD><FD>{some}</FD>", some, f"<FD>{some}</Fd>", f"<FD>{some}", f"<FD>{some}</FD></Member>", f"<FD>{some}<?xml version='1.0'?>{some}</FD>",
+        f"<FD><a>{some}</a><a>{some}</a></FD>", f'<?xml version="1.0" encoding="ISO-8859-1"?><FD>{some}{filing(98, chr(233))}</FD>',
+        f'<!DOCTYPE FD [<!ENTITY e "x">]><FD>{some}{filing(98, "&e;")}</FD>', f"<FD>{some}{filing(98, 'y' * 5000)}{some}</FD>", "<FD></FD>", "no markup",
+    ]
+    monkeypatch.setattr(D, "RECORD_BYTES", 4000)
+    for number, text in enumerate(texts):
+        (tmp_path / f"f{number:02d}.xml").write_text(text, encoding="utf-8")
+    (tmp_path / "plain.xml").write_text(f"<FD>{some}</FD>")
+    whole = rows(D.read_xml(spark, str(tmp_path), "Member", D.FILING))
+    found, _ = in_small_splits(spark, monkeypatch, lambda: D.read_xml(spark, str(tmp_path), "Member", D.FILING))
+    assert found == whole and len(whole) > 400
+    text = spark.read.option("lineSep", "</Member>").option("mapreduce.input.linerecordreader.line.maxlength", 4000).text(str(tmp_path)).where("_metadata.file_size > 0")
+    assert sorted(f[-7:] for f in D._not_split(text, "Member", D.FILING)) == [f"f{n:02d}.xml" for n in range(len(texts))]
+
+
 def test_members_json(spark, tmp_path):
     path = tmp_path / "m.json"
     path.write_text(json.dumps({"bioguideId": "B1", "name": "Smith, Ann", "partyName": "Democratic", "state": "Ohio",
