@@ -41,6 +41,8 @@ MARGIN = 0.25
 PART = 4096
 #: Shingles hashed together, shingles compared together.
 CHUNK, PIECE = 1 << 14, 1 << 18
+#: Bytes of text whose words and shingles a worker holds together: they take about ten times as much.
+TEXT_BYTES = 1 << 20
 EMPTY = np.full(PERMUTATIONS, 0xFF, np.uint8)
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -127,7 +129,7 @@ def _binary(rows: np.ndarray) -> pa.Array:
 def _sign(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_parts(batch):
+            for part in text_parts(batch, TEXT_BYTES):
                 hashes, sizes = shingles_of(part.column("text").to_pylist(), width)
                 keys = pa.array([set_key(s) for s in sets(hashes, sizes)], pa.int64())
                 columns = [part.column("doc_id"), part.column("text_key"), keys, _binary(fingerprints(hashes, sizes))]
@@ -280,35 +282,25 @@ def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array(bands[kept]), pa.array(keys[kept]), pa.array((place[kept] // PART).astype(np.int32))], names=["band", "fp", "part"])
 
 
-def _make_sets(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_parts(batch):
-                hashes, sizes = shingles_of(part.column("text").to_pylist(), width)
-                found = sets(hashes, sizes)
-                columns = [pa.array([set_key(s) for s in found], pa.int64()), _binary(fingerprints(hashes, sizes)), pa.array([s.tobytes() for s in found], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["fp", "signature", "hashes"])
-
-    return run
-
-
-def _write_sets(folder: str):
-    """Fingerprints and sets go one after another to a file of the task's own; rows tell where."""
+def _write_sets(folder: str, width: int):
+    """Fingerprints and sets of the texts go one after another to a file of the task's own; rows tell where."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, at = uuid.uuid4().int >> 65, 0
         with open(os.path.join(folder, f"{name}.sets"), "wb") as file:
             for batch in batches:
-                starts, sizes = [], []
-                for signature, blob in zip(batch.column("signature"), batch.column("hashes")):
-                    blob = blob.as_py()
-                    file.write(signature.as_py())
-                    file.write(blob)
-                    starts.append(at)
-                    sizes.append(len(blob) // 8)
-                    at += sizes[-1] + PERMUTATIONS // 8
-                columns = [batch.column("fp"), *[pa.array(c, pa.int64()) for c in ([name] * len(starts), starts, sizes)]]
-                yield pa.RecordBatch.from_arrays(columns, names=["fp", "file", "start", "size"])
+                for part in text_parts(batch, TEXT_BYTES):
+                    hashes, sizes = shingles_of(part.column("text").to_pylist(), width)
+                    keys, starts, lengths = [], [], []
+                    for found, signature in zip(sets(hashes, sizes), fingerprints(hashes, sizes)):
+                        file.write(signature)
+                        file.write(found)
+                        keys.append(set_key(found))
+                        starts.append(at)
+                        lengths.append(len(found))
+                        at += len(found) + PERMUTATIONS // 8
+                    columns = [pa.array(c, pa.int64()) for c in (keys, [name] * len(keys), starts, lengths)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["fp", "file", "start", "size"])
 
     return run
 
@@ -412,8 +404,8 @@ def links(docs: DataFrame, signed: DataFrame, width: int = SHINGLE, threshold: f
     texts = docs.select("text", F.xxhash64("text").alias("text_key")).join(small(wanted.distinct()), "text_key", "left_semi")
     texts = texts.distinct()  # equal texts are one row before their shingles are made
     folder = shared_folder(docs.sparkSession, "sets")
-    made = texts.select("text").mapInArrow(_make_sets(width), "fp long, signature binary, hashes binary")
-    places = scratch_table(made.mapInArrow(_write_sets(folder), "fp long, file long, start long, size long"), "places")
+    # Made and written by one worker: whole sets don't pass through the JVM to a second one beside it.
+    places = scratch_table(texts.select("text").mapInArrow(_write_sets(folder, width), "fp long, file long, start long, size long"), "places")
     near = _blocks(buckets).join(places, "fp").repartition("band", "block").sortWithinPartitions("band", "block", "fp")
     return distinct.select("fp", "first_id"), near.mapInArrow(_verify(folder, threshold), "a long, b long")
 

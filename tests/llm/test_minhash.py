@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,3 +157,28 @@ def test_many_unlike_sets_of_one_band(spark, tmp_path):
     near = blocks.join(places, "fp").repartition("band", "block").sortWithinPartitions("band", "block", "fp")
     found = near.mapInArrow(M._verify(str(tmp_path), 0.8), "a long, b long").distinct().collect()
     assert [tuple(r) for r in found] == [(0, n - 1)]
+
+
+def test_workers_hold_the_words_of_a_part_of_a_batch(tmp_path):
+    """Signing texts, and writing their sets, takes no more for a batch of many texts than for a part of it."""
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(10**5)}" for _ in range(500)) for _ in range(2000)] + [None, "", "one"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text_key", "text"])
+    size = sum(len(t or "") for t in texts)
+    made = {}
+    for name, run in (("signed", M._sign(M.SHINGLE)), ("written", M._write_sets(str(tmp_path), M.SHINGLE))):
+        tracemalloc.start()
+        made[name] = [row for out in run(iter([batch])) for row in (out.select(["fp"]) if name == "signed" else out).to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert size > 6 * M.TEXT_BYTES and peak < 4 * size
+    assert [r["fp"] for r in made["signed"]] == [r["fp"] for r in made["written"]]
+    files = {r["file"] for r in made["written"]}
+    found = np.fromfile(tmp_path / f"{files.pop()}.sets", "<u8")
+    assert not files and found.size == sum(r["size"] + M.PERMUTATIONS // 8 for r in made["written"])
+    prints = signed(*texts)
+    for i in (0, 1, 777, 1999, 2000, 2001, 2002):
+        row = made["written"][i]
+        at = row["start"] + M.PERMUTATIONS // 8
+        assert (found[row["start"] : at].view(np.uint8) == prints[i]).all()
+        assert found[at : at + row["size"]].tolist() == M.sets(*M.shingles_of([texts[i]]))[0].tolist()
