@@ -27,6 +27,18 @@ def known(df: DataFrame, columns: list[str]) -> DataFrame:
     return df
 
 
+def _slot(df: DataFrame, keys: list[str]) -> Column:
+    """Slot of a row's keys. Equal keys have to get equal hashes on both sides, whatever their integer widths."""
+    return F.pmod(F.xxhash64(*[F.col(k).cast(df.schema[k].dataType) for k in keys]), F.lit(SLOTS)).cast("int")
+
+
+def _hot_slots(counted: DataFrame, slot: Column, heaviest: Column, most: int) -> DataFrame:
+    """(_slot, _parts) of the slots whose heaviest key has more than `most` rows."""
+    return counted.groupBy(slot.alias("_slot")).agg(heaviest.alias("_most")).where(F.col("_most") > most).select(
+        "_slot", F.ceil(F.col("_most") / F.lit(max(1, most))).alias("_parts")
+    )
+
+
 def spread_join(
     left: DataFrame, lookup: DataFrame, keys: list[str], weight: str = "n_rows", hot_rows: int | None = None,
     source: DataFrame | None = None, dealt_by: list[str] | None = None,
@@ -48,25 +60,53 @@ def spread_join(
     values = [c for c in lookup.columns if c not in keys and c != weight]
     most = HOT_ROWS if hot_rows is None else hot_rows
     lookup = known(lookup, keys)
-    # Equal keys have to get equal hashes on both sides, whatever their integer widths.
-    slot = F.pmod(F.xxhash64(*[F.col(k).cast(left.schema[k].dataType) for k in keys]), F.lit(SLOTS)).cast("int")
+    slot = _slot(left, keys)
     counted = lookup if source is None else known(source, keys)
-    heaviest = F.max(weight) if source is None else F.count(F.lit(1))
-    parts = counted.groupBy(slot.alias("_slot")).agg(heaviest.alias("_most")).where(F.col("_most") > most).select(
-        "_slot", F.ceil(F.col("_most") / F.lit(max(1, most))).alias("_parts")
-    )
+    parts = _hot_slots(counted, slot, F.max(weight) if source is None else F.count(F.lit(1)), most)
     cut = lookup.withColumn("_slot", slot).join(F.broadcast(parts), "_slot", "left").select(
         *keys, F.struct(*values).alias("_found"), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1)).alias("_part")
     )
+    joined = _dealt(left, keys, slot, parts, dealt_by).join(cut, [*keys, "_part"], "left")
+    return joined.select(*[F.col(f"`{c}`") for c in left.columns], *[F.col("_found")[v].alias(v) for v in values])
+
+
+def _dealt(left: DataFrame, keys: list[str], slot: Column, parts: DataFrame, dealt_by: list[str] | None) -> DataFrame:
+    """`left` with the part of its slot that each row is dealt to; rows without a key are dealt out likewise."""
     no_key = F.lit(False)
     for key in keys:
         no_key = no_key | F.col(key).isNull()
     part = F.pmod(_row_hash(left, dealt_by), F.when(no_key, F.lit(SPREAD)).otherwise(F.coalesce("_parts", F.lit(1))))
-    joined = (
-        left.withColumn("_slot", slot).join(F.broadcast(parts), "_slot", "left")
-        .withColumn("_part", part).join(cut, [*keys, "_part"], "left")
+    return left.withColumn("_slot", slot).join(F.broadcast(parts), "_slot", "left").withColumn("_part", part)
+
+
+def gathered(
+    left: DataFrame, right: DataFrame, keys: list[str], hot_rows: int | None = None, source: DataFrame | None = None,
+    dealt_by: list[str] | None = None,
+) -> DataFrame:
+    """The rows of both tables, those of equal `keys` in one place, so that windows over (keys, `_part`) need no other shuffle.
+
+    Adds `_part` and `_met`, a struct of the columns that only `right` has; it is NULL in the rows of `left`. Other
+    columns of `left` are NULL in the rows of `right`. Hot slots are cut into parts as in `spread_join`: each row of
+    `left` is in one part, the rows of `right` are in every part of their slot. `source` (by default `left`) is a
+    table with at least the keys of `left`, on which these are counted.
+    """
+    most = HOT_ROWS if hot_rows is None else hot_rows
+    parts = _hot_slots(known(left if source is None else source, keys), _slot(left, keys), F.count(F.lit(1)), most)
+    shared = [c for c in right.columns if c in left.columns]
+    facts = F.struct(*[F.col(c) for c in right.columns if c not in left.columns])
+    met = known(right, keys).withColumn("_slot", _slot(left, keys)).join(F.broadcast(parts), "_slot", "left").select(
+        *[F.col(c).cast(left.schema[c].dataType).alias(c) for c in shared], facts.alias("_met"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1)).alias("_part"),
     )
-    return joined.select(*[F.col(f"`{c}`") for c in left.columns], *[F.col("_found")[v].alias(v) for v in values])
+    own = _dealt(left, keys, _slot(left, keys), parts, dealt_by).drop("_slot", "_parts")
+    return own.unionByName(met, allowMissingColumns=True).repartition(*keys, "_part")
+
+
+def in_hot_slots(left: DataFrame, keys: list[str], hot_rows: int | None = None, source: DataFrame | None = None) -> DataFrame:
+    """The rows of `left` that `gathered` deals to several parts."""
+    most = HOT_ROWS if hot_rows is None else hot_rows
+    parts = _hot_slots(known(left if source is None else source, keys), _slot(left, keys), F.count(F.lit(1)), most)
+    return known(left, keys).withColumn("_slot", _slot(left, keys)).join(F.broadcast(parts), "_slot", "left_semi").drop("_slot")
 
 
 def enrich(

@@ -18,7 +18,7 @@ from ledgerlight.functions.vocab import (
     ALPHA_BACKWARD_DAYS, ALPHA_FORWARD_DAYS, BENCHMARK_TICKER, BILL_CAP_DAYS, BILL_WINDOW_DAYS, CLUSTER_DAYS,
     VOTE_CAP_DAYS,
 )
-from ledgerlight.operators.lookup import known, spread_join
+from ledgerlight.operators.lookup import gathered, in_hot_slots, known, spread_join
 
 #: Rows of the large table behind one task's share of a timeline.
 TASK_ROWS = 250_000
@@ -128,37 +128,111 @@ def _window_prices(pairs: DataFrame, prices: DataFrame, forward: int, backward:
     ).where("n_rows > 0")
 
 
-def alpha_lookup(
-    trades: DataFrame, prices: DataFrame, benchmark: str = BENCHMARK_TICKER,
-    forward: int = ALPHA_FORWARD_DAYS, backward: int = ALPHA_BACKWARD_DAYS, pairs: DataFrame | None = None,
+def _day_order(date: str, falling: bool = False) -> Column:
+    return -F.unix_date(date) if falling else F.unix_date(date)
+
+
+def _up_to(keys: list[str], order: Column, gap: int = 0):
+    """Rows of a gathered key up to `gap` days before this row's day in the given order of days; negative: after it."""
+    return Window.partitionBy(*keys, "_part").orderBy(order).rangeBetween(Window.unboundedPreceding, -gap)
+
+
+def _last_close(keys: list[str], order: Column, gap: int) -> Column:
+    """Close of the last day with one, in the given order, up to `gap` days before; the highest of that day."""
+    close = F.col("_met.close")
+    return F.max(F.when(close.isNotNull(), F.struct(order.alias("day"), close.alias("close")))).over(_up_to(keys, order, gap))["close"]
+
+
+def ticker_facts(
+    trades: DataFrame, prices: DataFrame, entity: str | None = None, benchmark: str = BENCHMARK_TICKER,
+    forward: int = ALPHA_FORWARD_DAYS, backward: int = ALPHA_BACKWARD_DAYS, days: int = CLUSTER_DAYS,
+    source: DataFrame | None = None, dealt_by: list[str] | None = None,
 ) -> DataFrame:
-    """Per distinct (ticker, trade_date): cohort_alpha and pre_trade_alpha against the benchmark.
+    """Trades with cohort_alpha and pre_trade_alpha against the benchmark and, given an `entity`, `peers`.
 
-    `pairs` may give those distinct pairs with their row counts where they are known already.
+    Trades and closes go to their ticker in one shuffle, and windows over the days answer there: no lookup is
+    shuffled before or after. `peers` counts the distinct entities with a trade of the ticker within +-days, those of
+    the trade included: an entity's covers begin at the days without another one in the 2 * days before and end at
+    those without one after, and both are counted by running sums. The entities of a ticker that is cut into parts
+    aren't all in one place: its peers are looked up by `peer_lookup` and gathered like closes.
 
     `prices` has ticker, price_date, close and holds the benchmark too. The benchmark is one key,
     so it is resolved on the distinct days alone: at most one row per calendar day, broadcast.
+    `source` and `dealt_by` as in `gathered`; `source` has the trades' days too.
     """
+    source, keys, date = trades if source is None else source, ["ticker"], "trade_date"
     series = prices.select("ticker", F.col("price_date").alias("date"), F.col("close").cast("double").alias("close"))
-    if pairs is None:
-        pairs = _pairs(trades, ["ticker"], "trade_date")
-    pairs = pairs.withColumnRenamed("trade_date", "date")
-    asset = _window_prices(pairs, series, forward, backward)
-    days = pairs.groupBy("date").agg(F.sum("n_rows").alias("n_rows")).withColumn("ticker", F.lit(benchmark))
-    bench = _window_prices(days, series.where(F.col("ticker") == benchmark), forward, backward).select(
-        "date", *[F.col(c).alias(f"s_{c}") for c in ("f0", "f1", "b0", "b1")]
+    asked = known(source, ["ticker", date]).groupBy(F.col(date).alias("date")).agg(F.count(F.lit(1)).alias("n_rows"))
+    bench = _window_prices(asked.withColumn("ticker", F.lit(benchmark)), series.where(F.col("ticker") == benchmark), forward, backward).select(
+        F.col("date").alias(date), *[F.col(c).alias(f"_s_{c}") for c in ("f0", "f1", "b0", "b1")]
     )
-    return asset.join(F.broadcast(bench), "date", "left").select(
-        "ticker", F.col("date").alias("trade_date"),
-        excess_return("f0", "f1", "s_f0", "s_f1").alias("cohort_alpha"),
-        excess_return("b0", "b1", "s_b0", "s_b1").alias("pre_trade_alpha"),
-        "n_rows",
+    right = series.where("close is not null").withColumnRenamed("date", date)
+    if entity is not None:
+        crowded = peer_lookup(in_hot_slots(source, keys), "ticker", entity, date, days).select("ticker", date, "peers")
+        right = right.unionByName(crowded, allowMissingColumns=True)
+    rows = gathered(trades, right, keys, source=source, dealt_by=dealt_by)
+    rising, falling = _day_order(date), _day_order(date, True)
+    asks = F.col("ticker").isNotNull() & F.col(date).isNotNull()
+    out = {}
+    if entity is not None:
+        named = asks & F.col("_met").isNull() & F.col(entity).isNotNull()
+        own = Window.partitionBy(*keys, "_part", entity).orderBy(date)
+        since, until = F.datediff(date, F.lag(date).over(own)), F.datediff(F.lead(date).over(own), date)
+        rows = rows.withColumns({
+            "_begins": F.when(named & F.coalesce(since > 2 * days, F.lit(True)), 1).otherwise(0),
+            "_ends": F.when(named & F.coalesce(until > 2 * days, F.lit(True)), 1).otherwise(0),
+        })
+        here = F.max(F.when(F.col("_met.peers").isNotNull(), F.struct(rising.alias("day"), F.col("_met.peers").alias("peers")))).over(_up_to(keys, rising))
+        counted = F.sum("_begins").over(_up_to(keys, rising, -days)) - F.coalesce(F.sum("_ends").over(_up_to(keys, rising, days + 1)), F.lit(0))
+        out["peers"] = F.when(asks, F.coalesce(F.when(here["day"] == rising, here["peers"]), counted))
+    rows = rows.withColumns({
+        **out, "_b1": _last_close(keys, rising, 0), "_b0": _last_close(keys, rising, backward),
+    }).withColumns({"_f0": _last_close(keys, falling, 0), "_f1": _last_close(keys, falling, forward)})
+    return rows.where(F.col("_met").isNull()).join(F.broadcast(bench), date, "left").select(
+        *[F.col(f"`{c}`") for c in trades.columns],
+        F.when(asks, excess_return("_f0", "_f1", "_s_f0", "_s_f1")).alias("cohort_alpha"),
+        F.when(asks, excess_return("_b0", "_b1", "_s_b0", "_s_b1")).alias("pre_trade_alpha"), *out,
     )
 
 
-def add_alphas(trades: DataFrame, prices: DataFrame, benchmark: str = BENCHMARK_TICKER) -> DataFrame:
+def add_alphas(trades: DataFrame, prices: DataFrame, benchmark: str = BENCHMARK_TICKER, dealt_by: list[str] | None = None) -> DataFrame:
     """Trades with cohort_alpha and pre_trade_alpha (both NULL where prices are missing)."""
-    return spread_join(trades, alpha_lookup(trades, prices, benchmark), ["ticker", "trade_date"], source=trades)
+    return ticker_facts(trades, prices, benchmark=benchmark, dealt_by=dealt_by)
+
+
+def entity_facts(
+    left: DataFrame, events: DataFrame, by: str, date: str, max_days: int, facts: DataFrame | None = None,
+    matched: DataFrame | None = None, source: DataFrame | None = None, dealt_by: list[str] | None = None,
+) -> DataFrame:
+    """`left` with `gap_days` to the nearest event of the same key, NULL beyond `max_days`, and the columns of other tables.
+
+    `facts` has one row per key, `matched` one per key and day; their columns are NULL in rows without a key or a day
+    and where there is no row for them. All tables meet in one shuffle by the key. `source` and `dealt_by` as in `gathered`.
+    """
+    right = known(events.select(by, date), [by, date]).withColumn("_event", F.lit(True))
+    names = {"_facts": facts, "_matched": matched}
+    for name, table in names.items():
+        if table is not None:
+            own = [c for c in table.columns if c not in (by, date)]
+            right = right.unionByName(table.select(by, *([date] if date in table.columns else []), F.struct(*own).alias(name)), allowMissingColumns=True)
+    rows = gathered(left, right, [by], source=source, dealt_by=dealt_by)
+    rising, falling = _day_order(date), _day_order(date, True)
+    day = F.when(F.col("_met._event"), F.col(date))
+    rows = rows.withColumn("_ahead", F.datediff(F.last(day, ignorenulls=True).over(_up_to([by], falling)), date))
+    # Rows without a day, as those of `facts` are, come first.
+    found = {"_back": F.datediff(date, F.last(day, ignorenulls=True).over(_up_to([by], rising)))}
+    for name, table in names.items():
+        if table is not None:
+            met = F.col(f"_met.{name}")
+            found[name] = F.last(F.when(met.isNotNull(), F.struct(F.col(date).alias("on"), met.alias("row"))), ignorenulls=True).over(_up_to([by], rising))
+    asks = F.col(by).isNotNull() & F.col(date).isNotNull()
+    nearest = F.least("_back", "_ahead")
+    columns = [F.when(asks & (nearest <= max_days), nearest).alias("gap_days")]
+    for name, table in names.items():
+        if table is not None:
+            here = asks if date not in table.columns else asks & (F.col(name)["on"] == F.col(date))
+            columns += [F.when(here, F.col(name)["row"][c]).alias(c) for c in table.columns if c not in (by, date)]
+    return rows.withColumns(found).where(F.col("_met").isNull()).select(*[F.col(f"`{c}`") for c in left.columns], *columns)
 
 
 def nearest_lookup(left: DataFrame, events: DataFrame, by, date: str, max_days: int) -> DataFrame:
@@ -224,6 +298,20 @@ def nearest_category_event(
     return apply_category_gaps(left, gaps, array, date, name)
 
 
+def smallest_gap(array: Column, gaps: Column) -> Column:
+    """Smallest gap over the categories of an array, by a map of category to gap; NULL without any."""
+    return F.array_min(_per_item(array, gaps))
+
+
+def category_gaps_by_key(source: DataFrame, events: DataFrame, entity: str, array: str, category: str, date: str, max_days: int) -> DataFrame:
+    """(entity, date, `_gaps`) of `source`: map of category to the gap to the entity's nearest event in it, where there is one."""
+    keys = [entity, date]
+    matched = nearest_lookup(_exploded(source, array, category, *keys), events, [entity, category], date, max_days)
+    return matched.where("gap_days is not null").groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct(category, "gap_days"))).alias("_gaps")
+    )
+
+
 def nearest_two_tier(
     left: DataFrame, events: DataFrame, entity: str, array: str, category: str, date: str,
     max_days: int = VOTE_CAP_DAYS, name: str = "gap_days", source: DataFrame | None = None,
@@ -234,13 +322,10 @@ def nearest_two_tier(
     """
     keys, source = [entity, date], left if source is None else source
     any_gap = nearest_lookup(source, events, entity, date, max_days)
-    matched = nearest_lookup(_exploded(source, array, category, *keys), events, [entity, category], date, max_days)
-    by_key = matched.where("gap_days is not null").groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct(category, "gap_days"))).alias("_gaps")
-    )
+    by_key = category_gaps_by_key(source, events, entity, array, category, date, max_days)
     lookup = any_gap.join(by_key, keys, "left")
     joined = spread_join(left, lookup, keys, source=source)
-    tier1 = F.array_min(_per_item(F.col(array), F.col("_gaps")))
+    tier1 = smallest_gap(F.col(array), F.col("_gaps"))
     return joined.withColumn(name, F.coalesce(tier1, F.col("gap_days"))).select(*left.columns, name)
 
 

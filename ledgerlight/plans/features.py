@@ -13,7 +13,7 @@ from ledgerlight.operators.clean import scoreable
 from ledgerlight.operators.entity import access_maps, access_matrix, relevance
 from ledgerlight.operators.lookup import enrich, spread_join
 from ledgerlight.operators.temporal import (
-    add_alphas, alpha_lookup, apply_category_gaps, category_gaps, nearest_lookup, nearest_two_tier, peer_lookup, presence,
+    add_alphas, apply_category_gaps, category_gaps, entity_facts, nearest_lookup, nearest_two_tier, peer_lookup, ticker_facts,
 )
 from ledgerlight.session import scratch_path
 
@@ -64,6 +64,13 @@ def weighted_median(days: DataFrame, column: str, weight: str = "n_rows") -> Col
     return days.agg(F.percentile(column, 0.5, F.col(weight))).scalar()
 
 
+def _median_gap(trades: DataFrame, events: DataFrame) -> Column:
+    """Exact median of the trades' days to their person's nearest vote, as a scalar; only persons and days move."""
+    keyed = trades.select("politician_id", "trade_date")
+    gaps = entity_facts(keyed, events, "politician_id", "trade_date", V.VOTE_CAP_DAYS)
+    return weighted_median(gaps.groupBy("gap_days").agg(F.count("*").alias("n_rows")), "gap_days")
+
+
 def cohort_features(
     trades: DataFrame, prices: DataFrame, votes: DataFrame, bills: DataFrame, seats: DataFrame,
     bridge: DataFrame | None = None, ticker_map: DataFrame | None = None,
@@ -71,37 +78,32 @@ def cohort_features(
 ) -> DataFrame:
     """The nine version-2 features of every trade (cohort_alpha stays NULL without prices).
 
-    Everything that depends on (ticker, day) or (person, day) is worked out on those distinct pairs,
-    so the trades themselves move through two joins only. Medians default to those of this batch.
+    The trades move twice, to their person and to their ticker, where votes, closes and other trades meet them.
+    Medians default to those of this batch.
     """
     base = add_sectors(trades, bridge, ticker_map)
     events = bill_events(bills)
 
-    seen = presence(base, "ticker", "politician_id", "trade_date")
-    pairs = seen.groupBy("ticker", "trade_date").agg(F.sum("n_rows").alias("n_rows"))
-    by_ticker = alpha_lookup(base, prices, pairs=pairs).join(
-        peer_lookup(base, "ticker", "politician_id", "trade_date").select("ticker", "trade_date", "peers"),
-        ["ticker", "trade_date"], "left",
-    )
-    votes_near = nearest_lookup(base, vote_events(votes), "politician_id", "trade_date", V.VOTE_CAP_DAYS)
-    by_person = (
-        votes_near.join(amount_stats(trades), "politician_id", "left")
-        .join(access_maps(access_matrix(seats)), "politician_id", "left")
-        .select("politician_id", "trade_date", "gap_days", "log_amt_mean", "log_amt_std", "access", "n_rows")
-    )
     combos = base.groupBy("sectors", "trade_date").agg(F.count("*").alias("n_rows"))
     sector_gaps = category_gaps(combos, events, "sectors", "sector", "trade_date")
-    bill_days = apply_category_gaps(combos, sector_gaps, "sectors", "trade_date", "bill_gap")
-
     if median_proximity is None:
-        median_proximity = weighted_median(votes_near, "gap_days")
+        median_proximity = _median_gap(trades, vote_events(votes))
     if median_bill is None:
-        median_bill = weighted_median(bill_days, "bill_gap")
+        median_bill = weighted_median(apply_category_gaps(combos, sector_gaps, "sectors", "trade_date", "bill_gap"), "bill_gap")
     median_proximity, median_bill = (m if isinstance(m, Column) else F.lit(m) for m in (median_proximity, median_bill))
 
-    joined = spread_join(base, by_ticker, ["ticker", "trade_date"], source=trades)
-    joined = spread_join(joined, by_person, ["politician_id", "trade_date"], source=trades)
-    joined = apply_category_gaps(joined, sector_gaps, "sectors", "trade_date", "bill_gap")
+    # The person's answers come first: sectors and amounts don't move on to the tickers.
+    narrow = base.select(*ID_COLUMNS, "sectors", "amount_midpoint", "disclosure_lag_days")
+    narrow = apply_category_gaps(narrow, sector_gaps, "sectors", "trade_date", "bill_gap")
+    people = amount_stats(trades).drop("n_trades").join(access_maps(access_matrix(seats)), "politician_id", "full")
+    personal = entity_facts(
+        narrow, vote_events(votes), "politician_id", "trade_date", V.VOTE_CAP_DAYS, facts=people, source=trades, dealt_by=["trade_id"],
+    ).select(
+        *ID_COLUMNS, "gap_days", "bill_gap", "disclosure_lag_days",
+        relevance(F.col("access"), F.col("sectors")).alias("committee_relevance"),
+        N.amount_zscore("amount_midpoint", "log_amt_mean", "log_amt_std").alias("amount_zscore"),
+    )
+    joined = ticker_facts(personal, prices, "politician_id", source=trades, dealt_by=["trade_id"])
     named = F.col("politician_id").isNotNull()
     return joined.select(
         *ID_COLUMNS,
@@ -110,8 +112,7 @@ def cohort_features(
         N.impute_days("gap_days", median_proximity, V.PROXIMITY_FALLBACK).alias("proximity_days"),
         N.impute_days("bill_gap", median_bill, V.BILL_FALLBACK).alias("bill_proximity"),
         F.col("gap_days").isNotNull().cast("int").alias("has_proximity_data"),
-        relevance(F.col("access"), F.col("sectors")).alias("committee_relevance"),
-        N.amount_zscore("amount_midpoint", "log_amt_mean", "log_amt_std").alias("amount_zscore"),
+        "committee_relevance", "amount_zscore",
         F.when(named, F.coalesce(F.col("peers") - 1, F.lit(0))).otherwise(0).cast("int").alias("cluster_score"),
         N.log_lag("disclosure_lag_days").alias("disclosure_lag"),
     )

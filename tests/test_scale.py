@@ -2,8 +2,11 @@
 
 import datetime as dt
 import math
+import random
+import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlight.catalog import joins
@@ -172,3 +175,90 @@ def test_forest_walk_against_a_walk_of_single_rows():
     from ledgerlight.plans.iforest import average_path
     want = [2.0 ** (-sum(walk(row, t) for t in range(5)) / 5 / average_path(16)) for row in values]
     assert np.allclose(forest.scores(values), want) and np.array_equal(forest.scores(values), forest.scores(values, block=9))
+
+
+def unbroadcast_plan(spark, build):
+    """The plan of `build()` without adaptive execution and broadcasts of small tables."""
+    names = ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    before = {c: spark.conf.get(c) for c in names}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return plan_of(build())
+    finally:
+        for c, value in before.items():
+            spark.conf.set(c, value)
+
+
+def dealings(plan):
+    """Keys of the shuffles that deal trades or their answers to parts of a key."""
+    return sorted(re.sub(r"#\d+L?", "", keys) for keys in re.findall(r"Exchange hashpartitioning\(([^()]*, _part#\d+L?), \d+\)", plan))
+
+
+def test_trades_move_once_to_their_person_and_once_to_their_ticker(spark, sf_dir):
+    from ledgerlight.catalog import QUERIES
+
+    plan = unbroadcast_plan(spark, lambda: QUERIES["i07_features_v2"](spark, sf_dir))
+    # The second one by person is the median's, of persons and days alone.
+    assert dealings(plan) == ["politician_id, _part", "politician_id, _part", "ticker, _part"]
+
+
+def brute_facts(trades, prices, width):
+    """{id: (alpha, earlier alpha, peers)} of trades (id, ticker, person, date); day None closes are there before all others."""
+    def close(ticker, d, ahead):
+        days = [q for t, q in prices if t == ticker and (q >= d if ahead else q <= d)]
+        return prices[(ticker, min(days) if ahead else max(days))] if days else None
+
+    def excess(ticker, first, second, ahead):
+        p = [close(t, d, ahead) for t in (ticker, "SPY") for d in (first, second)]
+        return None if None in p else round((p[1] - p[0]) / p[0] - (p[3] - p[2]) / p[2], 9)
+
+    out = {}
+    for i, ticker, person, d in trades:
+        if ticker is None or d is None:
+            out[i] = (None, None, None)
+            continue
+        near = {p for _, t, p, e in trades if t == ticker and p is not None and e is not None and abs((e - d).days) <= width}
+        out[i] = (excess(ticker, d, d + dt.timedelta(30), True), excess(ticker, d - dt.timedelta(7), d, False), len(near))
+    return out
+
+
+@pytest.mark.parametrize("most", [None, 5, 90])
+@pytest.mark.parametrize("width", [0, 1, 7])
+def test_ticker_facts_against_brute_force(spark, monkeypatch, most, width):
+    """Crowded tickers, whole or in parts; trades without a ticker, person or day; days and persons that repeat."""
+    if most:
+        monkeypatch.setattr(L, "HOT_ROWS", most)
+    trades = [(i, t, p, d) for i, t, p, d, _ in random_trades(21)]
+    trades += [(i + 1000, t, p, d) for i, t, p, d in trades[:40]] + [(2000 + i, t, 3, None) for i, t in enumerate(["HOT", "A", None])] + [(2100, "ONLY", None, day(3))]
+    r = random.Random(22)
+    prices = {(t, day(n)): r.uniform(5, 50) for t in ("HOT", "A", "SPY", "Z") for n in r.sample(range(-10, 150), 50)}
+    left = spark.createDataFrame(trades, "id int, ticker string, person int, trade_date date").repartition(3)
+    right = spark.createDataFrame([(t, d, v) for (t, d), v in prices.items()] + [(t, d, v - 1) for (t, d), v in prices.items()] + [("A", day(0), None), (None, day(1), 4.0)], "ticker string, price_date date, close double")
+    out = T.ticker_facts(left, right, "person", days=width)
+    assert out.columns == [*left.columns, "cohort_alpha", "pre_trade_alpha", "peers"]
+    got = [(x["id"], tuple(x[c] if x[c] is None or c == "peers" else round(x[c], 9) for c in out.columns[-3:])) for x in out.collect()]
+    assert len(got) == len(trades) and dict(got) == brute_facts(trades, prices, width)
+
+
+@pytest.mark.parametrize("most", [None, 5])
+def test_entity_facts_against_brute_force(spark, monkeypatch, most):
+    if most:
+        monkeypatch.setattr(L, "HOT_ROWS", most)
+    trades = [(i, p, d) for i, _, p, d, _ in random_trades(23)] + [(1000, 1, None), (1001, None, None), (1002, 9, day(2))]
+    r = random.Random(24)
+    votes = [(r.choice([1, 2, 3, 8]), day(r.randrange(-20, 140))) for _ in range(50)]
+    left = spark.createDataFrame(trades, "id int, person int, date date").repartition(3)
+    events = spark.createDataFrame(votes + votes[:9] + [(1, None), (None, day(4))], "person long, date date")
+    facts = spark.createDataFrame([(1, "one", {"x": 1.0}), (9, None, {"y": 2.0}), (None, "none", None)], "person long, name string, weights map<string,double>")
+    days = {(p, d): i for i, p, d in trades if i % 3 == 0 and p is not None and d is not None}
+    matched = spark.createDataFrame([(p, d, i) for (p, d), i in days.items()], "person long, date date, mark int")
+    out = T.entity_facts(left, events, "person", "date", 4, facts=facts, matched=matched)
+    assert out.columns == ["id", "person", "date", "gap_days", "name", "weights", "mark"]
+    got = {x["id"]: tuple(x)[3:] for x in out.collect()}
+    assert len(got) == len(trades) == out.count()
+    known = {1: ("one", {"x": 1.0}), 9: (None, {"y": 2.0})}
+    for i, p, d in trades:
+        gaps = [abs((v - d).days) for q, v in votes if q == p] if d else []
+        least = min(gaps) if gaps and min(gaps) <= 4 else None
+        assert got[i] == (least, *(known.get(p, (None, None)) if d else (None, None)), days.get((p, d)))
