@@ -13,7 +13,8 @@ from ledgerlight.operators.clean import scoreable
 from ledgerlight.operators.entity import access_maps, access_matrix, relevance
 from ledgerlight.operators.lookup import enrich, spread_join
 from ledgerlight.operators.temporal import (
-    add_alphas, apply_category_gaps, category_gaps, entity_facts, nearest_lookup, nearest_two_tier, peer_lookup, ticker_facts,
+    add_alphas, apply_category_gaps, category_gaps, category_gaps_by_key, entity_facts, nearest_lookup, peer_lookup, smallest_gap,
+    ticker_facts,
 )
 from ledgerlight.session import scratch_path
 
@@ -165,21 +166,18 @@ def cohort_features_v1(
     the scoring variant of version 1.
     """
     tagged = add_sectors(trades, bridge, ticker_map)
-    base = scoreable(add_alphas(tagged, prices))
-    events = vote_events(votes)
-    if "related_sector" in events.columns:
-        near = nearest_two_tier(
-            base, events.withColumnRenamed("related_sector", "sector"), "politician_id", "sectors", "sector", "trade_date",
-            source=tagged,
-        )
-    else:
-        near = spread_join(
-            base, nearest_lookup(tagged, events, "politician_id", "trade_date", V.VOTE_CAP_DAYS),
-            ["politician_id", "trade_date"], source=tagged,
-        )
+    events, keys = vote_events(votes), ("politician_id", "trade_date")
+    own = tagged.select(*ID_COLUMNS, "sectors", "disclosure_lag_days")
     access = access_maps(access_matrix(seats, exact=exact_committees, rank_column=rank_column))
-    joined = enrich(near, access, ["politician_id"], source=tagged)
-    joined = _once(joined.select(*ID_COLUMNS, "cohort_alpha", "gap_days", "access", "sectors", "disclosure_lag_days"), "cohort-v1")
+    matched = None
+    if "related_sector" in events.columns:
+        matched = category_gaps_by_key(tagged, events.withColumnRenamed("related_sector", "sector"), "politician_id", "sectors", "sector", "trade_date", V.VOTE_CAP_DAYS)
+    near = entity_facts(own, events, *keys, V.VOTE_CAP_DAYS, facts=access, matched=matched, source=trades, dealt_by=["trade_id"])
+    if matched is not None:
+        near = near.withColumn("gap_days", F.coalesce(smallest_gap(F.col("sectors"), F.col("_gaps")), F.col("gap_days")))
+    near = near.select(*ID_COLUMNS, "gap_days", "disclosure_lag_days", relevance(F.col("access"), F.col("sectors")).alias("committee_relevance"))
+    joined = scoreable(ticker_facts(near, prices, source=trades, dealt_by=["trade_id"]))
+    joined = _once(joined.drop("pre_trade_alpha"), "cohort-v1")
     median = joined.groupBy("gap_days").agg(F.count("*").alias("n_rows")).agg(
         F.percentile("gap_days", 0.5, F.col("n_rows"))
     ).scalar()
@@ -187,7 +185,7 @@ def cohort_features_v1(
         *ID_COLUMNS, "cohort_alpha",
         N.impute_days("gap_days", median, V.PROXIMITY_FALLBACK).alias("proximity_days"),
         F.col("gap_days").isNotNull().cast("int").alias("has_proximity_data"),
-        relevance(F.col("access"), F.col("sectors")).alias("committee_relevance"),
+        "committee_relevance",
         N.clipped_lag("disclosure_lag_days").alias("disclosure_lag"),
     )
 

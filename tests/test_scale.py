@@ -262,3 +262,16 @@ def test_entity_facts_against_brute_force(spark, monkeypatch, most):
         gaps = [abs((v - d).days) for q, v in votes if q == p] if d else []
         least = min(gaps) if gaps and min(gaps) <= 4 else None
         assert got[i] == (least, *(known.get(p, (None, None)) if d else (None, None)), days.get((p, d)))
+
+
+def test_trades_of_version_1_move_once_to_their_person_and_once_to_their_ticker(spark, sf_dir, monkeypatch):
+    from ledgerlight.catalog import QUERIES
+
+    stored = []
+    monkeypatch.setattr(P, "_once", lambda df, name: stored.append(df) or df)
+
+    def build():
+        QUERIES["i07_features_v1"](spark, sf_dir)
+        return stored[0]
+
+    assert dealings(unbroadcast_plan(spark, build)) == ["politician_id, _part", "ticker, _part"]
