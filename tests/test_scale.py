@@ -275,3 +275,51 @@ def test_trades_of_version_1_move_once_to_their_person_and_once_to_their_ticker(
         return stored[0]
 
     assert dealings(unbroadcast_plan(spark, build)) == ["politician_id, _part", "ticker, _part"]
+
+
+def test_deep_trees_against_a_walk_of_single_rows(spark):
+    """Levels compared as whole columns and levels looked up give what single rows give, in whatever batches they come."""
+    from ledgerlight.plans.iforest import average_path, with_scores
+
+    r = np.random.default_rng(4)
+    feature, cut = r.integers(0, 2, (3, 127)).astype(np.int16), r.random((3, 127))
+    cut[:, 1::9] = np.inf
+    forest = Forest(["a", "b"], feature, cut, r.random((3, 128)), 64)
+    values = r.random((500, 2))
+    values[3], values[4, 0], values[5, 1], values[6, 0] = np.nan, np.nan, np.inf, -np.inf
+
+    def walk(row, tree):
+        node = 0
+        while node < 127:
+            node = 2 * node + 1 + bool(row[feature[tree, node]] >= cut[tree, node])
+        return forest.path[tree, node - 127]
+
+    want = [2.0 ** (-sum(walk(row, t) for t in range(3)) / 3 / average_path(64)) for row in values]
+    assert np.allclose(forest.scores(values), want) and np.array_equal(forest.scores(values), forest.scores(values, block=33))
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(values)], "id int, a double, b double").repartition(2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {x["id"]: (x["s"], x["t"]) for x in with_scores(df, {"s": forest, "t": Forest(["b", "b"], feature, cut, forest.path, 64)}).collect()}
+        alone = with_scores(df, {"t": Forest(["b", "b"], feature, cut, forest.path, 64)}).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert np.allclose([got[i][0] for i in range(500)], want) and {x["id"]: x["t"] for x in alone} == {i: t for i, (_, t) in got.items()}
+
+
+def test_rows_drawn_for_no_tree_are_left_out_first(spark, monkeypatch):
+    from ledgerlight.plans import iforest as IF
+
+    df = spark.range(3000).select("id", (F.col("id") % 97).cast("double").alias("a"))
+    drawn = IF.draw_samples(df, ["a"], "id", 3000, trees=3, subsample=8, seeds=[0, 1])
+    assert "exists(" in plan_of(drawn)
+    monkeypatch.setattr(IF, "MANY_DARTS", 0)
+    plain = IF.draw_samples(df, ["a"], "id", 3000, trees=3, subsample=8, seeds=[0, 1])
+    assert "exists(" not in plan_of(plain) and same(drawn, plain) and drawn.count() == 48
+
+
+def test_all_seeds_walk_the_same_blocks(spark, monkeypatch):
+    from ledgerlight.plans import iforest as IF
+
+    df = spark.range(600).select("id", (F.col("id") % 97).cast("double").alias("a"), (F.col("id") % 13).cast("double").alias("b"))
+    plan = plan_of(IF.seed_stability(df, ["a", "b"], "id", 3, 5))
+    assert len(set(re.findall(r"pythonUDF\d+", plan))) == 1
