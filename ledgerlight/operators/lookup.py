@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 HOT_ROWS = 1_000_000
 SLOTS = 1 << 16
 SPREAD = 4096
+#: Keys that are broadcast at most to leave out the rows of a larger table that match none of them.
+FEW_KEYS = 200_000
 
 
 def _row_hash(df: DataFrame, columns: list[str] | None = None) -> Column:
@@ -109,6 +111,15 @@ def in_hot_slots(left: DataFrame, keys: list[str], hot_rows: int | None = None,
     return known(left, keys).withColumn("_slot", _slot(left, keys)).join(F.broadcast(parts), "_slot", "left_semi").drop("_slot")
 
 
+def only_keys(left: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of `left` whose key is in `keys`, a cheap table of that column alone, if these are few; otherwise all rows.
+
+    For rows that a later step drops anyway: those of a few keys needn't be shuffled with all others before it.
+    """
+    keys = keys.distinct()
+    return left.join(F.broadcast(keys), keys.columns, "left_semi") if keys.count() <= FEW_KEYS else left
+
+
 def enrich(
     left: DataFrame, values: DataFrame, keys: list[str], source: DataFrame | None = None, dealt_by: list[str] | None = None
 ) -> DataFrame:

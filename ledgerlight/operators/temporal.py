@@ -166,7 +166,7 @@ def ticker_facts(
     bench = _window_prices(asked.withColumn("ticker", F.lit(benchmark)), series.where(F.col("ticker") == benchmark), forward, backward).select(
         F.col("date").alias(date), *[F.col(c).alias(f"_s_{c}") for c in ("f0", "f1", "b0", "b1")]
     )
-    right = series.where("close is not null").withColumnRenamed("date", date)
+    right = series.withColumnRenamed("date", date)  # a day without a close changes nothing
     if entity is not None:
         crowded = peer_lookup(in_hot_slots(source, keys), "ticker", entity, date, days).select("ticker", date, "peers")
         right = right.unionByName(crowded, allowMissingColumns=True)

@@ -11,7 +11,7 @@ from ledgerlight.functions import vocab as V
 from ledgerlight.operators.analytics import amount_stats
 from ledgerlight.operators.clean import scoreable
 from ledgerlight.operators.entity import access_maps, access_matrix, relevance
-from ledgerlight.operators.lookup import enrich, spread_join
+from ledgerlight.operators.lookup import enrich, only_keys, spread_join
 from ledgerlight.operators.temporal import (
     add_alphas, apply_category_gaps, category_gaps, category_gaps_by_key, entity_facts, nearest_lookup, peer_lookup, smallest_gap,
     ticker_facts,
@@ -196,7 +196,9 @@ def baseline_features(
 ) -> DataFrame:
     """Institutional trades: real alphas, constant political features, rows without prices dropped."""
     dated = _once(inferred, "inferred").withColumnRenamed("inferred_date", "trade_date")
-    kept = scoreable(add_alphas(dated, prices)).withColumnRenamed("trade_date", "inferred_date")
+    # Closes of other tickers than these and the benchmark aren't asked for.
+    tickers = dated.select("ticker").union(dated.sparkSession.createDataFrame([(V.BENCHMARK_TICKER,)], "ticker string"))
+    kept = scoreable(add_alphas(dated, only_keys(prices, tickers))).withColumnRenamed("trade_date", "inferred_date")
     ids = [c for c in ("cik", "fund_name", "ticker", "inferred_date", "trade_type") if c in kept.columns]
     constants = {
         "cohort_alpha": F.col("cohort_alpha"),

@@ -10,6 +10,7 @@ from ledgerlight.functions import text as X
 from ledgerlight.functions import vocab as V
 from ledgerlight.operators.clean import only_funds, share_positions
 from ledgerlight.operators.entity import map_column
+from ledgerlight.operators.lookup import only_keys
 
 
 def period_of(year: Column, quarter: Column) -> Column:
@@ -32,15 +33,16 @@ def positions(holdings: DataFrame, keys: list[str]) -> DataFrame:
     return holdings.groupBy(*keys, "period").agg(F.sum(X.lenient_number("shares")).alias("shares"), *issuer)
 
 
-def quarter_changes(holdings: DataFrame, keys: list[str]) -> DataFrame:
+def quarter_changes(holdings: DataFrame, keys: list[str], bounds: DataFrame | None = None) -> DataFrame:
     """Both sides of every pair of consecutive quarters; an absent position counts 0 shares.
 
     Full outer join on (keys, period = period + 1) for all quarters at once. `period` is the
     earlier quarter. A position is compared only with quarters the data has: the first quarter has
-    no predecessor and the last no successor.
+    no predecessor and the last no successor. `bounds` (one row: lo, hi) tells these where `holdings` are not all of them.
     """
     held = positions(holdings, keys)
-    bounds = held.groupBy().agg(F.min("period").alias("lo"), F.max("period").alias("hi"))
+    if bounds is None:
+        bounds = held.groupBy().agg(F.min("period").alias("lo"), F.max("period").alias("hi"))
     lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
     has_issuer = "issuer_name" in held.columns
     prior = held.where(F.col("period") < hi).withColumnsRenamed({"shares": "shares_prior", "issuer_name": "_issuer_prior"})
@@ -59,11 +61,17 @@ def infer_fund_trades(holdings: DataFrame, ticker_map: DataFrame, funds: dict[st
     `holdings`: cik, cusip, shares, share_type, period; `ticker_map`: cusip, ticker. `funds` are those to keep:
     a short list, or a table (cik, fund_name) of any length, unique on cik without leading zeros; an empty list keeps all, named by their cik.
     """
+    valid = F.col("ticker").rlike("^[A-Z]{1,5}$")
     if isinstance(funds, DataFrame):
-        # The bounds of the quarters are those of the tracked funds, so funds are kept before the comparison.
         named = funds.select(X.clean_cik("cik").alias("_fund"), "fund_name")
-        held = map_column(share_positions(holdings).withColumn("_fund", X.clean_cik("cik")), named, "_fund", "fund_name", "fund_name")
-        moved = quarter_changes(held.where("fund_name IS NOT NULL"), ["cik", "fund_name", "cusip"])
+        held = share_positions(holdings).withColumn("_fund", X.clean_cik("cik"))
+        # The bounds of the quarters are those of all holdings of the tracked funds, whatever is compared.
+        spans = held.groupBy("_fund").agg(F.min("period").alias("lo"), F.max("period").alias("hi"))
+        spans = map_column(spans, named, "_fund", "fund_name", "fund_name").where("fund_name IS NOT NULL")
+        # Securities are compared each by itself: those without a valid ticker are left out before.
+        held = map_column(only_keys(held, ticker_map.where(valid).select("cusip")), named, "_fund", "fund_name", "fund_name")
+        moved = quarter_changes(
+            held.where("fund_name IS NOT NULL"), ["cik", "fund_name", "cusip"], spans.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))
     else:
         moved = quarter_changes(share_positions(only_funds(holdings, funds)) if funds else share_positions(holdings), ["cik", "cusip"])
         moved = moved.withColumn("fund_name", X.lookup(funds, F.col("cik")) if funds else F.col("cik"))
@@ -71,7 +79,7 @@ def infer_fund_trades(holdings: DataFrame, ticker_map: DataFrame, funds: dict[st
         "delta", F.col("shares_current") - F.col("shares_prior")
     ).where(F.abs("delta") >= V.MIN_SHARES_DELTA)
     # A security moves at most twice for each of its holdings, which are counted without comparing quarters again.
-    named = map_column(moved, ticker_map, "cusip", "ticker", "ticker", source=holdings).where(F.col("ticker").rlike("^[A-Z]{1,5}$"))
+    named = map_column(moved, ticker_map, "cusip", "ticker", "ticker", source=holdings).where(valid)
     return named.select(
         "cik", "fund_name", "cusip", "ticker",
         F.when(F.col("delta") > 0, "buy").otherwise("sell").alias("trade_type"),

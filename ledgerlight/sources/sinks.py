@@ -162,4 +162,4 @@ def write_scores(
 
 def write_matrix(df: DataFrame, path: str) -> None:
     """Feature matrices and cleaned tables."""
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").option("compression", "zstd").parquet(path)

@@ -323,3 +323,37 @@ def test_all_seeds_walk_the_same_blocks(spark, monkeypatch):
     df = spark.range(600).select("id", (F.col("id") % 97).cast("double").alias("a"), (F.col("id") % 13).cast("double").alias("b"))
     plan = plan_of(IF.seed_stability(df, ["a", "b"], "id", 3, 5))
     assert len(set(re.findall(r"pythonUDF\d+", plan))) == 1
+
+
+def test_securities_without_a_valid_ticker_are_left_out_before_the_comparison(spark, monkeypatch):
+    """The quarters' bounds are those of all holdings of tracked funds, repeated tickers and funds count as before."""
+    rows = [("1", "C1", "SH", "500", 8000), ("1", "C1", "SH", "900", 8001), ("1", "BAD", "SH", "900", 8002), ("01", "BAD", None, "900", 7999), ("1", None, "SH", "70", 8000),
+            ("2", "C2", "SH", "900", 8001), ("9", "C2", "SH", "900", 8009), ("3", "C2", "SH", "300", None), ("1", "C2", "PRN", "900", 8001), ("2", "C3", "SH", "x", 8001)]
+    holdings = spark.createDataFrame(rows, "cik string, cusip string, share_type string, shares string, period int")
+    tickers = spark.createDataFrame([("C1", "AAA"), ("C2", "BBB"), ("C2", "BBB"), ("C3", "CCC"), ("BAD", "TOOLONG"), (None, "N")], "cusip string, ticker string")
+    funds = spark.createDataFrame([("1", "One"), ("2", "Two"), ("2", "Two"), ("3", "Three")], "cik string, fund_name string")
+    found = H.infer_fund_trades(holdings, tickers, funds)
+    sold = found.where("cusip = 'C1' AND trade_type = 'sell'").select("shares_delta").collect()
+    assert [r[0] for r in sold] == [900]  # 8002 is a quarter, by the holding without a valid ticker
+    compared, changes = [], H.quarter_changes
+    monkeypatch.setattr(H, "quarter_changes", lambda held, *args: compared.append(sorted({r["cusip"] for r in held.collect()}, key=str)) or changes(held, *args))
+    assert same(found, H.infer_fund_trades(holdings, tickers, funds)) and compared == [["C1", "C2", "C3"]]
+    monkeypatch.setattr(L, "FEW_KEYS", -1)
+    assert same(found, H.infer_fund_trades(holdings, tickers, funds)) and compared[1] == ["BAD", "C1", "C2", "C3", None]
+
+
+def test_closes_of_other_tickers_are_not_moved(spark, monkeypatch):
+    rows = [("1", "f", "A", day(20), "buy"), ("2", "g", "A", day(25), "sell"), ("2", "g", None, day(25), "sell")]
+    inferred = spark.createDataFrame(rows, "cik string, fund_name string, ticker string, inferred_date date, trade_type string")
+    prices = spark.createDataFrame([(t, day(n), 1.0 + n) for t in ("A", "B", "C", "SPY") for n in range(90)], "ticker string, price_date date, close double")
+    moved, gathered = [], T.gathered
+
+    def counted(left, right, *args, **kwargs):
+        moved.append(sorted(r["ticker"] for r in right.select("ticker").distinct().collect()))
+        return gathered(left, right, *args, **kwargs)
+
+    monkeypatch.setattr(T, "gathered", counted)
+    out = P.baseline_features(inferred, prices)
+    assert moved == [["A", "SPY"]]
+    monkeypatch.setattr(L, "FEW_KEYS", 1)
+    assert same(out, P.baseline_features(inferred, prices)) and moved[1] == ["A", "B", "C", "SPY"] and out.count() == 2
