@@ -66,9 +66,10 @@ def seats(t: Tables):
 
 
 def features(t: Tables):
+    from ledgerlight.operators.temporal import tasks_for
     from ledgerlight.plans.features import cohort_features
 
-    return cohort_features(t.trades, t.prices, votes(t), t.bills, seats(t))
+    return cohort_features(t.trades, t.prices, votes(t), t.bills, seats(t), tasks=tasks_for(t.trades))
 
 
 @query("i01_alphas", ALPHA_SQL + """
@@ -171,11 +172,12 @@ SELECT trade_id, politician_id, ticker, trade_date, round(cohort_alpha, 6) AS co
   CASE WHEN gap IS NULL THEN 0 ELSE 1 END AS has_proximity_data, 0.0::DOUBLE AS committee_relevance, disclosure_lag_days AS disclosure_lag FROM x
 """)
 def i07v1(t: Tables):
+    from ledgerlight.operators.temporal import tasks_for
     from ledgerlight.plans.features import cohort_features_v1
 
     sector = F.when(F.col("o_orderstatus") == "F", "defense").when(F.col("o_orderstatus") == "O", "finance").otherwise("tech")
     tagged = t.orders.select(F.col("o_custkey").alias("politician_id"), F.to_date("o_orderdate").alias("vote_date"), sector.alias("related_sector"))
-    out = cohort_features_v1(t.trades, t.prices, tagged, seats(t))
+    out = cohort_features_v1(t.trades, t.prices, tagged, seats(t), tasks=tasks_for(t.trades))
     return out.withColumn("cohort_alpha", F.round("cohort_alpha", 6))
 
 

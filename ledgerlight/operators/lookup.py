@@ -83,14 +83,15 @@ def _dealt(left: DataFrame, keys: list[str], slot: Column, parts: DataFrame, dea
 
 def gathered(
     left: DataFrame, right: DataFrame, keys: list[str], hot_rows: int | None = None, source: DataFrame | None = None,
-    dealt_by: list[str] | None = None,
+    dealt_by: list[str] | None = None, tasks: int | None = None,
 ) -> DataFrame:
     """The rows of both tables, those of equal `keys` in one place, so that windows over (keys, `_part`) need no other shuffle.
 
     Adds `_part` and `_met`, a struct of the columns that only `right` has; it is NULL in the rows of `left`. Other
     columns of `left` are NULL in the rows of `right`. Hot slots are cut into parts as in `spread_join`: each row of
     `left` is in one part, the rows of `right` are in every part of their slot. `source` (by default `left`) is a
-    table with at least the keys of `left`, on which these are counted.
+    table with at least the keys of `left`, on which these are counted. `tasks` is the number of tasks they are dealt
+    to, so that a task's share doesn't grow with the table.
     """
     most = HOT_ROWS if hot_rows is None else hot_rows
     parts = _hot_slots(known(left if source is None else source, keys), _slot(left, keys), F.count(F.lit(1)), most)
@@ -101,7 +102,7 @@ def gathered(
         F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1)).alias("_part"),
     )
     own = _dealt(left, keys, _slot(left, keys), parts, dealt_by).drop("_slot", "_parts")
-    return own.unionByName(met, allowMissingColumns=True).repartition(*keys, "_part")
+    return own.unionByName(met, allowMissingColumns=True).repartition(*([tasks] if tasks else []), *keys, "_part")
 
 
 def in_hot_slots(left: DataFrame, keys: list[str], hot_rows: int | None = None, source: DataFrame | None = None) -> DataFrame:

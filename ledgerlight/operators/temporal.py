@@ -146,7 +146,7 @@ def _last_close(keys: list[str], order: Column, gap: int) -> Column:
 def ticker_facts(
     trades: DataFrame, prices: DataFrame, entity: str | None = None, benchmark: str = BENCHMARK_TICKER,
     forward: int = ALPHA_FORWARD_DAYS, backward: int = ALPHA_BACKWARD_DAYS, days: int = CLUSTER_DAYS,
-    source: DataFrame | None = None, dealt_by: list[str] | None = None,
+    source: DataFrame | None = None, dealt_by: list[str] | None = None, tasks: int | None = None,
 ) -> DataFrame:
     """Trades with cohort_alpha and pre_trade_alpha against the benchmark and, given an `entity`, `peers`.
 
@@ -158,7 +158,7 @@ def ticker_facts(
 
     `prices` has ticker, price_date, close and holds the benchmark too. The benchmark is one key,
     so it is resolved on the distinct days alone: at most one row per calendar day, broadcast.
-    `source` and `dealt_by` as in `gathered`; `source` has the trades' days too.
+    `source`, `dealt_by` and `tasks` as in `gathered`; `source` has the trades' days too.
     """
     source, keys, date = trades if source is None else source, ["ticker"], "trade_date"
     series = prices.select("ticker", F.col("price_date").alias("date"), F.col("close").cast("double").alias("close"))
@@ -170,7 +170,7 @@ def ticker_facts(
     if entity is not None:
         crowded = peer_lookup(in_hot_slots(source, keys), "ticker", entity, date, days).select("ticker", date, "peers")
         right = right.unionByName(crowded, allowMissingColumns=True)
-    rows = gathered(trades, right, keys, source=source, dealt_by=dealt_by)
+    rows = gathered(trades, right, keys, source=source, dealt_by=dealt_by, tasks=tasks)
     rising, falling = _day_order(date), _day_order(date, True)
     asks = F.col("ticker").isNotNull() & F.col(date).isNotNull()
     out = {}
@@ -203,11 +203,12 @@ def add_alphas(trades: DataFrame, prices: DataFrame, benchmark: str = BENCHMARK_
 def entity_facts(
     left: DataFrame, events: DataFrame, by: str, date: str, max_days: int, facts: DataFrame | None = None,
     matched: DataFrame | None = None, source: DataFrame | None = None, dealt_by: list[str] | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """`left` with `gap_days` to the nearest event of the same key, NULL beyond `max_days`, and the columns of other tables.
 
     `facts` has one row per key, `matched` one per key and day; their columns are NULL in rows without a key or a day
-    and where there is no row for them. All tables meet in one shuffle by the key. `source` and `dealt_by` as in `gathered`.
+    and where there is no row for them. All tables meet in one shuffle by the key. `source`, `dealt_by` and `tasks` as in `gathered`.
     """
     right = known(events.select(by, date), [by, date]).withColumn("_event", F.lit(True))
     names = {"_facts": facts, "_matched": matched}
@@ -215,7 +216,7 @@ def entity_facts(
         if table is not None:
             own = [c for c in table.columns if c not in (by, date)]
             right = right.unionByName(table.select(by, *([date] if date in table.columns else []), F.struct(*own).alias(name)), allowMissingColumns=True)
-    rows = gathered(left, right, [by], source=source, dealt_by=dealt_by)
+    rows = gathered(left, right, [by], source=source, dealt_by=dealt_by, tasks=tasks)
     rising, falling = _day_order(date), _day_order(date, True)
     day = F.when(F.col("_met._event"), F.col(date))
     rows = rows.withColumn("_ahead", F.datediff(F.last(day, ignorenulls=True).over(_up_to([by], falling)), date))

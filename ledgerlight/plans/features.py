@@ -75,12 +75,12 @@ def _median_gap(trades: DataFrame, events: DataFrame) -> Column:
 def cohort_features(
     trades: DataFrame, prices: DataFrame, votes: DataFrame, bills: DataFrame, seats: DataFrame,
     bridge: DataFrame | None = None, ticker_map: DataFrame | None = None,
-    median_proximity: Column | int | None = None, median_bill: Column | int | None = None,
+    median_proximity: Column | int | None = None, median_bill: Column | int | None = None, tasks: int | None = None,
 ) -> DataFrame:
     """The nine version-2 features of every trade (cohort_alpha stays NULL without prices).
 
     The trades move twice, to their person and to their ticker, where votes, closes and other trades meet them.
-    Medians default to those of this batch.
+    Medians default to those of this batch. `tasks`: see `gathered`.
     """
     base = add_sectors(trades, bridge, ticker_map)
     events = bill_events(bills)
@@ -99,12 +99,13 @@ def cohort_features(
     people = amount_stats(trades).drop("n_trades").join(access_maps(access_matrix(seats)), "politician_id", "full")
     personal = entity_facts(
         narrow, vote_events(votes), "politician_id", "trade_date", V.VOTE_CAP_DAYS, facts=people, source=trades, dealt_by=["trade_id"],
+        tasks=tasks,
     ).select(
         *ID_COLUMNS, "gap_days", "bill_gap", "disclosure_lag_days",
         relevance(F.col("access"), F.col("sectors")).alias("committee_relevance"),
         N.amount_zscore("amount_midpoint", "log_amt_mean", "log_amt_std").alias("amount_zscore"),
     )
-    joined = ticker_facts(personal, prices, "politician_id", source=trades, dealt_by=["trade_id"])
+    joined = ticker_facts(personal, prices, "politician_id", source=trades, dealt_by=["trade_id"], tasks=tasks)
     named = F.col("politician_id").isNotNull()
     return joined.select(
         *ID_COLUMNS,
@@ -158,12 +159,12 @@ def behaviour_features(trades: DataFrame, tasks: int | None = None) -> DataFrame
 def cohort_features_v1(
     trades: DataFrame, prices: DataFrame, votes: DataFrame, seats: DataFrame,
     bridge: DataFrame | None = None, ticker_map: DataFrame | None = None,
-    exact_committees: bool = True, rank_column: str = "rank_in_committee",
+    exact_committees: bool = True, rank_column: str = "rank_in_committee", tasks: int | None = None,
 ) -> DataFrame:
     """The five version-1 features; the median is taken after rows without prices are dropped.
 
     With exact committee names and votes tagged by sector this is the training variant; without,
-    the scoring variant of version 1.
+    the scoring variant of version 1. `tasks`: see `gathered`.
     """
     tagged = add_sectors(trades, bridge, ticker_map)
     events, keys = vote_events(votes), ("politician_id", "trade_date")
@@ -172,11 +173,11 @@ def cohort_features_v1(
     matched = None
     if "related_sector" in events.columns:
         matched = category_gaps_by_key(tagged, events.withColumnRenamed("related_sector", "sector"), "politician_id", "sectors", "sector", "trade_date", V.VOTE_CAP_DAYS)
-    near = entity_facts(own, events, *keys, V.VOTE_CAP_DAYS, facts=access, matched=matched, source=trades, dealt_by=["trade_id"])
+    near = entity_facts(own, events, *keys, V.VOTE_CAP_DAYS, facts=access, matched=matched, source=trades, dealt_by=["trade_id"], tasks=tasks)
     if matched is not None:
         near = near.withColumn("gap_days", F.coalesce(smallest_gap(F.col("sectors"), F.col("_gaps")), F.col("gap_days")))
     near = near.select(*ID_COLUMNS, "gap_days", "disclosure_lag_days", relevance(F.col("access"), F.col("sectors")).alias("committee_relevance"))
-    joined = scoreable(ticker_facts(near, prices, source=trades, dealt_by=["trade_id"]))
+    joined = scoreable(ticker_facts(near, prices, source=trades, dealt_by=["trade_id"], tasks=tasks))
     joined = _once(joined.drop("pre_trade_alpha"), "cohort-v1")
     median = joined.groupBy("gap_days").agg(F.count("*").alias("n_rows")).agg(
         F.percentile("gap_days", 0.5, F.col("n_rows"))

@@ -357,3 +357,13 @@ def test_closes_of_other_tickers_are_not_moved(spark, monkeypatch):
     assert moved == [["A", "SPY"]]
     monkeypatch.setattr(L, "FEW_KEYS", 1)
     assert same(out, P.baseline_features(inferred, prices)) and moved[1] == ["A", "B", "C", "SPY"] and out.count() == 2
+
+
+def test_features_are_dealt_to_tasks_by_rows(spark, sf_dir, monkeypatch):
+    """However few shuffle partitions there are, more trades go to more tasks."""
+    from ledgerlight.catalog import QUERIES
+
+    monkeypatch.setattr(T, "TASK_ROWS", 200)
+    tasks = math.ceil(Tables(spark, sf_dir).trades.count() / 200)
+    plan = unbroadcast_plan(spark, lambda: QUERIES["i07_features_v2"](spark, sf_dir))
+    assert len(re.findall(rf"_part#\d+L?, {tasks}\)", plan)) == 2 and tasks > 16
